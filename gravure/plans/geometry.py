@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gravure.functions.rows import settle
 from gravure.functions.numeric import dbl, half, min_non_zero, non_zero, scale, scale_even, shrink, shrink_even
 
 # Longest side (or area) an encoder accepts.
@@ -246,12 +247,14 @@ def limit_result(df: DataFrame) -> DataFrame:
 
 def plan_geometry(df: DataFrame) -> DataFrame:
     """All sizes and scales of a request, from image facts to the limited result."""
-    for step in (
-        exif_angle_flip, source_size, crop_size, resize_scale, zoom_dpr_enlarge, min_size, final_scale, sizes,
-        limit_result,
-    ):
+    for step in (exif_angle_flip, source_size, crop_size, resize_scale, zoom_dpr_enlarge, min_size, final_scale):
         df = step(df)
-    return df
+    df = settle(df, "w_scale", "h_scale", "dpr_scale")
+    df = limit_result(sizes(df))
+    return settle(
+        df, "w_scale", "h_scale", "dpr_scale", "target_w", "target_h", "scaled_w", "scaled_h", "result_crop_w",
+        "result_crop_h", "ext_w", "ext_h",
+    )
 
 
 def position(
@@ -483,7 +486,9 @@ def limit_scale(fmt: Column, w: Column, h: Column) -> Column:
 
 def result_size(df: DataFrame) -> DataFrame:
     """Size of the finished rendition: planned geometry through boxes, padding and limits."""
-    df = padding_box(extend_ar_box(extend_box(result_crop_box(df))))
+    df = extend_ar_box(extend_box(result_crop_box(df)))
+    df = settle(df, "box_w", "box_h", "aspect_w", "aspect_h")
+    df = settle(padding_box(df), "padded_w", "padded_h")
     df = df.withColumn("limit_scale", limit_scale(F.col("format"), F.col("padded_w"), F.col("padded_h")))
     fitted = lambda c: F.when(F.col("limit_scale") < 1, F.greatest(F.lit(1), scale(c, "limit_scale"))).otherwise(
         F.col(c)

@@ -171,3 +171,201 @@ def with_tables(names: str, body: str) -> str:
     if re.match(r"\w+(\([\w, ]*\))? AS (MATERIALIZED )?\(", body):
         return f"{head},\n{body}"
     return f"{head}\n{body}"
+
+_TEXT = "CAST({} AS VARCHAR(20))"
+
+
+def _shapes(shapes: list[str]) -> str:
+    """CASE over event_id: '<expr>' in a shape stands for a number computed from the event."""
+
+    def concat(shape: str) -> str:
+        parts = re.split(r"<(.*?)>", shape)
+        pieces = [f"'{p}'" if i % 2 == 0 else _TEXT.format(p) for i, p in enumerate(parts)]
+        return f"concat({', '.join(pieces)})"
+
+    whens = " ".join(f"WHEN {i} THEN {concat(s)}" for i, s in enumerate(shapes))
+    return f"CASE e.event_id % {len(shapes)} {whens} END"
+
+
+# Request lines with the oddities of prefixes, proxies and missing parts.
+FIXTURES["uris"] = (
+    "SELECT e.event_id AS req_id, "
+    + _shapes(
+        [
+            "/pfx/sig<e.event_id>/rs:fill:300:200/plain/http://example.com/<e.event_id>.jpg?x=1",
+            "/sig/rs%3Afill%3A<e.event_id>/plain/https:/example.com/a%3Ab/<e.event_id>.jpg",
+            "/only_signature<e.event_id>",
+            "/",
+            "//w:1/abc<e.event_id>",
+            "/sig/plain/local:/dir/<e.event_id>.png",
+            "/pfx/sig/w%3A5/aHR0cDovL2V4YW1wbGUuY29tLw/<e.event_id>.png",
+            "/sig/w:1/plain/s3:/bucket<e.event_id>/a:/b?q",
+            "/sig/h:<e.event_id>/plain/http://example.com/x/plain/https:/y",
+        ]
+    )
+    + " AS uri FROM {events} e"
+)
+
+OPTION_SHAPES = [
+    "rs:fit:<e.event_id % 700>:<e.event_id % 300>:1:1:no:0.1:5",
+    "s:<e.event_id % 700>::t:1:fp:0.2:0.9",
+    "rt:auto/w:<e.event_id % 900>/h:<e.event_id % 800>/mw:10/mh:20",
+    "z:1.5/z:0.5:2/dpr:1.5",
+    "ex:1:sm",
+    "exar:true:soea:3:-2.5/ex:f",
+    "g:no:3:0.1/g:sm/g:so::7",
+    "g:fp:0.3",
+    "g:fp:0.3:1.7",
+    "c:100:0.5:we:5:6/c:50",
+    "c:-1",
+    "t:10:ff00ff:1:0/t:5",
+    "t:/t:20:zzz",
+    "pd:10:20/pd::5/pd:7::::",
+    "pd:10:20/pd::5",
+    "pd::3/pd:1:2:3:4/pd::::9",
+    "ar:0/rot:<90 * (e.event_id % 5)>/fl::1",
+    "rot:45",
+    "bg:ff0/bg:10:20:30",
+    "bg:fff/bg:",
+    "bg:1:2",
+    "bg:1:2:+3",
+    "bl:2.5/sh:0.7/pix:<e.event_id % 20>",
+    "wm:0.5:re:10:-5:0.2",
+    "wm:1.5",
+    "wm:0.3:sm",
+    "sm:1/kcr:0/scp:T/ph:yes/eth:1/att:1",
+    "q:<e.event_id % 130>",
+    "fq:webp:50:avif:60:webp:70/fq:jpg:10",
+    "fq:webp",
+    "f:jpg/mb:<e.event_id % 5000>",
+    "f:tif",
+    "skp:png:jpg/skp:gif",
+    "raw:1/cb:abc/cb:/exp:<1704067200 + (e.event_id * 977) % 2592000>",
+    "fn:bmFtZQ:1/fn:other<e.event_id>",
+    "fn:@@@:1",
+    "msr:1.5/mafr:0.25",
+    "maf:3/mrd:100/msfs:-5",
+    "foo:1",
+    "w:abc/foo:1",
+    "w:5:6",
+    "el:/w:",
+    "s:1:2:3:4:5:6:7:8",
+    "rs:bogus:1:1",
+    "pr:nosuch/w:1",
+    "c:10:20:sm:1",
+    "rs::<e.event_id % 50>:60:::no/g:sm/g:ea",
+]
+FIXTURES["option_paths"] = (
+    "SELECT e.event_id AS req_id, @TS_US AS ts_us, concat("
+    + _shapes(OPTION_SHAPES)
+    + ", '/plain/http://example.com/a.jpg') AS path FROM {events} e"
+)
+
+# Preset configuration, one row per option of a preset.
+PRESET_ROWS = [
+    ("thumb", 0, "rs", "fill:150:150"),
+    ("thumb", 1, "q", "70"),
+    ("default", 0, "ar", "1"),
+    ("wide", 0, "pr", "thumb"),
+    ("wide", 1, "w", "320"),
+    ("loop_a", 0, "pr", "loop_b"),
+    ("loop_b", 0, "pr", "loop_a"),
+    ("loop_b", 1, "w", "10"),
+    ("mixed", 0, "el", "1"),
+    ("mixed", 1, "pr", "wide:loop_a"),
+    ("mixed", 2, "h", "99"),
+]
+FIXTURES["presets"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS name, {p} AS pos, '{o}' AS opt, '{a}' AS argtext" for n, p, o, a in PRESET_ROWS
+)
+FIXTURES["preset_paths"] = (
+    "SELECT e.event_id AS req_id, concat("
+    + _shapes(
+        [
+            "w:<e.event_id % 99>/pr:thumb/h:5",
+            "pr:wide:mixed",
+            "pr:loop_a/q:<e.event_id % 100>",
+            "h:<e.event_id>",
+            "pr:nosuch:thumb",
+            "preset:mixed/pr:mixed",
+        ]
+    )
+    + ", '/plain/http://example.com/a.jpg') AS path FROM {events} e"
+)
+FIXTURES["preset_lines"] = """
+SELECT c.c_custkey AS line_id, CASE c.c_custkey % 9
+  WHEN 0 THEN concat('p', CAST(c.c_custkey AS VARCHAR(20)), '=resize:fit:100:200/sharpen:2')
+  WHEN 1 THEN 'resize:fit:100:200/sharpen:2'
+  WHEN 2 THEN concat('=w:', CAST(c.c_custkey AS VARCHAR(20)))
+  WHEN 3 THEN concat('p', CAST(c.c_custkey AS VARCHAR(20)), '=')
+  WHEN 4 THEN concat('p', CAST(c.c_custkey AS VARCHAR(20)), '=w:1/blur')
+  WHEN 5 THEN '   '
+  WHEN 6 THEN concat('#  p=w:', CAST(c.c_custkey AS VARCHAR(20)))
+  WHEN 7 THEN concat('  p', CAST(c.c_custkey AS VARCHAR(20)), ' = w:', CAST(c.c_custkey AS VARCHAR(20)), '/pr:thumb  ')
+  ELSE 'a=b=c' END AS line FROM {customer} c
+"""
+# Source part of a request: what follows the options, already split.
+FIXTURES["source_paths"] = (
+    "SELECT e.event_id AS req_id, "
+    + _shapes(
+        [
+            "plain/http://example.com/img<e.event_id>.jpg@webp",
+            "plain/http://example.com/a%20b+c/<e.event_id>.jpg",
+            "plain/http://example.com/bad%zz/<e.event_id>.jpg",
+            "plain/http://example.com/a@b@<e.event_id>",
+            "plain/@png",
+            "aHR0cDovL2V4YW1wbGUuY29t/L2E.png",
+            "aHR0cDovL2V4YW1wbGUuY29tL2E=",
+            "aHR0cDovL2V4YW1wbGUuY29tL2.x.y",
+            ".png",
+            "!!!<e.event_id>",
+            "plain",
+            "aHR0cDovL2V4YW1wbGUuY29tL2Fi/L2Nk.jpg",
+        ]
+    )
+    + " AS tail FROM {events} e"
+)
+# Client headers.
+FIXTURES["client_headers"] = """
+SELECT e.event_id AS req_id,
+  CASE e.event_id % 5 WHEN 0 THEN 'image/avif,image/webp,*/*' WHEN 1 THEN 'image/webp' WHEN 2 THEN 'image/jxl,*/*'
+       WHEN 3 THEN '*/*' END AS accept,
+  CASE e.event_id % 7 WHEN 0 THEN '2.0' WHEN 1 THEN '9' WHEN 2 THEN 'x' WHEN 3 THEN '0' END AS sec_ch_dpr,
+  CASE e.event_id % 3 WHEN 0 THEN '1.5' WHEN 1 THEN '' END AS dpr_header,
+  CASE e.event_id % 4 WHEN 0 THEN CAST(e.event_id % 900 AS VARCHAR(20)) WHEN 1 THEN '-5' END AS sec_ch_width,
+  CASE e.event_id % 6 WHEN 0 THEN '640' WHEN 1 THEN '10.5' END AS width_header
+FROM {events} e
+"""
+# Addresses: IPv4 over the whole key range and IPv6 forms that embed it.
+FIXTURES["source_ips"] = (
+    "SELECT e.event_id AS id, "
+    + _shapes(
+        [
+            "<(e.event_id * 7) % 256>.<(e.event_id * 11) % 256>.<e.event_id % 256>.<(e.event_id * 3) % 256>",
+            "10.<e.event_id % 256>.0.1",
+            "172.<e.event_id % 48>.5.6",
+            "192.168.<e.event_id % 256>.9",
+            "100.<60 + e.event_id % 70>.0.0",
+            "169.254.<e.event_id % 256>.1",
+            "127.0.0.<e.event_id % 256>",
+            "0.0.0.<e.event_id % 2>",
+            "224.0.<e.event_id % 2>.251",
+            "::<e.event_id % 3>",
+            "::ffff:10.0.0.<e.event_id % 256>",
+            "::<e.event_id % 256>.0.0.1",
+            "2002:7f00:1::<e.event_id % 100>",
+            "64:ff9b::192.168.0.<e.event_id % 256>",
+            "64:ff9b::8.8.8.<e.event_id % 256>",
+            "64ff:9b01:0:0a00:00<e.event_id % 90 + 10>:1::",
+            "2001:0:1:2:3:4:f5ff:fff<e.event_id % 10>",
+            "2001:db8::200:5efe:127.0.0.<e.event_id % 256>",
+            "fe80::<e.event_id % 1000>",
+            "fd00::<e.event_id % 1000>",
+            "ff02::<e.event_id % 10>",
+            "2606:4700::<e.event_id % 1000>",
+            "not-an-ip<e.event_id>",
+            "1.2.3.<250 + e.event_id % 10>",
+        ]
+    )
+    + " AS ip FROM {events} e"
+)
