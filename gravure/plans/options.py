@@ -193,18 +193,23 @@ def _padding(options: Column) -> Column:
 
 def _format_quality(options: Column) -> Column:
     """format -> quality, the last pair of a format winning."""
-    pairs = F.flatten(
+    return F.flatten(
         F.transform(
             F.filter(options, lambda o: o["name"] == "format_quality"),
-            lambda o: F.transform(
-                F.sequence(F.lit(0), F.size(o["args"]) - 2, F.lit(2)),
-                lambda i: F.struct(
-                    dims.type_name(F.get(o["args"], i)).alias("key"), parse_int(F.get(o["args"], i + 1)).alias("value")
+            lambda o: F.filter(
+                F.transform(
+                    o["args"],
+                    lambda fmt, i: F.when(
+                        i % 2 == 0,
+                        F.struct(
+                            dims.type_name(fmt).alias("key"), parse_int(F.get(o["args"], i + 1)).alias("value")
+                        ),
+                    ),
                 ),
+                lambda pair: pair.isNotNull(),
             ),
         )
     )
-    return pairs
 
 
 def _last_pairs(pairs: Column) -> Column:

@@ -1,7 +1,7 @@
 """Tables derived from the test data, as one SQL text that both engines read.
 
-`{name}` refers to a test table or to another derived table. `@TS_US` is the only
-dialect difference: microseconds since 1970 of events.ts.
+`{name}` refers to a test table or to another derived table; DIALECT lists the few
+expressions the engines spell differently.
 """
 
 from __future__ import annotations
@@ -132,6 +132,20 @@ FROM {plans} p JOIN {images} i ON p.image_id = i.image_id
 """
 
 
+# Mark -> text for Spark, text for the check engine.
+DIALECT = {
+    "@TS_US": ("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', e.ts)", "epoch_us(e.ts)"),
+    "@RANGE": ("explode(sequence(1, 100))", "unnest(range(1, 101))"),
+}
+
+
+def _check_text(name: str) -> str:
+    sql = re.sub(r"\{(\w+)\}", r"\1", FIXTURES[name])
+    for mark, (_, check_sql) in DIALECT.items():
+        sql = sql.replace(mark, check_sql)
+    return sql
+
+
 def _deps(sql: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", sql)
 
@@ -140,9 +154,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table or a derived table, read lazily."""
     if name in BASE_TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = FIXTURES[name].replace(
-        "@TS_US", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', e.ts)"
-    )
+    sql = FIXTURES[name]
+    for mark, (spark_sql, _) in DIALECT.items():
+        sql = sql.replace(mark, spark_sql)
     return spark.sql(sql, **{dep: table(spark, sf_dir, dep) for dep in set(_deps(sql))})
 
 
@@ -162,10 +176,7 @@ def with_tables(names: str, body: str) -> str:
 
     for name in names.split():
         visit(name)
-    ctes = [
-        f"{name} AS ({re.sub(r'\{(\w+)\}', r'\1', FIXTURES[name]).replace('@TS_US', 'epoch_us(e.ts)')})"
-        for name in order
-    ]
+    ctes = [f"{name} AS ({_check_text(name)})" for name in order]
     body = body.strip()
     head = "WITH RECURSIVE " + ",\n".join(ctes)
     if re.match(r"\w+(\([\w, ]*\))? AS (MATERIALIZED )?\(", body):
@@ -369,3 +380,41 @@ FIXTURES["source_ips"] = (
     )
     + " AS ip FROM {events} e"
 )
+
+# Planned requests with everything an output decision looks at.
+FIXTURES["decisions"] = """
+SELECT g.req_id, g.image_id, g.src_format, g.format, g.frames, g.orientation, g.has_alpha, g.img_w, g.img_h, g.extend,
+  g.pad_top, g.pad_right, g.pad_bottom, g.pad_left,
+  CASE WHEN g.req_id % 9 = 4 THEN 'ffaa00' END AS background,
+  g.req_id % 13 = 1 AS prefer_jxl, g.req_id % 11 = 2 AS prefer_avif, g.req_id % 7 = 3 AS prefer_webp,
+  g.req_id % 17 = 1 AS enforce_jxl, g.req_id % 19 = 2 AS enforce_avif, g.req_id % 23 = 3 AS enforce_webp,
+  CASE g.req_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 100 END AS max_frames,
+  CASE WHEN g.req_id % 6 = 1 THEN 10.0e0 END AS trim_threshold,
+  CASE WHEN g.req_id % 10 = 3 THEN 100000 END AS max_src_resolution,
+  CASE WHEN g.req_id % 10 IN (3, 5) THEN 90000 END AS max_frame_resolution,
+  CASE WHEN g.req_id % 4 = 1 THEN 1 + g.req_id % 100 ELSE 0 END AS quality,
+  CASE g.req_id % 5 WHEN 0 THEN 'webp=50,avif=40' WHEN 1 THEN 'jpeg=33' ELSE '' END AS fq_text,
+  CASE g.req_id % 8 WHEN 0 THEN 'png,gif' WHEN 3 THEN 'jpeg,svg,webp' ELSE '' END AS skip_text,
+  CASE g.req_id % 9 WHEN 0 THEN 'rgb' WHEN 1 THEN 'srgb' WHEN 2 THEN 'b-w' WHEN 3 THEN 'rgb16' WHEN 4 THEN 'grey16'
+       WHEN 5 THEN 'cmyk' WHEN 6 THEN 'lab' WHEN 7 THEN 'scrgb' ELSE 'xyz' END AS interpretation,
+  g.req_id % 2 = 0 AS preserve_hdr, g.req_id % 5 < 3 AS has_profile, g.req_id % 3 = 1 AS strip_color_profile,
+  g.req_id % 4 = 0 AS quantize, 1 + g.req_id % 40 AS quantize_colors, g.req_id % 3 < 2 AS palette,
+  CASE WHEN g.req_id % 7 <> 2 THEN 1 + g.req_id % 12 END AS palette_bits,
+  4 + g.req_id % 60 AS result_w, 8 + g.req_id % 45 AS result_h
+FROM {geo} g
+"""
+# Measured sizes of every image at every quality.
+FIXTURES["encodings"] = """
+SELECT i.image_id, f.format, q.quality,
+  500 + CAST(floor(i.width * i.height * q.quality * (3 + i.image_id % 5) / 1000) AS BIGINT) AS bytes
+FROM {images} i
+JOIN (SELECT 'jpeg' AS format UNION ALL SELECT 'webp' UNION ALL SELECT 'avif') f ON true
+JOIN (SELECT @RANGE AS quality) q ON true
+"""
+FIXTURES["fit_renditions"] = """
+SELECT e.event_id AS req_id, 1 + e.event_id % (SELECT max(p_partkey) FROM {part}) AS image_id,
+  CASE e.event_id % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'webp' WHEN 2 THEN 'avif' ELSE 'png' END AS format,
+  CASE WHEN e.event_id % 10 = 7 THEN 0 ELSE 1000 + (e.event_id * 131) % 60000 END AS max_bytes,
+  CASE e.event_id % 3 WHEN 0 THEN 80 WHEN 1 THEN 100 ELSE 1 + e.event_id % 100 END AS start_quality
+FROM {events} e
+"""

@@ -638,7 +638,7 @@ def _default_sql(field, value):
     lit = f"'{value}'" if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else (
         f"{value}e0" if isinstance(value, float) else str(value)
     )
-    return f"coalesce({field}, {lit}) AS {field}"
+    return f"coalesce(p.{field}, {lit}) AS {field}"
 
 
 _GEO_FROM_PLAN = f""",
