@@ -135,7 +135,12 @@ FROM {plans} p JOIN {images} i ON p.image_id = i.image_id
 # Mark -> text for Spark, text for the check engine.
 DIALECT = {
     "@TS_US": ("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', e.ts)", "epoch_us(e.ts)"),
-    "@RANGE": ("explode(sequence(1, 100))", "unnest(range(1, 101))"),
+    "@QUALITIES": ("explode(sequence(1, 100))", "unnest(range(1, 101))"),
+    "@FORMATS": ("explode(array('jpeg', 'webp', 'avif'))", "unnest(['jpeg', 'webp', 'avif'])"),
+    "@ROWS": ("explode(sequence(0, 15))", "unnest(range(0, 16))"),
+    "@COLUMNS": ("explode(sequence(0, 23))", "unnest(range(0, 24))"),
+    "@LEFT": ("`left`", '"left"'),
+    "@TILE": ("posexplode(embedding) AS (pos, e)", "unnest(range(0, 64)) AS pos, unnest(embedding) AS e"),
 }
 
 
@@ -405,11 +410,10 @@ FROM {geo} g
 """
 # Measured sizes of every image at every quality.
 FIXTURES["encodings"] = """
-SELECT i.image_id, f.format, q.quality,
-  500 + CAST(floor(i.width * i.height * q.quality * (3 + i.image_id % 5) / 1000) AS BIGINT) AS bytes
-FROM {images} i
-JOIN (SELECT 'jpeg' AS format UNION ALL SELECT 'webp' UNION ALL SELECT 'avif') f ON true
-JOIN (SELECT @RANGE AS quality) q ON true
+SELECT image_id, format, quality,
+  500 + CAST(floor(width * height * quality * (3 + image_id % 5) / 1000) AS BIGINT) AS bytes
+FROM (SELECT f.*, @QUALITIES AS quality
+      FROM (SELECT i.image_id, i.width, i.height, @FORMATS AS format FROM {images} i) f)
 """
 FIXTURES["fit_renditions"] = """
 SELECT e.event_id AS req_id, 1 + e.event_id % (SELECT max(p_partkey) FROM {part}) AS image_id,
@@ -418,3 +422,33 @@ SELECT e.event_id AS req_id, 1 + e.event_id % (SELECT max(p_partkey) FROM {part}
   CASE e.event_id % 3 WHEN 0 THEN 80 WHEN 1 THEN 100 ELSE 1 + e.event_id % 100 END AS start_quality
 FROM {events} e
 """
+
+# 24 x 16 pixels per part.
+FIXTURES["pixels"] = """
+SELECT k AS image_id, CAST(0 AS BIGINT) AS frame, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x,
+  (k * 31 + x * 7 + y * 13) % 256 AS r, (k * 17 + x * 3 + y * 29) % 256 AS g, (k * 5 + x * 11 + y * 2) % 256 AS b,
+  CASE WHEN k % 3 = 0 THEN CAST((x * 16 + y) % 256 AS BIGINT) ELSE CAST(255 AS BIGINT) END AS a
+FROM (SELECT k, y, @COLUMNS AS x FROM (SELECT p_partkey AS k, @ROWS AS y FROM {part}) t) u
+"""
+# What happens to each of those images.
+FIXTURES["pixel_params"] = """
+SELECT p_partkey AS image_id, 24 AS w, 16 AS h,
+  (p_partkey % 4) * 90 AS angle, p_partkey % 2 = 1 AS flip_h, p_partkey % 3 = 1 AS flip_v,
+  p_partkey % 9 AS @LEFT, p_partkey % 5 AS top, 5 + p_partkey % 10 AS box_w, 4 + p_partkey % 7 AS box_h,
+  CASE p_partkey % 4 WHEN 0 THEN 0.5e0 WHEN 1 THEN 1.5e0 WHEN 2 THEN 0.3e0 ELSE 1.0e0 END AS w_scale,
+  CASE p_partkey % 5 WHEN 0 THEN 0.5e0 WHEN 1 THEN 1.25e0 WHEN 2 THEN 0.2e0 ELSE 1.0e0 END AS h_scale,
+  24 + p_partkey % 9 AS canvas_w, 16 + p_partkey % 5 AS canvas_h, p_partkey % 4 AS off_x, p_partkey % 3 AS off_y,
+  30 + p_partkey % 40 AS cover_w, 10 + p_partkey % 50 AS cover_h,
+  p_partkey % 20 - 3 AS wm_left, p_partkey % 12 - 2 AS wm_top, 8 AS mark_w, 8 AS mark_h,
+  (1 + p_partkey % 10) / 10.0e0 AS wm_opacity,
+  10 + p_partkey % 30 AS threshold,
+  CASE WHEN p_partkey % 7 = 3 THEN 255 END AS colour_r, CASE WHEN p_partkey % 7 = 3 THEN 0 END AS colour_g,
+  CASE WHEN p_partkey % 7 = 3 THEN 255 END AS colour_b, p_partkey % 2 = 0 AS equal_h, p_partkey % 3 = 0 AS equal_v
+FROM {part}
+"""
+# 8 x 8 grey tiles out of the embeddings.
+FIXTURES["tiles"] = """
+SELECT image_id, CAST(floor(pos / 8) AS BIGINT) AS y, CAST(pos % 8 AS BIGINT) AS x,
+  CAST(floor((CAST(e AS DOUBLE) + 1.0e0) * 127.5e0) AS BIGINT) AS v
+FROM (SELECT vec_id AS image_id, @TILE FROM {embeddings}) t
+"""
