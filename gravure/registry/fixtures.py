@@ -137,6 +137,10 @@ DIALECT = {
     "@TS_US": ("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', e.ts)", "epoch_us(e.ts)"),
     "@QUALITIES": ("explode(sequence(1, 100))", "unnest(range(1, 101))"),
     "@FORMATS": ("explode(array('jpeg', 'webp', 'avif'))", "unnest(['jpeg', 'webp', 'avif'])"),
+    "@SPANS": (
+        "explode(array('Queue', 'Downloading image', 'Processing image'))",
+        "unnest(['Queue', 'Downloading image', 'Processing image'])",
+    ),
     "@ROWS": ("explode(sequence(0, 15))", "unnest(range(0, 16))"),
     "@COLUMNS": ("explode(sequence(0, 23))", "unnest(range(0, 24))"),
     "@LEFT": ("`left`", '"left"'),
@@ -452,3 +456,109 @@ SELECT image_id, CAST(floor(pos / 8) AS BIGINT) AS y, CAST(pos % 8 AS BIGINT) AS
   CAST(floor((CAST(e AS DOUBLE) + 1.0e0) * 127.5e0) AS BIGINT) AS v
 FROM (SELECT vec_id AS image_id, @TILE FROM {embeddings}) t
 """
+
+_IMAGE_OF = "1 + e.event_id % (SELECT max(p_partkey) FROM {part})"
+# Request log: a duration up to five seconds, errors in the share of error events.
+FIXTURES["request_log"] = f"""
+SELECT e.event_id AS req_id, @TS_US AS start_us, CAST(round(e.value * 10000) AS BIGINT) AS duration_us, e.user_id,
+  CASE WHEN e.event_type <> 'error' THEN 200 WHEN e.event_id % 4 = 0 THEN 404 WHEN e.event_id % 4 = 1 THEN 422
+       WHEN e.event_id % 4 = 2 THEN 403 ELSE 503 END AS status,
+  CASE WHEN e.event_id % 40 = 9 THEN 500 END AS error_status,
+  CASE WHEN e.event_type <> 'error' THEN NULL WHEN e.event_id % 4 = 0 THEN 'path_parsing' WHEN e.event_id % 4 = 1 THEN 'processing'
+       WHEN e.event_id % 4 = 2 THEN 'security' ELSE 'download' END AS error_category,
+  i.source_url, i.format, i.bytes AS origin_bytes,
+  CAST(floor(i.bytes * (20 + e.event_id % 70) / 100) AS BIGINT) AS result_bytes
+FROM {{events}} e JOIN {{images}} i ON i.image_id = {_IMAGE_OF}
+"""
+FIXTURES["span_log"] = """
+SELECT req_id, span, CAST(floor(duration_us * CASE span WHEN 'Queue' THEN 10 WHEN 'Downloading image' THEN 30 ELSE 60 END
+  / 100) AS BIGINT) AS duration_us
+FROM (SELECT l.req_id, l.duration_us, @SPANS AS span FROM {request_log} l) t
+"""
+# Weighted URL groups of the load profile.
+FIXTURES["load_urls"] = """
+SELECT 'jpeg' AS grp, 5 AS weight UNION ALL SELECT 'png', 2 UNION ALL SELECT 'gif', CAST(NULL AS INTEGER)
+UNION ALL SELECT 'none', 1
+"""
+
+
+def _date(day: str, hour: str) -> str:
+    two = lambda v: f"lpad(CAST({v} AS VARCHAR(20)), 2, '0')"
+    return f"concat('Mon, ', {two(day)}, ' Jan 2024 ', {two(hour)}, ':10:00 GMT')"
+
+
+FIXTURES["headers_log"] = f"""
+SELECT e.event_id AS req_id, @TS_US AS now_us, CASE WHEN e.event_id % 7 = 3 THEN 404 ELSE 200 END AS status,
+  e.event_id % 5 = 2 AS is_fallback,
+  CASE e.event_id % 3 WHEN 0 THEN 1704067200 + (e.event_id * 977) % 2592000 WHEN 1 THEN 1900000000 END AS expires_s,
+  CASE e.event_id % 6 WHEN 0 THEN concat('"etag', CAST(e.event_id % 5 AS VARCHAR(20)), '"')
+    WHEN 1 THEN concat('W/"etag', CAST(e.event_id % 5 AS VARCHAR(20)), '"') WHEN 2 THEN '"b1/ImV0YWci"' WHEN 3 THEN '"b1/!!"'
+    WHEN 4 THEN '' END AS if_none_match,
+  CASE e.event_id % 8 WHEN 0 THEN concat('"etag', CAST(e.event_id % 5 AS VARCHAR(20)), '"') WHEN 1 THEN ''
+    WHEN 2 THEN concat('W/"etag', CAST(e.event_id % 7 AS VARCHAR(20)), '"') WHEN 4 THEN '"etag"' WHEN 6 THEN '"x/y"' END AS etag,
+  CASE e.event_id % 5 WHEN 0 THEN {_date("1 + e.event_id % 28", "e.event_id % 24")} WHEN 1 THEN 'yesterday' WHEN 2 THEN ''
+    WHEN 3 THEN {_date("1 + e.event_id % 9", "e.event_id % 24")} END AS if_modified_since,
+  CASE e.event_id % 4 WHEN 0 THEN {_date("1 + e.event_id % 27", "e.event_id % 23")} WHEN 1 THEN 'Mon, 99 Jan 2024 00:00:00 GMT'
+    WHEN 2 THEN {_date("1 + e.event_id % 9", "e.event_id % 11")} END AS last_modified,
+  CASE e.event_id % 6 WHEN 0 THEN 'no-store' WHEN 1 THEN '' END AS origin_cache_control,
+  CASE e.event_id % 7 WHEN 0 THEN {_date("1 + e.event_id % 28", "e.event_id % 24")} WHEN 1 THEN 'soon' END AS origin_expires,
+  concat(CASE e.event_id % 4 WHEN 0 THEN 's3' WHEN 1 THEN 'https' ELSE 'http' END, '://h', CAST(e.event_id % 9 AS VARCHAR(20)), '/a.b/',
+    CASE e.event_id % 5 WHEN 0 THEN 'pic.tar.gz' WHEN 1 THEN 'noext' WHEN 2 THEN '' WHEN 3 THEN '.png' ELSE 'x"y.jpg' END) AS url,
+  CASE e.event_id % 7 WHEN 0 THEN 'my "file"' WHEN 1 THEN '' END AS filename,
+  CASE e.event_id % 6 WHEN 0 THEN '.webp' WHEN 1 THEN '' END AS ext,
+  CASE e.event_id % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/x' ELSE '' END AS content_type,
+  e.event_id % 2 = 0 AS attachment,
+  CASE WHEN e.event_id % 5 = 0 THEN concat('9.9.9.', CAST(e.event_id % 200 AS VARCHAR(20))) WHEN e.event_id % 5 = 1 THEN '' END AS cf_connecting_ip,
+  CASE e.event_id % 4 WHEN 0 THEN concat('8.8.8.', CAST(e.event_id % 200 AS VARCHAR(20)), ', 10.0.0.1') WHEN 1 THEN '7.7.7.7'
+    WHEN 2 THEN ',1.1.1.1' END AS x_forwarded_for,
+  CASE WHEN e.event_id % 3 = 0 THEN '6.6.6.6' END AS x_real_ip,
+  concat('5.5.5.', CAST(e.user_id % 250 AS VARCHAR(20))) AS remote_addr
+FROM {{events}} e
+"""
+
+FIXTURES["object_urls"] = (
+    "SELECT p.p_partkey AS image_id, "
+    + _shapes(
+        [
+            "s3://bucket<e.p_partkey % 7>/dir%20x/<e.p_partkey>.png?versionId=v<e.p_partkey % 5>",
+            "gs://bkt<e.p_partkey % 7>/a#b/<e.p_partkey>?x?y",
+            "local:///dir/<e.p_partkey>.jpg",
+            "http://h/p?q=<e.p_partkey>",
+            "abs://cont<e.p_partkey % 3>//k/<e.p_partkey>",
+            "swift://acc/obj<e.p_partkey>",
+            "ftp://h/<e.p_partkey>",
+            "s3://only<e.p_partkey>",
+            "https://h<e.p_partkey % 9>/<e.p_partkey>",
+        ]
+    ).replace("e.event_id", "p.p_partkey").replace("e.p_partkey", "p.p_partkey")
+    + " AS source_url FROM {part} p"
+)
+# First bytes of files, as hex, with what the server said about them.
+_HEADS = [
+    "FFD8FFE0", "FF0A00", "0000000C4A584C200D0A870A", "89504E470D0A1A0A0000", "524946461234567857454250", "474946383961",
+    "00000100", "00000018667479706865696300", "000000186674797061766966", "424D3600", "49492A0008", "4D4D002A00",
+    "000000186674797069736F6D", "FF", "", "474946383761",
+]
+FIXTURES["blobs"] = (
+    "SELECT p.p_partkey AS image_id, CASE p.p_partkey % 20 "
+    + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS))
+    + """ WHEN 16 THEN '3C3F786D6C3F3E3C212D2D203C737667203E202D2D3E3C737667202F3E'
+      WHEN 17 THEN '3C212D2D203C737667203E202D2D3E3C68746D6C3E' WHEN 18 THEN '3C783A7376673E'
+      ELSE '3C215B43444154415B3C737667203E5D5D3E3C623E' END AS head,
+  CASE p.p_partkey % 7 WHEN 0 THEN '.tiff' WHEN 1 THEN '.NEF' WHEN 2 THEN '.jpg' WHEN 3 THEN '' WHEN 4 THEN '.dng' WHEN 5 THEN '.svg'
+    ELSE '.bin' END AS ext,
+  CASE p.p_partkey % 5 WHEN 0 THEN 'image/x-canon-cr2' WHEN 1 THEN 'image/tiff' WHEN 2 THEN '' ELSE 'text/plain' END AS content_type,
+  100 + p.p_partkey * 3 AS length, 1704067200000000000 + p.p_partkey * 1000003 AS mtime_ns,
+  concat('/dir/', CAST(p.p_partkey AS VARCHAR(20)), '.bin') AS path,
+  CASE p.p_partkey % 9 WHEN 0 THEN 'bytes=0-3' WHEN 1 THEN 'bytes=2-' WHEN 2 THEN 'bytes=-5' WHEN 3 THEN 'bytes=3-1'
+    WHEN 4 THEN 'bytes=1-2,4-5' WHEN 5 THEN 'bytes=x' WHEN 6 THEN '' WHEN 7 THEN 'bytes=0-0' END AS "range",
+  CASE p.p_partkey % 11 WHEN 0 THEN 304 WHEN 1 THEN 404 WHEN 2 THEN 500 WHEN 3 THEN 302 WHEN 4 THEN 206 WHEN 5 THEN 206 WHEN 6 THEN 206
+    WHEN 7 THEN 206 WHEN 8 THEN 429 ELSE 200 END AS origin_status,
+  CASE p.p_partkey % 11 WHEN 4 THEN 'bytes 0-99/100' WHEN 5 THEN 'bytes 0-99/*' WHEN 6 THEN 'bytes 5-99/100' WHEN 7 THEN 'junk' END
+    AS content_range,
+  CASE WHEN p.p_partkey % 2 = 0 THEN 100 ELSE 50 END AS content_length,
+  concat('exp', CAST(p.p_partkey AS VARCHAR(20))) AS expires, concat('lm', CAST(p.p_partkey AS VARCHAR(20))) AS last_modified
+FROM {part} p
+""".replace('AS "range"', "AS @RANGE")
+)
+DIALECT["@RANGE"] = ("`range`", '"range"')
