@@ -159,14 +159,16 @@ def _deps(sql: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", sql)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table or a derived table, read lazily."""
+def table(spark: SparkSession, sf_dir: str, name: str, events: DataFrame | None = None) -> DataFrame:
+    """A test table or a derived table, read lazily; `events` may be given, as a stream for one."""
+    if name == "events" and events is not None:
+        return events
     if name in BASE_TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = FIXTURES[name]
     for mark, (spark_sql, _) in DIALECT.items():
         sql = sql.replace(mark, spark_sql)
-    return spark.sql(sql, **{dep: table(spark, sf_dir, dep) for dep in set(_deps(sql))})
+    return spark.sql(sql, **{dep: table(spark, sf_dir, dep, events) for dep in set(_deps(sql))})
 
 
 def with_tables(names: str, body: str) -> str:
@@ -562,3 +564,50 @@ FROM {part} p
 """.replace('AS "range"', "AS @RANGE")
 )
 DIALECT["@RANGE"] = ("`range`", '"range"')
+
+FIXTURES["raw_tags"] = """
+SELECT l_partkey AS image_id, l_orderkey * 10 + l_linenumber AS seq,
+  CASE (l_orderkey + l_linenumber) % 9 WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 2 END AS record,
+  CASE (l_orderkey + l_linenumber) % 9 WHEN 0 THEN 20 WHEN 1 THEN 90 ELSE
+    CASE (l_orderkey * 7 + l_linenumber) % 8 WHEN 0 THEN 5 WHEN 1 THEN 25 WHEN 2 THEN 80 WHEN 3 THEN 110 WHEN 4 THEN 116
+      WHEN 5 THEN 120 WHEN 6 THEN 10 ELSE 99 END END AS tag,
+  CASE (l_orderkey + l_linenumber) % 9 WHEN 0 THEN concat(l_returnflag, l_linestatus)
+    WHEN 1 THEN concat(l_returnflag, l_linestatus, CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'x' WHEN 2 THEN 'yz' ELSE 'yzq' END)
+    ELSE repeat(concat(l_returnflag, CAST(l_partkey AS VARCHAR(20))), CAST(1 + l_suppkey % 12 AS INTEGER)) END AS raw_text
+FROM {lineitem}
+"""
+FIXTURES["strip_plan"] = """
+SELECT p_partkey AS image_id, p_partkey % 4 <> 0 AS strip, p_partkey % 3 <> 0 AS keep_copyright, p_partkey % 5 = 0 AS animated FROM {part}
+"""
+META_NAMES = [
+    "icc-profile-data", "exif-data", "exif-ifd0-Copyright", "exif-ifd0-Model", "iptc-data", "xmp-data", "page-height",
+    "delay", "loop", "n-pages", "xres", "yres", "background", "internal-note", "comment", "palette",
+]
+XMP_NAMES = [
+    "dc:rights", "dc:title", "dc:creator", "dc:format", "xmpRights:Marked", "cc:license", "photoshop:Credit", "tiff:Make",
+]
+DIALECT["@METANAMES"] = tuple(
+    f.format(", ".join(f"'{n}'" for n in META_NAMES)) for f in ("explode(array({}))", "unnest([{}])")
+)
+DIALECT["@XMPNAMES"] = tuple(
+    f.format(", ".join(f"'{n}'" for n in XMP_NAMES)) for f in ("explode(array({}))", "unnest([{}])")
+)
+FIXTURES["meta_fields"] = """
+SELECT image_id, name, concat(name, CAST(image_id AS VARCHAR(20))) AS value
+FROM (SELECT p.p_partkey AS image_id, @METANAMES AS name FROM {part} p) t
+"""
+FIXTURES["xmp_rows"] = """
+SELECT image_id, substr(q, 1, @POS - 1) AS ns, substr(q, @POS + 1) AS name, CASE WHEN image_id % 2 = 0 THEN 'node' ELSE 'attr' END AS kind,
+  concat(q, CAST(image_id AS VARCHAR(20))) AS value
+FROM (SELECT p.p_partkey AS image_id, @XMPNAMES AS q FROM {part} p) t
+"""
+DIALECT["@POS"] = ("instr(q, ':')", "strpos(q, ':')")
+# Web pages with the markup a sanitiser looks for added behind them.
+FIXTURES["docs"] = """
+SELECT page_id AS doc_id, concat(html, CASE page_id % 4
+  WHEN 0 THEN '<svg onload="x()" onclick=''y'' width="5"><use href="#a"/><use xlink:href="http://e/x"/><g onfoo="1" onmouseover=z></g></svg>'
+  WHEN 1 THEN '<iframe src="x">abc</iframe><form><b>t</b></form><s:script/>k<script  a="b">1</script >tail'
+  WHEN 2 THEN '<a href="javascript:alert(1)">x</a><a href=" JaVaScript&#58;x">y</a><a href="mailto:a">z</a><a href=''http&colon;//q''>w</a>'
+  ELSE '<image href="data:image/png;base64,AA"/><a href="data:text/html,x">q</a><a href="x y">r</a><script>unclosed <b>z' END) AS body
+FROM {pages}
+"""
