@@ -10,11 +10,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gravure.session import spread
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 )
 
+# Tables whose rows each cost much work (parsing, pixels, markup) and that come as one small file.
+COMPUTE_HEAVY = ("events", "part", "pages")
+
 FIXTURES: dict[str, str] = {}
 
 FIXTURES["images"] = """
@@ -164,7 +169,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, events: DataFrame | None
     if name == "events" and events is not None:
         return events
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        base = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(base) if name in COMPUTE_HEAVY else base
     sql = FIXTURES[name]
     for mark, (spark_sql, _) in DIALECT.items():
         sql = sql.replace(mark, spark_sql)

@@ -79,7 +79,7 @@ def _hash_sql(src, name):
 {name}_c AS (SELECT image_id, v, u, unnest([0, 1, 2]) AS ch, unnest([c0, c1, c2]) * sqrt(CASE WHEN u = 0 THEN 1.0e0 ELSE 2.0e0 END / 24.0e0)
     * sqrt(CASE WHEN v = 0 THEN 1.0e0 ELSE 2.0e0 END / 16.0e0) AS coef FROM {name}_v),
 {name} AS (SELECT * FROM {name}_c WHERE ch = 0 OR image_id % 5 <> 0),
-{name}_h AS MATERIALIZED (SELECT image_id, list(coef ORDER BY ch, v, u) AS h FROM {name} GROUP BY image_id)"""
+{name}_h AS MATERIALIZED (SELECT image_id, list(round(coef, 6) ORDER BY ch, v, u) AS h FROM {name} GROUP BY image_id)"""
 
 
 _DIST = "pow(list_distance(p.h, q.h), 2) / len(p.h)"

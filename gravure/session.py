@@ -19,7 +19,10 @@ def local_session(app: str = "gravure", cpus: int | None = None, memory: str = "
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        # Call-site capture on every column expression costs more than planning itself.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -34,6 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="gravure-")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for compute-heavy work over a few small files.
+
+    Only where the scan has fewer partitions than the cluster has cores; a large table
+    already has more, and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the reliable checkpoint folder and read on from there."""
     context = df.sparkSession.sparkContext
