@@ -81,8 +81,18 @@ def segment_name(name: Column) -> Column:
     return F.replace(F.lower(name), F.lit(" "), F.lit("_"))
 
 
+NUMERIC_ENTITY = "&#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+
+
+def _entity_char(entity: Column) -> Column:
+    """Character of a numeric entity in the ASCII range; others stay as they are."""
+    digits = F.regexp_extract(entity, "([0-9a-fA-F]+);?$", 1)
+    code = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+    return F.when(code.between(1, 127), F.char(code)).otherwise(entity)
+
+
 def html_unescape(text: Column) -> Column:
-    """Named and numeric entities that can hide a URL scheme (ASCII range)."""
+    """Numeric (ASCII) entities and the named ones that can hide a URL scheme."""
     # Entity -> character.
     named = {
         "&colon;": ":",
@@ -93,9 +103,10 @@ def html_unescape(text: Column) -> Column:
         "&quot;": '"',
         "&amp;": "&",
     }
-    numeric = F.regexp_replace(text, "(?i)&#(?:0*58|x0*3a);?", ":")
-    numeric = F.regexp_replace(numeric, "(?i)&#(?:0*9|x0*9);", "\t")
-    numeric = F.regexp_replace(numeric, "(?i)&#(?:0*10|x0*a);", "\n")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC_ENTITY), F.lit(0)))
+    # Longest first, so that no entity is replaced inside a longer one.
+    ordered = F.array_sort(F.transform(found, lambda e: F.struct((-F.length(e)).alias("n"), e.alias("e"))))
+    out = F.aggregate(ordered, text, lambda acc, x: F.replace(acc, x["e"], _entity_char(x["e"])))
     for entity, char in named.items():
-        numeric = F.replace(numeric, F.lit(entity), F.lit(char))
-    return numeric
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return out

@@ -61,10 +61,9 @@ def _q(pattern: str) -> str:
 def _href_sql(attr):
     value = " || ".join(f"regexp_extract({attr}, {_q(markup.HREF_VALUE)}, {i})" for i in (1, 2, 3))
     out = rf"regexp_replace({value}, '^\s+|\s+$', '', 'g')"
-    for pattern, char in (
-        ("(?i)&#(?:0*58|x0*3a);?", "':'"), ("(?i)&#(?:0*9|x0*9);", "chr(9)"), ("(?i)&#(?:0*10|x0*a);", "chr(10)"),
-    ):
-        out = f"regexp_replace({out}, '{pattern}', {char}, 'g')"
+    for code in range(127, 0, -1):
+        if chr(code).isalnum() or code in (9, 10, 13, 32, 35, 43, 45, 46, 47, 58):
+            out = f"regexp_replace({out}, '(?i)&#(?:0*{code}|x0*{code:x});?', chr({code}), 'g')"
     for entity, char in (
         ("&colon;", "':'"), ("&Tab;", "chr(9)"), ("&NewLine;", "chr(10)"), ("&lt;", "'<'"), ("&gt;", "'>'"),
         ("&quot;", "'\"'"), ("&amp;", "'&'"),
