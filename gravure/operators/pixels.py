@@ -30,9 +30,9 @@ def _clamp(c: Column) -> Column:
     return _int(F.greatest(F.lit(0), F.least(F.lit(255), F.round(c))))
 
 
-def _mean(total: Column, count: Column) -> Column:
+def _mean(total: Column, count: Column, digits: int) -> Column:
     """Quotient, with the last digits cut so that the order of a sum does not show."""
-    return F.round(total / count, 6)
+    return F.round(total / count, digits)
 
 
 def _fixed(df: DataFrame) -> DataFrame:
@@ -124,33 +124,28 @@ def flip(pixels: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
-def embed(pixels: DataFrame, params: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+def embed(pixels: DataFrame, params: DataFrame) -> DataFrame:
     """Place an image (w x h) at (off_x, off_y) on a transparent black canvas.
 
-    Only the border is generated; it is added to the moved pixels, so no join is made
-    between the canvas and the image.
+    Only the border is generated (for params' `frames` frames, 1 where the column is
+    absent); it is added to the moved pixels, so no join is made between canvas and image.
     """
     names = ("w", "h", "canvas_w", "canvas_h", "off_x", "off_y")
     moved = with_params(pixels, params, *names[2:]).withColumns(
         {"x": F.col("x") + F.col("off_x"), "y": F.col("y") + F.col("off_y")}
     )
     within = F.col("x").between(0, F.col("canvas_w") - 1) & F.col("y").between(0, F.col("canvas_h") - 1)
-    grid = params.select("image_id", *names)
-    grid = grid.join(frames, "image_id") if frames is not None else grid.withColumn("frame", F.lit(0))
+    frames = F.col("frames").cast("int") if "frames" in params.columns else F.lit(1)
+    grid = params.withColumn("frame", F.explode(F.sequence(F.lit(0), frames - 1))).select("image_id", "frame", *names)
     grid = grid.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("canvas_h").cast("int") - 1)))
     covered = F.col("y").between(F.col("off_y"), F.col("off_y") + F.col("h") - 1)
-    before = F.sequence(F.lit(0), F.col("off_x").cast("int") - 1)
     start = F.col("off_x") + F.col("w")
-    after = F.sequence(start.cast("int"), F.col("canvas_w").cast("int") - 1)
     none = F.array().cast("array<int>")
-    whole = F.sequence(F.lit(0), F.col("canvas_w").cast("int") - 1)
+    span = lambda first, last: F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(none)
+    right = F.col("canvas_w").cast("int") - 1
     columns = F.when(
-        covered,
-        F.concat(
-            F.when(F.col("off_x") > 0, before).otherwise(none),
-            F.when(start < F.col("canvas_w"), after).otherwise(none),
-        ),
-    ).otherwise(whole)
+        covered, F.concat(span(F.lit(0), F.col("off_x").cast("int") - 1), span(start.cast("int"), right))
+    ).otherwise(span(F.lit(0), right))
     border = grid.withColumn("x", F.explode(columns)).withColumns({c: F.lit(0) for c in BANDS})
     return _fixed(moved.filter(within)).unionByName(_fixed(border))
 
@@ -180,15 +175,19 @@ def replicate(tile: DataFrame, params: DataFrame, centred: bool = True) -> DataF
 # --- bands ------------------------------------------------------------------------------
 
 
-def premultiply(pixels: DataFrame) -> DataFrame:
-    return pixels.withColumns({c: _int(F.round(dbl(c) * dbl("a") / 255.0)) for c in COLOUR})
+def premultiply(pixels: DataFrame, where: Column | None = None) -> DataFrame:
+    on = F.lit(True) if where is None else where
+    return pixels.withColumns(
+        {c: F.when(on, _int(F.round(dbl(c) * dbl("a") / 255.0))).otherwise(F.col(c)) for c in COLOUR}
+    )
 
 
-def unpremultiply(pixels: DataFrame) -> DataFrame:
+def unpremultiply(pixels: DataFrame, where: Column | None = None) -> DataFrame:
+    on = F.lit(True) if where is None else where
     plain = lambda c: F.when(F.col("a") == 0, 0).otherwise(
         F.least(F.lit(255), F.round(dbl(c) * 255.0 / F.nullif(dbl("a"), F.lit(0.0))))
     )
-    return pixels.withColumns({c: _int(plain(c)) for c in COLOUR})
+    return pixels.withColumns({c: F.when(on, _int(plain(c))).otherwise(F.col(c)) for c in COLOUR})
 
 
 def flatten(pixels: DataFrame, colour: tuple[int, int, int] | None = None, depth: int = 8) -> DataFrame:
@@ -218,7 +217,9 @@ def is_grey(pixels: DataFrame) -> DataFrame:
 # --- filters ----------------------------------------------------------------------------
 
 
-def _resample(df: DataFrame, at: str, size: str, out: str, keys: list[str], bands: tuple[str, ...]) -> DataFrame:
+def _resample(
+    df: DataFrame, at: str, size: str, out: str, keys: list[str], bands: tuple[str, ...], digits: int
+) -> DataFrame:
     """One pass of a triangle filter widened by the shrink, along `at` from `size` to `out`."""
     ratio = dbl(out) / dbl(size)
     df = df.withColumns({"_s": ratio, "_reach": F.greatest(F.lit(1.0), 1.0 / ratio)})
@@ -233,11 +234,18 @@ def _resample(df: DataFrame, at: str, size: str, out: str, keys: list[str], band
     sums = df.groupBy(*keys, F.col("_to").alias(at)).agg(
         F.sum("_wt").alias("_wt"), *[F.sum(F.col("_wt") * F.col(c)).alias(c) for c in bands]
     )
-    return sums.select(*keys, at, *[_mean(F.col(c), F.col("_wt")).alias(c) for c in bands])
+    return sums.select(*keys, at, *[_mean(F.col(c), F.col("_wt"), digits).alias(c) for c in bands])
+
 
+def resize(
+    pixels: DataFrame, params: DataFrame, bands: tuple[str, ...] = BANDS, whole: bool = True, carry: tuple[str, ...] = (),
+    digits: int = 6,
+) -> DataFrame:
+    """Scale w x h to round(w * w_scale) x round(h * h_scale); rows, then columns.
 
-def resize(pixels: DataFrame, params: DataFrame, bands: tuple[str, ...] = BANDS, whole: bool = True) -> DataFrame:
-    """Scale w x h to round(w * w_scale) x round(h * h_scale); rows, then columns."""
+    A scale of 1 leaves every value as it is. `carry` names columns of pixels that are
+    constant for an image.
+    """
     target = params.select(
         "image_id",
         "w",
@@ -246,9 +254,11 @@ def resize(pixels: DataFrame, params: DataFrame, bands: tuple[str, ...] = BANDS,
         F.greatest(F.lit(1), _int(F.round(F.col("h") * F.col("h_scale")))).alias("out_h"),
     )
     df = pixels.join(target, "image_id")
-    df = _resample(df, "x", "w", "out_w", ["image_id", "frame", "y", "h", "out_h"], bands)
-    df = _resample(df, "y", "h", "out_h", ["image_id", "frame", "x"], bands)
-    return _fixed(df.withColumns({c: _clamp(F.col(c)) for c in bands})) if whole else df
+    df = _resample(df, "x", "w", "out_w", ["image_id", "frame", "y", "h", "out_h", *carry], bands, digits)
+    df = _resample(df, "y", "h", "out_h", ["image_id", "frame", "x", *carry], bands, digits)
+    if not whole:
+        return df
+    return df.select(*KEY, *carry, *[_clamp(F.col(c)).alias(c) for c in bands])
 
 
 def linear_resize(pixels: DataFrame, params: DataFrame) -> DataFrame:
@@ -270,7 +280,9 @@ def gauss_kernel(sigma: float) -> list[float]:
     return [v / sum(raw) for v in raw]
 
 
-def _blur_pass(df: DataFrame, at: str, other: str, kernel: list[float], bands: tuple[str, ...]) -> DataFrame:
+def _blur_pass(
+    df: DataFrame, at: str, other: str, kernel: list[float], bands: tuple[str, ...], carry: tuple[str, ...]
+) -> DataFrame:
     """Weighted sum over neighbours in one line; beyond an end the end pixel counts again."""
     line = Window.partitionBy("image_id", "frame", other).orderBy(at)
     ends = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -282,13 +294,17 @@ def _blur_pass(df: DataFrame, at: str, other: str, kernel: list[float], bands: t
         return F.coalesce(F.lead(c, k).over(line), F.last(c).over(ends)) if k else F.col(c)
 
     total = lambda c: reduce(lambda a, b: a + b, [tap(c, k) * w for k, w in zip(range(-radius, radius + 1), kernel)])
-    return df.select(*KEY, *[F.round(total(c), 6).alias(c) for c in bands])
+    return df.select(*KEY, *carry, *[F.round(total(c), 6).alias(c) for c in bands])
 
 
-def blur_values(pixels: DataFrame, sigma: float, bands: tuple[str, ...] = BANDS) -> DataFrame:
+def blur_values(pixels: DataFrame, sigma: float, bands: tuple[str, ...] = BANDS, keep: bool = False) -> DataFrame:
+    """Blurred bands as doubles; with `keep`, the original ones beside them as _r, _g, _b, _a."""
     kernel = gauss_kernel(sigma)
-    wide = pixels.select(*KEY, *[dbl(c).alias(c) for c in bands])
-    return _blur_pass(_blur_pass(wide, "x", "y", kernel, bands), "y", "x", kernel, bands)
+    carry = tuple(f"_{c}" for c in BANDS) if keep else ()
+    wide = pixels.select(
+        *KEY, *[F.col(c).alias(f"_{c}") for c in BANDS if keep], *[dbl(c).alias(c) for c in bands]
+    )
+    return _blur_pass(_blur_pass(wide, "x", "y", kernel, bands, carry), "y", "x", kernel, bands, carry)
 
 
 def blur(pixels: DataFrame, sigma: float) -> DataFrame:
@@ -298,9 +314,8 @@ def blur(pixels: DataFrame, sigma: float) -> DataFrame:
 
 def sharpen(pixels: DataFrame, sigma: float) -> DataFrame:
     """Unsharp mask: v + (v - blur(v)) on the colour bands."""
-    soft = blur_values(pixels, sigma, COLOUR).select(*KEY, *[F.col(c).alias(f"_{c}") for c in COLOUR])
-    df = pixels.join(soft, list(KEY))
-    return _fixed(df.withColumns({c: _clamp(2.0 * F.col(c) - F.col(f"_{c}")) for c in COLOUR}))
+    df = blur_values(pixels, sigma, COLOUR, keep=True)
+    return _fixed(df.withColumns({**{c: _clamp(2.0 * F.col(f"_{c}") - F.col(c)) for c in COLOUR}, "a": F.col("_a")}))
 
 
 def pixelate(pixels: DataFrame, params: DataFrame, n: int) -> DataFrame:
@@ -408,15 +423,23 @@ def smart_crop(pixels: DataFrame, w: int, h: int) -> DataFrame:
 def watermark(pixels: DataFrame, mark: DataFrame, layout: DataFrame) -> DataFrame:
     """Blend mark(mx, my, mr, mg, mb, ma) over the image at (wm_left, wm_top) with wm_opacity.
 
-    Pixels outside the mark pass by the join, so they never gather on a NULL key.
+    One pass with one join. Pixels outside the mark get join keys of their own that match
+    nothing, so they spread over the cluster instead of gathering on a NULL key.
     """
     df = with_params(pixels, layout, "wm_left", "wm_top", "wm_opacity", "mark_w", "mark_h")
-    df = df.withColumns({"mx": F.col("x") - F.col("wm_left"), "my": F.col("y") - F.col("wm_top")})
-    under = F.col("mx").between(0, F.col("mark_w") - 1) & F.col("my").between(0, F.col("mark_h") - 1)
-    over = df.filter(under).join(mark, ["mx", "my"], "left")
+    dx, dy = F.col("x") - F.col("wm_left"), F.col("y") - F.col("wm_top")
+    under = dx.between(0, F.col("mark_w") - 1) & dy.between(0, F.col("mark_h") - 1)
+    df = df.withColumns(
+        {
+            "mx": _int(F.when(under, dx).otherwise(-1 - F.col("x"))),
+            "my": _int(F.when(under, dy).otherwise(-1 - F.col("y"))),
+        }
+    )
+    df = df.join(mark, ["mx", "my"], "left")
     s = F.coalesce(dbl("ma"), F.lit(0.0)) / 255.0 * F.col("wm_opacity")
-    d = dbl("a") / 255.0
-    over = over.withColumns({"_s": s, "_d": d}).withColumn("_o", F.col("_s") + F.col("_d") * (1.0 - F.col("_s")))
+    df = df.withColumns({"_s": s, "_d": dbl("a") / 255.0})
+    df = df.withColumn("_o", F.col("_s") + F.col("_d") * (1.0 - F.col("_s")))
+    inside = F.col("mx") >= 0
     blend = lambda c: F.when(F.col("_o") == 0, F.lit(0)).otherwise(
         _clamp(
             F.round(
@@ -427,33 +450,28 @@ def watermark(pixels: DataFrame, mark: DataFrame, layout: DataFrame) -> DataFram
         )
     )
     blended = {**{c: blend(c) for c in COLOUR}, "a": _clamp(F.round(F.col("_o") * 255.0, 6))}
-    return _fixed(over.withColumns(blended)).unionByName(_fixed(df.filter(~under)))
+    return _fixed(df.withColumns({c: F.when(inside, v).otherwise(F.col(c)) for c, v in blended.items()}))
 
 
 # --- whole pipeline ---------------------------------------------------------------------
 
 
-def _split(pixels: DataFrame, params: DataFrame, active: Column, step) -> DataFrame:
-    """Apply a step to the images it changes; the others go past its shuffle."""
-    flags = params.select("image_id", active.alias("_on"))
-    marked = pixels.join(flags, "image_id")
-    changed = step(marked.filter("_on").drop("_on"))
-    return changed.unionByName(_fixed(marked.filter(~F.col("_on"))))
-
-
 def render(pixels: DataFrame, plan: DataFrame, mark: DataFrame | None = None) -> DataFrame:
     """Crop, scale, turn, mirror, cut to result, pad, flatten, watermark: one row of plan per image.
 
     plan: w, h; left, top, box_w, box_h; w_scale, h_scale; angle, flip_h, flip_v; res_left,
-    res_top, res_w, res_h; canvas_w, canvas_h, off_x, off_y; opaque, bg_r, bg_g, bg_b; and,
-    with a mark, wm_left, wm_top, wm_opacity, mark_w, mark_h. A step that changes nothing for an image
-    is skipped for it.
+    res_top, res_w, res_h; canvas_w, canvas_h, off_x, off_y; opaque, bg_r, bg_g, bg_b;
+    optionally frames; and, with a mark, wm_left, wm_top, wm_opacity, mark_w, mark_h. A step
+    that changes nothing for an image passes its pixels on as they are, so one straight plan
+    serves mixed requests. Pixels are shuffled once, by image_id; every later join and
+    aggregation finds them in place.
     """
     df = crop(pixels, plan)
-    scaled = plan.withColumns({"w": F.col("box_w"), "h": F.col("box_h")})
-    df = _split(
-        df, scaled, (F.col("w_scale") != 1) | (F.col("h_scale") != 1), lambda p: unpremultiply(resize(premultiply(p), scaled))
-    )
+    boxed = plan.withColumns({"w": F.col("box_w"), "h": F.col("box_h")})
+    scaled = (F.col("w_scale") != 1) | (F.col("h_scale") != 1)
+    df = df.join(plan.select("image_id", scaled.alias("_scaled")), "image_id")
+    df = resize(premultiply(df, F.col("_scaled")), boxed, carry=("_scaled",))
+    df = _fixed(unpremultiply(df, F.col("_scaled")))
     grown = lambda c, s: F.greatest(F.lit(1), _int(F.round(F.col(c) * F.col(s))))
     sized = plan.withColumns({"w": grown("box_w", "w_scale"), "h": grown("box_h", "h_scale")})
     df = rotate(df, sized)
@@ -466,15 +484,8 @@ def render(pixels: DataFrame, plan: DataFrame, mark: DataFrame | None = None) ->
         "image_id", *[F.col(f"res_{c}").alias(n) for c, n in (("left", "left"), ("top", "top"), ("w", "box_w"), ("h", "box_h"))]
     )
     df = crop(df, cut)
-    placed = plan.withColumns({"w": F.col("res_w"), "h": F.col("res_h")})
-    frames = pixels.select("image_id", "frame").distinct()
-    df = embed(df, placed, frames)
-    df = _split(
-        df,
-        plan,
-        F.col("opaque"),
-        lambda p: _fixed(flatten(with_params(p, plan, "bg_r", "bg_g", "bg_b"))),
-    )
+    df = embed(df, plan.withColumns({"w": F.col("res_w"), "h": F.col("res_h")}))
+    df = with_params(df, plan, "opaque", "bg_r", "bg_g", "bg_b")
+    flat = flatten(df.withColumns({f"_{c}": F.col(c) for c in BANDS}))
+    df = _fixed(flat.withColumns({c: F.when(F.col("opaque"), F.col(c)).otherwise(F.col(f"_{c}")) for c in BANDS}))
     return watermark(df, mark, plan) if mark is not None else df
-
-

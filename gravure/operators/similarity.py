@@ -29,19 +29,14 @@ def _lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
 def lab_values(pixels: DataFrame, params: DataFrame) -> DataFrame:
     """Lab of every pixel of images scaled to at most 64 x 64, alpha blended onto magenta.
 
-    params(image_id, w, h). Images that fit are not resampled.
+    params(image_id, w, h, grey). Images that fit keep their values.
     """
     unit = lambda c: dbl(c) / 255.0
     linear = lambda c: F.when(unit(c) <= 0.04045, unit(c) / 12.92).otherwise(F.pow((unit(c) + 0.055) / 1.055, 2.4))
     light = pixels.select(*px.KEY, *[linear(c).alias(c) for c in px.COLOUR], dbl("a").alias("a"))
     fit = lambda c: F.least(F.lit(1.0), F.lit(float(TARGET_SIDE)) / F.col(c))
     scaled = params.select("image_id", "w", "h", fit("w").alias("w_scale"), fit("h").alias("h_scale"))
-    large = F.greatest("w", "h") > TARGET_SIDE
-    small = light.join(scaled.filter(~large).select("image_id"), "image_id")
-    big = light.join(scaled.filter(large).select("image_id"), "image_id")
-    sized = small.select(*px.KEY, *px.BANDS).unionByName(
-        px.resize(big, scaled.filter(large), whole=False).select(*px.KEY, *px.BANDS)
-    )
+    sized = px.resize(light, scaled, whole=False, digits=12)
     cover = F.col("a") / 255.0
     over = {c: F.col(c) * cover + (1.0 - cover) * back for c, back in zip(px.COLOUR, (1.0, 0.0, 1.0))}
     flat = sized.withColumns(over)
@@ -129,31 +124,45 @@ def exact_duplicates(hashes: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(hashes: DataFrame, distance: float, cells: tuple[int, ...] = (0, 1, 8)) -> DataFrame:
+def near_duplicates(
+    hashes: DataFrame, distance: float, cells: tuple[int, ...] = (0, 1, 8), leading: int = 16
+) -> DataFrame:
     """Pairs of distinct hashes with distance at most `distance`: a < b, distance, copies_a, copies_b.
 
     Equal hashes are folded into one representative (the least image_id) with its number of
     copies, so a crowd of exact copies gives one row, not all its pairs. Distances add up
     squares, so no coefficient of a match differs by more than sqrt(n * distance): the
     coefficients `cells` are cut into cells of that width, a match lies in the same or a
-    neighbouring cell of each, and one side visits its neighbours. Nothing is missed; the
-    distance itself is exact.
+    neighbouring cell of each, and one side visits its neighbours. Only the first `leading`
+    coefficients travel with the cells; their squares alone rule out most candidates, and the
+    whole hashes are fetched for the rest. Nothing is missed and the distance is exact.
     """
     distinct = hashes.groupBy("hash").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("copies"))
-    width = F.sqrt(F.size("hash") * F.lit(float(distance))) + 1e-9
+    bound = F.size("hash") * F.lit(float(distance)) + 1e-6
     keyed = distinct.select(
-        "image_id", "hash", "copies", F.size("hash").alias("n"),
-        *[F.floor(F.get("hash", F.lit(i)) / width).alias(f"k{i}") for i in cells],
+        "image_id", "copies", F.size("hash").alias("n"), F.slice("hash", 1, leading).alias("lead"), bound.alias("bound"),
+        *[F.floor(F.get("hash", F.lit(i)) / F.sqrt(bound)).alias(f"k{i}") for i in cells],
     )
     keys = [f"k{i}" for i in cells]
     visit = keyed
     for k in keys:
         visit = visit.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
-    left = keyed.select("n", *keys, F.col("image_id").alias("a"), F.col("hash").alias("_a"), F.col("copies").alias("copies_a"))
-    right = visit.select("n", *keys, F.col("image_id").alias("b"), F.col("hash").alias("_b"), F.col("copies").alias("copies_b"))
+    side = lambda df, name: df.select(
+        "n", *keys, "bound", F.col("image_id").alias(name), F.col("lead").alias(f"lead_{name}"), F.col("copies").alias(f"copies_{name}")
+    )
+    part = F.aggregate(
+        F.zip_with("lead_a", "lead_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v
+    )
+    candidates = (
+        side(keyed, "a")
+        .join(side(visit, "b").drop("bound"), ["n", *keys])
+        .filter((F.col("a") < F.col("b")) & (part <= F.col("bound")))
+        .select("a", "b", "copies_a", "copies_b")
+    )
+    whole = lambda name: distinct.select(F.col("image_id").alias(name), F.col("hash").alias(f"_{name}"))
     return (
-        left.join(right, ["n", *keys])
-        .filter(F.col("a") < F.col("b"))
+        candidates.join(whole("a"), "a")
+        .join(whole("b"), "b")
         .withColumn("distance", mse(F.col("_a"), F.col("_b")))
         .filter(F.col("distance") <= distance)
         .select("a", "b", "distance", "copies_a", "copies_b")
