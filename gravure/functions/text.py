@@ -36,11 +36,6 @@ def hex_rgb(value: Column) -> Column:
     )
 
 
-def hex_channel(colour: Column, index: int) -> Column:
-    """Channel 0..2 of a six-digit colour as a number."""
-    return F.conv(F.substring(colour, 2 * index + 1, 2), 16, 10).cast("bigint")
-
-
 def b64url_encode(binary: Column) -> Column:
     """URL alphabet, no padding, no line breaks."""
     plain = F.regexp_replace(F.base64(binary), "[\r\n=]", "")

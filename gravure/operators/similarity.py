@@ -124,8 +124,12 @@ def exact_duplicates(hashes: DataFrame) -> DataFrame:
     )
 
 
+# Low frequencies of the three channels: positions in a hash that tell most pairs apart.
+LEADING = (0, 1, 2, 8, 9, 10, 16, 17, 64, 65, 72, 73, 128, 129, 136, 137)
+
+
 def near_duplicates(
-    hashes: DataFrame, distance: float, cells: tuple[int, ...] = (0, 1, 8), leading: int = 16
+    hashes: DataFrame, distance: float, cells: tuple[int, ...] = (0, 1, 8), leading: tuple[int, ...] = LEADING
 ) -> DataFrame:
     """Pairs of distinct hashes with distance at most `distance`: a < b, distance, copies_a, copies_b.
 
@@ -133,14 +137,16 @@ def near_duplicates(
     copies, so a crowd of exact copies gives one row, not all its pairs. Distances add up
     squares, so no coefficient of a match differs by more than sqrt(n * distance): the
     coefficients `cells` are cut into cells of that width, a match lies in the same or a
-    neighbouring cell of each, and one side visits its neighbours. Only the first `leading`
+    neighbouring cell of each, and one side visits its neighbours. Only the `leading`
     coefficients travel with the cells; their squares alone rule out most candidates, and the
-    whole hashes are fetched for the rest. Nothing is missed and the distance is exact.
+    whole hashes are fetched for the rest. Nothing is missed and the distance is exact. The
+    input is read several times, so pass a stored table or cut its lineage first.
     """
     distinct = hashes.groupBy("hash").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("copies"))
     bound = F.size("hash") * F.lit(float(distance)) + 1e-6
     keyed = distinct.select(
-        "image_id", "copies", F.size("hash").alias("n"), F.slice("hash", 1, leading).alias("lead"), bound.alias("bound"),
+        "image_id", "copies", F.size("hash").alias("n"),
+        F.filter(F.array(*[F.get("hash", F.lit(i)) for i in leading]), lambda v: v.isNotNull()).alias("lead"), bound.alias("bound"),
         *[F.floor(F.get("hash", F.lit(i)) / F.sqrt(bound)).alias(f"k{i}") for i in cells],
     )
     keys = [f"k{i}" for i in cells]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gravure.functions.numeric import megapixels
-from gravure.functions.text import FLOAT_RE, b64url_decode, hex_channel, hex_rgb, parse_bool, parse_float, parse_int
+from gravure.functions.text import b64url_decode, hex_rgb, parse_bool, parse_float, parse_int
 from gravure.plans import dims
 
 CLEARED = "\u0000"

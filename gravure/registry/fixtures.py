@@ -303,8 +303,8 @@ PRESET_ROWS = [
     ("mixed", 1, "pr", "wide:loop_a"),
     ("mixed", 2, "h", "99"),
 ]
-FIXTURES["presets"] = " UNION ALL ".join(
-    f"SELECT '{n}' AS name, {p} AS pos, '{o}' AS opt, '{a}' AS argtext" for n, p, o, a in PRESET_ROWS
+FIXTURES["presets"] = "SELECT * FROM (VALUES {}) AS t(name, pos, opt, argtext)".format(
+    ", ".join(f"('{n}', {p}, '{o}', '{a}')" for n, p, o, a in PRESET_ROWS)
 )
 FIXTURES["preset_paths"] = (
     "SELECT e.event_id AS req_id, concat("
@@ -484,10 +484,9 @@ SELECT req_id, span, CAST(floor(duration_us * CASE span WHEN 'Queue' THEN 10 WHE
 FROM (SELECT l.req_id, l.duration_us, @SPANS AS span FROM {request_log} l) t
 """
 # Weighted URL groups of the load profile.
-FIXTURES["load_urls"] = """
-SELECT 'jpeg' AS grp, 5 AS weight UNION ALL SELECT 'png', 2 UNION ALL SELECT 'gif', CAST(NULL AS INTEGER)
-UNION ALL SELECT 'none', 1
-"""
+FIXTURES["load_urls"] = (
+    "SELECT * FROM (VALUES ('jpeg', 5), ('png', 2), ('gif', CAST(NULL AS INTEGER)), ('none', 1)) AS t(grp, weight)"
+)
 
 
 def _date(day: str, hour: str) -> str:
