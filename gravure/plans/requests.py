@@ -177,11 +177,30 @@ def presets_closure(presets: DataFrame) -> DataFrame:
     )
 
 
+def _book(closure: DataFrame, literal: bool) -> Column:
+    """Preset name -> its options, as one map: a scalar subquery, or a literal for streams.
+
+    A micro-batch does not wait for subqueries reliably, so a stream takes the closed presets
+    (configuration, a handful of rows) as a literal when it is defined.
+    """
+    if not literal:
+        return closure.agg(F.map_from_entries(F.collect_list(F.struct("root", "options")))).scalar()
+    entries = []
+    for row in closure.collect():
+        steps = [
+            F.struct(
+                F.lit(o.name).alias("name"), F.lit(o.given_name).alias("given_name"),
+                F.array(*[F.lit(a) for a in o.args]).alias("args"), F.lit(o.in_url).alias("in_url"),
+            )
+            for o in row.options
+        ]
+        entries += [F.lit(row.root), F.array(*steps).cast(OPTION_TYPE)]
+    return F.create_map(*entries) if entries else F.create_map().cast(f"map<string, {OPTION_TYPE}>")
+
+
 def presets_expand(df: DataFrame, presets: DataFrame, default: bool = True) -> DataFrame:
     """Inline presets where they stand; the preset `default`, if any, comes before everything."""
-    closure = presets_closure(presets)
-    book = closure.agg(F.map_from_entries(F.collect_list(F.struct("root", "options")))).scalar()
-    df = df.withColumn("_book", book)
+    df = df.withColumn("_book", _book(presets_closure(presets), df.isStreaming))
     unknown = lambda p, o: F.array(
         F.struct(
             F.lit("preset").alias("name"), o["given_name"].alias("given_name"), F.array(p).alias("args"),
