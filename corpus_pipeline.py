@@ -30,7 +30,7 @@ def lines(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group: that of the smallest id; documents without an id stay."""
-    groups = simhash.near_duplicates(docs, width=5, radius=3).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    groups = simhash.similar_documents(docs, width=5, similarity=0.8).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
     first = docs.select(*COLUMNS).join(groups, F.col("doc_id") == F.col("kept"), "left")
     return first.where("kept IS NOT NULL OR doc_id IS NULL").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 

@@ -14,6 +14,9 @@ from gravure.llm.common import slices, stored, texts
 from gravure.llm.components import components
 
 BITS = 64
+FULL = np.uint64(2**64 - 1)
+#: For whole-text similarity: 64-bit words of a SimHash; keys of a text, and least hashes in a key.
+WORDS, BANDS, ROWS = 32, 14, 3
 #: Largest bucket that one task compares whole; larger ones are cut into tiles of two blocks of this size.
 BLOCK = 4096
 #: Buckets up to this size are compared side by side, one bucket in each 64-bit word.
@@ -44,46 +47,69 @@ def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def planes(values: np.ndarray, lanes: int) -> np.ndarray:
-    """Vertical form: word w of plane p holds bit p of values 64w..64w+63."""
-    padded = np.zeros(lanes, "<u8")
+    """Vertical form of fingerprints (rows of 64-bit words): word w of plane p holds bit p of rows 64w..64w+63."""
+    padded = np.zeros((lanes, values.shape[1]), "<u8")
     padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8).reshape(lanes, -1), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
+def flips(queries: np.ndarray, plane: int) -> np.ndarray:
+    """All bits set for each query that has bit `plane`."""
+    return np.where(queries[:, plane // 64] >> np.uint64(plane % 64) & np.uint64(1), FULL, np.uint64(0))
+
+
+class Distances:
+    """Carry-save counters of differing bits per lane, biased so that their overflow means `radius` is exceeded."""
+
+    def __init__(self, shape: tuple[int, ...], radius: int):
+        digits = max(3, radius.bit_length())
+        bias = (1 << digits) - 1 - radius
+        self.digits = [np.full(shape, FULL if bias >> d & 1 else 0, "<u8") for d in range(digits)]
+        self.over = np.zeros(shape, "<u8")
+
+    def add(self, eight: list[np.ndarray]) -> None:
+        """Eight planes at once: seven carry-save adders, then one carry into the digit of eights."""
+        level = eight
+        for d in range(3):
+            out = []
+            for x, y in zip(level[::2], level[1::2]):
+                half = self.digits[d] ^ x
+                out.append(self.digits[d] & x | half & y)
+                self.digits[d] = half ^ y
+            level = out
+        carry = level[0]
+        for d in range(3, len(self.digits)):
+            self.digits[d], carry = self.digits[d] ^ carry, self.digits[d] & carry
+        self.over |= carry
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.digits, self.over = [d[rows] for d in self.digits], self.over[rows]
+
+
 def beyond(vertical: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
     """Bit set per (query, lane) whose distance exceeds `radius`; lanes as 64-bit words.
 
-    A carry-save counter of radius.bit_length() digits per lane, biased so that its overflow means
-    `radius` is exceeded. Queries for which every lane has overflown are abandoned.
+    Every eight planes, queries all of whose lanes have overflown are abandoned.
     """
-    digits = max(1, radius.bit_length())
-    bias = (1 << digits) - 1 - radius
-    full = np.uint64(2**64 - 1)
-    shape = (len(queries), vertical.shape[1])
-    counter = [np.full(shape, full if bias >> d & 1 else 0, "<u8") for d in range(digits)]
-    over = np.zeros(shape, "<u8")
-    result, alive = np.full(shape, full, "<u8"), np.arange(len(queries))
-    for p in range(BITS):
-        flip = np.where(queries[alive] >> np.uint64(p) & np.uint64(1), full, np.uint64(0))
-        carry = vertical[p] ^ flip[:, None]
-        for d in range(digits):
-            counter[d], carry = counter[d] ^ carry, counter[d] & carry
-        over |= carry
-        if p % 8 == 7:
-            open_ = (over != full).any(axis=1)
-            if not open_.all():
-                alive, over, counter = alive[open_], over[open_], [c[open_] for c in counter]
-                if not len(alive):
-                    return result
-    result[alive] = over
+    result, alive = np.full((len(queries), vertical.shape[1]), FULL, "<u8"), np.arange(len(queries))
+    state = Distances(result.shape, radius)
+    for start in range(0, len(vertical), 8):
+        state.add([vertical[p] ^ flips(queries[alive], p)[:, None] for p in range(start, start + 8)])
+        near = (state.over != FULL).any(axis=1)
+        if not near.all():
+            alive = alive[near]
+            state.keep(near)
+            if not len(alive):
+                return result
+    result[alive] = state.over
     return result
 
 
 def spanning_links(values: np.ndarray, radius: int, chunk: int = 128) -> list[tuple[int, int]]:
-    """Links (i, j) of a spanning forest of `values` (distinct, uint64) linked within `radius`.
+    """Links (i, j) of a spanning forest of the rows of `values` linked within `radius`.
 
-    Breadth first: reached values are compared with those not reached yet, so each is a query once and
+    Breadth first: reached rows are compared with those not reached yet, so each is a query once and
     at most len(values) - 1 links come out, however many pairs are near.
     """
     links, rest, queue = [], np.arange(len(values)), []
@@ -105,14 +131,15 @@ def spanning_links(values: np.ndarray, radius: int, chunk: int = 128) -> list[tu
 
 
 def small_links(groups: list[np.ndarray], radius: int) -> list[tuple[int, int, int]]:
-    """(group, i, j) links of spanning forests of many groups of at most 64 values, one group per word."""
-    lanes = np.zeros((len(groups), 64), "<u8")
+    """(group, i, j) links of spanning forests of many groups of at most 64 rows, one group per lane word."""
+    if not groups:
+        return []
+    words = groups[0].shape[1]
+    lanes = np.zeros((len(groups), 64, words), "<u8")
     for row, values in zip(lanes, groups):
         row[: len(values)] = values
-    vertical = planes(lanes.reshape(-1), lanes.size)
-    sizes = np.array([len(g) for g in groups])
-    digits, full, links = max(1, radius.bit_length()), np.uint64(2**64 - 1), []
-    bias = (1 << digits) - 1 - radius
+    vertical = planes(lanes.reshape(-1, words), lanes.shape[0] * 64)
+    sizes, links = np.array([len(g) for g in groups]), []
     root = [list(range(n)) for n in sizes]
 
     def top(parent, i):
@@ -120,20 +147,14 @@ def small_links(groups: list[np.ndarray], radius: int) -> list[tuple[int, int, i
             parent[i] = i = parent[parent[i]]
         return i
 
-    for q in range(int(sizes.max(initial=0)) - 1):
+    for q in range(int(sizes.max()) - 1):
         live = np.flatnonzero(sizes > q + 1)
-        counter = [np.full(len(live), full if bias >> d & 1 else 0, "<u8") for d in range(digits)]
-        over = np.zeros(len(live), "<u8")
-        for p in range(BITS):
-            flip = np.where(lanes[live, q] >> np.uint64(p) & np.uint64(1), full, np.uint64(0))
-            carry = vertical[p, live] ^ flip
-            for d in range(digits):
-                counter[d], carry = counter[d] ^ carry, counter[d] & carry
-            over |= carry
-            if p % 8 == 7 and (over == full).all():
+        state, own = Distances(live.shape, radius), lanes[live, q]
+        for start in range(0, len(vertical), 8):
+            state.add([vertical[p][live] ^ flips(own, p) for p in range(start, start + 8)])
+            if (state.over == FULL).all():
                 break
-        near = ~over
-        near >>= np.uint64(q + 1)
+        near = ~state.over >> np.uint64(q + 1)
         for at in np.flatnonzero(near):
             g, bits = int(live[at]), int(near[at])
             while bits:
@@ -145,72 +166,97 @@ def small_links(groups: list[np.ndarray], radius: int) -> list[tuple[int, int, i
     return links
 
 
-def band_keys(fp: Column, blocks: int, radius: int) -> list[Column]:
-    """One key for each choice of blocks - radius blocks of bits: values within `radius` share at least one."""
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in itertools.pairwise(edges)]
-    keys = []
-    for number, chosen in enumerate(itertools.combinations(masks, blocks - radius)):
-        mask = sum(chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(signed).cast("long"))))
-    return keys
-
-
-def links(distinct: DataFrame, radius: int = 3, blocks: int = 5, block: int = BLOCK) -> DataFrame:
-    """(a, b) links that join all of `distinct` (fp) within `radius` bits; nothing near is lost.
+def tile_links(tiles: DataFrame, radius: int) -> DataFrame:
+    """(a, b) links that join the nodes of each tile of `tiles` (tile, node) within `radius` bits.
 
-    Candidates share one of C(blocks, radius) keys. Keys with one value go; keys with more than `block`
-    values are cut into blocks and each pair of blocks is its own tile, so no task holds a hot key.
-    Within a tile the comparison is bit-sliced and gives a spanning forest, not all pairs.
+    The bits compared are those of `value` (binary) where there is one, else of the node itself.
     """
-    keyed = distinct.select("fp", F.explode(F.array(*band_keys(F.col("fp"), blocks, radius))).alias("key"))
-    sizes = stored(keyed.groupBy("key").count().where("count > 1").withColumnRenamed("key", "at"))
-    count = F.ceil(F.col("count") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), count).cast("int")
-    pairs = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(own, o) AS i, greatest(own, o) AS j))")
-    tiles = (
-        keyed.join(sizes, F.col("key") == F.col("at"))
-        .select("fp", "key", count.alias("blocks"), own.alias("own"))
-        .select("fp", "key", F.explode(pairs).alias("tile"))
-        .select("fp", F.xxhash64("key", "tile.i", "tile.j").alias("tile"))
-    )
+    wide = "value" in tiles.columns
 
     def compare(batches):
-        key, held, waiting, out = None, [], [], []
+        key, nodes, values, waiting, out = None, [], [], [], []
 
         def close():
-            values = np.unique(np.array(held, "<i8")).view("<u8")
-            if len(values) > SMALL:
-                out.extend((values[i], values[j]) for i, j in spanning_links(values, radius))
-            elif len(values) > 1:
-                waiting.append(values)
-            if len(waiting) >= 4096:
+            if len(nodes) > 1:
+                rows = np.frombuffer(b"".join(values), "<u8") if wide else np.array(nodes, "<i8").view("<u8")
+                rows = rows.reshape(len(nodes), -1)
+                if len(nodes) > SMALL:
+                    out.extend((nodes[i], nodes[j]) for i, j in spanning_links(rows, radius))
+                else:
+                    waiting.append((nodes, rows))
+            if len(waiting) >= 2048:
                 flush()
 
         def flush():
-            out.extend((waiting[g][i], waiting[g][j]) for g, i, j in small_links(waiting, radius))
+            out.extend((waiting[g][0][i], waiting[g][0][j]) for g, i, j in small_links([rows for _, rows in waiting], radius))
             waiting.clear()
 
         def batch():
-            ends = np.array(out, "<u8").reshape(-1, 2).view("<i8")
+            ends = np.array(out, np.int64).reshape(-1, 2)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
         for part in batches:
-            for tile, fp in zip(part.column("tile").to_pylist(), part.column("fp").to_pylist()):
+            for tile, node, value in zip(*(part.column(c).to_pylist() for c in ("tile", "node", "value" if wide else "node"))):
                 if tile != key:
                     close()
-                    key, held = tile, []
-                held.append(fp)
+                    key, nodes, values = tile, [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    values.append(value)
             if len(out) > 50_000:
                 yield batch()
         close()
-        if waiting:
-            flush()
+        flush()
         yield batch()
 
-    return tiles.repartition("tile").sortWithinPartitions("tile", "fp").mapInArrow(compare, "a long, b long")
+    dealt = tiles.repartition("tile").sortWithinPartitions("tile", "node")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def in_tiles(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(tile, node) of `keyed` (key, node) for keys with more than one node.
+
+    Keys with more than `block` nodes are cut into blocks by hash, and each pair of blocks is a tile of its
+    own, so that any two nodes of a key meet in one tile and no task holds a hot key.
+    """
+    sizes = stored(keyed.groupBy("key").count().where("count > 1").withColumnRenamed("key", "at"))
+    blocks = F.ceil(F.col("count") / block).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
+    pairs = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(own, o) AS i, greatest(own, o) AS j))")
+    met = keyed.join(sizes, F.col("key") == F.col("at")).select("node", "key", blocks.alias("blocks"), own.alias("own"))
+    return met.select("node", "key", F.explode(pairs).alias("tile")).select(F.xxhash64("key", "tile.i", "tile.j").alias("tile"), "node")
+
+
+def band_keys(fp: Column, blocks: int, radius: int) -> list[Column]:
+    """One key for each choice of blocks - radius blocks of bits: values within `radius` share at least one."""
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in itertools.pairwise(edges)]
+    keys = []
+    for number, chosen in enumerate(itertools.combinations(masks, blocks - radius)):
+        mask = sum(chosen)
+        signed = mask - (1 << 64) if mask >> 63 else mask
+        keys.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(signed).cast("long"))))
+    return keys
+
+
+def links(distinct: DataFrame, radius: int = 3, blocks: int = 5, block: int = BLOCK) -> DataFrame:
+    """(a, b) links that join all of `distinct` (fp) within `radius` bits; nothing near is lost.
+
+    Candidates share one of C(blocks, radius) keys; within a tile the comparison is bit-sliced and gives
+    a spanning forest, not all pairs.
+    """
+    keyed = distinct.select(F.col("fp").alias("node"), F.explode(F.array(*band_keys(F.col("fp"), blocks, radius))).alias("key"))
+    return tile_links(in_tiles(keyed, block), radius)
+
+
+def smallest_ids(marked: DataFrame, links: DataFrame) -> DataFrame:
+    """component_id for each node of `marked` (doc_id, node): the smallest doc_id reachable by `links`."""
+    members = stored(marked.groupBy("node").agg(F.min("doc_id").alias("first")).withColumnRenamed("node", "value"))
+    roots = components(links)
+    placed = stored(members.join(roots, F.col("value") == F.col("node"), "left").select("value", "first", F.coalesce("root", "value").alias("root")))
+    smallest = stored(placed.groupBy(F.col("root").alias("top")).agg(F.min("first").alias("component_id")))
+    return stored(placed.join(smallest, F.col("root") == F.col("top")).select("value", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, blocks: int = 5) -> DataFrame:
@@ -226,11 +272,96 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, blocks: in
     an empty table gives no rows; columns besides doc_id and text are ignored.
     """
     marked = stored(fingerprints(docs, width))
-    members = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(members.select("fp"), radius, blocks))
-    placed = members.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("value"), "first", F.coalesce("root", "fp").alias("root"))
-    placed = stored(placed)
-    smallest = placed.groupBy(F.col("root").alias("top")).agg(F.min("first").alias("component_id"))
-    named = stored(placed.join(stored(smallest), F.col("root") == F.col("top")).select("value", "component_id"))
+    distinct = stored(marked.select("fp").distinct())
+    named = smallest_ids(marked.withColumnRenamed("fp", "node"), links(distinct, radius, blocks))
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(named, F.col("fp") == F.col("value")).select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the rows (64-bit words) have each bit, counted by carry-save adders over whole rows."""
+    level, totals = hashes, []
+    while len(level):
+        carries = []
+        while len(level) > 1:
+            third = len(level) // 3 if len(level) > 2 else 0
+            if third:
+                a, b, c, rest = level[:third], level[third : 2 * third], level[2 * third : 3 * third], level[3 * third :]
+                half = a ^ b
+                carries.append(a & b | half & c)
+                level = np.concatenate([half ^ c, rest])
+            else:
+                carries.append(level[:1] & level[1:])
+                level = level[:1] ^ level[1:]
+        totals.append(level[0])
+        level = np.concatenate(carries) if carries else level[:0]
+    bits = np.unpackbits(np.array(totals, "<u8").view(np.uint8).reshape(len(totals), -1), axis=1, bitorder="little")
+    return (bits.astype(np.int64) << np.arange(len(totals))[:, None]).sum(axis=0)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+class Sketcher:
+    """A wide SimHash of a text's distinct shingles, and keys of which similar texts share some."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.seeds = _mixed(np.arange(1, WORDS + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15))
+        self.factors = _mixed(np.arange(100, 100 + BANDS * ROWS, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+    def __call__(self, text: str) -> tuple[bytes, list[int]]:
+        words = text.encode().lower().split()
+        if not words:
+            return bytes(8 * WORDS), [0]
+        shingles = set(map(b" ".join, zip(*(words[i:] for i in range(self.width))))) or {b" ".join(words)}
+        base = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], "<u8")
+        least = np.full(BANDS * ROWS, FULL, "<u8")
+        count = np.zeros(64 * WORDS, np.int64)
+        for start in range(0, len(base), 4096):
+            part = base[start : start + 4096, None]
+            least = np.minimum(least, (part * self.factors).min(axis=0))
+            count += bit_counts(_mixed(part ^ self.seeds))
+        keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
+        value = np.packbits(count * 2 > len(base), bitorder="little").tobytes()
+        return value, np.array(keys, "<u8").view("<i8").tolist()
+
+
+def reach(similarity: float) -> int:
+    """Differing bits of 64 * WORDS within which texts of a Jaccard similarity of at least `similarity` fall.
+
+    Sets of that similarity have a cosine of 2s / (1 + s) and differ in acos / pi of the bits on average;
+    two deviations more are allowed.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * WORDS * share + 2 * np.sqrt(64 * WORDS * share * (1 - share)))
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id per row of `docs` (doc_id, text): texts of that similarity are linked.
+
+    Similarity is that of the sets of `width`-word shingles (words and case as in near_duplicates), judged
+    by SimHashes of 64 * WORDS bits within reach(similarity). A radius of that many bits is beyond
+    pigeonhole keys, so candidates share one of BANDS keys of ROWS least shingle hashes each
+    (1 - (1 - s^ROWS)^BANDS: over 0.9999 at 0.8); every candidate pair's distance is then bit-sliced.
+    Nulls, repeats, empty and very long texts as in near_duplicates: texts without words are alike.
+    """
+
+    def run(batches):
+        sketch = Sketcher(width)
+        for part in slices(batches, "text"):
+            found = [sketch(t) for t in texts(part).to_pylist()]
+            arrays = [part.column("doc_id"), pa.array([v for v, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "value", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    marked = rows.mapInArrow(run, "doc_id long, value binary, keys array<long>")
+    marked = stored(marked.withColumn("node", F.xxhash64("value", F.array_sort("keys"))))
+    distinct = stored(marked.groupBy("node").agg(F.first("value").alias("value"), F.first("keys").alias("keys")))
+    tiles = in_tiles(distinct.select("node", F.explode("keys").alias("key")))
+    valued = tiles.join(distinct.select(F.col("node").alias("of"), "value"), F.col("node") == F.col("of")).select("tile", "node", "value")
+    named = smallest_ids(marked, tile_links(valued, reach(similarity)))
+    return marked.join(named.withColumnRenamed("value", "at"), F.col("node") == F.col("at")).select("doc_id", "component_id")

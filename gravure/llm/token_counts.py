@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravure.llm.common import scratch, slices, texts
+from gravure.llm.common import scratch, slices, stored, texts
 from gravure.llm.words import WordTable, distinct_words, gather, split_words
 
 PIECE_BPE = "piece_bpe_32k.model"
@@ -107,7 +107,7 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None, limit: in
     if known is not None:
         missing = missing.join(known, F.col("digest") == F.col("known"), "left_anti")
     missing.select("digest", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
-    known = read_cache(spark, cache, version)
+    known = stored(read_cache(spark, cache, version))
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     counted = rows.join(known, F.col("digest") == F.col("known"), "left")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
