@@ -184,7 +184,7 @@ def tile_links(tiles: DataFrame, radius: int) -> DataFrame:
                     out.extend((nodes[i], nodes[j]) for i, j in spanning_links(rows, radius))
                 else:
                     waiting.append((nodes, rows))
-            if len(waiting) >= 2048:
+            if len(waiting) >= 256:
                 flush()
 
         def flush():

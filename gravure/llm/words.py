@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 class WordTable:
     """Word -> fixed-width values as bytes. Holds at most `limit` words; when full it starts anew (only speed changes)."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[bytes]], limit: int = 700_000):
+    def __init__(self, encode: Callable[[list[str]], Sequence[bytes]], limit: int = 400_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def values(self, words: list[str]) -> list[bytes]:
