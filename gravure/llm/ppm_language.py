@@ -15,7 +15,7 @@ from gravure.llm.common import remainder, slices, stored, texts
 ORDER = 3
 #: Contexts and n-grams rarer than this share of a language's bytes leave its tree, so that a tree has at
 #: most 1 / RARE contexts of each order and 1 / RARE_GRAM leaves, however large the corpus.
-RARE, RARE_GRAM = 2e-5, 5e-7
+RARE, RARE_GRAM = 5e-5, 5e-7
 UNKNOWN = "und"
 
 
@@ -33,7 +33,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): counts of ORDER + 1 bytes in a row, over all bytes of all rows of `docs` (text, lang)."""
 
     def run(batches):
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 2 << 20):
             langs = part.column("lang").dictionary_encode()
             of = langs.indices.to_numpy(zero_copy_only=False)
             data, starts, ends = joined(texts(part))
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
     def run(batches):
         model = held.value
-        for part in slices(batches, "_text", 2 << 20):
+        for part in slices(batches, "_text", 1 << 19):
             column = texts(part, "_text")
             known = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False)
             names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
