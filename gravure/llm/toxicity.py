@@ -197,6 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = CALIBRATION) -> Mode
     and the sample's four numbers each. No labels: every score is one half's prior.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("marked")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marks = marks.hint("merge")  # labels grow with the corpus: they are shuffled at every size, never broadcast
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = F.floor(remainder(F.col("doc_id"), 4 * FOLDS) / 4) == 0
     pairs = stored(gram_counts(known.where(~fold).join(marks, F.col("doc_id") == F.col("marked"))))
