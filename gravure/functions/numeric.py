@@ -14,7 +14,8 @@ def dbl(value) -> Column:
 
 
 def _int(value: Column) -> Column:
-    return value.cast("bigint")
+    """Whole number; NULL, not an error, where it is beyond 64 bits."""
+    return value.try_cast("bigint")
 
 
 def scale(size, factor) -> Column:
@@ -53,4 +54,4 @@ def half(value: Column) -> Column:
 
 def megapixels(value: Column) -> Column:
     """Megapixels as whole pixels, cut towards zero."""
-    return (value * F.lit(1_000_000)).cast("bigint")
+    return (value * F.lit(1_000_000)).try_cast("bigint")

@@ -142,8 +142,8 @@ def canonical_link(df: DataFrame, url: str = "source_url") -> DataFrame:
 
 
 def header_passthrough(headers: Column, only: list[str]) -> Column:
-    """The listed headers of a header map."""
-    return F.map_filter(headers, lambda k, _: k.isin(*only))
+    """The listed headers of a header map; names are compared without case."""
+    return F.map_filter(headers, lambda k, _: F.lower(k).isin(*(name.lower() for name in only)))
 
 
 def header_merge(first: Column, second: Column) -> Column:

@@ -122,8 +122,8 @@ def byte_savings(log: DataFrame) -> DataFrame:
 
 
 def traffic_mix(urls: DataFrame, log: DataFrame) -> DataFrame:
-    """Share of traffic expected from URL weights (default 1) against the share seen, per group."""
-    expected = urls.groupBy("group").agg(F.sum(F.coalesce("weight", F.lit(1))).alias("weight"))
+    """Share of traffic expected from URL weights (none or 0: 1) against the share seen, per group."""
+    expected = urls.groupBy("group").agg(F.sum(F.coalesce(F.nullif("weight", F.lit(0)), F.lit(1))).alias("weight"))
     observed = log.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     share = lambda c: F.col(c) / F.sum(c).over(Window.partitionBy())
     return expected.select("group", share("weight").alias("expected")).join(

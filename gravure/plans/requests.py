@@ -294,6 +294,10 @@ LINK_LOCAL_V4, LINK_LOCAL_V6 = "^(a9fe|e00000)", "^(fe[89ab]|ff.2)"
 PRIVATE_V4, PRIVATE_V6 = "^(0a|ac1[0-9a-f]|c0a8|64[4-7])", "^f[cd]"
 
 
+# Groups of one to four hex digits, one "::" at most, no single colon at either end.
+IPV6 = "^(?!.*::.*::)(?!.*:::)(?!:[^:])(?!.*[^:]:$)[0-9a-f]{0,4}(:[0-9a-f]{0,4})+$"
+
+
 def ip_hex(ip: Column) -> Column:
     """32 hex digits of an address (IPv4 as mapped ::ffff:a.b.c.d), NULL where malformed."""
     octet = lambda part: F.lpad(F.lower(F.hex(part.try_cast("int"))), 2, "0")
@@ -317,7 +321,7 @@ def ip_hex(ip: Column) -> Column:
     missing = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
     filled = F.concat(left, F.array_repeat(F.lit("0"), F.when(gap > 0, missing).otherwise(0).cast("int")), right)
     v6 = F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), "")
-    full = F.when(ip.rlike(f"^{good_quad}$"), v4).when(text.rlike("^[0-9a-f:]+$") & F.contains(text, F.lit(":")), v6)
+    full = F.when(ip.rlike(f"^{good_quad}$"), v4).when(text.rlike(IPV6) & ((gap == 0) | (F.size(left) + F.size(right) < 8)), v6)
     return F.when(full.rlike("^[0-9a-f]{32}$"), full)
 
 

@@ -121,7 +121,7 @@ SELECT ts_us // 86400000000 AS day, coalesce(canon, given) AS name, count(*) AS
     ),
     "m01_traffic_mix": with_tables(
         "load_urls request_log",
-        """e AS (SELECT grp, sum(coalesce(weight, 1)) AS w FROM load_urls GROUP BY 1),
+        """e AS (SELECT grp, sum(coalesce(nullif(weight, 0), 1)) AS w FROM load_urls GROUP BY 1),
 o AS (SELECT format AS grp, count(*) AS n FROM request_log GROUP BY 1)
 SELECT coalesce(e.grp, o.grp) AS "group", CAST(w AS DOUBLE) / (SELECT CAST(sum(w) AS DOUBLE) FROM e) AS expected,
   CAST(n AS DOUBLE) / (SELECT CAST(sum(n) AS DOUBLE) FROM o) AS observed FROM e FULL JOIN o ON e.grp = o.grp""",

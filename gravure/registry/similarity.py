@@ -28,9 +28,9 @@ def _milli(c):
 
 
 def _k03(spark, sf):
-    pairs = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + 3) % 200).alias("b")
-    )
+    parts = table(spark, sf, "part")
+    most = F.lit(parts.agg(F.max("p_partkey")).first()[0])
+    pairs = parts.select(F.col("p_partkey").alias("a"), (1 + (F.col("p_partkey") * 7 + 3) % most).alias("b"))
     df = sim.hash_distance(pairs, _hashes(spark, sf))
     finite = F.col("distance") < F.lit(float("inf"))
     return df.select("a", "b", F.when(finite, _milli("distance")).otherwise(-1).alias("distance"))
@@ -97,8 +97,8 @@ ORACLES = {
         "pixels",
         _hash_sql("pixels", "dc").strip()
         + f"""
-SELECT p_partkey AS a, (p_partkey * 7 + 3) % 200 AS b, CAST(CASE WHEN len(p.h) = len(q.h) THEN round({_DIST} * 1000) ELSE -1 END AS BIGINT) AS distance
-FROM part JOIN dc_h p ON p.image_id = p_partkey JOIN dc_h q ON q.image_id = (p_partkey * 7 + 3) % 200""",
+SELECT p_partkey AS a, 1 + (p_partkey * 7 + 3) % (SELECT max(p_partkey) FROM part) AS b, CAST(CASE WHEN len(p.h) = len(q.h) THEN round({_DIST} * 1000) ELSE -1 END AS BIGINT) AS distance
+FROM part JOIN dc_h p ON p.image_id = p_partkey JOIN dc_h q ON q.image_id = 1 + (p_partkey * 7 + 3) % (SELECT max(p_partkey) FROM part)""",
     ),
     "k04_near_duplicates": with_tables(
         "pixels",

@@ -77,7 +77,7 @@ def _l06_batch(spark, sf):
 
 QUERIES = {
     "l01_stream_plan": _l01,
-    "l02_stream_ingest": lambda spark, sf: jobs.run_available(jobs.stream_ingest(spark, sf, "*.parquet", 10_000_000)).select(
+    "l02_stream_ingest": lambda spark, sf: jobs.run_available(jobs.stream_ingest(spark, sf, "*.parquet")).select(
         F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length", "type_status"
     ),
     "l03_stream_metrics": _l03,

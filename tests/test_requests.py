@@ -86,3 +86,23 @@ def test_bad_rows_do_not_fail_the_job(spark):
     df = spark.createDataFrame([(i, 0, p) for i, p in enumerate(paths)], "req_id int, ts_us long, path string")
     df = options.typed_plan(requests.argument_errors(requests.decode_source_url(requests.tokenize_options(df))))
     assert df.filter(F.col("option_error").isNotNull()).count() == 6
+
+
+def test_malformed_ipv6_is_no_address(spark):
+    from pyspark.sql import functions as F
+
+    from gravure.plans.requests import ip_hex
+
+    bad = ["12345::1", "1::2::3", ":1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:", "1:::2", "1:2:3:4:5:6:7::8", "g::1"]
+    good = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "fe80::1", "::ffff:10.0.0.1"]
+    rows = spark.createDataFrame([(a,) for a in bad + good], "ip string").select("ip", ip_hex(F.col("ip")).alias("h")).collect()
+    assert [r["h"] is not None for r in rows] == [False] * len(bad) + [True] * len(good)
+
+
+def test_sizes_beyond_64_bits_are_null(spark):
+    from pyspark.sql import functions as F
+
+    from gravure.functions import numeric
+
+    row = spark.range(1).select(numeric.scale(F.lit(1e300), F.lit(2.0)).alias("a"), numeric.megapixels(F.lit(1e300)).alias("b")).first()
+    assert row["a"] is None and row["b"] is None
