@@ -88,18 +88,18 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 #: The same for the given tables, with exact counts throughout.
 SQL = f"""
 WITH lines AS (
-  SELECT doc_id, source, text, u.at, trim(string_split(text, chr(10))[u.at]) AS line
-  FROM documents, UNNEST(range(1, len(string_split(text, chr(10))) + 1)) AS u(at)
+  SELECT doc_id, source, text, u.pos, trim(string_split(text, chr(10))[u.pos]) AS line
+  FROM documents, UNNEST(range(1, len(string_split(text, chr(10))) + 1)) AS u(pos)
   WHERE text IS NOT NULL
 ), common AS (
   SELECT line, min(doc_id) AS first_id FROM lines WHERE line <> ''
   GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}
 ), marked AS (
-  SELECT l.doc_id, l.at, string_split(l.text, chr(10))[l.at] AS raw,
-    c.line IS NOT NULL AND NOT (l.doc_id = c.first_id AND l.at = min(l.at) OVER (PARTITION BY l.doc_id, l.line)) AS gone
+  SELECT l.doc_id, l.pos, string_split(l.text, chr(10))[l.pos] AS raw,
+    c.line IS NOT NULL AND NOT (l.doc_id = c.first_id AND l.pos = min(l.pos) OVER (PARTITION BY l.doc_id, l.line)) AS gone
   FROM lines l LEFT JOIN common c ON l.line = c.line
 ), rebuilt AS (
-  SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS lines_removed
+  SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS lines_removed
   FROM marked GROUP BY doc_id
 )
 SELECT d.doc_id, r.text, CAST(coalesce(r.lines_removed, 0) AS INTEGER) AS lines_removed
