@@ -15,10 +15,12 @@ from gravure.llm.words import WordTable, distinct_words, split_words
 
 #: Bytes of an n-gram; absolute discount; start and end marks of a word.
 ORDER, DISCOUNT, START, END = 5, 0.75, 2, 3
-#: n-grams rarer than this share of a class's n-grams leave its model: at most 1 / RARE stay per class.
-RARE = 1e-6
+#: n-grams rarer than this share of either class's n-grams leave the model: at most 2 / RARE stay.
+RARE = 1e-7
 #: The final scale from likelihoods to a probability is fitted on at most about this many labelled documents.
 CALIBRATION = 20_000
+#: What a text's score rests on besides the prior, see `evidence`.
+EVIDENCE = ("whole", "first", "next", "more", "words")
 #: One in FOLDS of the learning documents is kept out of the counts for that fit.
 FOLDS = 5
 
@@ -40,12 +42,18 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words of lower-cased texts without marks at their ends, the words' numbers, texts' bounds."""
+    """Distinct words of lower-cased texts without marks at their ends, the words' numbers, texts' bounds.
+
+    Nothing between two spaces and marks alone are no words.
+    """
     words, bounds = split_words(pc.replace_substring_regex(pc.utf8_lower(column), r"[\t-\r]", " "))
     names, index = distinct_words(words)
     trimmed = pc.utf8_trim(pa.array(names, pa.string()), ".,;:!?\"'()[]{}<>*_-")
     again, number = distinct_words(trimmed)
-    return again, number[index] if len(number) else index, bounds
+    if not len(number):
+        return again, index, bounds
+    real = np.array([bool(name) for name in again])[number[index]]
+    return again, number[index][real], np.concatenate([[0], np.cumsum(real)])[bounds]
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
@@ -137,25 +145,29 @@ def build(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
 
 
 def evidence(model: Model, table: WordTable, column: pa.Array) -> np.ndarray:
-    """Per text: the length-normalised ratio of the whole text, and of its most toxic words.
+    """Per text: the length-normalised ratio of the whole text, and those of its most toxic different words.
 
-    Columns: 1; ratio per byte of the whole text; largest ratio of a word and the second largest of a
-    different word (both per word); largest ratio per byte of a word.
+    Columns: 1; ratio per byte of the whole text; largest ratio of a word; mean of the second to fourth
+    and of the fifth to eighth largest (zero where there are fewer, or less); logarithm of the number of
+    different words, as the largest of many words are larger by chance.
     """
     names, index, bounds = words_of(column)
-    out = np.zeros((len(column), 5))
+    out = np.zeros((len(column), 1 + len(EVIDENCE)))
     out[:, 0] = 1
     if not len(names):
         return out
     pairs = np.frombuffer(b"".join(table.values(names)), "<f4").reshape(-1, 2).astype(float)
-    total, length = pairs[index, 0], pairs[index, 1]
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if b > a:
-            ratio, size = total[a:b], length[a:b]
-            best = ratio.argmax()
-            others = ratio[index[a:b] != index[a + best]]
-            out[k, 1:] = ratio.sum() / size.sum(), ratio[best], max(0.0, others.max(initial=0.0)), (ratio / size).max()
-    out[:, 2:4] = np.clip(out[:, 2:4], -20, 20)
+    rows = np.repeat(np.arange(len(column)), np.diff(bounds))
+    length = np.bincount(rows, weights=pairs[index, 1], minlength=len(column))
+    out[:, 1] = np.bincount(rows, weights=pairs[index, 0], minlength=len(column)) / np.maximum(length, 1)
+    different = np.unique(rows * len(names) + index)
+    row, ratio = different // len(names), np.clip(pairs[different % len(names), 0], 0, 20)
+    number = np.bincount(row, minlength=len(column))
+    order = np.lexsort((-ratio, row))
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+    top = np.zeros((len(column), 8))
+    top[row[rank < 8], rank[rank < 8]] = ratio[order][rank < 8]
+    out[:, 2], out[:, 3], out[:, 4], out[:, 5] = top[:, 0], top[:, 1:4].mean(axis=1), top[:, 4:].mean(axis=1), np.log1p(number)
     return out
 
 
@@ -182,10 +194,10 @@ def _measure(held, rows: DataFrame) -> DataFrame:
         table = WordTable(model.word_ratios)
         for part in slices(batches, "text"):
             found = evidence(model, table, texts(part))
-            arrays = [part.column("toxic"), *(pa.array(found[:, i]) for i in range(1, 5))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "whole", "first", "second", "word"])
+            arrays = [part.column("toxic"), *(pa.array(found[:, i]) for i in range(1, found.shape[1]))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["toxic", *EVIDENCE])
 
-    return rows.select("toxic", "text").mapInArrow(run, "toxic int, whole double, first double, second double, word double")
+    return rows.select("toxic", "text").mapInArrow(run, ", ".join(["toxic int", *(f"{name} double" for name in EVIDENCE)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = CALIBRATION) -> Model:
@@ -194,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = CALIBRATION) -> Mode
     Counts cover all of them but one fold in FOLDS (by crc32 of the id), on which the scale to a
     probability is fitted, on at most about `sample` documents chosen by hash. Several labels of one id:
     the largest. Null ids, labels and texts teach nothing. What reaches the driver is at most 2 / RARE n-grams
-    and the sample's four numbers each. No labels: every score is one half's prior.
+    and the sample's few numbers each. No labels: every score is one half's prior.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("marked")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.hint("merge")  # labels grow with the corpus: they are shuffled at every size, never broadcast
@@ -203,12 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = CALIBRATION) -> Mode
     pairs = stored(gram_counts(known.where(~fold).join(marks, F.col("doc_id") == F.col("marked"))))
     sums = pairs.agg(F.sum("toxic"), F.sum("ordinary")).first()
     floor = [RARE * (n or 0) for n in sums]
-    kept = pairs.select(
-        "gram",
-        F.when(F.col("toxic") >= floor[0], F.col("toxic")).otherwise(0).alias("toxic"),
-        F.when(F.col("ordinary") >= floor[1], F.col("ordinary")).otherwise(0).alias("ordinary"),
-    )
-    table = kept.where("toxic + ordinary > 0").toArrow()
+    # An n-gram kept for one class keeps its count in the other, or what is rare in one would look typical of the other.
+    often = ((F.col("toxic") > 0) & (F.col("toxic") >= floor[0])) | ((F.col("ordinary") > 0) & (F.col("ordinary") >= floor[1]))
+    table = pairs.where(often).toArrow()
     model = build(*(table.column(c).to_numpy() for c in ("gram", "toxic", "ordinary")))
     share = known.sparkSession
     count = marks.where(F.floor(remainder(F.col("marked"), 4 * FOLDS) / 4) == 0).count()
@@ -216,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = CALIBRATION) -> Mode
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000
     rows = known.where(fold & chosen).join(marks, F.col("doc_id") == F.col("marked"))
     measured = _measure(share.sparkContext.broadcast(model), rows).toArrow()
-    features = np.stack([np.ones(len(measured)), *(measured.column(c).to_numpy() for c in ("whole", "first", "second", "word"))], axis=1)
+    features = np.stack([np.ones(len(measured)), *(measured.column(c).to_numpy() for c in EVIDENCE)], axis=1)
     model.weights = fit(features, measured.column("toxic").to_numpy().astype(float))
     return model
 

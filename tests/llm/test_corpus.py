@@ -265,7 +265,7 @@ def test_pipeline_stages(spark, sf_dir, odd):
 
 
 def test_toxicity_stage_by_labels(spark):
-    """At 4000 labels. German and French ones, of which there are few, are mostly missed at this size (see README)."""
+    """At 4000 labels, of which 65 mark toxic German, 72 French and 33 Spanish documents."""
     import corpus_pipeline
 
     large = "/root/testdata/sf0.1"
@@ -273,5 +273,22 @@ def test_toxicity_stage_by_labels(spark):
     labels = {r["doc_id"]: (r["toxic"], r["lang"]) for r in common.table(spark, large, "labels").join(docs, "doc_id").select("doc_id", "toxic", "lang").collect()}
     left = [labels.get(r["doc_id"], (None, None)) for r in corpus_pipeline.toxic(spark, docs, large).select("doc_id").collect()]
     known = list(labels.values())
-    assert left.count((1, "en")) <= 0.1 * known.count((1, "en"))
-    assert sum(t == 0 for t, _ in left) >= 0.98 * sum(t == 0 for t, _ in known)
+    for lang in ("en", "de", "fr", "es"):
+        assert left.count((1, lang)) <= 0.15 * known.count((1, lang))
+    assert sum(t == 0 for t, _ in left) >= 0.995 * sum(t == 0 for t, _ in known)
+
+
+def test_evidence_and_rare_grams(spark):
+    docs = spark.createDataFrame([(i, f"plain words here {i} " + ("vile" if i % 10 == 0 else "kind")) for i in range(400)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 10 = 0 AS INT) AS toxic")
+    model = toxicity.train(docs, labels)
+    table = toxicity.WordTable(model.word_ratios)
+    texts = ["", "vile plain", "plain plain vile vile words", "kind"]
+    got = toxicity.evidence(model, table, pa.array(texts))
+    for row, text in zip(got, texts):
+        words = text.split()
+        value = {w: np.frombuffer(model.word_ratios([w])[0], "<f4") for w in words}
+        best = sorted((max(0.0, min(20.0, float(v[0]))) for v in value.values()), reverse=True) + [0.0] * 8
+        whole = sum(value[w][0] for w in words) / max(1, sum(value[w][1] for w in words))
+        assert np.allclose(row, [1, whole, best[0], np.mean(best[1:4]), np.mean(best[4:8]), np.log1p(len(value))], atol=1e-4)
+    assert got[1, 2] > got[3, 2]
