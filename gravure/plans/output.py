@@ -148,9 +148,10 @@ def fit_max_bytes(renditions: DataFrame, encodings: DataFrame, attempts: int = 1
     """Quality that fits max_bytes, walked down the measured sizes of each (image, format).
 
     The sizes of one image and format are at most 100 numbers, so they are gathered into
-    one map (a single shuffle on the key) and the walk is a fold inside the row.
+    one map and the walk is a fold inside the row. Of several sizes of one quality the largest counts.
     """
-    sizes = encodings.groupBy("image_id", "format").agg(
+    measured = encodings.groupBy("image_id", "format", "quality").agg(F.max("bytes").alias("bytes"))
+    sizes = measured.groupBy("image_id", "format").agg(
         F.map_from_entries(F.collect_list(F.struct("quality", "bytes"))).alias("sizes")
     )
     df = renditions.join(sizes, ["image_id", "format"], "left")
