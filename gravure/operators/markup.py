@@ -30,10 +30,11 @@ EVENT_ATTRIBUTES = tuple(
 HREF_SCHEMES = ("http", "https")
 IMAGE_HREF_SCHEMES = HREF_SCHEMES + ("data",)
 
+# Possessive repeats: a tag is matched in a loop, so that no number of attributes exhausts the stack.
+TAG = r"""<[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
+PIECES = rf"(?s:<!--.*?-->)|(?s:<!\[CDATA\[.*?\]\]>)|{TAG}|[^<]+|<"
 # Patterns both engines' regular expressions understand alike.
 PREFIX = r"(?:[A-Za-z_][A-Za-z0-9_.-]*:)?"
-TAG = r"""<[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
-PIECES = rf"{TAG}|[^<]+|<"
 VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
 HREF = rf"""\s{PREFIX}href\s*=\s*{VALUE}"""
 EVENT_VALUED = rf"""\s{PREFIX}(?:{"|".join(EVENT_ATTRIBUTES)})\s*=\s*{VALUE}"""
@@ -41,14 +42,40 @@ TAG_NAME = rf"^<{PREFIX}([A-Za-z_][A-Za-z0-9_.-]*)"
 HREF_VALUE = r"""=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))$"""
 
 
-def forbidden_patterns(name: str) -> tuple[str, str, str]:
-    """Self-closed, closed and unclosed forms of an element."""
-    start = rf"<{PREFIX}{name}"
-    return (
-        rf"{start}(?:\s[^>]*)?/>",
-        rf"(?s){start}(?:\s[^>]*)?>.*?</{PREFIX}{name}\s*>",
-        rf"(?s){start}(?:\s[^>]*)?>.*$",
+END_NAME = rf"^</{PREFIX}([A-Za-z_][A-Za-z0-9_.-]*)\s*>$"
+
+
+def without_forbidden(pieces: Column) -> Column:
+    """The pieces outside forbidden elements.
+
+    Inside one, only tags of its own name count, so that an element nested in its like ends with the
+    outer one; an element that is never closed reaches to the end, an end tag alone stays.
+    """
+    tag, end = (lambda p: F.regexp_extract(p, TAG_NAME, 1)), (lambda p: F.regexp_extract(p, END_NAME, 1))
+    kind = lambda p: F.when(end(p) != "", F.lit("end")).when(p.endswith("/>"), F.lit("whole")).otherwise(F.lit("start"))
+    marks = F.filter(
+        F.transform(pieces, lambda p, i: F.struct(i.alias("at"), F.concat(tag(p), end(p)).alias("name"), kind(p).alias("kind"))),
+        lambda m: m["name"].isin(*FORBIDDEN_ELEMENTS),
     )
+    kept = lambda acc, until: F.array_append(acc["kept"], F.struct(acc["since"].alias("at"), (until - acc["since"]).alias("size")))
+
+    def step(acc, m):
+        closed, own = acc["depth"] == 0, m["name"] == acc["name"]
+        change = F.when(m["kind"] == "start", 1).when(m["kind"] == "end", -1).otherwise(0)
+        depth = F.when(closed, (m["kind"] == "start").cast("int")).when(own, acc["depth"] + change).otherwise(acc["depth"])
+        opens = closed & (m["kind"] != "end")
+        ends = F.when(closed, m["kind"] == "whole").otherwise(depth == 0)
+        return F.struct(
+            F.when(closed, m["name"]).otherwise(acc["name"]).alias("name"),
+            depth.alias("depth"),
+            F.when(ends, m["at"] + 1).otherwise(acc["since"]).alias("since"),
+            F.when(opens, kept(acc, m["at"])).otherwise(acc["kept"]).alias("kept"),
+        )
+
+    none = F.expr("CAST(array() AS array<struct<at: int, size: int>>)")
+    start = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("since"), none.alias("kept"))
+    finish = lambda acc: F.when(acc["depth"] > 0, acc["kept"]).otherwise(kept(acc, F.size(pieces)))
+    return F.flatten(F.transform(F.aggregate(marks, start, step, finish), lambda k: F.slice(pieces, k["at"] + 1, k["size"])))
 
 
 def href_value(attribute: Column) -> Column:
@@ -73,13 +100,9 @@ def href_safe(tag: Column, attribute: Column) -> Column:
 def sanitize_markup(docs: DataFrame, body: str = "body") -> DataFrame:
     """Documents without forbidden elements, event handlers and unsafe links.
 
-    Textual: the body is cut into tags and text, and only tags are rewritten; a forbidden
+    Textual: the body is cut into comments, tags and text, and only tags are rewritten; a forbidden
     element that is never closed is cut to the end.
     """
-    text = F.col(body)
-    for name in FORBIDDEN_ELEMENTS:
-        for pattern in forbidden_patterns(name):
-            text = F.regexp_replace(text, pattern, "")
 
     def clean(piece: Column) -> Column:
         tag = F.regexp_extract(piece, TAG_NAME, 1)
@@ -89,18 +112,17 @@ def sanitize_markup(docs: DataFrame, body: str = "body") -> DataFrame:
             piece.rlike(r"^<[A-Za-z_]"), F.aggregate(unsafe, quiet, lambda acc, a: F.replace(acc, a, F.lit("")))
         ).otherwise(piece)
 
-    pieces = F.regexp_extract_all(F.col("_text"), F.lit(PIECES), F.lit(0))
     return (
-        docs.withColumn("_text", text)
-        .withColumn(body, F.array_join(F.transform(pieces, clean), ""))
-        .drop("_text")
+        docs.withColumn("_pieces", F.regexp_extract_all(F.col(body), F.lit(PIECES), F.lit(0)))
+        .withColumn(body, F.array_join(F.transform(without_forbidden(F.col("_pieces")), clean), ""))
+        .drop("_pieces")
     )
 
 
 def start_tags(docs: DataFrame, body: str = "body") -> DataFrame:
     """One row per start tag: doc_id, pos, tag, markup."""
     found = docs.select(
-        "doc_id", F.posexplode(F.regexp_extract_all(F.col(body), F.lit(TAG), F.lit(0))).alias("pos", "markup")
+        "doc_id", F.posexplode(F.regexp_extract_all(F.col(body), F.lit(PIECES), F.lit(0))).alias("pos", "markup")
     )
     tags = found.withColumn("tag", F.regexp_extract("markup", TAG_NAME, 1))
     return tags.filter(F.col("tag") != "").withColumn("pos", F.col("pos").cast("bigint"))

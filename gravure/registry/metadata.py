@@ -54,6 +54,11 @@ _TYPED = f"""CASE WHEN format IN ('byte', 'short', 'long') THEN CAST(CASE len(ra
   ELSE CAST({_ASCII(1)} AS BIGINT) * 16777216 + {_ASCII(2)} * 65536 + {_ASCII(3)} * 256 + {_ASCII(4)} END AS VARCHAR) ELSE raw_text END"""
 
 
+# The check engine's own forms: comments, CDATA, tags, text; start and end tags of forbidden elements.
+_PIECES = r"""(?s:<!--.*?-->|<!\[CDATA\[.*?\]\]>)|<(?:[^<>"']|"[^"]*"|'[^']*')*>|[^<]+|<"""
+_FORBIDDEN = r"^<(/?)(?:[A-Za-z_][A-Za-z0-9_.-]*:)?(script|iframe|form)(?:\s[^\x00]*|/)?>$"
+
+
 def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -79,22 +84,30 @@ def _safe_sql(tag, value):
 
 
 def _sanitize_sql():
-    text = "body"
-    for name in markup.FORBIDDEN_ELEMENTS:
-        for pattern in markup.forbidden_patterns(name):
-            text = f"regexp_replace({text}, {_q(pattern)}, '', 'g')"
     tag = f"regexp_extract(p, {_q(markup.TAG_NAME)}, 1)"
     quiet = f"regexp_replace(p, {_q(markup.EVENT_VALUED)}, '', 'g')"
     unsafe = f"list_filter(regexp_extract_all(p, {_q(markup.HREF)}), lambda a: NOT ({_safe_sql('t', _href_sql('a'))}))"
-    return f"""cut AS (SELECT doc_id, {text} AS body FROM docs),
-pcs AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS p FROM (SELECT doc_id, regexp_extract_all(body, {_q(markup.PIECES)}) AS l FROM cut)),
+    # Forbidden tags are walked one by one: name and depth of the open element after each.
+    return f"""al AS MATERIALIZED (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS p FROM (SELECT doc_id, regexp_extract_all(body, {_q(_PIECES)}) AS l FROM docs)),
+ev AS MATERIALIZED (SELECT doc_id, i, f[2] AS name, CASE WHEN f[1] = '/' THEN 'end' WHEN p LIKE '%/>' THEN 'whole' ELSE 'start' END AS kind,
+    row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM (SELECT *, [regexp_extract(p, {_q(_FORBIDDEN)}, 1), regexp_extract(p, {_q(_FORBIDDEN)}, 2)] AS f FROM al) WHERE f[2] <> ''),
+wk(doc_id, k, i, kind, name, depth, was) AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), '', '', 0, 0 FROM ev
+  UNION ALL
+  SELECT e.doc_id, e.k, e.i, e.kind, CASE WHEN w.depth > 0 THEN w.name ELSE e.name END,
+    CASE WHEN w.depth = 0 THEN CAST(e.kind = 'start' AS INTEGER) WHEN e.name <> w.name OR e.kind = 'whole' THEN w.depth
+      WHEN e.kind = 'start' THEN w.depth + 1 ELSE w.depth - 1 END, w.depth
+  FROM wk w JOIN ev e ON e.doc_id = w.doc_id AND e.k = w.k + 1),
+pcs AS (SELECT a.doc_id, a.i, a.p FROM al a ASOF LEFT JOIN wk w ON a.doc_id = w.doc_id AND a.i >= w.i
+  WHERE NOT coalesce(w.depth > 0 OR (w.i = a.i AND (w.was > 0 OR w.kind = 'whole')), false)),
 qt AS (SELECT doc_id, i, CASE WHEN regexp_matches(p, '^<[A-Za-z_]') THEN {quiet} ELSE p END AS p, {tag} AS t FROM pcs),
 un AS (SELECT doc_id, i, p, CASE WHEN regexp_matches(p, '^<[A-Za-z_]') THEN {unsafe} ELSE [] END AS u FROM qt),
 cl AS (SELECT doc_id, i, list_reduce(list_prepend(p, u), lambda acc, a: replace(acc, a, '')) AS p FROM un)
-SELECT c.doc_id, coalesce(string_agg(p, '' ORDER BY i), '') AS body FROM cut c LEFT JOIN cl USING (doc_id) GROUP BY c.doc_id"""
+SELECT c.doc_id, coalesce(string_agg(p, '' ORDER BY i), '') AS body FROM docs c LEFT JOIN cl USING (doc_id) GROUP BY c.doc_id"""
 
 
-_START = f"""st AS (SELECT doc_id, unnest(regexp_extract_all(body, {_q(markup.TAG)})) AS m FROM docs),
+_START = f"""st AS (SELECT doc_id, unnest(regexp_extract_all(body, {_q(_PIECES)})) AS m FROM docs),
 tg AS (SELECT doc_id, m, regexp_extract(m, {_q(markup.TAG_NAME)}, 1) AS tag FROM st)"""
 
 ORACLES = {
