@@ -113,7 +113,7 @@ def _b10(spark, sf):
 
 def _b14(spark, sf):
     df = _parsed(spark, sf).join(
-        table(spark, sf, "images").select("source_url", F.col("format").alias("src_format"), "bytes"), "source_url"
+        table(spark, sf, "images").select("source_url", F.col("format").alias("src_format"), "bytes"), "source_url", "left"
     )
     df = df.withColumns(
         {
@@ -790,7 +790,7 @@ SELECT image_id, CASE WHEN starts_with(u, 'https://') THEN u ELSE 'https://' ||
   CASE WHEN coalesce(option_status, url_status, ext_status) IS NOT NULL THEN 'path_parsing' WHEN source_status IS NOT NULL THEN 'security'
     WHEN p.format = 'svg' THEN 'path_parsing' WHEN req_id % 50 = 7 THEN 'queue' WHEN i.bytes > 1200000 THEN 'download'
     WHEN i.format = 'ico' THEN 'path_parsing' END AS error_category
-FROM parsed p JOIN images i USING (source_url)"""
+FROM parsed p LEFT JOIN images i USING (source_url)"""
     ),
     "b15_verify_signature": with_tables(
         "requests",
