@@ -250,6 +250,23 @@ def test_near_embeddings(spark):
     assert tile_embeddings.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_crowd_of_noisy_near_copies(spark):
+    """A third of the rows around one centre, with far more pivots drawn from it than a vector visits."""
+    rng = np.random.default_rng(4)
+    centre, noise = rng.normal(size=64), rng.normal(size=(1500, 64))
+    centre /= np.linalg.norm(centre)
+    noise -= (noise @ centre)[:, None] * centre
+    crowd = 0.96 * centre + 0.28 * noise / np.linalg.norm(noise, axis=1)[:, None]
+    some = np.concatenate([crowd, rng.normal(size=(3000, 64))])
+    unit = some / np.linalg.norm(some, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(some)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in tile_embeddings.near_embeddings(df, per_pivot=20, block=400).collect()}
+    assert all(got[i] <= n for i, n in enumerate(near.sum(axis=1)))
+    assert sum(got.values()) >= 0.9 * near.sum() > 1000
+
+
 def test_pipeline_stages(spark, sf_dir, odd):
     import corpus_pipeline
 
