@@ -15,8 +15,6 @@ from gravure.llm.words import WordTable, distinct_words, split_words
 
 #: Bytes of an n-gram; absolute discount; start and end marks of a word.
 ORDER, DISCOUNT, START, END = 5, 0.75, 2, 3
-#: n-grams rarer than this share of either class's n-grams leave the model: at most 2 / RARE stay.
-RARE = 1e-7
 #: The final scale from likelihoods to a probability is fitted on at most about this many labelled documents.
 CALIBRATION = 20_000
 #: What a text's score rests on besides the prior, see `evidence`.
@@ -205,19 +203,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = CALIBRATION) -> Mode
 
     Counts cover all of them but one fold in FOLDS (by crc32 of the id), on which the scale to a
     probability is fitted, on at most about `sample` documents chosen by hash. Several labels of one id:
-    the largest. Null ids, labels and texts teach nothing. What reaches the driver is at most 2 / RARE n-grams
-    and the sample's few numbers each. No labels: every score is one half's prior.
+    the largest. Null ids, labels and texts teach nothing. Every n-gram counted is in the model, at every size: what
+    reaches the driver grows with the different n-grams of the labelled texts (24 bytes each), besides
+    the sample's few numbers each. No labels: every score is one half's prior.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("marked")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.hint("merge")  # labels grow with the corpus: they are shuffled at every size, never broadcast
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = F.floor(remainder(F.col("doc_id"), 4 * FOLDS) / 4) == 0
     pairs = stored(gram_counts(known.where(~fold).join(marks, F.col("doc_id") == F.col("marked"))))
-    sums = pairs.agg(F.sum("toxic"), F.sum("ordinary")).first()
-    floor = [RARE * (n or 0) for n in sums]
-    # An n-gram kept for one class keeps its count in the other, or what is rare in one would look typical of the other.
-    often = ((F.col("toxic") > 0) & (F.col("toxic") >= floor[0])) | ((F.col("ordinary") > 0) & (F.col("ordinary") >= floor[1]))
-    table = pairs.where(often).toArrow()
+    table = pairs.toArrow()
     model = build(*(table.column(c).to_numpy() for c in ("gram", "toxic", "ordinary")))
     share = known.sparkSession
     count = marks.where(F.floor(remainder(F.col("marked"), 4 * FOLDS) / 4) == 0).count()

@@ -309,3 +309,13 @@ def test_evidence_and_rare_grams(spark):
         whole = sum(value[w][0] for w in words) / max(1, sum(value[w][1] for w in words))
         assert np.allclose(row, [1, whole, best[0], np.mean(best[1:4]), np.mean(best[4:8]), np.log1p(len(value))], atol=1e-4)
     assert got[1, 2] > got[3, 2]
+
+
+def test_rare_toxic_grams_stay_in_the_model(spark):
+    """An n-gram of one document counts, however many n-grams the others of its class have."""
+    long = " ".join(f"{a}{b}{c}{d}" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" for c in "abcdefghijklmnop" for d in "abcdefgh")
+    counted = next(i for i in range(2, 400, 2) if zlib.crc32(str(i).encode()) % 20 >= 4)
+    rows = [(i, long + (" zyqx" if i == counted else ""), int(i % 2 == 0)) for i in range(1, 301)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(8)
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"), sample=10)
+    assert np.isin(toxicity.grams_of(["zyqx"])[0], model.grams).all()
