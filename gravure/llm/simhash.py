@@ -106,11 +106,23 @@ def beyond(vertical: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray
     return result
 
 
-def spanning_links(values: np.ndarray, radius: int, chunk: int = 128) -> list[tuple[int, int]]:
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets (different hashes in order) is at least `similarity`."""
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    if len(few) < similarity * len(many) - 1e-9:
+        return False
+    if not len(few):
+        return True
+    common = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def spanning_links(values: np.ndarray, radius: int, chunk: int = 128, confirm=None) -> list[tuple[int, int]]:
     """Links (i, j) of a spanning forest of the rows of `values` linked within `radius`.
 
     Breadth first: reached rows are compared with those not reached yet, so each is a query once and
-    at most len(values) - 1 links come out, however many pairs are near.
+    at most len(values) - 1 links come out, however many pairs are near. Where `confirm` is given, near rows
+    i and j are linked only if confirm(i, j).
     """
     links, rest, queue = [], np.arange(len(values)), []
     while len(rest):
@@ -123,15 +135,21 @@ def spanning_links(values: np.ndarray, radius: int, chunk: int = 128) -> list[tu
         any_near = np.bitwise_or.reduce(near, axis=0)
         hit = np.flatnonzero(np.unpackbits(any_near.view(np.uint8), bitorder="little")[: len(rest)])
         if len(hit):
-            by = (near[:, hit // 64] >> (hit % 64).astype("<u8") & np.uint64(1)).argmax(axis=0)
+            linked = near[:, hit // 64] >> (hit % 64).astype("<u8") & np.uint64(1)
+            if confirm:
+                first = [next((q for q in np.flatnonzero(column) if confirm(take[q], row)), -1) for column, row in zip(linked.T, rest[hit])]
+                by = np.array(first)
+                hit, by = hit[by >= 0], by[by >= 0]
+            else:
+                by = linked.argmax(axis=0)
             links += zip(take[by].tolist(), rest[hit].tolist())
             queue += rest[hit].tolist()
             rest = np.delete(rest, hit)
     return links
 
 
-def small_links(groups: list[np.ndarray], radius: int) -> list[tuple[int, int, int]]:
-    """(group, i, j) links of spanning forests of many groups of at most 64 rows, one group per lane word."""
+def small_links(groups: list[np.ndarray], radius: int, confirm=None) -> list[tuple[int, int, int]]:
+    """(group, i, j) links of spanning forests of many groups of at most 64 rows, one group per lane word; see spanning_links."""
     if not groups:
         return []
     words = groups[0].shape[1]
@@ -160,35 +178,40 @@ def small_links(groups: list[np.ndarray], radius: int) -> list[tuple[int, int, i
             while bits:
                 low = bits & -bits
                 j, bits = q + low.bit_length(), bits ^ low
-                if j < sizes[g] and (a := top(root[g], q)) != (b := top(root[g], j)):
+                if j < sizes[g] and (a := top(root[g], q)) != (b := top(root[g], j)) and (not confirm or confirm(g, q, j)):
                     root[g][b] = a
                     links.append((g, q, j))
     return links
 
 
-def tile_links(tiles: DataFrame, radius: int) -> DataFrame:
+def tile_links(tiles: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
     """(a, b) links that join the nodes of each tile of `tiles` (tile, node) within `radius` bits.
 
-    The bits compared are those of `value` (binary) where there is one, else of the node itself.
+    The bits compared are those of `value` (binary) where there is one, else of the node itself. With a `similarity`
+    each pair must also have that Jaccard similarity of its `shingles` (binary: different hashes in order).
     """
     wide = "value" in tiles.columns
 
     def compare(batches):
-        key, nodes, values, waiting, out = None, [], [], [], []
+        key, nodes, values, sets, waiting, out = None, [], [], [], [], []
+
+        def judge(of):
+            return (lambda i, j: alike(of[i], of[j], similarity)) if similarity else None
 
         def close():
             if len(nodes) > 1:
                 rows = np.frombuffer(b"".join(values), "<u8") if wide else np.array(nodes, "<i8").view("<u8")
                 rows = rows.reshape(len(nodes), -1)
                 if len(nodes) > SMALL:
-                    out.extend((nodes[i], nodes[j]) for i, j in spanning_links(rows, radius))
+                    out.extend((nodes[i], nodes[j]) for i, j in spanning_links(rows, radius, confirm=judge(sets)))
                 else:
-                    waiting.append((nodes, rows))
+                    waiting.append((nodes, rows, sets))
             if len(waiting) >= 256:
                 flush()
 
         def flush():
-            out.extend((waiting[g][0][i], waiting[g][0][j]) for g, i, j in small_links([rows for _, rows in waiting], radius))
+            confirm = (lambda g, i, j: alike(waiting[g][2][i], waiting[g][2][j], similarity)) if similarity else None
+            out.extend((waiting[g][0][i], waiting[g][0][j]) for g, i, j in small_links([rows for _, rows, _ in waiting], radius, confirm))
             waiting.clear()
 
         def batch():
@@ -197,13 +220,15 @@ def tile_links(tiles: DataFrame, radius: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
         for part in batches:
-            for tile, node, value in zip(*(part.column(c).to_pylist() for c in ("tile", "node", "value" if wide else "node"))):
+            for tile, node, value, shingles in zip(*(part.column(c).to_pylist() for c in ("tile", "node", "value" if wide else "node", "shingles" if similarity else "node"))):
                 if tile != key:
                     close()
-                    key, nodes, values = tile, [], []
+                    key, nodes, values, sets = tile, [], [], []
                 if not nodes or nodes[-1] != node:
                     nodes.append(node)
                     values.append(value)
+                    if similarity:
+                        sets.append(np.frombuffer(shingles, "<u8"))
             if len(out) > 50_000:
                 yield batch()
         close()
@@ -306,19 +331,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Sketcher:
-    """A wide SimHash of a text's distinct shingles, and keys of which similar texts share some."""
+    """A wide SimHash of a text's distinct shingles, keys of which similar texts share some, and the shingles' hashes in order."""
 
     def __init__(self, width: int):
         self.width = width
         self.seeds = _mixed(np.arange(1, WORDS + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15))
         self.factors = _mixed(np.arange(100, 100 + BANDS * ROWS, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-    def __call__(self, text: str) -> tuple[bytes, list[int]]:
+    def __call__(self, text: str) -> tuple[bytes, list[int], bytes]:
         words = text.encode().lower().split()
         if not words:
-            return bytes(8 * WORDS), [0]
+            return bytes(8 * WORDS), [0], b""
         shingles = set(map(b" ".join, zip(*(words[i:] for i in range(self.width))))) or {b" ".join(words)}
-        base = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], "<u8")
+        base = np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], "<u8"))
         least = np.full(BANDS * ROWS, FULL, "<u8")
         count = np.zeros(64 * WORDS, np.int64)
         for start in range(0, len(base), 4096):
@@ -327,41 +352,45 @@ class Sketcher:
             count += bit_counts(_mixed(part ^ self.seeds))
         keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
         value = np.packbits(count * 2 > len(base), bitorder="little").tobytes()
-        return value, np.array(keys, "<u8").view("<i8").tolist()
+        return value, np.array(keys, "<u8").view("<i8").tolist(), base.tobytes()
 
 
 def reach(similarity: float) -> int:
     """Differing bits of 64 * WORDS within which texts of a Jaccard similarity of at least `similarity` fall.
 
     Sets of that similarity have a cosine of 2s / (1 + s) and differ in acos / pi of the bits on average;
-    two deviations more are allowed.
+    five deviations more are allowed: the bits are a filter that loses nothing, not the decision.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * WORDS * share + 2 * np.sqrt(64 * WORDS * share * (1 - share)))
+    return int(64 * WORDS * share + 5 * np.sqrt(64 * WORDS * share * (1 - share)))
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id per row of `docs` (doc_id, text): texts of that similarity are linked.
 
-    Similarity is that of the sets of `width`-word shingles (words and case as in near_duplicates), judged
-    by SimHashes of 64 * WORDS bits within reach(similarity). A radius of that many bits is beyond
+    Similarity is that of the sets of `width`-word shingles (words and case as in near_duplicates), as
+    64-bit hashes. Pairs whose SimHashes of 64 * WORDS bits are within reach(similarity) are compared exactly. A radius of that many bits is beyond
     pigeonhole keys, so candidates share one of BANDS keys of ROWS least shingle hashes each
-    (1 - (1 - s^ROWS)^BANDS: over 0.9999 at 0.8); every candidate pair's distance is then bit-sliced.
+    (1 - (1 - s^ROWS)^BANDS: over 0.9999 at 0.8); every candidate pair's distance is then bit-sliced, and
+    those left are linked if the sets' Jaccard similarity is high enough.
     Nulls, repeats, empty and very long texts as in near_duplicates: texts without words are alike.
     """
 
     def run(batches):
         sketch = Sketcher(width)
         for part in slices(batches, "text"):
-            found = [sketch(t) for t in texts(part).to_pylist()]
-            arrays = [part.column("doc_id"), pa.array([v for v, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "value", "keys"])
+            value, keys, shingles = zip(*(sketch(t) for t in texts(part).to_pylist()))
+            arrays = [part.column("doc_id"), pa.array(value, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(shingles, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "value", "keys", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = rows.mapInArrow(run, "doc_id long, value binary, keys array<long>")
-    marked = stored(marked.withColumn("node", F.xxhash64("value", F.array_sort("keys"))))
-    distinct = stored(marked.groupBy("node").agg(F.first("value").alias("value"), F.first("keys").alias("keys")))
-    tiles = in_tiles(distinct.select("node", F.explode("keys").alias("key")))
-    valued = tiles.join(distinct.select(F.col("node").alias("of"), "value"), F.col("node") == F.col("of")).select("tile", "node", "value")
-    named = smallest_ids(marked, tile_links(valued, reach(similarity)))
-    return marked.join(named.withColumnRenamed("value", "at"), F.col("node") == F.col("at")).select("doc_id", "component_id")
+    marked = rows.mapInArrow(run, "doc_id long, value binary, keys array<long>, shingles binary")
+    marked = stored(marked.withColumn("node", F.xxhash64("shingles")))
+    distinct = marked.select("node", "keys").groupBy("node").agg(F.first("keys").alias("keys"))
+    tiles = stored(in_tiles(distinct.select("node", F.explode("keys").alias("key"))))
+    # only what meets others in a tile brings its shingles along
+    met = marked.select("node", "value", "shingles").join(tiles.select("node").distinct(), "node", "left_semi")
+    met = stored(met.groupBy(F.col("node").alias("of")).agg(F.first("value").alias("value"), F.first("shingles").alias("shingles")))
+    valued = tiles.join(met, F.col("node") == F.col("of")).select("tile", "node", "value", "shingles")
+    named = smallest_ids(marked.select("doc_id", "node"), tile_links(valued, reach(similarity), similarity))
+    return marked.select("doc_id", "node").join(named.withColumnRenamed("value", "at"), F.col("node") == F.col("at")).select("doc_id", "component_id")

@@ -229,6 +229,25 @@ def test_similar_documents(spark, odd, nothing):
     assert simhash.similar_documents(odd).count() == len(ODD) + 2 and simhash.similar_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("crowd", (3, 30))
+def test_similar_documents_just_above_and_below(spark, crowd):
+    """Groups of copies with a few changed words, most pairs from a similarity of 0.7 to 0.9, against exact Jaccard."""
+    rng = np.random.default_rng(crowd)
+    rows = []
+    for i in range(240 // crowd):
+        base = [f"w{i}_{k}" for k in range(300)]
+        for changes in rng.integers(0, 11, crowd):
+            words = list(base)
+            for at in rng.integers(0, 300, changes):
+                words[at] = f"c{rng.integers(0, 1 << 40)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for _, t in rows]
+    near = [(i, j) for j in range(len(rows)) for i in range(j - j % crowd, j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert [got[i] for i in range(len(rows))] == pairs_roots(list(range(len(rows))), near)
+
+
 def test_near_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 16))
