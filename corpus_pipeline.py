@@ -11,8 +11,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark, docs, sf_dir):
-    """Documents in one of the languages of the corpus; those without any letter or text go."""
+    """Documents in one of the languages of the corpus; those without any letter or text go, no others where nothing was learned."""
     model = ppm_language.train(docs)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}")).select(*COLUMNS)
     known = ppm_language.identify(docs.select(*COLUMNS), model, COLUMNS)
     return known.where(F.col("lang_pred") != ppm_language.UNKNOWN).select(*COLUMNS)
 

@@ -338,3 +338,11 @@ def test_rare_toxic_grams_stay_in_the_model(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(8)
     model = toxicity.train(docs, docs.select("doc_id", "toxic"), sample=10)
     assert np.isin(toxicity.grams_of(["zyqx"])[0], model.grams).all()
+
+
+def test_language_stage_without_any_label_keeps_texts_with_letters(spark):
+    import corpus_pipeline
+
+    rows = [(1, "clean text", None, "s", 10), (2, "12 34", None, "s", 5), (3, None, None, "s", 0), (4, "Größe", None, "s", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, df, None).collect()) == [1, 4]
