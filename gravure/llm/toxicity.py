@@ -19,7 +19,7 @@ ORDER, DISCOUNT, START, END = 5, 0.75, 2, 3
 CALIBRATION = 20_000
 #: What a text's score rests on besides the prior, see `evidence`.
 EVIDENCE = ("whole", "first", "next", "more", "words")
-#: One in FOLDS of the learning documents is kept out of the counts for that fit.
+#: One in FOLDS of the learning documents is kept out of the counts until that fit is done.
 FOLDS = 5
 
 
@@ -198,11 +198,16 @@ def _measure(held, rows: DataFrame) -> DataFrame:
     return rows.select("toxic", "text").mapInArrow(run, ", ".join(["toxic int", *(f"{name} double" for name in EVIDENCE)]))
 
 
+def _built(pairs: DataFrame) -> Model:
+    table = pairs.toArrow()
+    return build(*(table.column(c).to_numpy() for c in ("gram", "toxic", "ordinary")))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = CALIBRATION) -> Model:
     """A model of the rows of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks 0 or 1.
 
-    Counts cover all of them but one fold in FOLDS (by crc32 of the id), on which the scale to a
-    probability is fitted, on at most about `sample` documents chosen by hash. Several labels of one id:
+    The scale to a probability is fitted on one fold in FOLDS (by crc32 of the id), on at most about `sample`
+    documents chosen by hash, with the counts of the others; then that whole fold is counted too. Several labels of one id:
     the largest. Null ids, labels and texts teach nothing. Every n-gram counted is in the model, at every size: what
     reaches the driver grows with the different n-grams of the labelled texts (24 bytes each), besides
     the sample's few numbers each. No labels: every score is one half's prior.
@@ -212,8 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = CALIBRATION) -> Mode
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = F.floor(remainder(F.col("doc_id"), 4 * FOLDS) / 4) == 0
     pairs = stored(gram_counts(known.where(~fold).join(marks, F.col("doc_id") == F.col("marked"))))
-    table = pairs.toArrow()
-    model = build(*(table.column(c).to_numpy() for c in ("gram", "toxic", "ordinary")))
+    model = _built(pairs)
     share = known.sparkSession
     count = marks.where(F.floor(remainder(F.col("marked"), 4 * FOLDS) / 4) == 0).count()
     part = min(1.0, sample / max(1, count))
@@ -221,8 +225,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = CALIBRATION) -> Mode
     rows = known.where(fold & chosen).join(marks, F.col("doc_id") == F.col("marked"))
     measured = _measure(share.sparkContext.broadcast(model), rows).toArrow()
     features = np.stack([np.ones(len(measured)), *(measured.column(c).to_numpy() for c in EVIDENCE)], axis=1)
-    model.weights = fit(features, measured.column("toxic").to_numpy().astype(float))
-    return model
+    held = gram_counts(known.where(fold).join(marks, F.col("doc_id") == F.col("marked")))
+    whole = _built(pairs.union(held).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    whole.weights = fit(features, measured.column("toxic").to_numpy().astype(float))
+    return whole
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:

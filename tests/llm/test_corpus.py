@@ -346,3 +346,11 @@ def test_language_stage_without_any_label_keeps_texts_with_letters(spark):
     rows = [(1, "clean text", None, "s", 10), (2, "12 34", None, "s", 5), (3, None, None, "s", 0), (4, "Größe", None, "s", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, df, None).collect()) == [1, 4]
+
+
+def test_documents_of_the_fit_are_counted(spark):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 20 < 4]
+    rows = [(i, f"plain words {'zyqx' if i in held else 'kind'}", i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"), sample=10)
+    assert np.isin(toxicity.grams_of(["zyqx"])[0], model.grams).all()
