@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gravure.llm import binary_packing, fit_packing, imatch, line_dedup, piece_bpe, ppm_language, simhash, tile_embeddings, token_counts, toxicity
+from gravure.llm import additive_quality, binary_packing, fit_packing, imatch, line_dedup, piece_bpe, ppm_language, resampling, simhash, spelling, tile_embeddings, token_counts, toxicity
 from gravure.llm.common import remainder, table
 
 
@@ -64,6 +64,23 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_resampling(spark, sf_dir):
+    """A tenth of all documents with 20 words or more, drawn to resemble the benchmark texts, with ranks."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_additive_quality(spark, sf_dir):
+    """Quality of all documents, learned from labelled ones whose crc32 modulo 4 is not 2."""
+    rated = additive_quality.rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), additive_quality.learning_ids())
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return rated.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op13_spelling(spark, sf_dir):
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -75,7 +92,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_imatch, op2_line_dedup, op3_token_counts, op4_fit_packing, op5_ppm_language,
-        op6_simhash, op7_piece_bpe, op8_tile_embeddings, op9_binary_packing, op10_toxicity, pipeline,
+        op6_simhash, op7_piece_bpe, op8_tile_embeddings, op9_binary_packing, op10_toxicity, op11_resampling, op12_additive_quality, op13_spelling, pipeline,
     )
 }
-ORACLES = {"op2_line_dedup": line_dedup.SQL}
+ORACLES = {"op2_line_dedup": line_dedup.SQL, "op11_resampling": resampling.SQL, "op13_spelling": spelling.SQL}
