@@ -42,10 +42,11 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 2, path: str | Non
     names = [f.split()[0] for f in fields.split(", ")]
 
     def cut(batches):
+        coder = word_ids.WordIds(where)
         for part in slices(batches, "text"):
             keys = part.column("doc_id").to_pylist()
             out = [[] for _ in names]
-            for key, row in zip(keys, word_ids.with_end(texts(part), where, end_id)):
+            for key, row in zip(keys, coder.with_end(texts(part), end_id)):
                 data, start = memoryview(row.astype("<u4").tobytes()), 0
                 for length in binary_lengths(len(row), window):
                     piece = data[4 * start : 4 * (start + length)]

@@ -81,7 +81,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 2, pad_id: int = 0
     The shards' number follows from the bytes of text, so that a group of copies or one source, however
     large, is dealt over all of them; equal rows are told apart by a running number. Null and empty texts
     are the single id end_id; null doc_ids stay null; an empty table gives no rows; columns besides doc_id
-    and text are ignored. One very long document is packed by one task.
+    and text are ignored. One very long document is packed by one task. Ids beyond 65 535 raise an error.
     """
     where = path or word_ids.default_path()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -89,15 +89,9 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 2, pad_id: int = 0
     shards = max(1, -(-total // shard_bytes))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)))
 
-    def fill(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending")])
-        pieces, owners, starts = [], [], []
-        for batch in slices(table.combine_chunks().to_batches(), "text"):
-            for owner, ids in zip(batch.column("doc_id").to_pylist(), word_ids.with_end(texts(batch), where, end_id)):
-                for start in range(0, len(ids), window):
-                    pieces.append(ids[start : start + window])
-                    owners.append(owner)
-                    starts.append(start)
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+
+    def packed(shard: int, pieces: list, owners: list, starts: list) -> pa.RecordBatch:
         bins = best_fit([len(p) for p in pieces], window)
         members: list[list[int]] = [[] for _ in range(max(bins, default=-1) + 1)]
         for piece, number in enumerate(bins):
@@ -112,10 +106,26 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 2, pad_id: int = 0
                 column.append(value)
         n = len(members)
         kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-        arrays = [pa.array([key[0].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64())] + [pa.array(v, k) for v, k in zip(out[1:], kinds)]
-        return pa.Table.from_arrays(arrays, names=[f.split()[0] for f in FIELDS.split(", ")])
+        arrays = [pa.array([shard] * n, pa.int64()), pa.array(range(n), pa.int64())] + [pa.array(v, k) for v, k in zip(out[1:], kinds)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def fill(batches):
+        coder, shard, rows = word_ids.WordIds(where), None, ([], [], [])
+        for batch in slices(batches, "text"):
+            for number, owner, ids in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), coder.with_end(texts(batch), end_id)):
+                if number != shard and rows[0]:
+                    yield packed(shard, *rows)
+                    rows = ([], [], [])
+                shard = number
+                if ids.max() > 65_535:
+                    raise ValueError("ids of this vocabulary need more than 16 bits")
+                for start in range(0, len(ids), window):
+                    for column, value in zip(rows, (ids[start : start + window].astype("<u2"), owner, start)):
+                        column.append(value)
+        if rows[0]:
+            yield packed(shard, *rows)
 
-    return dealt.groupBy("shard").applyInArrow(fill, FIELDS)
+    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(fill, FIELDS)
 
 
 def matrix(rows, window: int = WINDOW) -> np.ndarray:

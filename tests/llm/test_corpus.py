@@ -61,9 +61,13 @@ def test_word_ids_equal_the_library():
     path = word_ids.default_path()
     whole = Tokenizer.from_file(path)
     texts = [t or "" for t in ODD] + ["LL's İ \x1c \x85 ²½", "á ­"]
-    flat, bounds = word_ids.document_ids(pa.array(texts), path)
-    for text, a, b in zip(texts, bounds[:-1], bounds[1:]):
-        assert flat[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids
+    texts += ["A'B it's 'tis", "x<|y <|startoftext|>", "ÀÉÞß×÷ªº²¼µ", "a\u00a0b \u00adc", "A\u030a I\u0307 \x7f", "\U0001f600Ab,c-D..9,10", "end", "", "Start"]
+    for kept in (word_ids.KEPT, 20):  # a table that is full again and again gives the same ids
+        coder = word_ids.WordIds(path, kept)
+        for part in (texts, texts[::-1], texts[3:9]):
+            flat, bounds = coder.document_ids(pa.array(part))
+            for text, a, b in zip(part, bounds[:-1], bounds[1:]):
+                assert flat[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_fingerprints_of_edited_texts(odd, nothing, docs):
