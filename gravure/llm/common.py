@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,14 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(1)
+def local_folder() -> str:
+    return tempfile.mkdtemp(prefix="gravure-llm-")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; set to a local folder only where unset in local mode."""
+    """A new path in the shared folder of spark.checkpoint.dir; a local folder only where unset in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="gravure-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = local_folder()
     return f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -60,8 +65,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """A text column with empty texts for nulls."""
     return pc.fill_null(batch.column(column), "")
-
-
-def parts(df: DataFrame, rows: int) -> int:
-    """Shuffle partitions for about `rows` rows each, never fewer than the session asks for."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows)

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from gravure.llm.common import remainder, slices, stored, texts
 
 ORDER = 3
-#: Contexts and n-grams rarer than this share of a language's bytes leave its tree, so that a tree has at
-#: most 1 / RARE contexts of each order and 1 / RARE_GRAM leaves, however large the corpus.
-RARE, RARE_GRAM = 5e-5, 5e-7
+#: Byte n-grams that occur less often in a language are left out of its tree, at every size of the corpus.
+LEAST = 2
+#: Bytes of texts that are scored together.
+SLICE = 2 << 20
 UNKNOWN = "und"
 
 
@@ -48,147 +49,157 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Tree:
+    """One language's context tree, as sorted arrays: of each order the n-grams seen and the contexts seen.
+
+    An n-gram is its bytes as a number, the symbol last; its context is that number without the symbol. In a
+    context the symbols seen there share total / (total + distinct), the rest escapes with
+    distinct / (total + distinct) to the context without its oldest byte, where the symbols already seen are
+    excluded; at last to equal shares of the bytes never seen. What is seen in a longer context is seen in
+    its shorter ones, too, so what is excluded depends on the longer context alone: `start` holds the bits of a
+    context's own total and escape, `below` those of the next shorter one without this one's symbols.
+    """
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        self.grams, self.counts, self.contexts, self.totals, self.kinds = [], [], [], [], []
+        for order in range(ORDER + 1):
+            found, row = np.unique(grams & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            count = np.bincount(row, weights=n, minlength=len(found))
+            keys, of = np.unique(found >> 8, return_inverse=True)
+            self.grams.append(found)
+            self.counts.append(count)
+            self.contexts.append(keys)
+            self.totals.append(np.bincount(of, weights=count, minlength=len(keys)))
+            self.kinds.append(np.bincount(of, minlength=len(keys)))
+        self.start, self.below = [], []
+        for order in range(ORDER + 1):
+            total, kinds = self.totals[order], self.kinds[order]
+            self.start.append(self.bits(total, kinds))
+            if order:
+                lower = self.counts[order - 1][np.searchsorted(self.grams[order - 1], self.grams[order] & ((1 << 8 * order) - 1))]
+                of = np.searchsorted(self.contexts[order], self.grams[order] >> 8)
+                excluded = np.bincount(of, weights=lower, minlength=len(total))
+                at = np.searchsorted(self.contexts[order - 1], self.contexts[order] & ((1 << 8 * (order - 1)) - 1))
+                self.below.append(self.bits(self.totals[order - 1][at] - excluded, self.kinds[order - 1][at] - kinds))
+            else:
+                unseen = np.log2(np.maximum(256 - kinds, 1))
+                self.below.append((unseen, unseen))
+
+    @staticmethod
+    def bits(total: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of total + kinds, and of an escape; no symbol left costs nothing."""
+        whole = np.log2(np.maximum(total + kinds, 1))
+        return whole, np.where(kinds > 0, whole - np.log2(np.maximum(kinds, 1)), 0.0)
+
+    def code(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each n-gram of ORDER + 1 bytes after the ones before."""
+        out, waiting = np.zeros(len(grams)), np.arange(len(grams))
+        whole, escape = np.zeros(len(grams)), np.zeros(len(grams))
+        begun = np.zeros(len(grams), bool)
+        for order in range(ORDER, -1, -1):
+            if not len(self.grams[order]):
+                continue
+            own = grams[waiting] & ((1 << 8 * (order + 1)) - 1)
+            context = np.minimum(np.searchsorted(self.contexts[order], own >> 8), len(self.contexts[order]) - 1)
+            known = self.contexts[order][context] == own >> 8
+            first = known & ~begun[waiting]
+            whole[waiting[first]], escape[waiting[first]] = self.start[order][0][context[first]], self.start[order][1][context[first]]
+            begun[waiting[first]] = True
+            at = np.minimum(np.searchsorted(self.grams[order], own), len(self.grams[order]) - 1)
+            seen = self.grams[order][at] == own
+            hit = waiting[seen]
+            out[hit] += whole[hit] - np.log2(self.counts[order][at[seen]])
+            missed, context = waiting[~seen & known], context[~seen & known]
+            out[missed] += escape[missed]
+            whole[missed], escape[missed] = self.below[order][0][context], self.below[order][1][context]
+            waiting = waiting[~seen]
+        left = waiting[begun[waiting]]
+        out[left] += whole[left]
+        out[waiting[~begun[waiting]]] += 8
+        return out
+
+
 @dataclass
 class Model:
-    """Code lengths in bits: bits[node, byte class, language]; node[c1, c2, c3] is the context's node."""
+    """Trees of all languages, and the bits of each one's share of the documents."""
 
     langs: list[str]
-    classes: np.ndarray
-    node: np.ndarray
-    bits: np.ndarray
+    trees: list[Tree]
     prior: np.ndarray
 
-    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Best language's number and its share of the posterior for each text."""
+    def lengths(self, column: pa.Array) -> np.ndarray:
+        """Exact code lengths in bits of each text under each language; different n-grams are coded once."""
         data, starts, ends = joined(column)
-        cls, width = self.classes[data].astype(np.int32), self.bits.shape[1]
-        code = (cls[:-3] * width + cls[1:-2]) * width + cls[2:-1]
-        at = self.node[code].astype(np.int64) * width + cls[ORDER:]
-        sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.bits.reshape(-1, len(self.langs))[at], axis=0, dtype=np.float64)])
-        total = sums[np.maximum(ends - ORDER, 0)] - sums[np.maximum(starts - ORDER, 0)] + self.prior
+        grams = data.astype(np.uint32)
+        for step in range(1, ORDER + 1):
+            grams[step:] |= data[:-step].astype(np.uint32) << np.uint32(8 * step)
+        coded = pa.array(grams).dictionary_encode()
+        different, index = coded.dictionary.to_numpy().astype(np.int64), coded.indices.to_numpy()
+        out = np.empty((len(column), len(self.trees)))
+        for k, tree in enumerate(self.trees):
+            sums = np.concatenate([[0.0], np.cumsum(tree.code(different)[index])])
+            out[:, k] = sums[ends] - sums[starts]
+        return out
+
+    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language's number, its share of the posterior and its bits a byte for each text."""
+        lengths = self.lengths(column)
+        total = lengths + self.prior
         best = total.argmin(axis=1)
         share = 1 / np.exp2(np.maximum(total.min(axis=1, keepdims=True) - total, -1000)).sum(axis=1)
-        return best, share
+        size = np.maximum(pc.binary_length(column).to_numpy(zero_copy_only=False), 1)
+        return best, share, lengths[np.arange(len(best)), best] / size
 
 
 def build(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], documents: dict[str, int]) -> Model:
-    """Context trees of all languages as one table of exact code lengths.
-
-    For each language and context the symbols seen there share total / (total + distinct); the rest
-    escapes with distinct / (total + distinct) to the next shorter context of the tree without the
-    symbols already seen (exclusion), at last to equal shares of the bytes left.
-    """
-    seen = np.zeros(256, bool)
-    for grams, _ in counts.values():
-        for shift in (0, 8, 16, 24):
-            seen[np.unique(grams >> shift & 255)] = True
-    seen[0] = True
-    classes = np.zeros(256, np.int16)
-    classes[seen] = np.arange(1, seen.sum() + 1)  # class 0: bytes never seen
-    width = int(seen.sum()) + 1
-    unseen = max(1, 256 - int(seen.sum()))
-    trees, kept = [], [set(), set(), set()]
-    for name in langs:
-        grams, n = counts[name]
-        total = n.sum()
-        ok = n >= RARE_GRAM * total
-        grams, n = grams[ok], n[ok]
-        symbol = classes[grams & 255].astype(np.int64)
-        context, tree = np.zeros(len(grams), np.int64), []
-        for order in range(ORDER + 1):
-            if order:
-                context = context + classes[grams >> 8 * order & 255] * width ** (order - 1)
-            keys, row = np.unique(context, return_inverse=True)
-            table = np.bincount(row * width + symbol, weights=n, minlength=len(keys) * width).reshape(len(keys), width)
-            often = table.sum(axis=1) >= RARE * total
-            often |= order == 0
-            tree.append((keys[often], table[often].astype(np.float32)))
-            if order:
-                kept[order - 1].update(keys[often].tolist())
-        trees.append(tree)
-    node = np.zeros((width, width, width), np.int32)
-    nodes = [np.zeros(1, np.int64)] + [np.array(sorted(k), np.int64) for k in kept]
-    orders = np.concatenate([np.full(len(k), o) for o, k in enumerate(nodes)])
-    contexts, number = np.concatenate(nodes), 1
-    for order in (1, 2, 3):
-        for key in nodes[order].tolist():
-            last, middle, oldest = key % width, key // width % width, key // width**2
-            where = (slice(None), slice(None), last) if order == 1 else (slice(None), middle, last) if order == 2 else (oldest, middle, last)
-            node[where] = number
-            number += 1
-    bits = np.empty((len(contexts), width, len(langs)), np.float32)
-    for which, tree in enumerate(trees):
-        for start in range(0, len(contexts), 8192):
-            part, order_of = contexts[start : start + 8192], orders[start : start + 8192]
-            chance = np.zeros((len(part), width))
-            escape, used = np.ones(len(part)), np.zeros((len(part), width), bool)
-            for order in range(ORDER, -1, -1):
-                keys, table = tree[order]
-                if not len(keys):
-                    continue
-                suffix = part % width**order
-                at = np.minimum(np.searchsorted(keys, suffix), len(keys) - 1)
-                has = (keys[at] == suffix) & (order_of >= order)
-                count = np.where(used | ~has[:, None], 0, table[at])
-                total, distinct = count.sum(axis=1), (count > 0).sum(axis=1)
-                base = np.maximum(total + distinct, 1)
-                chance += np.where(count > 0, escape[:, None] * count / base[:, None], 0)
-                escape *= np.where(distinct > 0, distinct / base, 1)
-                used |= count > 0
-            weight = np.ones(width)
-            weight[0] = unseen
-            left = np.where(used, 0, weight)
-            chance += escape[:, None] * left / np.maximum(left.sum(axis=1, keepdims=True), 1)
-            chance[:, 0] /= unseen
-            bits[start : start + 8192, :, which] = -np.log2(np.maximum(chance, 1e-300))
     share = np.array([documents[name] for name in langs], float)
-    return Model(langs, classes, node.reshape(-1), bits, -np.log2(share / share.sum()))
+    return Model(langs, [Tree(*counts[name]) for name in langs], -np.log2(share / share.sum()))
 
 
 def train(docs: DataFrame) -> Model | None:
     """A model of all rows of `docs` (text, lang) that have both; None where there are none.
 
-    Counts are summed by Spark over all bytes; what reaches the driver is one number per language and
-    kept n-gram, at most 1 / RARE_GRAM per language. The frozen model goes to the tasks by broadcast.
+    Counts are summed by Spark over all bytes; what reaches the driver, and by broadcast the tasks, is one
+    number per language and n-gram of ORDER + 1 bytes that occurs LEAST times or more: it grows with the
+    corpus as its different n-grams do, about 60 bytes each. A language without any such n-gram codes
+    every byte in 8 bits.
     """
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     documents = {row["lang"]: row["n"] for row in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not documents:
         return None
     grams = stored(gram_counts(docs))
-    totals = {row["lang"]: row["n"] for row in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     counts = {}
     for name in documents:
-        own = grams.where((F.col("lang") == name) & (F.col("n") >= RARE_GRAM * totals.get(name, 0))).select("gram", "n").toArrow()
-        counts[name] = own.column("gram").to_numpy(), own.column("n").to_numpy()
+        own = grams.where((F.col("lang") == name) & (F.col("n") >= LEAST)).select("gram", "n").toArrow()
+        counts[name] = own.column("gram").to_numpy(), own.column("n").to_numpy().astype(float)
     return build(sorted(documents), counts, documents)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, lang_pred and score for each row of `docs` (text).
+    """The columns `keep`, lang_pred, score and bits for each row of `docs` (text).
 
     lang_pred is the language that codes the whole text in the fewest bits (plus those of its share of
-    the training documents), score its posterior share. Null texts and texts without a letter are `und`
-    with score 0, as is every text where nothing was learned. Repeated rows, empty tables and extra columns
+    the training documents), score its posterior share, bits its code length per byte. Null texts and texts without a letter are `und`
+    with score 0 and bits null, as is every text where nothing was learned. Repeated rows, empty tables and extra columns
     need no care: rows are scored one by one where they are, and only `keep` is passed on. Very long texts
     take memory in proportion to their length.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("bits", "double")
     passed = [f"_{i}" for i in range(len(keep))]
 
     def run(batches):
         model = held.value
-        for part in slices(batches, "_text", 1 << 19):
+        for part in slices(batches, "_text", SLICE):
             column = texts(part, "_text")
             known = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False)
-            names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+            names, scores, bits = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.full(part.num_rows, np.nan)
             if model and known.any():
-                best, share = model.score(column.filter(pa.array(known)))
-                scores[known] = share
+                best, scores[known], bits[known] = model.score(column.filter(pa.array(known)))
                 for at, k in zip(np.flatnonzero(known), best):
                     names[at] = model.langs[k]
-            arrays = [part.column(c) for c in passed] + [pa.array(names, pa.string()), pa.array(scores)]
+            arrays = [part.column(c) for c in passed] + [pa.array(names, pa.string()), pa.array(scores), pa.array(bits, from_pandas=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     columns = [F.col(c).alias(p) for c, p in zip(keep, passed)]
@@ -198,3 +209,21 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 def training_part(docs: DataFrame, divisor: int = 3, held_out: int = 1) -> DataFrame:
     """Rows whose crc32(doc_id) modulo `divisor` is known and is not `held_out`."""
     return docs.where(remainder(F.col("doc_id"), divisor) != held_out)
+
+
+def usual_bits(docs: DataFrame, model: Model) -> dict[str, float]:
+    """Mean code length per byte of each learned language over rows of `docs` (text, lang) that it was not learned from."""
+    own = identify(docs.where("lang IS NOT NULL").select("lang", "text"), model, ("lang",)).where("bits IS NOT NULL AND lang = lang_pred")
+    return {row["lang"]: row["bits"] for row in own.groupBy("lang").agg(F.avg("bits").alias("bits")).collect()}
+
+
+def strange(usual: dict[str, float], factor: float = 3.0, slack: float = 256.0):
+    """Whether a text (text, lang_pred, bits) needs over `factor` times its language's usual bits, and `slack` bits more.
+
+    The slack keeps short texts of numbers and names; a language without a measure rejects nothing.
+    """
+    if not usual:
+        return F.lit(False)
+    own = F.element_at(F.create_map(*[F.lit(x) for pair in usual.items() for x in pair]), F.col("lang_pred"))
+    size = F.octet_length(F.col("text").cast("string"))
+    return F.coalesce(F.col("bits") * size > factor * own * size + slack, F.lit(False))

@@ -19,6 +19,8 @@ FULL = np.uint64(2**64 - 1)
 WORDS, BANDS, ROWS = 32, 14, 3
 #: Largest bucket that one task compares whole; larger ones are cut into tiles of two blocks of this size.
 BLOCK = 4096
+#: Bytes of shingle hashes of a block.
+BLOCK_BYTES = 32 << 20
 #: Buckets up to this size are compared side by side, one bucket in each 64-bit word.
 SMALL = 16
 
@@ -242,11 +244,12 @@ def tile_links(tiles: DataFrame, radius: int, similarity: float | None = None) -
 def in_tiles(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
     """(tile, node) of `keyed` (key, node) for keys with more than one node.
 
-    Keys with more than `block` nodes are cut into blocks by hash, and each pair of blocks is a tile of its
+    Keys with more than `block` nodes, or more than BLOCK_BYTES of them where `keyed` has `bytes`, are cut into blocks by hash, and each pair of blocks is a tile of its
     own, so that any two nodes of a key meet in one tile and no task holds a hot key.
     """
-    sizes = stored(keyed.groupBy("key").count().where("count > 1").withColumnRenamed("key", "at"))
-    blocks = F.ceil(F.col("count") / block).cast("int")
+    weight = F.sum("bytes" if "bytes" in keyed.columns else F.lit(0)).alias("weight")
+    sizes = stored(keyed.groupBy(F.col("key").alias("at")).agg(F.count(F.lit(1)).alias("count"), weight).where("count > 1"))
+    blocks = F.greatest(F.ceil(F.col("count") / block), F.ceil(F.col("weight") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
     pairs = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(own, o) AS i, greatest(own, o) AS j))")
     met = keyed.join(sizes, F.col("key") == F.col("at")).select("node", "key", blocks.alias("blocks"), own.alias("own"))
@@ -386,8 +389,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marked = rows.mapInArrow(run, "doc_id long, value binary, keys array<long>, shingles binary")
     marked = stored(marked.withColumn("node", F.xxhash64("shingles")))
-    distinct = marked.select("node", "keys").groupBy("node").agg(F.first("keys").alias("keys"))
-    tiles = stored(in_tiles(distinct.select("node", F.explode("keys").alias("key"))))
+    distinct = marked.select("node", "keys", F.octet_length("shingles").alias("bytes")).groupBy("node").agg(F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
+    tiles = stored(in_tiles(distinct.select("node", "bytes", F.explode("keys").alias("key"))))
     # only what meets others in a tile brings its shingles along
     met = marked.select("node", "value", "shingles").join(tiles.select("node").distinct(), "node", "left_semi")
     met = stored(met.groupBy(F.col("node").alias("of")).agg(F.first("value").alias("value"), F.first("shingles").alias("shingles")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-from gravure.llm import binary_packing, common, components, fit_packing, imatch, line_dedup, piece_bpe, ppm_language, simhash, tile_embeddings, token_counts, toxicity, word_ids
+from gravure.llm import additive_quality, binary_packing, common, components, fit_packing, imatch, line_dedup, piece_bpe, ppm_language, resampling, simhash, spelling, tile_embeddings, token_counts, toxicity, word_ids
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, `group` int, n_tokens string"
 WORDS = "the quick brown fox jumps over a lazy dog and then some other words follow in this line of text".split()
@@ -174,10 +176,47 @@ def test_language_on_held_out_documents(spark, docs, odd, nothing):
     assert all(0 <= r["score"] <= 1 for r in found.values())
     assert ppm_language.train(nothing) is None and ppm_language.identify(nothing, None).count() == 0
     assert {r["lang_pred"] for r in ppm_language.identify(odd, None).collect()} == {"und"}
-    # code lengths are those of a probability: each context's chances sum to one over bytes seen and unseen
-    chance = np.exp2(-model.bits.astype(float))
-    weight = np.r_[256 - (model.bits.shape[1] - 1), np.ones(model.bits.shape[1] - 1)]
-    assert np.allclose((chance * weight[None, :, None]).sum(axis=1), 1, atol=1e-3)
+    assert all((r["bits"] is None) == (r["lang_pred"] == "und") for r in found.values())
+
+
+def plain_bits(counts, text):
+    """Code length of `text` by escapes with exclusion, from {gram of four bytes: n}, one byte after the other."""
+    tables = [{} for _ in range(4)]
+    for gram, n in counts.items():
+        for order in range(4):
+            own = tables[order].setdefault(gram[3 - order : 3], {})
+            own[gram[3:]] = own.get(gram[3:], 0) + n
+    data, bits = bytes(3) + text.encode(), 0.0
+    for at in range(3, len(data)):
+        symbol, used = data[at : at + 1], set()
+        for order in (3, 2, 1, 0):
+            near = {s: n for s, n in tables[order].get(data[at - order : at], {}).items() if s not in used}
+            if not near:
+                continue
+            whole = sum(near.values()) + len(near)
+            if symbol in near:
+                bits -= np.log2(near[symbol] / whole)
+                break
+            bits -= np.log2(len(near) / whole)
+            used |= set(near)
+        else:
+            bits += np.log2(256 - len(used))
+    return bits
+
+
+def test_code_lengths_equal_plain_dictionaries(spark):
+    rows = [(prose(i, 30), "en") for i in range(20)] + [("größe über straße " + "aüß"[i % 3] * 3, "de") for i in range(20)] + [("x", "xx")]
+    model = ppm_language.train(spark.createDataFrame(rows, "text string, lang string"))
+    texts = ["the fox", "größe", "", "qqq 漢字", "a" * 50, prose(3, 8)]
+    got = model.lengths(pa.array(texts))
+    for k, lang in enumerate(model.langs):
+        counts = {}
+        for text, own in rows:
+            data = bytes(3) + text.encode() if own == lang else b""
+            for at in range(len(data) - 3):
+                counts[data[at : at + 4]] = counts.get(data[at : at + 4], 0) + 1
+        counts = {g: n for g, n in counts.items() if n >= ppm_language.LEAST}
+        assert np.allclose(got[:, k], [plain_bits(counts, t) for t in texts])
 
 
 def test_toxicity_on_held_out_documents(spark, odd, nothing):
@@ -318,7 +357,44 @@ def test_toxicity_stage_by_labels(spark):
     assert sum(t == 0 for t, _ in left) >= 0.995 * sum(t == 0 for t, _ in known)
 
 
-def test_evidence_and_rare_grams(spark):
+def plain_ratios(counts):
+    """Kneser-Ney log-likelihood ratio of each n-gram (bytes) from {gram: (toxic, ordinary)}, and of unseen ones by context."""
+    def below(types, gram):
+        if not gram:
+            return 1 / 256
+        level = {}
+        for t in types:
+            level.setdefault(t[-len(gram) :], set()).add(t[-len(gram) - 1 :])
+        near = {t: len(v) for t, v in level.items() if t[:-1] == gram[:-1]}
+        total = sum(near.values())
+        return max(near[gram] - 0.75, 0) / total + 0.75 * len(near) / total * below(types, gram[1:])
+
+    ratio, backoff = {}, {}
+    for gram in counts:
+        logs = []
+        for k in (0, 1):
+            own = {g: c[k] for g, c in counts.items() if g[:-1] == gram[:-1]}
+            total = sum(own.values())
+            rest = 0.75 * sum(c > 0 for c in own.values()) / total if total else 1.0
+            logs.append((np.log((max(own[gram] - 0.75, 0) / total if total else 0) + rest * below(counts, gram[1:])), np.log(rest)))
+        ratio[gram] = logs[0][0] - logs[1][0]
+        backoff[gram[:-1]] = logs[0][1] - logs[1][1]
+    return ratio, backoff
+
+
+def test_ratios_equal_plain_kneser_ney(spark):
+    rng = np.random.default_rng(11)
+    grams = {bytes(rng.integers(97, 100, 5).tolist()): tuple(map(int, rng.integers(0, 4, 2))) for _ in range(60)}
+    grams = {g: c for g, c in grams.items() if sum(c)}
+    rows = [(int.from_bytes(g, "big"), *c) for g, c in grams.items()]
+    model = toxicity.build(spark.createDataFrame(rows, "gram long, toxic long, ordinary long"))
+    ratio, backoff = plain_ratios(grams)
+    assert model.grams.tolist() == sorted(int.from_bytes(g, "big") for g in grams)
+    assert np.allclose(model.ratio, [ratio[g.to_bytes(5, "big")] for g in model.grams.tolist()], atol=1e-4)
+    assert np.allclose(model.backoff, [backoff[c.to_bytes(4, "big")] for c in model.contexts.tolist()], atol=1e-4)
+
+
+def test_evidence_is_length_normalised(spark):
     docs = spark.createDataFrame([(i, f"plain words here {i} " + ("vile" if i % 10 == 0 else "kind")) for i in range(400)], "doc_id long, text string")
     labels = docs.selectExpr("doc_id", "CAST(doc_id % 10 = 0 AS INT) AS toxic")
     model = toxicity.train(docs, labels)
@@ -328,10 +404,12 @@ def test_evidence_and_rare_grams(spark):
     for row, text in zip(got, texts):
         words = text.split()
         value = {w: np.frombuffer(model.word_ratios([w])[0], "<f4") for w in words}
-        best = sorted((max(0.0, min(20.0, float(v[0]))) for v in value.values()), reverse=True) + [0.0] * 8
+        best = sorted((max(0.0, float(v[0])) / (float(v[1]) + 16) for v in value.values()), reverse=True) + [0.0] * 8
         whole = sum(value[w][0] for w in words) / max(1, sum(value[w][1] for w in words))
         assert np.allclose(row, [1, whole, best[0], np.mean(best[1:4]), np.mean(best[4:8]), np.log1p(len(value))], atol=1e-4)
-    assert got[1, 2] > got[3, 2]
+    assert got[1, 2] > got[3, 2] and (model.weights[1:-1] >= 0).all()
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert all(scored[i] == (i % 10 == 0) for i in range(400))
 
 
 def test_rare_toxic_grams_stay_in_the_model(spark):
@@ -352,9 +430,151 @@ def test_language_stage_without_any_label_keeps_texts_with_letters(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, df, None).collect()) == [1, 4]
 
 
+def test_language_stage_names_and_rejects(spark):
+    import corpus_pipeline
+
+    rows = [(i, prose(i, 40), "en" if i % 7 else None, "s", 10) for i in range(60)]
+    rows += [(100, "漢字仮名交じり文は日本語の文章です" * 20, None, "s", 5), (101, "ok 12", None, "s", 5), (102, None, "en", "s", 0), (None, prose(5, 40), None, "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language(spark, df, None).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [*range(60), 101] and len(kept) == 62
+    assert {r["lang"] for r in kept} == {"en"}
+
+
+def test_near_duplicate_stage_with_rows_without_id(spark):
+    import corpus_pipeline
+
+    a, b, c = prose(1, 300), prose(2, 300), prose(3, 300)
+    near = " ".join([*b.split()[:-1], "changed"])
+    rows = [(7, a, None, "s", 1), (None, a, None, "s", 1), (None, b, "en", "s", 1), (None, near, "en", "s", 1), (None, b, "en", "s", 1), (9, c, None, None, None), (3, None, None, None, None), (4, "", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, df, None).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [3, 7, 9]
+    assert len(kept) == 4 and next(r["text"] for r in kept if r["doc_id"] is None) in (b, near)
+
+
 def test_documents_of_the_fit_are_counted(spark):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 20 < 4]
     rows = [(i, f"plain words {'zyqx' if i in held else 'kind'}", i % 2) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.train(docs, docs.select("doc_id", "toxic"), sample=10)
     assert np.isin(toxicity.grams_of(["zyqx"])[0], model.grams).all()
+
+
+def test_resampling_features_over_lines(spark, odd, nothing):
+    """Runs of one to three words with crossing line ends, against a plain count, and ranks over several ranges."""
+    def runs(text):
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+        return [zlib.crc32(" ".join(words[i : i + k]).encode()) % 500 for k in (1, 2, 3) for i in range(len(words) - k + 1)], len(words)
+
+    rows = [(i, f"Same line\n{prose(i, 25)}\n\nÉté {i}\nsame LINE again\n") for i in range(90)] + [(90, None), (91, ""), (92, "short"), (None, prose(7, 30)), (5, prose(8, 30))]
+    target = [(i, prose(i + 40, 30)) for i in range(20)]
+    docs, texts = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(target, "item long, text string")
+    s, t = np.zeros(500), np.zeros(500)
+    for total, table in ((s, rows), (t, target)):
+        for _, text in table:
+            np.add.at(total, runs(text)[0], 1)
+    assert resampling.feature_counts(docs, 3, 500).tolist() == s.tolist()
+    gain = np.floor(1000 * np.log((t + 1) * (s.sum() + 500) / ((s + 1) * (t.sum() + 500))))
+    want = []
+    for doc_id, text in rows:
+        found, n = runs(text)
+        h = int(hashlib.sha256(f"9:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        weight = int(sum(gain[b] for b in found))
+        want.append([doc_id, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n])
+    drawn = sorted((w for w in want if w[4] >= 20), key=lambda w: (-w[3], w[0] is None, w[0]))
+    rank = {id(w): k + 1 for k, w in enumerate(drawn[: len(drawn) * 30 // 100])}
+    got = resampling.resample(docs, texts, width=3, buckets=500, percent=30, seed=9).collect()
+    key = lambda row: str(row)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(((*w[:4], rank.get(id(w))) for w in want), key=key)
+    assert resampling.resample(odd, texts).count() == len(ODD) + 2 and resampling.resample(nothing, texts).count() == 0
+    assert resampling.resample(docs, nothing).count() == len(rows)
+
+
+def test_additive_quality(spark, odd, nothing):
+    docs = common.table(spark, "/root/testdata/sf0.1", "documents")
+    labels = common.table(spark, "/root/testdata/sf0.1", "labels")
+    got = additive_quality.rate_quality(docs, labels, additive_quality.learning_ids())
+    held = got.where(common.remainder(got["doc_id"], 4) == 2).join(labels, "doc_id").select("score", "predicted", "quality").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in held]) > 0.99
+    for table in (odd, odd.where("doc_id = 5")):
+        scored = additive_quality.rate_quality(table, labels.where("doc_id < 300")).collect()
+        assert len(scored) == table.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in scored)
+    assert additive_quality.rate_quality(nothing, labels).count() == 0
+    assert {r["score"] for r in additive_quality.rate_quality(odd, labels.where("doc_id < 0")).collect()} == {0.5}
+
+
+def test_additive_model_learns_an_interaction():
+    """Exclusive or of two features has no main effect; the pair's table finds it, and a score is the sum of table entries."""
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=(3000, len(additive_quality.FEATURES)))
+    label = ((values[:, 3] > 0) != (values[:, 8] > 0)).astype(float)
+    model = additive_quality.fit(values, label, np.arange(3000) % 5 == 0)
+    assert (3, 8) in model.pairs
+    fresh = rng.normal(size=(1000, values.shape[1]))
+    assert np.mean((model.score(fresh) > 0.5) == ((fresh[:, 3] > 0) != (fresh[:, 8] > 0))) > 0.95
+    bins = model.bins(fresh[:1])[0]
+    coarse = model.coarse(bins[None])[0]
+    total = model.base + sum(t[b] for t, b in zip(model.tables, bins)) + sum(g[coarse[a], coarse[b]] for (a, b), g in zip(model.pairs, model.grids))
+    assert np.isclose(model.score(fresh[:1])[0], 1 / (1 + np.exp(-total)))
+
+
+def test_measures_of_texts():
+    found = additive_quality.measure(pa.array(["Ab cd! ab 12 Ab cd!", "", "x\nx\ny", "ÄÖ###"]))
+    first = dict(zip(additive_quality.FEATURES, found[0]))
+    assert np.isclose(first["different_words"], 4 / 6) and np.isclose(first["commonest_word"], 2 / 6) and np.isclose(first["without_letters"], 1 / 6)
+    assert np.isclose(first["capitals"], 2 / 10) and np.isclose(first["different_pairs"], 4 / 5) and not found[1].any()
+    assert np.isclose(dict(zip(additive_quality.FEATURES, found[2]))["repeated_lines"], 1 / 3)
+    assert np.isclose(dict(zip(additive_quality.FEATURES, found[3]))["symbol_ends"], 1)
+
+
+def near(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+@pytest.mark.parametrize("hot", (spelling.HOT, 2))
+def test_spelling_variants(spark, odd, nothing, hot):
+    """Against all pairs of words, also with every initial state split around the edit."""
+    rng = np.random.default_rng(6)
+    stems = ["lantern", "lanternes", "größer", "abcde", "bbbbbb"]
+    words = set(stems)
+    for stem in stems * 12:
+        at, c = int(rng.integers(0, len(stem) + 1)), "abné"[int(rng.integers(0, 4))]
+        words |= {stem[:at] + c + stem[at:], stem[:at] + stem[at + 1 :], stem[:at] + c + stem[at + 1 :]}
+    rows, counts = [], {}
+    for i in range(40):
+        text = " ".join(w.upper() if rng.random() < 0.1 else w for w in words for _ in range(int(rng.integers(0, 1 + len(w) % 4 + (w in stems) * 9))))
+        rows.append((i, text))
+    rows += [(None, "lantern" + " lantern" * 5), (3, None), (4, ""), (5, "q" * 3000 + " " + "q" * 3000 + " " + "q" * 2999 + "w q" * 3)]
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            run = run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run
+            counts[run] = counts.get(run, 0) + 1
+    kept = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 2}
+    others = {w: sorted((v for v in kept if near(v, w)), key=lambda v: (-kept[v], v)) for w in kept}
+    form = {w: o[0] if o and kept[o[0]] >= 2 * kept[w] else None for w, o in others.items()}
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in spelling.group_variants(df, least_count=2, hot=hot).collect()}
+    assert got == {w: (form[w], root(w), n, len(others[w]), kept.get(form[w])) for w, n in kept.items()}
+    assert sum(f is not None for f in form.values()) > 20
+    spelling.group_variants(odd, hot=hot).collect()
+    assert spelling.group_variants(nothing).count() == 0
+
+
+@pytest.mark.parametrize("name", ("op2_line_dedup", "op11_resampling", "op13_spelling"))
+def test_corpus_queries_match_check(spark, sf_dir, name):
+    from check import compare
+
+    from gravure.llm import queries
+
+    assert compare(spark, sf_dir, name, queries.QUERIES[name], queries.ORACLES[name]).startswith("ok")
