@@ -357,8 +357,9 @@ def crop_gravity_default(df: DataFrame) -> DataFrame:
 
 def crop_gravity(df: DataFrame) -> DataFrame:
     """Crop gravity on the stored image: undo the user's turn first, then the stored one."""
-    df = transpose_gravity(df, "crop_type", "crop_x", "crop_y", F.col("rotate"), F.col("flip_h"), F.col("flip_v"))
-    return transpose_gravity(df, "crop_type", "crop_x", "crop_y", F.col("angle"), F.col("flip"), F.lit(False))
+    place = ("crop_type", "crop_x", "crop_y")
+    df = settle(transpose_gravity(df, *place, F.col("rotate"), F.col("flip_h"), F.col("flip_v")), *place)
+    return settle(transpose_gravity(df, *place, F.col("angle"), F.col("flip"), F.lit(False)), *place)
 
 
 def crop_box(df: DataFrame) -> DataFrame:
@@ -498,6 +499,13 @@ def result_size(df: DataFrame) -> DataFrame:
     )
 
 
+def plan_rendition(df: DataFrame, mark_w: int | None = None, mark_h: int | None = None) -> DataFrame:
+    """Every size and box from image facts to the finished rendition, and the watermark's place where its size is given."""
+    df = crop_box(crop_gravity(crop_gravity_default(plan_geometry(df))))
+    df = result_size(settle(df, "crop_kind", "crop_left", "crop_top", "crop_box_w", "crop_box_h"))
+    return df if mark_w is None else watermark_layout(df, mark_w, mark_h)
+
+
 def vector_guard(df: DataFrame, max_resolution: int) -> DataFrame:
     """Load shrink for vector sources with more pixels than allowed."""
     area = F.col("img_w") * F.col("img_h")
