@@ -170,6 +170,37 @@ def composed(segments: DataFrame, plan: DataFrame) -> DataFrame:
     return image.unionByName(border)
 
 
+def _canvas(lines: DataFrame, plan: DataFrame, own: str, name: str) -> DataFrame:
+    """Lines of own_w x own_h placed at name_left, name_top of a transparent black canvas name_w x name_h, per frame."""
+    sizes = plan.select("rendition", *[_long(f"{own}_{c}").alias(f"own_{c}") for c in "wh"], *[_long(f"{name}_{c}").alias(c) for c in ("w", "h", "left", "top")])
+    blank = lambda n: F.expr(f"unhex(repeat('00000000', CAST({n} AS INT)))")
+    met = lines.join(sizes, "rendition")
+    moved = met.select("rendition", F.col("frame").cast("int"), (F.col("y") + F.col("top")).cast("int").alias("y"), F.concat(blank("left"), "px", blank("w - left - own_w")).alias("px"))
+    rows = met.where("y = 0 AND h > own_h").select("rendition", F.col("frame").cast("int"), F.explode(F.expr("sequence(0, CAST(h AS INT) - 1)")).alias("y"), "top", "own_h", "w")
+    return moved.unionByName(rows.where("y < top OR y >= top + own_h").select("rendition", "frame", "y", blank("w").alias("px")))
+
+
+def extend(lines: DataFrame, plan: DataFrame) -> DataFrame:
+    """Result boxes on canvases of the target size, as geometry.extend_box places them."""
+    return _canvas(lines, plan, "box", "canvas")
+
+
+def extend_ar(lines: DataFrame, plan: DataFrame) -> DataFrame:
+    """Canvases widened to the target's ratio, as geometry.extend_ar_box places them."""
+    return _canvas(lines, plan, "canvas", "aspect")
+
+
+def pad(lines: DataFrame, plan: DataFrame) -> DataFrame:
+    """Canvases with the padding of geometry.padding_box."""
+    return _canvas(lines, plan, "aspect", "padded")
+
+
+def result_boxes(lines: DataFrame, plan: DataFrame) -> DataFrame:
+    """lines(rendition, frame, y, px) after crop, scale, turn and the cut to the result; no smart crops."""
+    plan = with_defaults(plan)
+    return joined_segments(turned_segments(fan_out(lines, scale_plan(plan)), plan))
+
+
 def limited(lines: DataFrame, plan: DataFrame) -> DataFrame:
     """Lines of renditions beyond their format's limits, scaled to result_w x result_h; others pass."""
     over = plan.where("limit_scale < 1")

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gravure.operators import pixels as px
+from gravure.operators import render as rd
+from gravure.operators import renditions as rn
+from gravure.plans import geometry as g
+from gravure.registry import geometry as geo_sql
 from gravure.registry.fixtures import table, with_tables
+from gravure.session import cut_lineage
 
 
 def digest(df):
@@ -49,27 +58,116 @@ def _frames(spark, sf):
     return copies.withColumn("r", (F.col("r") + 40 * F.col("frame")) % 256)
 
 
-def _plan(spark, sf):
-    """A mixed rendition plan in the load mix 5 : 2 : 1."""
-    return _params(spark, sf).selectExpr(
-        "image_id", "w", "h",
-        "CASE WHEN image_id % 8 < 5 THEN `left` ELSE 0 END AS left",
-        "CASE WHEN image_id % 8 < 5 THEN top ELSE 0 END AS top",
-        "CASE WHEN image_id % 8 < 5 THEN 12 ELSE 24 END AS box_w",
-        "CASE WHEN image_id % 8 < 5 THEN 8 ELSE 16 END AS box_h",
-        "CASE WHEN image_id % 8 < 5 THEN 0.5D WHEN image_id % 8 < 7 THEN 0.25D ELSE 1.0D END AS w_scale",
-        "CASE WHEN image_id % 8 < 5 THEN 0.5D WHEN image_id % 8 < 7 THEN 0.25D ELSE 1.0D END AS h_scale",
-        "CASE WHEN image_id % 8 < 5 THEN 90 ELSE 0 END AS angle", "flip_h", "flip_v",
-        "0 AS res_left", "0 AS res_top",
-        "CASE WHEN image_id % 8 < 5 THEN 4 WHEN image_id % 8 < 7 THEN 6 ELSE 24 END AS res_w",
-        "CASE WHEN image_id % 8 < 5 THEN 5 WHEN image_id % 8 < 7 THEN 4 ELSE 16 END AS res_h",
-        "CASE WHEN image_id % 8 < 5 THEN 8 WHEN image_id % 8 < 7 THEN 6 ELSE 24 END AS canvas_w",
-        "CASE WHEN image_id % 8 < 5 THEN 9 WHEN image_id % 8 < 7 THEN 4 ELSE 16 END AS canvas_h",
-        "CASE WHEN image_id % 8 < 5 THEN 2 ELSE 0 END AS off_x", "CASE WHEN image_id % 8 < 5 THEN 2 ELSE 0 END AS off_y",
-        "image_id % 2 = 0 AS opaque", "255 AS bg_r", "170 AS bg_g", "0 AS bg_b",
-        "CASE WHEN image_id % 8 < 5 THEN 1 ELSE 0 END AS wm_left", "0 AS wm_top", "0.5D AS wm_opacity",
-        "8 AS mark_w", "8 AS mark_h",
-    )
+def digest_lines(lines, key="image_id", source="rendition"):
+    """The digest of `digest` for lines(source, frame, y, px), under the name `key`."""
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for row in batch.column("px").to_pylist():
+                v = list(map(str, row))
+                texts.append(";".join(map(",".join, zip(v[::4], v[1::4], v[2::4], v[3::4]))))
+            lines = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+            counts = pa.array([len(row) // 4 for row in batch.column("px").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "frame", "y")), pa.array(lines, pa.string()), counts], names=[key, "frame", "y", "d", "n"])
+
+    rows = lines.select(F.col(source).cast("long").alias(key), F.col("frame").cast("int"), F.col("y").cast("int"), "px")
+    rows = rows.mapInArrow(run, f"{key} long, frame int, y int, d string, n long")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame", "y", "d"))), lambda c: c["d"]), "")
+    return rows.groupBy(key).agg(F.sum("n").alias("n"), F.md5(whole).alias("digest"))
+
+
+def _lines(spark, sf):
+    """The pixels as scanlines, written out where they are made."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y"))
+    bands = ("(k * 31 + x * 7 + y * 13) % 256", "(k * 17 + x * 3 + y * 29) % 256", "(k * 5 + x * 11 + y * 2) % 256", "IF(k % 3 = 0, (x * 16 + y) % 256, 255)")
+    codes = ", ".join(f"lpad(hex({b}), 2, '0')" for b in bands)
+    px_ = F.expr(f"unhex(array_join(transform(sequence(0, 23), x -> concat({codes})), ''))")
+    return parts.select(F.col("k").alias("image_id"), F.lit(0).alias("frame"), "y", px_.alias("px"))
+
+
+def _mark_lines(spark, sf):
+    mark = _mark(spark, sf)
+    return rn.to_lines(mark.select(F.lit(0).cast("long").alias("image_id"), F.lit(0).alias("frame"), F.col("my").alias("y"), F.col("mx").alias("x"), *[F.col(f"m{c}").alias(c) for c in px.BANDS]))
+
+
+def _sizes(spark, sf):
+    """One rendition per image, scaled as its parameters say."""
+    grown = lambda c: F.greatest(F.lit(1), F.round(F.col(c) * F.col(f"{c}_scale")))
+    return rn.whole_image(_params(spark, sf), grown("w"), grown("h"))
+
+
+def _windows(spark, sf):
+    return _params(spark, sf).select(F.col("image_id").alias("rendition"), "image_id", "w", "h", (3 + F.col("image_id") % 9).alias("want_w"), (2 + F.col("image_id") % 7).alias("want_h"))
+
+
+def _smart(spark, sf):
+    """The most detailed window of each image, of a size of its own: place, score and pixels."""
+    windows, lines = _windows(spark, sf), _lines(spark, sf)
+    boxes = rn.smart_boxes(lines, windows).select(F.col("rendition").alias("image_id"), "left", "top", "score")
+    return boxes.join(digest_lines(rn.smart_crop(lines, windows)), "image_id")
+
+
+def _filters(spark, sf, **columns):
+    """A filter plan over all images, strengths by image; nothing is premultiplied, as in the single operators."""
+    plan = {"blur": F.lit(0.0), "sharpen": F.lit(0.0), "pixelate": F.lit(0), "premultiplied": F.lit(False), **columns}
+    plan = _params(spark, sf).select(F.col("image_id").alias("rendition"), F.col("w").alias("width"), F.col("h").alias("height"), *[c.alias(n) for n, c in plan.items()])
+    return digest_lines(rn.filter_lines(_lines(spark, sf).withColumnRenamed("image_id", "rendition"), plan))
+
+
+#: Strengths of blur and sharpening by image_id % 3; block size of pixelating.
+SIGMAS = (0.5, 0.8, 1.3)
+_SIGMA = F.element_at(F.array(*map(F.lit, SIGMAS)), (F.col("image_id") % 3 + 1).cast("int"))
+_BLOCK_SIZE = 2 + F.col("image_id") % 11
+
+#: How a typed plan becomes one of an image of 24 x 16: Spark's text and the check's are the same.
+_SMALL = {
+    "width": "width % 29", "height": "height % 23", "min_width": "min_width % 20", "min_height": "min_height % 16", "crop_w": "crop_w % 20", "crop_h": "crop_h % 12",
+    "max_dim": "CASE WHEN max_dim > 0 THEN 30 ELSE 0 END", "img_w": "24", "img_h": "16", "frames": "1", "pad_top": "pad_top % 5", "pad_right": "pad_right % 4",
+    "pad_bottom": "pad_bottom % 3", "pad_left": "pad_left % 6", "wm_scale": "0.0e0", "wm_position": "CASE WHEN wm_position = 're' THEN 'ce' ELSE wm_position END",
+    "crop_type": "CASE WHEN crop_type = 'sm' THEN 'ce' ELSE crop_type END", "gravity_type": "CASE WHEN gravity_type = 'sm' THEN 'ce' ELSE gravity_type END",
+}
+
+
+def _requested(spark, sf):
+    """Every typed plan as a rendition of its image: several of one image, all planned."""
+    small = table(spark, sf, "geo").selectExpr("*", *[f"CAST({sql} AS {'DOUBLE' if name in ('crop_w', 'crop_h', 'wm_scale') else 'STRING' if 'CASE WHEN' in sql and name != 'max_dim' else 'BIGINT'}) AS small_{name}" for name, sql in _SMALL.items()])
+    small = small.drop(*_SMALL).withColumnsRenamed({f"small_{name}": name for name in _SMALL})
+    planned = g.plan_rendition(small, 8, 8)
+    back = {"bg_r": F.lit(255), "bg_g": F.lit(170), "bg_b": F.lit(0)}
+    return planned.withColumn("rendition", F.col("req_id")).withColumns({"opaque": F.col("req_id") % 2 == 0, **back})
+
+
+def _canvases(step):
+    """Extend, aspect ratio and padding of planned requests, up to `step`."""
+
+    def query(spark, sf):
+        plan = cut_lineage(_requested(spark, sf))
+        lines = rd.result_boxes(_lines(spark, sf), plan)
+        for place in (rd.extend, rd.extend_ar, rd.pad):
+            lines = place(lines, plan)
+            if place is step:
+                return digest_lines(lines, "req_id")
+
+    return query
+
+
+def _animated(spark, sf):
+    """Frames of images as keys of one render, with the delays, loop and places of the results."""
+    copies = _lines(spark, sf).withColumn("frame", F.explode(F.sequence(F.lit(0), (F.col("image_id") % 3).cast("int"))))
+    shift = "transform(sequence(0, 23), x -> concat(lpad(hex((conv(hex(substring(px, 4 * x + 1, 1)), 16, 10) + 40 * frame) % 256), 2, '0'), hex(substring(px, 4 * x + 2, 3))))"
+    lines = copies.withColumn("px", F.unhex(F.array_join(F.expr(shift), "")))
+    facts = _params(spark, sf).select("image_id", (1 + F.col("image_id") % 3).alias("frames"), "flip_h", "flip_v", "angle")
+    none = {c: F.lit(0).cast("long") for c in ("crop_left", "crop_top", "rotate", "box_left", "box_top", "canvas_left", "canvas_top", "aspect_left", "aspect_top", "padded_left")}
+    turned = F.col("angle") % 180 != 0
+    size = {"w": F.when(turned, 8).otherwise(12), "h": F.when(turned, 12).otherwise(8)}
+    plan = facts.withColumns({**none, "rendition": F.col("image_id"), "padded_top": F.lit(1).cast("long"), "flip": F.lit(False), "crop_box_w": F.lit(24), "crop_box_h": F.lit(16), "has_alpha": F.lit(False)})
+    plan = plan.withColumns({**{f"{n}_{c}": size[c] for n in ("scaled", "box", "canvas", "aspect") for c in "wh"}, "padded_w": size["w"], "padded_h": size["h"] + 1, "result_w": size["w"], "result_h": size["h"] + 1})
+    out = digest_lines(rd.render(lines, plan).withColumn("rendition", F.col("rendition") * 4 + F.col("frame")), "at")
+    delays = F.when(F.col("image_id") % 2 == 0, F.transform(F.sequence(F.lit(1), (F.col("frames") + 2).cast("int")), lambda k: (10 * k + F.col("image_id") % 5).cast("long")))
+    sources = g.frame_boxes(facts.select("image_id", F.lit(16).cast("long").alias("height"), "frames", delays.alias("delays"), (F.col("image_id") % 4).alias("loop")))
+    placed = rd.frame_table(plan, sources).withColumn("at", F.col("rendition") * 4 + F.col("frame"))
+    return placed.join(out, "at").select(F.col("rendition").alias("image_id"), "frame", "top", "frame_h", "delay", "loop", "pages", "n", "digest")
 
 
 def _bordered(spark, sf):
@@ -98,42 +196,23 @@ QUERIES = {
     "e02_pack": lambda spark, sf: digest(px.unpack(px.pack(_px(spark, sf)))),
     "e03_trim": lambda spark, sf: digest(px.trim(_bordered(spark, sf), _trim_params(spark, sf))),
     "e04_crop": _both(px.crop),
-    "e05_smart_crop": lambda spark, sf: px.smart_boxes(_px(spark, sf), 7, 5).select("image_id", "left", "top", "score"),
-    "e06_resize": _both(px.resize),
+    "e05_smart_crop": _smart,
+    "e06_resize": lambda spark, sf: digest_lines(rn.scale_lines(_lines(spark, sf), _sizes(spark, sf))),
     "e07_premultiply": lambda spark, sf: digest(px.unpremultiply(px.premultiply(_px(spark, sf)))),
     "e08_rotate": _both(px.rotate),
     "e09_flip": _both(px.flip),
-    "e10_blur": lambda spark, sf: digest(px.blur(_px(spark, sf), 0.8)),
-    "e11_sharpen": lambda spark, sf: digest(px.sharpen(_px(spark, sf), 0.5)),
-    "e12_pixelate": lambda spark, sf: digest(px.pixelate(_px(spark, sf), _params(spark, sf), 7)),
+    "e10_blur": lambda spark, sf: _filters(spark, sf, blur=_SIGMA),
+    "e11_sharpen": lambda spark, sf: _filters(spark, sf, sharpen=_SIGMA),
+    "e12_pixelate": lambda spark, sf: _filters(spark, sf, pixelate=_BLOCK_SIZE),
     "e13_embed": lambda spark, sf: digest(_bordered(spark, sf)),
-    "e14_extend": lambda spark, sf: digest(
-        px.embed(
-            _px(spark, sf),
-            _params(spark, sf).withColumns({"off_x": F.col("canvas_w") - 24, "off_y": F.col("canvas_h") - 16}),
-        )
-    ),
-    "e15_extend_ar": lambda spark, sf: digest(
-        px.embed(
-            _px(spark, sf),
-            _params(spark, sf).withColumns(
-                {"canvas_w": F.lit(24), "canvas_h": F.lit(24), "off_x": F.lit(0), "off_y": F.lit(4)}
-            ),
-        )
-    ),
-    "e16_pad": lambda spark, sf: digest(
-        px.embed(
-            _px(spark, sf),
-            _params(spark, sf).withColumns(
-                {"canvas_w": F.col("w") + F.col("off_x") + 3, "canvas_h": F.col("h") + F.col("off_y") + 1}
-            ),
-        )
-    ),
+    "e14_extend": _canvases(rd.extend),
+    "e15_extend_ar": _canvases(rd.extend_ar),
+    "e16_pad": _canvases(rd.pad),
     "e17_watermark": lambda spark, sf: digest(px.watermark(_px(spark, sf), _mark(spark, sf), _params(spark, sf))),
     "e18_replicate": _both(px.replicate),
     "e19_flatten": lambda spark, sf: digest(px.flatten(_px(spark, sf), (255, 170, 0))),
     "e20_box_shrink": lambda spark, sf: digest(px.box_shrink(_px(spark, sf), 4)),
-    "e21_linear_resize": _both(px.linear_resize),
+    "e21_linear_resize": lambda spark, sf: digest_lines(rn.scale_lines(_lines(spark, sf), _sizes(spark, sf), light=True)),
     "e22_to_grey": lambda spark, sf: digest(px.to_grey(_px(spark, sf))).join(
         px.is_grey(
             _px(spark, sf).withColumns(
@@ -142,13 +221,8 @@ QUERIES = {
         ),
         "image_id",
     ),
-    "e23_animate_map": lambda spark, sf: digest(
-        px.flip(
-            px.box_shrink(_frames(spark, sf), 2),
-            _params(spark, sf).withColumns({"w": F.lit(12), "h": F.lit(8)}),
-        )
-    ),
-    "e24_render": lambda spark, sf: digest(px.render(_px(spark, sf), _plan(spark, sf), _mark(spark, sf))),
+    "e23_animate_map": _animated,
+    "e24_render": lambda spark, sf: digest_lines(rd.render(_lines(spark, sf), _requested(spark, sf), _mark_lines(spark, sf)), "req_id"),
 }
 
 # --- SQL check --------------------------------------------------------------------------
@@ -200,8 +274,15 @@ def _resize_sql(src, out, bands=("r", "g", "b", "a"), final=True):
 {out} AS (SELECT image_id, frame, y, x, {last} FROM {out}_v)"""
 
 
+def gauss_kernel(sigma):
+    """The check's own Gaussian of radius ceil(3 sigma)."""
+    reach = math.ceil(3 * sigma)
+    raw = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
+    return [v / sum(raw) for v in raw]
+
+
 def _blur_sql(src, out, sigma, bands=("r", "g", "b", "a")):
-    kernel = px.gauss_kernel(sigma)
+    kernel = gauss_kernel(sigma)
     radius = len(kernel) // 2
 
     def one(name, frm, at, other, size):
@@ -218,6 +299,12 @@ def _blur_sql(src, out, sigma, bands=("r", "g", "b", "a")):
     return one(f"{out}_1", src, "x", "y", 24) + "," + one(out, f"{out}_1", "y", "x", 16)
 
 
+def _by_sigma(bands):
+    """The blur of each third of the images with its own strength."""
+    parts = [f"p{k} AS (SELECT * FROM pixels WHERE image_id % 3 = {k})," + _blur_sql(f"p{k}", f"bl{k}", sigma, bands) for k, sigma in enumerate(SIGMAS)]
+    return ",".join(p.strip() for p in parts) + ",\nbl AS (" + " UNION ALL ".join(f"SELECT * FROM bl{k}" for k in range(len(SIGMAS))) + ")"
+
+
 _CLAMPED = ", ".join(f"CAST(greatest(0, least(255, round({c}))) AS BIGINT) AS {c}" for c in px.BANDS)
 _MIRROR = lambda v, n: f"(CASE WHEN {v} % (2 * {n}) < {n} THEN {v} % (2 * {n}) ELSE 2 * {n} - 1 - {v} % (2 * {n}) END)"
 
@@ -269,40 +356,62 @@ _ENC = lambda c: (
     f"ELSE 1.055e0 * pow({c}, {1 / 2.4!r}e0) - 0.055e0 END) * 255.0e0, 4)))) AS BIGINT)"
 )
 
-_RENDER = f"""{_MARK},
-pl AS (SELECT *, CASE WHEN image_id % 8 < 5 THEN 0 WHEN image_id % 8 < 7 THEN 1 ELSE 2 END AS k FROM
-    (SELECT image_id, "left" AS l, top AS t, flip_h, flip_v FROM pixel_params)),
-c1 AS (SELECT p.image_id, p.frame, k, flip_h, flip_v, CASE k WHEN 0 THEN y - t ELSE y END AS y, CASE k WHEN 0 THEN x - l ELSE x END AS x,
-    {_PRE("r")} AS pr, {_PRE("g")} AS pg, {_PRE("b")} AS pb, r, g, b, a FROM pixels p JOIN pl USING (image_id)
-    WHERE k <> 0 OR (x - l BETWEEN 0 AND 11 AND y - t BETWEEN 0 AND 7)),
-sz AS (SELECT image_id, k, CASE k WHEN 0 THEN 12 ELSE 24 END AS w, CASE k WHEN 0 THEN 8 ELSE 16 END AS h,
-    CASE k WHEN 0 THEN 2 ELSE 4 END AS f FROM pl
-    JOIN (SELECT image_id, max(x) + 1 AS have_w, max(y) + 1 AS have_h FROM c1 GROUP BY 1) USING (image_id) WHERE k < 2),
-kx AS (SELECT DISTINCT k, w, f, unnest(range(0, w // f)) AS tx FROM sz),
-kxs AS (SELECT *, unnest(range(0, w)) AS sx FROM kx),
-kxw AS (SELECT k, tx, sx, 1.0e0 - abs(sx - ((tx + 0.5e0) * f - 0.5e0)) / f AS wt FROM kxs WHERE abs(sx - ((tx + 0.5e0) * f - 0.5e0)) < f),
-ky AS (SELECT DISTINCT k, h, f, unnest(range(0, h // f)) AS ty FROM sz),
-kys AS (SELECT *, unnest(range(0, h)) AS sy FROM ky),
-kyw AS (SELECT k, ty, sy, 1.0e0 - abs(sy - ((ty + 0.5e0) * f - 0.5e0)) / f AS wt FROM kys WHERE abs(sy - ((ty + 0.5e0) * f - 0.5e0)) < f),
-hx AS (SELECT image_id, frame, c1.k, flip_h, flip_v, y, tx AS x, round(sum(wt * pr) / sum(wt), 6) AS r, round(sum(wt * pg) / sum(wt), 6) AS g,
-    round(sum(wt * pb) / sum(wt), 6) AS b, round(sum(wt * a) / sum(wt), 6) AS a FROM c1 JOIN kxw w ON w.k = c1.k AND w.sx = c1.x GROUP BY ALL),
-vx AS (SELECT image_id, frame, hx.k, flip_h, flip_v, ty AS y, x, CAST(round(round(sum(wt * r) / sum(wt), 6)) AS BIGINT) AS r,
-    CAST(round(round(sum(wt * g) / sum(wt), 6)) AS BIGINT) AS g, CAST(round(round(sum(wt * b) / sum(wt), 6)) AS BIGINT) AS b,
-    CAST(round(round(sum(wt * a) / sum(wt), 6)) AS BIGINT) AS a FROM hx JOIN kyw w ON w.k = hx.k AND w.sy = hx.y GROUP BY ALL),
-sc AS (SELECT image_id, frame, k, flip_h, flip_v, y, x, {_UNPRE("r")} AS r, {_UNPRE("g")} AS g, {_UNPRE("b")} AS b, a FROM vx
-  UNION ALL SELECT image_id, frame, k, flip_h, flip_v, y, x, r, g, b, a FROM c1 WHERE k = 2),
-ro AS (SELECT * REPLACE (CASE k WHEN 0 THEN 3 - y ELSE x END AS x, CASE k WHEN 0 THEN x ELSE y END AS y) FROM sc),
-fl AS (SELECT * REPLACE (CASE WHEN flip_h THEN [4, 6, 24][k + 1] - 1 - x ELSE x END AS x,
-    CASE WHEN flip_v THEN [6, 4, 16][k + 1] - 1 - y ELSE y END AS y) FROM ro),
-rc AS (SELECT image_id, frame, y, x, {_BANDS} FROM fl WHERE k <> 0 OR y < 5),
-cq AS (SELECT image_id, k, unnest(range(0, [9, 4, 16][k + 1])) AS y FROM pl),
-cg AS (SELECT *, unnest(range(0, [8, 6, 24][k + 1])) AS x FROM cq),
-ca AS (SELECT c.image_id, CAST(0 AS BIGINT) AS frame, c.k, c.y, c.x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b,
-    coalesce(a, 0) AS a FROM cg c LEFT JOIN rc ON rc.image_id = c.image_id AND rc.x = c.x - CASE c.k WHEN 0 THEN 2 ELSE 0 END
-    AND rc.y = c.y - CASE c.k WHEN 0 THEN 2 ELSE 0 END),
-op AS (SELECT image_id, frame, y, x, CASE WHEN image_id % 2 = 0 THEN {_flat("r", 255)} ELSE r END AS r,
-    CASE WHEN image_id % 2 = 0 THEN {_flat("g", 170)} ELSE g END AS g, CASE WHEN image_id % 2 = 0 THEN {_flat("b", 0)} ELSE b END AS b,
-    CASE WHEN image_id % 2 = 0 THEN 255 ELSE a END AS a FROM ca),{_wm_sql("op", "o", "(CASE q.k WHEN 0 THEN 1 ELSE 0 END)", "0", "0.5e0", "pl")}"""
+_REPLACED = ", ".join(f"{sql} AS {name}" for name, sql in _SMALL.items())
+_TURN = lambda src, out, angle, w, h: f"""
+{out} AS (SELECT * REPLACE (CASE {angle} WHEN 90 THEN {h} - 1 - y WHEN 180 THEN {w} - 1 - x WHEN 270 THEN y ELSE x END AS x,
+    CASE {angle} WHEN 90 THEN x WHEN 180 THEN {h} - 1 - y WHEN 270 THEN {w} - 1 - x ELSE y END AS y) FROM {src})"""
+
+#: The typed plans on small images, planned as the geometry checks plan them, and every stage on all their pixels.
+_REQUESTED = (
+    f"geo_small AS (SELECT * REPLACE ({_REPLACED}) FROM geo),\n"
+    + ",\n".join(p.strip().rstrip(",") for p in (geo_sql._PLAN_HEAD, geo_sql._CROPPED, geo_sql._BOXES)).replace("FROM geo)", "FROM geo_small)")
+    + f""",
+q0 AS (SELECT req_id, CASE WHEN (angle + rotate) % 180 = 90 THEN crop_px_h ELSE crop_px_w END AS qw,
+    CASE WHEN (angle + rotate) % 180 = 90 THEN crop_px_w ELSE crop_px_h END AS qh, crop_type, crop_x, crop_y, img_w, img_h FROM d14e),
+q1 AS (SELECT *, {geo_sql._mnz("qw", "img_w")} AS cw0, {geo_sql._mnz("qh", "img_h")} AS ch0 FROM q0),
+q2 AS (SELECT *, (qw = 0 AND qh = 0) OR (cw0 >= img_w AND ch0 >= img_h) AS uncut FROM q1),
+q3 AS (SELECT req_id, CASE WHEN uncut THEN 0 ELSE {geo_sql._left("img_w", "cw0", "crop_x", "crop_type", "1.0e0")} END AS cl,
+    CASE WHEN uncut THEN 0 ELSE {geo_sql._top("img_h", "ch0", "crop_y", "crop_type", "1.0e0")} END AS ct,
+    CASE WHEN uncut THEN img_w ELSE cw0 END AS cw, CASE WHEN uncut THEN img_h ELSE ch0 END AS ch FROM q2),
+pl AS (SELECT d18.*, cl, ct, cw, ch, CASE WHEN (angle + rotate) % 180 = 0 THEN scaled_w ELSE scaled_h END AS ow,
+    CASE WHEN (angle + rotate) % 180 = 0 THEN scaled_h ELSE scaled_w END AS oh, (rotate % 360 + 360) % 360 AS spin,
+    has_alpha AND ((cw, ch) <> (CASE WHEN (angle + rotate) % 180 = 0 THEN scaled_w ELSE scaled_h END, CASE WHEN (angle + rotate) % 180 = 0 THEN scaled_h ELSE scaled_w END)) AS pre
+  FROM d18 JOIN q3 USING (req_id)),
+tp0 AS (SELECT cw AS s, ow AS o FROM pl UNION SELECT ch, oh FROM pl),
+tp1 AS (SELECT *, unnest(range(0, o)) AS t FROM tp0),
+tp2 AS (SELECT *, unnest(range(0, s)) AS i, (t + 0.5e0) / (CAST(o AS DOUBLE) / s) - 0.5e0 AS c, greatest(1.0e0, 1.0e0 / (CAST(o AS DOUBLE) / s)) AS reach FROM tp1),
+tp AS (SELECT s, o, t, i, 1.0e0 - abs(i - c) / reach AS wt FROM tp2 WHERE abs(i - c) < reach),
+c1 AS (SELECT req_id, cw, ch, ow, oh, pre, y - ct AS y, x - cl AS x, CASE WHEN pre THEN {_PRE("r")} ELSE r END AS r, CASE WHEN pre THEN {_PRE("g")} ELSE g END AS g,
+    CASE WHEN pre THEN {_PRE("b")} ELSE b END AS b, a FROM pixels JOIN pl USING (image_id) WHERE x - cl BETWEEN 0 AND cw - 1 AND y - ct BETWEEN 0 AND ch - 1),
+hx AS (SELECT req_id, ch, oh, pre, y, t AS x, {", ".join(f"round(sum(wt * {c}) / sum(wt), 6) AS {c}" for c in px.BANDS)} FROM c1 JOIN tp ON s = cw AND o = ow AND i = x GROUP BY ALL),
+vx AS (SELECT req_id, pre, t AS y, x, {", ".join(f"CAST(round(round(sum(wt * {c}) / sum(wt), 6)) AS BIGINT) AS {c}" for c in px.BANDS)} FROM hx JOIN tp ON s = ch AND o = oh AND i = y GROUP BY ALL),
+t0 AS (SELECT v.req_id, v.y, v.x, CASE WHEN v.pre THEN {_UNPRE("r")} ELSE r END AS r, CASE WHEN v.pre THEN {_UNPRE("g")} ELSE g END AS g, CASE WHEN v.pre THEN {_UNPRE("b")} ELSE b END AS b, a,
+    angle, flip, spin, flip_h, flip_v, ow, oh, CASE WHEN angle % 180 = 0 THEN ow ELSE oh END AS w1, CASE WHEN angle % 180 = 0 THEN oh ELSE ow END AS h1,
+    scaled_w, scaled_h, box_left, box_top, box_w, box_h FROM vx v JOIN pl USING (req_id)),"""
+    + _TURN("t0", "t1", "angle", "ow", "oh")
+    + """,
+t2 AS (SELECT * REPLACE (CASE WHEN flip THEN w1 - 1 - x ELSE x END AS x) FROM t1),"""
+    + _TURN("t2", "t3", "spin", "w1", "h1")
+    + f""",
+t4 AS (SELECT * REPLACE (CASE WHEN flip_h THEN scaled_w - 1 - x ELSE x END AS x, CASE WHEN flip_v THEN scaled_h - 1 - y ELSE y END AS y) FROM t3),
+bx AS (SELECT req_id, y - box_top AS y, x - box_left AS x, {_BANDS} FROM t4 WHERE x - box_left BETWEEN 0 AND box_w - 1 AND y - box_top BETWEEN 0 AND box_h - 1)"""
+)
+
+
+def _placed(out, w, h, left, top):
+    return f"""
+{out}_r AS (SELECT req_id, {w} AS cw, {left} AS ox, {top} AS oy, unnest(range(0, {h})) AS y FROM pl),
+{out}_g AS (SELECT *, unnest(range(0, cw)) AS x FROM {out}_r),
+{out} AS (SELECT gr.req_id, CAST(0 AS BIGINT) AS frame, gr.y, gr.x, {", ".join(f"coalesce({c}, 0) AS {c}" for c in px.BANDS)} FROM {out}_g gr
+    LEFT JOIN bx ON bx.req_id = gr.req_id AND bx.x = gr.x - gr.ox AND bx.y = gr.y - gr.oy)"""
+
+
+_PADDED = _placed("cv", "padded_w", "padded_h", "canvas_left + aspect_left + padded_left", "canvas_top + aspect_top + padded_top")
+
+
+def _requested_check(rest, src="cv"):
+    return with_tables("geo pixels tiles", _REQUESTED + "," + rest + "," + _DIGEST.format(src=src).replace("image_id", "req_id"))
+
 
 _SAME = "o AS (SELECT * FROM pixels)"
 
@@ -316,14 +425,20 @@ WHERE x BETWEEN "left" AND "left" + box_w - 1 AND y BETWEEN top AND top + box_h
     ),
     "e05_smart_crop": with_tables(
         "pixels",
-        """l AS (SELECT *, (299 * r + 587 * g + 114 * b) // 1000 AS lu FROM pixels),
-s AS (SELECT l.image_id, l.y, l.x, greatest(l.r, l.g, l.b) - least(l.r, l.g, l.b) + abs(l.lu - coalesce(a.lu, l.lu)) + abs(l.lu - coalesce(u.lu, l.lu)) AS s
+        """l AS (SELECT *, (299 * r + 587 * g + 114 * b) // 1000 AS lu, 3 + image_id % 9 AS ww, 2 + image_id % 7 AS wh FROM pixels),
+s AS (SELECT l.image_id, l.y, l.x, l.ww, l.wh, greatest(l.r, l.g, l.b) - least(l.r, l.g, l.b) + abs(l.lu - coalesce(a.lu, l.lu)) + abs(l.lu - coalesce(u.lu, l.lu)) AS s
   FROM l LEFT JOIN l a ON a.image_id = l.image_id AND a.y = l.y AND a.x = l.x - 1
   LEFT JOIN l u ON u.image_id = l.image_id AND u.x = l.x AND u.y = l.y - 1),
-w AS (SELECT o.image_id, o.y, o.x, sum(i.s) AS score FROM s o JOIN s i ON i.image_id = o.image_id AND i.x BETWEEN o.x AND o.x + 6
-  AND i.y BETWEEN o.y AND o.y + 4 WHERE o.x <= 17 AND o.y <= 11 GROUP BY ALL)
-SELECT image_id, x AS "left", y AS top, CAST(score AS BIGINT) AS score FROM w
-QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, y, x) = 1""",
+rw AS (SELECT o.image_id, o.y, o.x, o.ww, o.wh, sum(i.s) AS s FROM s o JOIN s i ON i.image_id = o.image_id AND i.y = o.y AND i.x BETWEEN o.x AND o.x + o.ww - 1
+  WHERE o.x <= 24 - o.ww GROUP BY ALL),
+w AS (SELECT o.image_id, o.y, o.x, o.ww, o.wh, sum(i.s) AS score FROM rw o JOIN rw i ON i.image_id = o.image_id AND i.x = o.x AND i.y BETWEEN o.y AND o.y + o.wh - 1
+  WHERE o.y <= 16 - o.wh GROUP BY ALL),
+bs AS (SELECT image_id, x AS "left", y AS top, ww, wh, CAST(score AS BIGINT) AS score FROM w QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, y, x) = 1),
+o AS (SELECT p.image_id, p.frame, p.y - top AS y, p.x - "left" AS x, r, g, b, a FROM pixels p JOIN bs USING (image_id)
+  WHERE p.x - "left" BETWEEN 0 AND ww - 1 AND p.y - top BETWEEN 0 AND wh - 1),"""
+        + _DIGEST.format(src="o").replace("SELECT image_id, CAST(sum(n)", 'SELECT image_id, any_value("left") AS "left", any_value(top) AS top, any_value(score) AS score, CAST(sum(n)').replace(
+            "FROM dg GROUP", "FROM dg JOIN bs USING (image_id) GROUP"
+        ),
     ),
     "e06_resize": _check(_resize_sql("pixels", "o").strip()),
     "e07_premultiply": _check(
@@ -339,27 +454,27 @@ o AS (SELECT image_id, frame, y, x, {_UNPRE("r")} AS r, {_UNPRE("g")} AS g, {_UN
   {_BANDS} FROM {_J})"""
     ),
     "e10_blur": _check(
-        _blur_sql("pixels", "bl", 0.8).strip() + f",\no AS (SELECT image_id, frame, y, x, {_CLAMPED} FROM bl)"
+        _by_sigma(("r", "g", "b", "a")) + f",\no AS (SELECT image_id, frame, y, x, {_CLAMPED} FROM bl)"
     ),
     "e11_sharpen": _check(
-        _blur_sql("pixels", "bl", 0.5, ("r", "g", "b")).strip()
+        _by_sigma(("r", "g", "b"))
         + """,
 o AS (SELECT p.image_id, p.frame, p.y, p.x, CAST(greatest(0, least(255, round(2.0e0 * p.r - b.r))) AS BIGINT) AS r,
   CAST(greatest(0, least(255, round(2.0e0 * p.g - b.g))) AS BIGINT) AS g, CAST(greatest(0, least(255, round(2.0e0 * p.b - b.b))) AS BIGINT) AS b,
   p.a FROM pixels p JOIN bl b USING (image_id, frame, y, x))"""
     ),
     "e12_pixelate": _check(
-        f"""v0 AS (SELECT p_partkey AS image_id, unnest(range(0, 21)) AS vy FROM part),
-v1 AS (SELECT *, unnest(range(0, 28)) AS vx FROM v0),
-m AS (SELECT v.image_id, vy // 7 AS by, vx // 7 AS bx, sum(r) / count(*) AS r, sum(g) / count(*) AS g, sum(b) / count(*) AS b, sum(a) / count(*) AS a
+        f"""v0 AS (SELECT p_partkey AS image_id, 2 + p_partkey % 11 AS n, unnest(range(0, CAST(ceil(16.0 / (2 + p_partkey % 11)) AS BIGINT) * (2 + p_partkey % 11))) AS vy FROM part),
+v1 AS (SELECT *, unnest(range(0, CAST(ceil(24.0 / n) AS BIGINT) * n)) AS vx FROM v0),
+m AS (SELECT v.image_id, n, vy // n AS by, vx // n AS bx, sum(r) / count(*) AS r, sum(g) / count(*) AS g, sum(b) / count(*) AS b, sum(a) / count(*) AS a
   FROM v1 v JOIN pixels p ON p.image_id = v.image_id AND p.y = {_MIRROR("vy", 16)} AND p.x = {_MIRROR("vx", 24)} GROUP BY ALL),
 o AS (SELECT p.image_id, p.frame, p.y, p.x, round(m.r) AS r, round(m.g) AS g, round(m.b) AS b, round(m.a) AS a FROM pixels p
-  JOIN m ON m.image_id = p.image_id AND m.by = p.y // 7 AND m.bx = p.x // 7)"""
+  JOIN m ON m.image_id = p.image_id AND m.by = p.y // m.n AND m.bx = p.x // m.n)"""
     ),
     "e13_embed": _check(_canvas("canvas_w", "canvas_h", "off_x", "off_y").strip()),
-    "e14_extend": _check(_canvas("canvas_w", "canvas_h", "canvas_w - 24", "canvas_h - 16").strip()),
-    "e15_extend_ar": _check(_canvas("24", "24", "0", "4").strip()),
-    "e16_pad": _check(_canvas("w + off_x + 3", "h + off_y + 1", "off_x", "off_y").strip()),
+    "e14_extend": _requested_check(_placed("cv", "canvas_w", "canvas_h", "canvas_left", "canvas_top")),
+    "e15_extend_ar": _requested_check(_placed("cv", "aspect_w", "aspect_h", "canvas_left + aspect_left", "canvas_top + aspect_top")),
+    "e16_pad": _requested_check(_PADDED),
     "e17_watermark": _check(
         _MARK + "," + _wm_sql("pixels", "o", "q.wm_left", "q.wm_top", "q.wm_opacity"),
         tables="pixels pixel_params tiles",
@@ -393,12 +508,43 @@ gr AS (SELECT image_id, bool_and(image_id % 5 = 0 OR (r = g AND g = b)) AS grey
             "FROM dg GROUP", "FROM dg JOIN gr USING (image_id) GROUP"
         ),
     ),
-    "e23_animate_map": _check(
+    "e23_animate_map": with_tables(
+        "pixels pixel_params",
         """f0 AS (SELECT *, unnest(range(0, image_id % 3 + 1)) AS fr FROM pixels),
-f1 AS (SELECT image_id, fr AS frame, y // 2 AS y, x // 2 AS x, round(sum((r + 40 * fr) % 256) / 4) AS r, round(sum(g) / 4) AS g, round(sum(b) / 4) AS b,
-  round(sum(a) / 4) AS a FROM f0 GROUP BY image_id, fr, y // 2, x // 2),
-o AS (SELECT p.image_id, frame, CASE WHEN flip_v THEN 7 - y ELSE y END AS y, CASE WHEN flip_h THEN 11 - x ELSE x END AS x, r, g, b, a
-  FROM f1 p JOIN pixel_params q USING (image_id))"""
+tw AS (SELECT unnest(range(0, 12)) AS t, 24 AS s UNION ALL SELECT unnest(range(0, 8)), 16),
+tp0 AS (SELECT s, t, unnest(range(0, s)) AS i, (t + 0.5e0) * 2 - 0.5e0 AS c FROM tw),
+tp AS (SELECT s, t, i, 1.0e0 - abs(i - c) / 2 AS wt FROM tp0 WHERE abs(i - c) < 2),
+fh AS (SELECT image_id, fr, y, t AS x, round(sum(wt * ((r + 40 * fr) % 256)) / sum(wt), 6) AS r, round(sum(wt * g) / sum(wt), 6) AS g, round(sum(wt * b) / sum(wt), 6) AS b,
+  round(sum(wt * a) / sum(wt), 6) AS a FROM f0 JOIN tp ON s = 24 AND i = x GROUP BY ALL),
+fv AS (SELECT image_id, fr, t AS y, x, """
+        + ", ".join(f"CAST(round(round(sum(wt * {c}) / sum(wt), 6)) AS BIGINT) AS {c}" for c in px.BANDS)
+        + """ FROM fh JOIN tp ON s = 16 AND i = y GROUP BY ALL),
+ft AS (SELECT v.image_id, fr, CASE angle WHEN 0 THEN y WHEN 90 THEN x WHEN 180 THEN 7 - y ELSE 11 - x END AS y,
+  CASE angle WHEN 0 THEN x WHEN 90 THEN 7 - y WHEN 180 THEN 11 - x ELSE y END AS x, r, g, b, a, CASE WHEN angle % 180 = 0 THEN 12 ELSE 8 END AS w1,
+  CASE WHEN angle % 180 = 0 THEN 8 ELSE 12 END AS h1, flip_h, flip_v FROM fv v JOIN pixel_params USING (image_id)),
+ff AS (SELECT image_id, fr, 1 + CASE WHEN flip_v THEN h1 - 1 - y ELSE y END AS y, CASE WHEN flip_h THEN w1 - 1 - x ELSE x END AS x, r, g, b, a FROM ft),
+fz AS (SELECT image_id, unnest(range(0, image_id % 3 + 1)) AS fr, CASE WHEN angle % 180 = 0 THEN 12 ELSE 8 END AS w1, CASE WHEN angle % 180 = 0 THEN 8 ELSE 12 END AS h1 FROM pixel_params),
+o AS (SELECT image_id * 4 + fr AS image_id, 0 AS frame, y, x, r, g, b, a FROM ff UNION ALL
+  SELECT image_id * 4 + fr, 0, 0, unnest(range(0, w1)), 0, 0, 0, 0 FROM fz),
+dn AS ("""
+        + _DIGEST.format(src="o").strip().removeprefix("dg AS ").join(("WITH dg AS ", ")"))
+        + """
+SELECT z.image_id, z.fr AS frame, z.fr * (h1 + 1) AS top, h1 + 1 AS frame_h, CASE WHEN z.image_id % 2 = 0 THEN 10 * (z.fr + 1) + z.image_id % 5 ELSE 40 END AS delay,
+  z.image_id % 4 AS loop, z.image_id % 3 + 1 AS pages, n, digest FROM fz z JOIN dn ON dn.image_id = z.image_id * 4 + z.fr""",
+    ),
+    "e24_render": _requested_check(
+        _PADDED
+        + f""",
+{_MARK},
+wp AS (SELECT req_id, req_id % 2 = 0 AS opaque, wm_opacity, {geo_sql._left("padded_w", "8", "wm_x", "wm_position", "dpr_scale", True)} AS wl,
+    {geo_sql._top("padded_h", "8", "wm_y", "wm_position", "dpr_scale", True)} AS wt FROM pl),
+fo AS (SELECT c.req_id, frame, y, x, CASE WHEN opaque THEN {_flat("r", 255)} ELSE r END AS r, CASE WHEN opaque THEN {_flat("g", 170)} ELSE g END AS g,
+    CASE WHEN opaque THEN {_flat("b", 0)} ELSE b END AS b, CASE WHEN opaque THEN 255 ELSE a END AS a, CASE WHEN wm_opacity > 0 THEN x - wl ELSE -1 END AS ux, y - wt AS uy, wm_opacity
+  FROM cv c JOIN wp USING (req_id)),
+fa AS (SELECT f.*, m.v, CAST(m.ma AS DOUBLE) / 255.0e0 * wm_opacity AS s, CAST(a AS DOUBLE) / 255.0e0 AS d FROM fo f LEFT JOIN mk m ON m.mx = f.ux AND m.my = f.uy),
+fb AS (SELECT *, s + d * (1.0e0 - s) AS o FROM fa),
+fin AS (SELECT req_id, frame, y, x, {", ".join(f"CASE WHEN v IS NULL THEN {c} WHEN o = 0 THEN 0 ELSE CAST(greatest(0, least(255, round(round((v * s + CAST({c} AS DOUBLE) * d * (1.0e0 - s)) / o, 6)))) AS BIGINT) END AS {c}" for c in px.COLOUR)},
+    CASE WHEN v IS NULL THEN a ELSE CAST(round(round(o * 255.0e0, 6)) AS BIGINT) END AS a FROM fb)""",
+        "fin",
     ),
-    "e24_render": _check(_RENDER, tables="pixels pixel_params tiles"),
 }
