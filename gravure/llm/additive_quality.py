@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from gravure.llm.common import remainder, slices, stored, texts
+from gravure.llm.common import freed, remainder, slices, stored, texts
 
 #: Labelled documents that a model is fitted on at most, about, chosen by hash.
 SAMPLE = 20_000
@@ -124,7 +124,7 @@ def measured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), lists], names=schema.names)
 
     columns = [F.col(c).alias(p) for c, p in zip(keep, passed)]
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(freed(run), schema)
 
 
 def newton(slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
@@ -325,7 +325,7 @@ def score(features: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)
             arrays = [*(part.column(c) for c in keep), pa.array(found), pa.array((found >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return features.select(*dict.fromkeys((*keep, "features"))).mapInArrow(run, schema)
+    return features.select(*dict.fromkeys((*keep, "features"))).mapInArrow(freed(run), schema)
 
 
 def rate_quality(docs: DataFrame, labels: DataFrame, learn=None, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gravure.llm import word_ids
-from gravure.llm.common import slices, texts
+from gravure.llm.common import freed, slices, texts
 
 WINDOW = 4096
 
@@ -43,7 +43,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 2, path: str | Non
 
     def cut(batches):
         coder = word_ids.WordIds(where)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             keys = part.column("doc_id").to_pylist()
             out = [[] for _ in names]
             for key, row in zip(keys, coder.with_end(texts(part), end_id)):
@@ -57,7 +57,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 2, path: str | Non
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
 
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, fields)
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(cut), fields)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gravure.llm import word_ids
-from gravure.llm.common import slices, texts
+from gravure.llm.common import freed, slices, texts
 
 WINDOW = 4096
 #: Bytes of text that are packed together; with about a thousand documents the bins are all but full.
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 2, pad_id: int = 0
 
     def fill(batches):
         coder, shard, rows = word_ids.WordIds(where), None, ([], [], [])
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             for number, owner, ids in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), coder.with_end(texts(batch), end_id)):
                 if number != shard and rows[0]:
                     yield packed(shard, *rows)
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 2, pad_id: int = 0
         if rows[0]:
             yield packed(shard, *rows)
 
-    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(fill, FIELDS)
+    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(freed(fill), FIELDS)
 
 
 def matrix(rows, window: int = WINDOW) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravure.llm.common import remainder, slices, stored, texts
+from gravure.llm.common import freed, remainder, slices, stored, texts
 
 ORDER = 3
 #: Byte n-grams that occur less often in a language are left out of its tree, at every size of the corpus.
@@ -46,7 +46,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 found, n = np.unique(np.concatenate(own), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(freed(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Tree:
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     columns = [F.col(c).alias(p) for c, p in zip(keep, passed)]
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(freed(run), schema)
 
 
 def training_part(docs: DataFrame, divisor: int = 3, held_out: int = 1) -> DataFrame:

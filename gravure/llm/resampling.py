@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravure.llm.common import slices, stored, texts
+from gravure.llm.common import freed, slices, stored, texts
 
 #: Words in a feature at most; hash buckets; words that a drawn document has; percentage drawn; seed of the noise.
 WIDTH, BUCKETS, LEAST_WORDS, PERCENT, SEED = 1, 10_000, 20, 10, 2024
@@ -97,7 +97,7 @@ def bucket_counts(rows: DataFrame, width: int, buckets: int, crossing: bool = Fa
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["bucket", "n"])
 
-    return rows.select("text", "times").mapInArrow(run, "bucket long, n long")
+    return rows.select("text", "times").mapInArrow(freed(run), "bucket long, n long")
 
 
 def feature_counts(rows: DataFrame, width: int, buckets: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, width: int, seed: int) -> DataFrame
     named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     first = F.conv(F.substring(F.sha2(named, 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((first + 0.5) / 4294967296.0))).cast("long")
-    weighed = rows.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    weighed = rows.mapInArrow(freed(run), "doc_id long, n_words long, n_features long, weight long")
     return weighed.withColumn("score", F.col("weight") + noise)
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gravure.llm.common import slices, stored, texts
+from gravure.llm.common import freed, slices, stored, texts
 from gravure.llm.components import components
 
 BITS = 64
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
             found = np.array([fingerprint(t, width) for t in texts(part).to_pylist()], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), "doc_id long, fp long")
 
 
 def planes(values: np.ndarray, lanes: int) -> np.ndarray:
@@ -119,17 +119,19 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common) - 1e-9
 
 
-def spanning_links(values: np.ndarray, radius: int, chunk: int = 128, confirm=None) -> list[tuple[int, int]]:
+def spanning_links(values: np.ndarray, radius: int, chunk: int = 128, confirm=None, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) of a spanning forest of the rows of `values` linked within `radius`.
 
     Breadth first: reached rows are compared with those not reached yet, so each is a query once and
     at most len(values) - 1 links come out, however many pairs are near. Where `confirm` is given, near rows
-    i and j are linked only if confirm(i, j).
+    i and j are linked only if confirm(i, j). Rows of equal `labels` count as reached together: they are not compared.
     """
     links, rest, queue = [], np.arange(len(values)), []
+    labels = rest if labels is None else labels
     while len(rest):
         if not queue:
-            queue, rest = [int(rest[0])], rest[1:]
+            same = labels[rest] == labels[rest[0]]
+            queue, rest = rest[same].tolist(), rest[~same]
             if not len(rest):
                 break
         take, queue = np.array(queue[:chunk]), queue[chunk:]
@@ -144,13 +146,15 @@ def spanning_links(values: np.ndarray, radius: int, chunk: int = 128, confirm=No
                 hit, by = hit[by >= 0], by[by >= 0]
             else:
                 by = linked.argmax(axis=0)
-            links += zip(take[by].tolist(), rest[hit].tolist())
-            queue += rest[hit].tolist()
-            rest = np.delete(rest, hit)
+            found, first = np.unique(labels[rest[hit]], return_index=True)
+            links += zip(take[by[first]].tolist(), rest[hit[first]].tolist())
+            reached = np.isin(labels[rest], found)
+            queue += rest[reached].tolist()
+            rest = rest[~reached]
     return links
 
 
-def small_links(groups: list[np.ndarray], radius: int, confirm=None) -> list[tuple[int, int, int]]:
+def small_links(groups: list[np.ndarray], radius: int, confirm=None, labels: list | None = None) -> list[tuple[int, int, int]]:
     """(group, i, j) links of spanning forests of many groups of at most 64 rows, one group per lane word; see spanning_links."""
     if not groups:
         return []
@@ -160,7 +164,7 @@ def small_links(groups: list[np.ndarray], radius: int, confirm=None) -> list[tup
         row[: len(values)] = values
     vertical = planes(lanes.reshape(-1, words), lanes.shape[0] * 64)
     sizes, links = np.array([len(g) for g in groups]), []
-    root = [list(range(n)) for n in sizes]
+    root = [[own.index(x) for x in own] for own in labels] if labels else [list(range(n)) for n in sizes]
 
     def top(parent, i):
         while parent[i] != i:
@@ -190,30 +194,31 @@ def tile_links(tiles: DataFrame, radius: int, similarity: float | None = None) -
     """(a, b) links that join the nodes of each tile of `tiles` (tile, node) within `radius` bits.
 
     The bits compared are those of `value` (binary) where there is one, else of the node itself. With a `similarity`
-    each pair must also have that Jaccard similarity of its `shingles` (binary: different hashes in order).
+    each pair must also have that Jaccard similarity of its `shingles` (binary: different hashes in order). Nodes of
+    one `label`, where there is one, are joined already and are not compared.
     """
-    wide = "value" in tiles.columns
+    wide, marked = "value" in tiles.columns, "label" in tiles.columns
 
     def compare(batches):
-        key, nodes, values, sets, waiting, out = None, [], [], [], [], []
+        key, nodes, values, sets, marks, waiting, out = None, [], [], [], [], [], []
 
         def judge(of):
             return (lambda i, j: alike(of[i], of[j], similarity)) if similarity else None
 
         def close():
-            if len(nodes) > 1:
+            if len(nodes) > 1 and not (marked and len(set(marks)) == 1):
                 rows = np.frombuffer(b"".join(values), "<u8") if wide else np.array(nodes, "<i8").view("<u8")
                 rows = rows.reshape(len(nodes), -1)
                 if len(nodes) > SMALL:
-                    out.extend((nodes[i], nodes[j]) for i, j in spanning_links(rows, radius, confirm=judge(sets)))
+                    out.extend((nodes[i], nodes[j]) for i, j in spanning_links(rows, radius, confirm=judge(sets), labels=np.array(marks) if marked else None))
                 else:
-                    waiting.append((nodes, rows, sets))
+                    waiting.append((nodes, rows, sets, marks))
             if len(waiting) >= 256:
                 flush()
 
         def flush():
             confirm = (lambda g, i, j: alike(waiting[g][2][i], waiting[g][2][j], similarity)) if similarity else None
-            out.extend((waiting[g][0][i], waiting[g][0][j]) for g, i, j in small_links([rows for _, rows, _ in waiting], radius, confirm))
+            out.extend((waiting[g][0][i], waiting[g][0][j]) for g, i, j in small_links([w[1] for w in waiting], radius, confirm, [w[3] for w in waiting] if marked else None))
             waiting.clear()
 
         def batch():
@@ -222,13 +227,15 @@ def tile_links(tiles: DataFrame, radius: int, similarity: float | None = None) -
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
         for part in batches:
-            for tile, node, value, shingles in zip(*(part.column(c).to_pylist() for c in ("tile", "node", "value" if wide else "node", "shingles" if similarity else "node"))):
+            columns = ("tile", "node", "value" if wide else "node", "shingles" if similarity else "node", "label" if marked else "node")
+            for tile, node, value, shingles, label in zip(*(part.column(c).to_pylist() for c in columns)):
                 if tile != key:
                     close()
-                    key, nodes, values, sets = tile, [], [], []
+                    key, nodes, values, sets, marks = tile, [], [], [], []
                 if not nodes or nodes[-1] != node:
                     nodes.append(node)
                     values.append(value)
+                    marks.append(label)
                     if similarity:
                         sets.append(np.frombuffer(shingles, "<u8"))
             if len(out) > 50_000:
@@ -238,17 +245,20 @@ def tile_links(tiles: DataFrame, radius: int, similarity: float | None = None) -
         yield batch()
 
     dealt = tiles.repartition("tile").sortWithinPartitions("tile", "node")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(freed(compare), "a long, b long")
 
 
 def in_tiles(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
     """(tile, node) of `keyed` (key, node) for keys with more than one node.
 
-    Keys with more than `block` nodes, or more than BLOCK_BYTES of them where `keyed` has `bytes`, are cut into blocks by hash, and each pair of blocks is a tile of its
+    Keys with more than `block` nodes, or more than BLOCK_BYTES of them where `keyed` has `bytes`, are cut into blocks by hash
+    (keys whose nodes all have one `label`, where `keyed` has it, are left out), and each pair of blocks is a tile of its
     own, so that any two nodes of a key meet in one tile and no task holds a hot key.
     """
     weight = F.sum("bytes" if "bytes" in keyed.columns else F.lit(0)).alias("weight")
-    sizes = stored(keyed.groupBy(F.col("key").alias("at")).agg(F.count(F.lit(1)).alias("count"), weight).where("count > 1"))
+    unlike = [F.min("label").alias("least"), F.max("label").alias("most")] if "label" in keyed.columns else []
+    sizes = keyed.groupBy(F.col("key").alias("at")).agg(F.count(F.lit(1)).alias("count"), weight, *unlike)
+    sizes = stored(sizes.where("count > 1 AND least <> most" if unlike else "count > 1").select("at", "count", "weight"))
     blocks = F.greatest(F.ceil(F.col("count") / block), F.ceil(F.col("weight") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
     pairs = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(own, o) AS i, greatest(own, o) AS j))")
@@ -387,13 +397,26 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "value", "keys", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = rows.mapInArrow(run, "doc_id long, value binary, keys array<long>, shingles binary")
+    marked = rows.mapInArrow(freed(run), "doc_id long, value binary, keys array<long>, shingles binary")
     marked = stored(marked.withColumn("node", F.xxhash64("shingles")))
     distinct = marked.select("node", "keys", F.octet_length("shingles").alias("bytes")).groupBy("node").agg(F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
-    tiles = stored(in_tiles(distinct.select("node", "bytes", F.explode("keys").alias("key"))))
-    # only what meets others in a tile brings its shingles along
-    met = marked.select("node", "value", "shingles").join(tiles.select("node").distinct(), "node", "left_semi")
-    met = stored(met.groupBy(F.col("node").alias("of")).agg(F.first("value").alias("value"), F.first("shingles").alias("shingles")))
-    valued = tiles.join(met, F.col("node") == F.col("of")).select("tile", "node", "value", "shingles")
-    named = smallest_ids(marked.select("doc_id", "node"), tile_links(valued, reach(similarity), similarity))
+    distinct = stored(distinct)
+
+    def compared(keyed: DataFrame) -> DataFrame:
+        tiles = stored(in_tiles(keyed))
+        # only what meets others in a tile brings its shingles along
+        met = marked.select("node", "value", "shingles").join(tiles.select("node").distinct(), "node", "left_semi")
+        met = stored(met.groupBy(F.col("node").alias("of")).agg(F.first("value").alias("value"), F.first("shingles").alias("shingles")))
+        valued = tiles.join(met, F.col("node") == F.col("of")).select("tile", "node", "value", "shingles")
+        if "label" in keyed.columns:
+            labels = keyed.select(F.col("node").alias("named"), "label").distinct()
+            valued = valued.join(labels, F.col("node") == F.col("named")).drop("named")
+        return stored(tile_links(valued, reach(similarity), similarity))
+
+    # Crowds of near copies share nearly all keys: what the first key has joined is not compared again under the others.
+    first = compared(distinct.select("node", "bytes", F.col("keys")[0].alias("key")))
+    joined = components(first).withColumnRenamed("node", "at")
+    others = distinct.join(joined, F.col("node") == F.col("at"), "left").select("node", "bytes", F.coalesce("root", "node").alias("label"), F.explode(F.slice("keys", 2, BANDS)).alias("key"))
+    links = first.union(compared(stored(others)))
+    named = smallest_ids(marked.select("doc_id", "node"), links)
     return marked.select("doc_id", "node").join(named.withColumnRenamed("value", "at"), F.col("node") == F.col("at")).select("doc_id", "component_id")

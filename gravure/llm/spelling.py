@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravure.llm.common import slices, stored, texts
+from gravure.llm.common import freed, slices, stored, texts
 
 #: One occurrence in RATE loses a code point; code points and occurrences that make a word.
 RATE, LEAST_LENGTH, LEAST_COUNT = 97, 5, 3
@@ -111,7 +111,7 @@ def vocabulary(docs: DataFrame, rate: int = RATE, least_length: int = LEAST_LENG
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
 
     rows = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
+    return rows.mapInArrow(freed(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
 class Acceptors:
@@ -314,7 +314,7 @@ def near_words(words: DataFrame, hot: int = HOT) -> DataFrame:
             yield out()
 
     dealt = initial_states(words, hot).select(*columns).repartition("m", "kind", "state").sortWithinPartitions("m", "kind", "state")
-    found = dealt.mapInArrow(run, "word string, near long, form_n long, form string")
+    found = dealt.mapInArrow(freed(run), "word string, near long, form_n long, form string")
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form"))
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), best.alias("best")).select("word", "n_near", (-F.col("best.less")).alias("form_n"), "best.form")
 

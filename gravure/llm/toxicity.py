@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gravure.llm.common import remainder, slices, stored, texts
+from gravure.llm.common import freed, remainder, slices, stored, texts
 from gravure.llm.words import WordTable, distinct_words, split_words
 
 #: Bytes of an n-gram; absolute discount; start and end marks of a word.
@@ -80,7 +80,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             some = (sums[0] + sums[1]) > 0
             yield pa.RecordBatch.from_arrays([pa.array(found[some]), pa.array(sums[0][some]), pa.array(sums[1][some])], names=["gram", "toxic", "ordinary"])
 
-    summed = labelled.select("text", "toxic").mapInArrow(run, "gram long, toxic long, ordinary long")
+    summed = labelled.select("text", "toxic").mapInArrow(freed(run), "gram long, toxic long, ordinary long")
     return summed.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -232,7 +232,7 @@ def _measure(held, rows: DataFrame) -> DataFrame:
             arrays = [part.column("toxic"), *(pa.array(found[:, i]) for i in range(1, found.shape[1]))]
             yield pa.RecordBatch.from_arrays(arrays, names=["toxic", *EVIDENCE])
 
-    return rows.select("toxic", "text").mapInArrow(run, ", ".join(["toxic int", *(f"{name} double" for name in EVIDENCE)]))
+    return rows.select("toxic", "text").mapInArrow(freed(run), ", ".join(["toxic int", *(f"{name} double" for name in EVIDENCE)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = CALIBRATION) -> Model:
@@ -285,7 +285,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), th
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     columns = [F.col(c).alias(p) for c, p in zip(keep, passed)]
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(freed(run), schema)
 
 
 def training_part(docs: DataFrame, divisor: int = 4, held_out: int = 2) -> DataFrame:

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces that a worker keeps at most, about.
-KEPT = 500_000
+KEPT = 400_000
 #: Printable Latin-1 without the soft hyphen and the apostrophe: characters that are already in composed form.
 PLAIN = regex.compile(r"[\x21-\x26\x28-\x7e\xa1-\xac\xae-\xff]*")
 GAP, LETTER, NUMBER, OTHER = range(4)
