@@ -35,13 +35,11 @@ TAG = r"""<[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
 PIECES = rf"(?s:<!--.*?-->)|(?s:<!\[CDATA\[.*?\]\]>)|{TAG}|[^<]+|<"
 # Patterns both engines' regular expressions understand alike.
 PREFIX = r"(?:[A-Za-z_][A-Za-z0-9_.-]*:)?"
-VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
-HREF = rf"""\s{PREFIX}href\s*=\s*{VALUE}"""
-EVENT_VALUED = rf"""\s{PREFIX}(?:{"|".join(EVENT_ATTRIBUTES)})\s*=\s*{VALUE}"""
+# A tag in parts: its head, attributes with the white space before them (value and white space may be missing), the rest.
+PARTS = r"""^<[^\s/>"'=]+|\s*+[^\s"'=<>/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']*+))?|(?s:.)"""
 TAG_NAME = rf"^<{PREFIX}([A-Za-z_][A-Za-z0-9_.-]*)"
 HREF_VALUE = r"""=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))$"""
 
-
 END_NAME = rf"^</{PREFIX}([A-Za-z_][A-Za-z0-9_.-]*)\s*>$"
 
 
@@ -78,6 +76,16 @@ def without_forbidden(pieces: Column) -> Column:
     return F.flatten(F.transform(F.aggregate(marks, start, step, finish), lambda k: F.slice(pieces, k["at"] + 1, k["size"])))
 
 
+def parts_of(tag: Column) -> Column:
+    """A tag cut into its head, its attributes and what stands between them; joined they are the tag."""
+    return F.regexp_extract_all(tag, F.lit(PARTS), F.lit(0))
+
+
+def local_name(part: Column) -> Column:
+    """Name of an attribute without its prefix; empty for other parts of a tag."""
+    return F.regexp_extract(part, r"""^\s*(?:[^\s"'=<>/:]*:)*([^\s"'=<>/:]+)""", 1)
+
+
 def href_value(attribute: Column) -> Column:
     """Value of an href attribute, trimmed and with entities resolved."""
     value = F.concat(*[F.regexp_extract(attribute, HREF_VALUE, i) for i in (1, 2, 3)])
@@ -100,17 +108,19 @@ def href_safe(tag: Column, attribute: Column) -> Column:
 def sanitize_markup(docs: DataFrame, body: str = "body") -> DataFrame:
     """Documents without forbidden elements, event handlers and unsafe links.
 
-    Textual: the body is cut into comments, tags and text, and only tags are rewritten; a forbidden
+    Textual: the body is cut into comments, tags and text, and only tags are rewritten: cut into attributes,
+    which are dropped by their local name, with or without a value or white space before them (those left get a space); a forbidden
     element that is never closed is cut to the end.
     """
 
     def clean(piece: Column) -> Column:
         tag = F.regexp_extract(piece, TAG_NAME, 1)
-        quiet = F.regexp_replace(piece, EVENT_VALUED, "")
-        unsafe = F.filter(F.regexp_extract_all(quiet, F.lit(HREF), F.lit(0)), lambda a: ~href_safe(tag, a))
-        return F.when(
-            piece.rlike(r"^<[A-Za-z_]"), F.aggregate(unsafe, quiet, lambda acc, a: F.replace(acc, a, F.lit("")))
-        ).otherwise(piece)
+        name = lambda part: local_name(part)
+        safe = lambda part: ~name(part).isin(*EVENT_ATTRIBUTES) & ((name(part) != "href") | href_safe(tag, part))
+        parts = parts_of(piece)
+        rest = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), safe)
+        apart = F.transform(rest, lambda part: F.when((name(part) != "") & ~part.rlike(r"^\s"), F.concat(F.lit(" "), part)).otherwise(part))
+        return F.when(piece.rlike(r"^<[A-Za-z_]"), F.concat(F.get(parts, F.lit(0)), F.array_join(apart, ""))).otherwise(piece)
 
     return (
         docs.withColumn("_pieces", F.regexp_extract_all(F.col(body), F.lit(PIECES), F.lit(0)))
@@ -128,11 +138,17 @@ def start_tags(docs: DataFrame, body: str = "body") -> DataFrame:
     return tags.filter(F.col("tag") != "").withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def attributes(docs: DataFrame, body: str = "body") -> DataFrame:
+    """One row per attribute of a start tag: doc_id, pos, tag, attribute (as written), name (local)."""
+    parts = F.expr("slice(parts, 2, greatest(size(parts) - 1, 0))")
+    cut = start_tags(docs, body).withColumn("parts", parts_of(F.col("markup")))
+    rows = cut.select("doc_id", "pos", "tag", F.explode(parts).alias("attribute"))
+    return rows.withColumn("name", local_name(F.col("attribute"))).where("name <> ''")
+
+
 def href_audit(docs: DataFrame) -> DataFrame:
     """Every link with its verdict: doc_id, tag, href, safe."""
-    links = start_tags(docs).select(
-        "doc_id", "pos", "tag", F.explode(F.regexp_extract_all("markup", F.lit(HREF), F.lit(0))).alias("attribute")
-    )
+    links = attributes(docs).where("name = 'href'")
     return links.select(
         "doc_id",
         "pos",
@@ -144,11 +160,8 @@ def href_audit(docs: DataFrame) -> DataFrame:
 
 def unsafe_attr_audit(docs: DataFrame) -> DataFrame:
     """Event-handler attributes per document."""
-    name = rf"""\s{PREFIX}(on[a-z]+)\s*=\s*{VALUE}"""
-    attrs = start_tags(docs).select(
-        "doc_id", F.explode(F.regexp_extract_all("markup", F.lit(name), F.lit(1))).alias("attr")
-    )
-    return attrs.filter(F.col("attr").isin(*EVENT_ATTRIBUTES)).groupBy("doc_id", "attr").agg(F.count(F.lit(1)).alias("n"))
+    found = attributes(docs).where(F.col("name").isin(*EVENT_ATTRIBUTES))
+    return found.groupBy("doc_id", F.col("name").alias("attr")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def element_audit(docs: DataFrame) -> DataFrame:

@@ -614,7 +614,7 @@ DIALECT["@POS"] = ("instr(q, ':')", "strpos(q, ':')")
 # Web pages with the markup a sanitiser looks for added behind them.
 FIXTURES["docs"] = """
 SELECT page_id AS doc_id, concat(html, CASE page_id % 4
-  WHEN 0 THEN '<svg onload="x()" onclick=''y'' width="5"><use href="#a"/><use xlink:href="http://e/x"/><g onfoo="1" onmouseover=z></g></svg>'
+  WHEN 0 THEN '<svg onload="x()" onclick=''y'' width="5"><use href="#a"/><use xlink:href="http://e/x"/><g onfoo="1" onmouseover=z></g><g onload><a b="1"onclick="x"xlink:href="javascript:x"href=''ok''/onfocus=1></a></g><a x:y:onblur = "1" href></a></svg>'
   WHEN 1 THEN '<iframe src="x">abc</iframe><form><b>t</b></form><s:script/>k<script  a="b">1</script >tail'
   WHEN 2 THEN '<a href="javascript:alert(1)">x</a><a href=" JaVaScript&#58;x">y</a><a href="mailto:a">z</a><a href="jav&#97;script:al(1)">n</a><use href="&#35;ok"/><a href="jAv&#x61script:q">m</a><a href=''http&colon;//q''>w</a>'
   ELSE '<image href="data:image/png;base64,AA"/><a href="data:text/html,x">q</a><a href="x y">r</a><script>unclosed <b>z' END) AS body

@@ -83,10 +83,24 @@ def _safe_sql(tag, value):
   WHEN {scheme} IN ('', 'http', 'https') THEN true ELSE {tag} = 'image' AND {scheme} = 'data' END"""
 
 
+#: The check's own way through a tag: what follows the head, attribute by attribute, names without their prefixes.
+_ATTRIBUTE = r"""\s*[^\s"'=<>/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']*))?|[\s"'=<>/]"""
+_TIGHT = r"""^[^\s"'=<>/]"""
+_HEAD = r"""^<[^\s/>"'=]+"""
+
+
+def _parts_sql(p):
+    return f"regexp_extract_all(substr({p}, 1 + length(regexp_extract({p}, {_q(_HEAD)}))), {_q(_ATTRIBUTE)})"
+
+
+def _local_sql(a):
+    return f"list_last(string_split(regexp_extract({a}, {_q(r'^' + chr(92) + 's*([^' + chr(92) + 's' + chr(34) + chr(39) + '=<>/]+)')}, 1), ':'))"
+
+
 def _sanitize_sql():
     tag = f"regexp_extract(p, {_q(markup.TAG_NAME)}, 1)"
-    quiet = f"regexp_replace(p, {_q(markup.EVENT_VALUED)}, '', 'g')"
-    unsafe = f"list_filter(regexp_extract_all(p, {_q(markup.HREF)}), lambda a: NOT ({_safe_sql('t', _href_sql('a'))}))"
+    events = ", ".join(_q(a) for a in markup.EVENT_ATTRIBUTES)
+    safe = f"{_local_sql('a')} NOT IN ({events}) AND ({_local_sql('a')} <> 'href' OR {_safe_sql('t', _href_sql('a'))})"
     # Forbidden tags are walked one by one: name and depth of the open element after each.
     return f"""al AS MATERIALIZED (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS p FROM (SELECT doc_id, regexp_extract_all(body, {_q(_PIECES)}) AS l FROM docs)),
 ev AS MATERIALIZED (SELECT doc_id, i, f[2] AS name, CASE WHEN f[1] = '/' THEN 'end' WHEN p LIKE '%/>' THEN 'whole' ELSE 'start' END AS kind,
@@ -101,14 +115,16 @@ wk(doc_id, k, i, kind, name, depth, was) AS (
   FROM wk w JOIN ev e ON e.doc_id = w.doc_id AND e.k = w.k + 1),
 pcs AS (SELECT a.doc_id, a.i, a.p FROM al a ASOF LEFT JOIN wk w ON a.doc_id = w.doc_id AND a.i >= w.i
   WHERE NOT coalesce(w.depth > 0 OR (w.i = a.i AND (w.was > 0 OR w.kind = 'whole')), false)),
-qt AS (SELECT doc_id, i, CASE WHEN regexp_matches(p, '^<[A-Za-z_]') THEN {quiet} ELSE p END AS p, {tag} AS t FROM pcs),
-un AS (SELECT doc_id, i, p, CASE WHEN regexp_matches(p, '^<[A-Za-z_]') THEN {unsafe} ELSE [] END AS u FROM qt),
-cl AS (SELECT doc_id, i, list_reduce(list_prepend(p, u), lambda acc, a: replace(acc, a, '')) AS p FROM un)
+qt AS (SELECT doc_id, i, p, {tag} AS t FROM pcs),
+cl AS (SELECT doc_id, i, CASE WHEN regexp_matches(p, '^<[A-Za-z_]') THEN regexp_extract(p, {_q(_HEAD)}) ||
+  array_to_string(list_transform(list_filter({_parts_sql("p")}, lambda a: {safe}), lambda a: CASE WHEN regexp_matches(a, {_q(_TIGHT)}) THEN ' ' || a ELSE a END), '') ELSE p END AS p FROM qt)
 SELECT c.doc_id, coalesce(string_agg(p, '' ORDER BY i), '') AS body FROM docs c LEFT JOIN cl USING (doc_id) GROUP BY c.doc_id"""
 
 
 _START = f"""st AS (SELECT doc_id, unnest(regexp_extract_all(body, {_q(_PIECES)})) AS m FROM docs),
-tg AS (SELECT doc_id, m, regexp_extract(m, {_q(markup.TAG_NAME)}, 1) AS tag FROM st)"""
+tg AS (SELECT doc_id, m, regexp_extract(m, {_q(markup.TAG_NAME)}, 1) AS tag FROM st),
+pa AS (SELECT doc_id, tag, unnest({_parts_sql("m")}) AS a FROM tg WHERE tag <> ''),
+ab AS (SELECT *, {_local_sql("a")} AS name FROM pa)"""
 
 ORACLES = {
     "g01_iptc_validate": with_tables("raw_tags", f"{_VALID}\n{_ROWS}"),
@@ -144,14 +160,14 @@ FROM vt JOIN strip_plan USING (image_id) GROUP BY 1, 2""",
     "h02_href_audit": with_tables(
         "docs",
         f"""{_START},
-hr AS (SELECT doc_id, tag, unnest(regexp_extract_all(m, {_q(markup.HREF)})) AS a FROM tg WHERE tag <> ''),
+hr AS (SELECT doc_id, tag, a FROM ab WHERE name = 'href'),
 hv AS (SELECT doc_id, tag, {_href_sql("a")} AS href FROM hr)
 SELECT doc_id, tag, href, {_safe_sql("tag", "href")} AS safe FROM hv""",
     ),
     "h03_unsafe_attr_audit": with_tables(
         "docs",
         f"""{_START},
-ea AS (SELECT doc_id, unnest(regexp_extract_all(m, {_q(rf"\s{markup.PREFIX}(on[a-z]+)\s*=\s*{markup.VALUE}")}, 1)) AS attr FROM tg WHERE tag <> '')
+ea AS (SELECT doc_id, name AS attr FROM ab)
 SELECT doc_id, attr, count(*) AS n FROM ea WHERE attr IN ({", ".join(_q(a) for a in markup.EVENT_ATTRIBUTES)}) GROUP BY 1, 2""",
     ),
     "h04_element_audit": with_tables(

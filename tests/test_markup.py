@@ -19,6 +19,12 @@ CASES = [
     ("<!-- <script> it's --><a onclick='x' b='y'>t</a>", "<!-- <script> it's --><a b='y'>t</a>"),
     ("<scripted>x</scripted>", "<scripted>x</scripted>"),
     ("1 < 2 <", "1 < 2 <"),
+    ("<a b='1'onclick='x'>t</a>", "<a b='1'>t</a>"),
+    ("<g onload>x</g><g onload/>", "<g>x</g><g/>"),
+    ("<a/onclick=x/ b>", "<a/ b>"),
+    ("<svg:a\tx:onload = 'y'\nhref='javascript:z'w='1'>", "<svg:a w='1'>"),
+    ("<a title='onclick=x' data-onclick='y' onclicked='z'>", "<a title='onclick=x' data-onclick='y' onclicked='z'>"),
+    ("<use href='http://x'/><use href='#a'href/>", "<use/><use href='#a' href/>"),
     ("", ""),
     (None, None),
 ]
