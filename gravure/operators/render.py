@@ -15,7 +15,7 @@ from pyspark.sql.types import BinaryType, IntegerType
 
 from gravure.functions.numeric import half
 from gravure.operators import rasters
-from gravure.operators.renditions import BAND, by_band, coded, crop_frames, fan_out, filtered, keyed, line_batch, pixels_of, scale_lines, scaled_band, smart_boxes, smart_crop
+from gravure.operators.renditions import BAND, by_band, coded, crop_frames, fan_out, filtered, keyed, line_rows, scale_lines, scaled_band, smart_boxes, smart_crop
 from gravure.session import cut_lineage
 
 #: What a plan without these columns means.
@@ -111,9 +111,9 @@ def turned_segments(fanned: DataFrame, plan: DataFrame) -> DataFrame:
     """
     schema = keyed(plan, ("x", IntegerType()), ("y", IntegerType()), ("px", BinaryType()))
 
-    def work(key, table):
-        p = table.column("p")[0].as_py()
-        block = scaled_band(table, p, key[2]).astype(np.uint8)
+    def work(key, group):
+        p = group["p"]
+        block = scaled_band(group, key[2]).astype(np.uint8)
         turned, rows, columns = rasters.orientation(*(p[c] for c in _TURNS))
         start = key[2] * BAND
         at_rows = int(p["out_h"]) - start - len(block) if rows else start
@@ -125,8 +125,8 @@ def turned_segments(fanned: DataFrame, plan: DataFrame) -> DataFrame:
         x0, x1 = max(first_x, int(p["cut_x"])), min(first_x + block.shape[1], int(p["cut_x"] + p["cut_w"]))
         if y1 > y0 and x1 > x0:
             values = coded(block[y0 - first_y : y1 - first_y, x0 - first_x : x1 - first_x])
-            kind = table.schema.field("rendition").type
-            yield line_batch(key[0], key[1], np.arange(y0, y1) - int(p["cut_y"]), values, kind, [x0 - int(p["cut_x"])] * len(values))
+            top = int(p["cut_y"])
+            yield line_rows(key, range(y0 - top, y1 - top), values, [x0 - int(p["cut_x"])] * len(values))
 
     return by_band(fanned, ["rendition", "frame", "band"], ["y"], work, schema)
 
@@ -151,15 +151,16 @@ def composed(segments: DataFrame, plan: DataFrame) -> DataFrame:
     bands = F.expr(f"sequence(greatest(0, y - halo) div {BAND}, least(CAST(p.height AS INT) - 1, y + halo) div {BAND})")
     schema = keyed(segments, ("y", IntegerType()), ("px", BinaryType()))
 
-    def work(key, table):
-        p, first = table.column("p")[0].as_py(), table.column("y")[0].as_py()
+    def work(key, group):
+        p = group["p"]
         height, width = int(p["height"]), int(p["width"])
         start, stop = key[2] * BAND, min(height, (key[2] + 1) * BAND)
-        px = b"".join(table.column("px").to_pylist())  # pieces of a line follow each other
-        rows = filtered(np.frombuffer(px, np.uint8).reshape(-1, width, 4), first, p, start, stop)
+        px = np.frombuffer(b"".join(group["px"]), np.uint8).reshape(-1, width, 4)  # pieces of a line follow each other
+        rows = filtered(px, group["y"][0], p, start, stop)
         line = np.zeros((len(rows), int(p["canvas_w"]), 4), np.uint8)
         line[:, int(p["place_x"]) : int(p["place_x"]) + width] = rows
-        yield line_batch(key[0], key[1], np.arange(start, stop) + int(p["place_y"]), coded(line), table.schema.field("rendition").type)
+        place = int(p["place_y"])
+        yield line_rows(key, range(start + place, stop + place), coded(line))
 
     image = by_band(met.withColumn("band", F.explode(bands)).drop("halo"), ["rendition", "frame", "band"], ["y", "x"], work, schema)
     frames = F.coalesce(F.col("frames"), F.lit(1)) if "frames" in plan.columns else F.lit(1)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
 from gravure.operators import rasters
@@ -41,43 +42,61 @@ def to_pixels(lines: DataFrame, key: str = "image_id") -> DataFrame:
     return rows.select(key, "frame", "y", F.col("c.x").cast("long").alias("x"), *[byte(k).alias(n) for k, n in enumerate("rgba")])
 
 
-def pixels_of(values: pa.Array) -> np.ndarray:
+def pixels_of(values: list[bytes]) -> np.ndarray:
     """Lines of equal length as [rows, columns, 4]."""
-    data = np.frombuffer(b"".join(values.to_pylist()), np.uint8)
-    return data.reshape(len(values), -1, 4)
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1, 4)
 
 
 def coded(values: np.ndarray) -> list[bytes]:
-    return [row.tobytes() for row in np.ascontiguousarray(values.astype(np.uint8))]
+    data, width = np.ascontiguousarray(values.astype(np.uint8)).tobytes(), values.shape[1] * 4
+    return [data[at : at + width] for at in range(0, len(data), width)] if width else [b""] * len(values)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Runs of equal keys of sorted batches."""
-    key, parts = None, []
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict]]:
+    """Runs of equal keys of sorted batches: each column as a list, `p` as the first row's value."""
+    key, group = None, None
     for batch in batches:
-        values, start = list(zip(*(batch.column(k).to_pylist() for k in keys))), 0
-        for at in range(len(values) + 1):
-            if at < len(values) and values[at] == key:
-                continue
-            if at > start:
-                parts.append(batch.slice(start, at - start))
-                start = at
-            if at < len(values):
-                if parts:
-                    yield key, pa.Table.from_batches(parts).combine_chunks()
-                key, parts = values[at], []
-    if parts:
-        yield key, pa.Table.from_batches(parts).combine_chunks()
+        columns = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "p"}
+        values, start = list(zip(*(columns[k] for k in keys))), 0
+        while start < len(values):
+            stop = start + 1
+            while stop < len(values) and values[stop] == values[start]:
+                stop += 1
+            part = {c: v[start:stop] for c, v in columns.items()}
+            if values[start] == key:
+                for c, v in part.items():
+                    group[c] += v
+            else:
+                if group:
+                    yield key, group
+                key, group = values[start], part
+                if "p" in batch.schema.names:
+                    group["p"] = batch.column("p")[start].as_py()
+            start = stop
+    if group:
+        yield key, group
 
 
 def by_band(df: DataFrame, keys: list[str], order: list[str], work, schema: StructType) -> DataFrame:
     """`work` on each group of `keys`; groups are dealt by all of them, a task goes through its groups one by one."""
 
     def run(batches):
-        names = schema.names
-        for key, table in grouped(batches, keys):
-            for rows in work(key, table):
-                yield pa.RecordBatch.from_arrays(rows, names=names)
+        kinds, names = [to_arrow_type(f.dataType) for f in schema.fields], schema.names
+        out, size = [[] for _ in names], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
+
+        for key, group in grouped(batches, keys):
+            for rows in work(key, group):
+                for column, values in zip(out, rows):
+                    column.extend(values)
+            size += sum(map(len, out[-1])) if isinstance(schema.fields[-1].dataType, BinaryType) and len(out[-1]) > 256 else 0
+            if len(out[0]) >= 4096 or size > 16 << 20:
+                yield batch()
+                out, size = [[] for _ in names], 0
+        if out[0]:
+            yield batch()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
@@ -90,9 +109,8 @@ def keyed(df: DataFrame, *more: tuple[str, object]) -> StructType:
     return schema
 
 
-def line_batch(key, frame: int, ys, values: list[bytes], kind, *more) -> list[pa.Array]:
-    n = len(values)
-    return [pa.array([key] * n, kind), pa.array([frame] * n, pa.int32()), *(pa.array(m, pa.int32()) for m in more), pa.array(ys, pa.int32()), pa.array(values, pa.binary())]
+def line_rows(key: tuple, ys: range, values: list[bytes], *more: list[int]) -> list:
+    return [[key[0]] * len(values), [key[1]] * len(values), *more, ys, values]
 
 
 # --- crop and scale -----------------------------------------------------------------------
@@ -119,18 +137,18 @@ def fan_out(lines: DataFrame, plan: DataFrame) -> DataFrame:
     return met.select("rendition", F.col("frame").cast("int"), "band", (F.col("y") - F.col("p.top")).cast("int").alias("y"), cut.alias("px"), "p")
 
 
-def scaled_band(table: pa.Table, p: dict, band: int, light: bool = False) -> np.ndarray:
+def scaled_band(group: dict, band: int, light: bool = False) -> np.ndarray:
     """Result rows of one band, before any turn. A scale of 1 leaves every value as it is; others go through premultiplied alpha."""
-    values = pixels_of(table.column("px").combine_chunks())
+    p, values = group["p"], pixels_of(group["px"])
     start, stop = band * BAND, min(int(p["out_h"]), (band + 1) * BAND)
     if (p["out_w"], p["out_h"]) == (p["box_w"], p["box_h"]) and not light:
-        return values[start - table.column("y")[0].as_py() :][: stop - start]
+        return values[start - group["y"][0] :][: stop - start]
     own = values.astype(float)
     if light:
         own = np.concatenate([rasters.LIGHT[values[..., :3]], own[..., 3:]], axis=-1)
     elif p.get("premultiplied"):
         own = rasters.premultiply(own)
-    own = rasters.down(rasters.across(own, int(p["out_w"])), table.column("y")[0].as_py(), int(p["box_h"]), int(p["out_h"]), start, stop)
+    own = rasters.down(rasters.across(own, int(p["out_w"])), group["y"][0], int(p["box_h"]), int(p["out_h"]), start, stop)
     if light:
         return np.concatenate([rasters.from_light(own[..., :3]), rasters.whole(own[..., 3:])], axis=-1)
     return rasters.unpremultiply(rasters.whole(own)) if p.get("premultiplied") else rasters.whole(own)
@@ -140,9 +158,9 @@ def scale_lines(lines: DataFrame, plan: DataFrame, light: bool = False) -> DataF
     """lines(rendition, frame, y, px) of each plan's box, scaled to out_w x out_h; with `light`, in linear light."""
     schema = keyed(plan, ("y", IntegerType()), ("px", BinaryType()))
 
-    def work(key, table):
-        rows = scaled_band(table, table.column("p")[0].as_py(), key[2], light)
-        yield line_batch(key[0], key[1], np.arange(key[2] * BAND, key[2] * BAND + len(rows)), coded(rows), table.schema.field("rendition").type)
+    def work(key, group):
+        rows = scaled_band(group, key[2], light)
+        yield line_rows(key, range(key[2] * BAND, key[2] * BAND + len(rows)), coded(rows))
 
     return by_band(fan_out(lines, plan), ["rendition", "frame", "band"], ["y"], work, schema)
 
@@ -191,11 +209,10 @@ def filter_lines(lines: DataFrame, plan: DataFrame) -> DataFrame:
     bands = F.expr(f"sequence(greatest(0, y - halo) div {BAND}, least(CAST(p.height AS INT) - 1, y + halo) div {BAND})")
     schema = keyed(lines, ("y", IntegerType()), ("px", BinaryType()))
 
-    def work(key, table):
-        p, first = table.column("p")[0].as_py(), table.column("y")[0].as_py()
+    def work(key, group):
+        p = group["p"]
         start, stop = key[2] * BAND, min(int(p["height"]), (key[2] + 1) * BAND)
-        rows = filtered(pixels_of(table.column("px").combine_chunks()), first, p, start, stop)
-        yield line_batch(key[0], key[1], np.arange(start, stop), coded(rows), table.schema.field("rendition").type)
+        yield line_rows(key, range(start, stop), coded(filtered(pixels_of(group["px"]), group["y"][0], p, start, stop)))
 
     return by_band(met.withColumn("band", F.explode(bands)).drop("halo"), ["rendition", "frame", "band"], ["y"], work, schema)
 
@@ -223,32 +240,29 @@ def smart_boxes(lines: DataFrame, plan: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     origin = [F.col(c).cast("long").alias(c) if c in plan.columns else zero.alias(c) for c in ("left", "top")]
     size = plan.select("rendition", "image_id", *origin, F.col("w").cast("long").alias("box_w"), F.col("h").cast("long").alias("box_h"), F.col("w").cast("long").alias("out_w"), F.col("h").cast("long").alias("out_h"), F.least("want_w", "w").cast("long").alias("want_w"), F.least("want_h", "h").cast("long").alias("want_h"))
-    columns = (("band", IntegerType()), ("y", IntegerType()), ("sums", BinaryType()), ("rows", IntegerType()))
+    columns = (("band", IntegerType()), ("y", IntegerType()), ("rows", IntegerType()), ("sums", BinaryType()))
 
-    def running(key, table):
-        p, ys = table.column("p")[0].as_py(), table.column("y").to_numpy()
-        values = pixels_of(table.column("px").combine_chunks())
+    def running(key, group):
+        p, first = group["p"], group["y"][0]
+        values = pixels_of(group["px"])
         start, stop = key[2] * BAND, min(int(p["box_h"]), (key[2] + 1) * BAND)
-        above = values[start - 1 - ys[0]] if start else None
-        own = detail(values[start - ys[0] : stop - ys[0]], above)
+        own = detail(values[start - first : stop - first], values[start - 1 - first] if start else None)
         ends = np.concatenate([np.zeros((len(own), 1), np.int64), np.cumsum(own, axis=1)], axis=1)
         sums = np.cumsum(ends[:, int(p["want_w"]) :] - ends[:, : -int(p["want_w"])], axis=0)
         n = len(sums)
-        kind = table.schema.field("rendition").type
-        yield [pa.array([key[0]] * n, kind), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.int32()), pa.array(np.arange(start, stop), pa.int32()), pa.array([r.tobytes() for r in sums], pa.binary()), pa.array([int(p["want_h"])] * n, pa.int32())]
+        yield [[key[0]] * n, [key[1]] * n, [key[2]] * n, range(start, stop), [int(p["want_h"])] * n, [r.tobytes() for r in sums]]
 
     cut = fan_out(lines, size)
     sums = by_band(cut, ["rendition", "frame", "band"], ["y"], running, keyed(plan, *columns))
     last = sums.join(size.select("rendition", "box_h"), "rendition").where((F.col("y") % BAND == BAND - 1) | (F.col("y") == F.col("box_h") - 1))
 
-    def before(key, table):
+    def before(key, group):
         total, out = 0, []
-        for row in table.column("sums").to_pylist():
+        for row in group["sums"]:
             now = np.frombuffer(row, np.int64)
             out.append((total + np.zeros_like(now)).tobytes())
             total = total + now
-        n = table.num_rows
-        yield [pa.array([key[0]] * n, table.schema.field("rendition").type), pa.array([key[1]] * n, pa.int32()), table.column("band").combine_chunks(), pa.array(out, pa.binary())]
+        yield [[key[0]] * len(out), [key[1]] * len(out), group["band"], out]
 
     offsets = by_band(last.select("rendition", "frame", "band", "sums"), ["rendition", "frame"], ["band"], before, keyed(plan, ("band", IntegerType()), ("before", BinaryType())))
     ends = F.expr("array(struct(y - rows + 1 AS window, 1 AS sign), struct(y + 1 AS window, -1 AS sign))")
@@ -256,12 +270,12 @@ def smart_boxes(lines: DataFrame, plan: DataFrame) -> DataFrame:
     roles = roles.join(size.select("rendition", (F.col("box_h") - F.col("want_h")).alias("last")), "rendition").where(F.col("role.window").between(0, F.col("last")))
     roles = roles.select("rendition", "frame", F.col("role.window").alias("window"), F.col("role.sign").alias("sign"), "sums", "before")
 
-    def scores(key, table):
+    def scores(key, group):
         total = 0
-        for sign, own, offset in zip(table.column("sign").to_pylist(), table.column("sums").to_pylist(), table.column("before").to_pylist()):
+        for sign, own, offset in zip(group["sign"], group["sums"], group["before"]):
             total = total + sign * (np.frombuffer(own, np.int64) + np.frombuffer(offset, np.int64))
         at = int(total.argmax())
-        yield [pa.array([key[0]], table.schema.field("rendition").type), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()), pa.array([at], pa.int32()), pa.array([int(total[at])], pa.int64())]
+        yield [[key[0]], [key[1]], [key[2]], [at], [int(total[at])]]
 
     rows = by_band(roles, ["rendition", "frame", "window"], ["sign"], scores, keyed(plan, ("window", IntegerType()), ("left", IntegerType()), ("score", LongType())))
     best = F.max(F.struct("score", (-F.col("window")).alias("up"), (-F.col("left")).alias("back"))).alias("best")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gravure.operators import pixels as px
@@ -59,30 +57,18 @@ def _frames(spark, sf):
 
 
 def digest_lines(lines, key="image_id", source="rendition"):
-    """The digest of `digest` for lines(source, frame, y, px), under the name `key`."""
-
-    def run(batches):
-        for batch in batches:
-            texts = []
-            for row in batch.column("px").to_pylist():
-                v = list(map(str, row))
-                texts.append(";".join(map(",".join, zip(v[::4], v[1::4], v[2::4], v[3::4]))))
-            lines = [hashlib.md5(t.encode()).hexdigest() for t in texts]
-            counts = pa.array([len(row) // 4 for row in batch.column("px").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "frame", "y")), pa.array(lines, pa.string()), counts], names=[key, "frame", "y", "d", "n"])
-
-    rows = lines.select(F.col(source).cast("long").alias(key), F.col("frame").cast("int"), F.col("y").cast("int"), "px")
-    rows = rows.mapInArrow(run, f"{key} long, frame int, y int, d string, n long")
+    """Pixel count and a digest of all pixels (their hex digits) for lines(source, frame, y, px), under the name `key`."""
+    rows = lines.select(F.col(source).cast("long").alias(key), F.col("frame").cast("int"), F.col("y").cast("int"), F.md5(F.hex("px").cast("binary")).alias("d"), F.octet_length("px").alias("size"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame", "y", "d"))), lambda c: c["d"]), "")
-    return rows.groupBy(key).agg(F.sum("n").alias("n"), F.md5(whole).alias("digest"))
+    return rows.groupBy(key).agg(F.sum(F.expr("size div 4")).alias("n"), F.md5(whole).alias("digest"))
 
 
 def _lines(spark, sf):
     """The pixels as scanlines, written out where they are made."""
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y"))
     bands = ("(k * 31 + x * 7 + y * 13) % 256", "(k * 17 + x * 3 + y * 29) % 256", "(k * 5 + x * 11 + y * 2) % 256", "IF(k % 3 = 0, (x * 16 + y) % 256, 255)")
-    codes = ", ".join(f"lpad(hex({b}), 2, '0')" for b in bands)
-    px_ = F.expr(f"unhex(array_join(transform(sequence(0, 23), x -> concat({codes})), ''))")
+    code = f"((({bands[0]}) * 256 + ({bands[1]})) * 256 + ({bands[2]})) * 256 + ({bands[3]})"
+    px_ = F.expr(f"unhex(array_join(transform(sequence(0, 23), x -> lpad(hex({code}), 8, '0')), ''))")
     return parts.select(F.col("k").alias("image_id"), F.lit(0).alias("frame"), "y", px_.alias("px"))
 
 
@@ -110,15 +96,15 @@ def _smart(spark, sf):
 
 def _filters(spark, sf, **columns):
     """A filter plan over all images, strengths by image; nothing is premultiplied, as in the single operators."""
-    plan = {"blur": F.lit(0.0), "sharpen": F.lit(0.0), "pixelate": F.lit(0), "premultiplied": F.lit(False), **columns}
-    plan = _params(spark, sf).select(F.col("image_id").alias("rendition"), F.col("w").alias("width"), F.col("h").alias("height"), *[c.alias(n) for n, c in plan.items()])
+    plan = {"blur": "0.0D", "sharpen": "0.0D", "pixelate": "0", "premultiplied": "false", **columns}
+    plan = _params(spark, sf).select(F.col("image_id").alias("rendition"), F.col("w").alias("width"), F.col("h").alias("height"), *[F.expr(c).alias(n) for n, c in plan.items()])
     return digest_lines(rn.filter_lines(_lines(spark, sf).withColumnRenamed("image_id", "rendition"), plan))
 
 
 #: Strengths of blur and sharpening by image_id % 3; block size of pixelating.
 SIGMAS = (0.5, 0.8, 1.3)
-_SIGMA = F.element_at(F.array(*map(F.lit, SIGMAS)), (F.col("image_id") % 3 + 1).cast("int"))
-_BLOCK_SIZE = 2 + F.col("image_id") % 11
+_SIGMA = "element_at(array({}), CAST(image_id % 3 + 1 AS INT))".format(", ".join(f"{v}D" for v in SIGMAS))
+_BLOCK_SIZE = "2 + image_id % 11"
 
 #: How a typed plan becomes one of an image of 24 x 16: Spark's text and the check's are the same.
 _SMALL = {
@@ -232,8 +218,18 @@ dg AS (SELECT image_id, frame, y, md5(string_agg(concat_ws(',', CAST(r AS BIGINT
 SELECT image_id, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(d, '' ORDER BY frame, y)) AS digest FROM dg GROUP BY image_id"""
 
 
-def _check(ctes, src="o", tables="pixels pixel_params"):
-    return with_tables(tables, (ctes + ",").strip() + _DIGEST.format(src=src))
+_DIGEST_HEX = """
+dg AS (SELECT image_id, frame, y, md5(string_agg(printf('%02X%02X%02X%02X', CAST(r AS BIGINT), CAST(g AS BIGINT), CAST(b AS BIGINT), CAST(a AS BIGINT)), ''
+    ORDER BY x)) AS d, count(*) AS n FROM {src} GROUP BY ALL)
+SELECT image_id, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(d, '' ORDER BY frame, y)) AS digest FROM dg GROUP BY image_id"""
+
+
+def _check(ctes, src="o", tables="pixels pixel_params", digest=_DIGEST):
+    return with_tables(tables, (ctes + ",").strip() + digest.format(src=src))
+
+
+def _check_lines(ctes, src="o", tables="pixels pixel_params"):
+    return _check(ctes, src, tables, _DIGEST_HEX)
 
 
 _J = "pixels p JOIN pixel_params q USING (image_id)"
@@ -410,7 +406,7 @@ _PADDED = _placed("cv", "padded_w", "padded_h", "canvas_left + aspect_left + pad
 
 
 def _requested_check(rest, src="cv"):
-    return with_tables("geo pixels tiles", _REQUESTED + "," + rest + "," + _DIGEST.format(src=src).replace("image_id", "req_id"))
+    return with_tables("geo pixels tiles", _REQUESTED + "," + rest + "," + _DIGEST_HEX.format(src=src).replace("image_id", "req_id"))
 
 
 _SAME = "o AS (SELECT * FROM pixels)"
@@ -436,11 +432,11 @@ w AS (SELECT o.image_id, o.y, o.x, o.ww, o.wh, sum(i.s) AS score FROM rw o JOIN
 bs AS (SELECT image_id, x AS "left", y AS top, ww, wh, CAST(score AS BIGINT) AS score FROM w QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, y, x) = 1),
 o AS (SELECT p.image_id, p.frame, p.y - top AS y, p.x - "left" AS x, r, g, b, a FROM pixels p JOIN bs USING (image_id)
   WHERE p.x - "left" BETWEEN 0 AND ww - 1 AND p.y - top BETWEEN 0 AND wh - 1),"""
-        + _DIGEST.format(src="o").replace("SELECT image_id, CAST(sum(n)", 'SELECT image_id, any_value("left") AS "left", any_value(top) AS top, any_value(score) AS score, CAST(sum(n)').replace(
+        + _DIGEST_HEX.format(src="o").replace("SELECT image_id, CAST(sum(n)", 'SELECT image_id, any_value("left") AS "left", any_value(top) AS top, any_value(score) AS score, CAST(sum(n)').replace(
             "FROM dg GROUP", "FROM dg JOIN bs USING (image_id) GROUP"
         ),
     ),
-    "e06_resize": _check(_resize_sql("pixels", "o").strip()),
+    "e06_resize": _check_lines(_resize_sql("pixels", "o").strip()),
     "e07_premultiply": _check(
         f"""p1 AS (SELECT image_id, frame, y, x, {_PRE("r")} AS r, {_PRE("g")} AS g, {_PRE("b")} AS b, a FROM pixels),
 o AS (SELECT image_id, frame, y, x, {_UNPRE("r")} AS r, {_UNPRE("g")} AS g, {_UNPRE("b")} AS b, a FROM p1)"""
@@ -453,17 +449,17 @@ o AS (SELECT image_id, frame, y, x, {_UNPRE("r")} AS r, {_UNPRE("g")} AS g, {_UN
         f"""o AS (SELECT image_id, frame, CASE WHEN flip_v THEN h - 1 - y ELSE y END AS y, CASE WHEN flip_h THEN w - 1 - x ELSE x END AS x,
   {_BANDS} FROM {_J})"""
     ),
-    "e10_blur": _check(
+    "e10_blur": _check_lines(
         _by_sigma(("r", "g", "b", "a")) + f",\no AS (SELECT image_id, frame, y, x, {_CLAMPED} FROM bl)"
     ),
-    "e11_sharpen": _check(
+    "e11_sharpen": _check_lines(
         _by_sigma(("r", "g", "b"))
         + """,
 o AS (SELECT p.image_id, p.frame, p.y, p.x, CAST(greatest(0, least(255, round(2.0e0 * p.r - b.r))) AS BIGINT) AS r,
   CAST(greatest(0, least(255, round(2.0e0 * p.g - b.g))) AS BIGINT) AS g, CAST(greatest(0, least(255, round(2.0e0 * p.b - b.b))) AS BIGINT) AS b,
   p.a FROM pixels p JOIN bl b USING (image_id, frame, y, x))"""
     ),
-    "e12_pixelate": _check(
+    "e12_pixelate": _check_lines(
         f"""v0 AS (SELECT p_partkey AS image_id, 2 + p_partkey % 11 AS n, unnest(range(0, CAST(ceil(16.0 / (2 + p_partkey % 11)) AS BIGINT) * (2 + p_partkey % 11))) AS vy FROM part),
 v1 AS (SELECT *, unnest(range(0, CAST(ceil(24.0 / n) AS BIGINT) * n)) AS vx FROM v0),
 m AS (SELECT v.image_id, n, vy // n AS by, vx // n AS bx, sum(r) / count(*) AS r, sum(g) / count(*) AS g, sum(b) / count(*) AS b, sum(a) / count(*) AS a
@@ -493,7 +489,7 @@ o AS (SELECT q.image_id, p.frame, q.y, q.x, r, g, b, a FROM g3 q JOIN pixels p O
         """o AS (SELECT image_id, frame, y // 4 AS y, x // 4 AS x, round(sum(r) / count(*)) AS r, round(sum(g) / count(*)) AS g,
   round(sum(b) / count(*)) AS b, round(sum(a) / count(*)) AS a FROM pixels GROUP BY image_id, frame, y // 4, x // 4)"""
     ),
-    "e21_linear_resize": _check(
+    "e21_linear_resize": _check_lines(
         f"li AS (SELECT image_id, frame, y, x, {_LIN('r')} AS r, {_LIN('g')} AS g, {_LIN('b')} AS b, a FROM pixels),"
         + _resize_sql("li", "rz", final=False)
         + f""",
@@ -527,7 +523,7 @@ fz AS (SELECT image_id, unnest(range(0, image_id % 3 + 1)) AS fr, CASE WHEN angl
 o AS (SELECT image_id * 4 + fr AS image_id, 0 AS frame, y, x, r, g, b, a FROM ff UNION ALL
   SELECT image_id * 4 + fr, 0, 0, unnest(range(0, w1)), 0, 0, 0, 0 FROM fz),
 dn AS ("""
-        + _DIGEST.format(src="o").strip().removeprefix("dg AS ").join(("WITH dg AS ", ")"))
+        + _DIGEST_HEX.format(src="o").strip().removeprefix("dg AS ").join(("WITH dg AS ", ")"))
         + """
 SELECT z.image_id, z.fr AS frame, z.fr * (h1 + 1) AS top, h1 + 1 AS frame_h, CASE WHEN z.image_id % 2 = 0 THEN 10 * (z.fr + 1) + z.image_id % 5 ELSE 40 END AS delay,
   z.image_id % 4 AS loop, z.image_id % 3 + 1 AS pages, n, digest FROM fz z JOIN dn ON dn.image_id = z.image_id * 4 + z.fr""",
