@@ -29,9 +29,24 @@ def resample(values: np.ndarray, index: np.ndarray, weight: np.ndarray, digits:
     return np.round(total / weight.sum(axis=1).reshape(-1, *[1] * (values.ndim - 1)), digits)
 
 
+#: Up to so many weights a pass is one matrix product.
+DENSE = 1 << 16
+
+
+@functools.lru_cache(1024)
+def weights(size: int, out: int) -> np.ndarray:
+    """The taps as a matrix [out, size] whose rows sum to one."""
+    index, weight = taps(size, out)
+    full = np.zeros((out, size))
+    np.add.at(full, (np.arange(out)[:, None], index), weight)
+    return full / full.sum(axis=1, keepdims=True)
+
+
 def across(values: np.ndarray, out: int) -> np.ndarray:
     """Columns resampled to `out`."""
     size = values.shape[1]
+    if out != size and size * out <= DENSE:
+        return np.round(weights(size, out) @ values, 6)
     return values if out == size else resample(values.transpose(1, 0, 2), *taps(size, out)).transpose(1, 0, 2)
 
 
@@ -39,6 +54,9 @@ def down(values: np.ndarray, first: int, size: int, out: int, start: int, stop:
     """Output rows start..stop of an image of `size` rows, of which `values` are those from `first` on."""
     if out == size:
         return values[start - first : stop - first]
+    if size * out <= DENSE:
+        own = weights(size, out)[start:stop, first : first + len(values)]
+        return np.round((own @ values.reshape(len(values), -1)).reshape(stop - start, *values.shape[1:]), 6)
     index, weight = taps(size, out)
     return resample(values, np.clip(index[start:stop] - first, 0, len(values) - 1), weight[start:stop])
 
@@ -148,17 +166,44 @@ def orientation(angle: int, flip: bool, rotate: int, flip_h: bool, flip_v: bool)
     return turned, rows, columns
 
 
-def flatten(line: np.ndarray, back: tuple[int, int, int]) -> np.ndarray:
-    """Alpha blended onto a colour."""
-    alpha = line[..., 3:]
-    mixed = np.floor((line[..., :3] * alpha + np.array(back, float) * (255.0 - alpha)) / 255.0 + 0.5)
+def flatten(pixels: np.ndarray, back) -> np.ndarray:
+    """Alpha blended onto a colour, one for all or one per pixel."""
+    alpha = pixels[..., 3:]
+    mixed = np.floor((pixels[..., :3] * alpha + np.asarray(back, float) * (255.0 - alpha)) / 255.0 + 0.5)
     return np.concatenate([mixed, np.full_like(alpha, 255)], axis=-1)
 
 
-def over(line: np.ndarray, mark: np.ndarray, opacity: float) -> np.ndarray:
-    """`mark` times opacity over a piece of a line of the same width."""
-    s, d = mark[..., 3:] / 255.0 * opacity, line[..., 3:] / 255.0
+def over(pixels: np.ndarray, mark: np.ndarray, opacity: np.ndarray) -> np.ndarray:
+    """`mark` times opacity over as many pixels."""
+    s, d = mark[:, 3:] / 255.0 * opacity[:, None], pixels[:, 3:] / 255.0
     o = s + d * (1.0 - s)
-    mixed = (mark[..., :3] * s + line[..., :3] * d * (1.0 - s)) / np.where(o == 0, 1.0, o)
+    mixed = (mark[:, :3] * s + pixels[:, :3] * d * (1.0 - s)) / np.where(o == 0, 1.0, o)
     colour = np.where(o == 0, 0, whole(np.round(mixed, 6)))
     return np.concatenate([colour, whole(np.round(o * 255.0, 6))], axis=-1)
+
+
+def finish(lines: list[bytes], marks: list[bytes | None], p: dict[str, np.ndarray]) -> list[bytes]:
+    """Many lines of any widths at once: background where opaque, then the mark's lines over them, once or tiled. `p` has a value per line."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines)) // 4
+    starts = np.cumsum(size) - size
+    pixels = np.frombuffer(b"".join(lines), np.uint8).reshape(-1, 4).astype(float)
+    row = np.repeat(np.arange(len(lines)), size)
+    at = np.flatnonzero(p["opaque"][row])
+    pixels[at] = flatten(pixels[at], np.stack([p[f"bg_{c}"][row[at]] for c in "rgb"], axis=-1))
+    length = np.fromiter((len(m) // 4 if m else 0 for m in marks), np.int64, len(marks))
+    if length.any():
+        own = np.frombuffer(b"".join(m for m in marks if m), np.uint8).reshape(-1, 4).astype(float)
+        first = np.cumsum(length) - length
+        at = np.flatnonzero(length[row] > 0)
+        of = row[at]
+        x, tiled = at - starts[of], p["tiled"][of]
+        count = -(-size[of] // np.maximum(p["tile_w"][of], 1))
+        skip = ((count + (count % 2 == 0)) * p["tile_w"][of] - size[of]) // 2
+        place = np.where(tiled, (x + skip) % np.maximum(p["tile_w"][of], 1) - p["tile_left"][of], x - p["wm_left"][of])
+        inside = (place >= 0) & (place < length[of])
+        mark = np.zeros((len(at), 4))
+        mark[inside] = own[first[of[inside]] + place[inside]]
+        use = inside | tiled
+        pixels[at[use]] = over(pixels[at[use]], mark[use], p["wm_opacity"][of[use]])
+    data = pixels.astype(np.uint8).tobytes()
+    return [data[4 * a : 4 * (a + n)] for a, n in zip(starts.tolist(), size.tolist())]

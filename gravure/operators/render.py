@@ -241,7 +241,8 @@ def finished(lines: DataFrame, plan: DataFrame, mark: DataFrame | None) -> DataF
         count = F.ceil(F.col("result_h") / F.col("tile_h"))
         count = count + F.when(count % 2 == 0, 1).otherwise(0)
         plan = plan.withColumns({"tiled": cover, "skip_y": F.when(cover, half(count * F.col("tile_h") - F.col("result_h"))).otherwise(0).cast("long")})
-        params += ["tiled", "wm_visible", "wm_left", "wm_top", "wm_opacity", "mark_w", "mark_h", "tile_w", "tile_h", "tile_left", "tile_top", "skip_y", "result_w"]
+        params += ["tiled", "wm_visible", "wm_left", "wm_top", "wm_opacity", "mark_w", "mark_h", "tile_w", "tile_h", "tile_left", "tile_top", "skip_y"]
+    plan = plan.withColumns({c: F.coalesce(F.col(c), F.lit(0 if c.startswith("bg") else False)) for c in ("opaque", "bg_r", "bg_g", "bg_b")})
     df = lines.join(plan.select("rendition", *params), "rendition")
     if mark is None:
         df = df.withColumn("mark_px", F.lit(None).cast("binary"))
@@ -255,38 +256,13 @@ def finished(lines: DataFrame, plan: DataFrame, mark: DataFrame | None) -> DataF
 
     def run(batches):
         for batch in batches:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                p = dict(zip(names, row))
-                if not p["opaque"] and not p["mark_px"]:
-                    out.append(p["px"])
-                    continue
-                line = np.frombuffer(p["px"], np.uint8).reshape(-1, 4).astype(float)
-                line = rasters.flatten(line, (p["bg_r"], p["bg_g"], p["bg_b"])) if p["opaque"] else line
-                out.append(coded(marked(line, p)[None] if p["mark_px"] else line[None])[0])
+            p = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in params}
+            out = rasters.finish(batch.column("px").to_pylist(), batch.column("mark_px").to_pylist(), p)
             yield pa.RecordBatch.from_arrays([batch.column("rendition"), batch.column("frame"), batch.column("y"), pa.array(out, pa.binary())], names=schema.names)
 
     return df.select(*names).mapInArrow(run, schema)
 
 
-def marked(line: np.ndarray, p: dict) -> np.ndarray:
-    """The mark's line over the image's line, once or side by side to cover it."""
-    own, width = np.frombuffer(p["mark_px"], np.uint8).reshape(-1, 4).astype(float), len(line)
-    if p["tiled"]:
-        count = -(-width // p["tile_w"])
-        count += count % 2 == 0
-        skip = (count * p["tile_w"] - width) // 2
-        tile = np.zeros((p["tile_w"], 4))
-        piece = own[: max(0, p["tile_w"] - p["tile_left"])]
-        tile[p["tile_left"] : p["tile_left"] + len(piece)] = piece
-        return rasters.over(line, tile[(np.arange(width) + skip) % p["tile_w"]], p["wm_opacity"])
-    start, stop = max(0, p["wm_left"]), min(width, p["wm_left"] + len(own))
-    if stop > start:
-        line = line.copy()
-        line[start:stop] = rasters.over(line[start:stop], own[start - p["wm_left"] : stop - p["wm_left"]], p["wm_opacity"])
-    return line
-
-
 def render(lines: DataFrame, plan: DataFrame, mark: DataFrame | None = None) -> DataFrame:
     """lines(rendition, frame, y, px) of every planned request over lines(image_id, frame, y, px).
 

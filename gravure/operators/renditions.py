@@ -56,23 +56,21 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     """Runs of equal keys of sorted batches: each column as a list, `p` as the first row's value."""
     key, group = None, None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         columns = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "p"}
-        values, start = list(zip(*(columns[k] for k in keys))), 0
-        while start < len(values):
-            stop = start + 1
-            while stop < len(values) and values[stop] == values[start]:
-                stop += 1
+        values = list(zip(*(columns[k] for k in keys)))
+        starts = [0] + [at for at in range(1, len(values)) if values[at] != values[at - 1]]
+        firsts = batch.column("p").take(pa.array(starts)).to_pylist() if "p" in batch.schema.names else [None] * len(starts)
+        for start, stop, first in zip(starts, [*starts[1:], len(values)], firsts):
             part = {c: v[start:stop] for c, v in columns.items()}
             if values[start] == key:
                 for c, v in part.items():
                     group[c] += v
-            else:
-                if group:
-                    yield key, group
-                key, group = values[start], part
-                if "p" in batch.schema.names:
-                    group["p"] = batch.column("p")[start].as_py()
-            start = stop
+                continue
+            if group:
+                yield key, group
+            key, group = values[start], {**part, "p": first}
     if group:
         yield key, group
 
