@@ -22,8 +22,9 @@ def http_date_us(header: Column) -> Column:
 
 def http_date(us: Column) -> Column:
     """Microseconds since 1970 -> RFC 1123 GMT date."""
-    seconds = F.floor(us / F.lit(1_000_000)).cast("int")
-    stamp = F.timestamp_add("SECOND", seconds, F.expr(EPOCH))
+    seconds = F.floor(us / F.lit(1_000_000))
+    days = F.timestamp_add("DAY", F.floor(seconds / F.lit(86_400)).cast("int"), F.expr(EPOCH))
+    stamp = F.timestamp_add("SECOND", F.pmod(seconds, F.lit(86_400)).cast("int"), days)
     return F.concat(F.date_format(stamp, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
 
 

@@ -149,11 +149,12 @@ def fit_max_bytes(renditions: DataFrame, encodings: DataFrame, attempts: int = 1
 
     The sizes of one image and format are at most 100 numbers, so they are gathered into
     one map and the walk is a fold inside the row. Of several sizes of one quality the largest counts.
+    fit_status says how the walk ended: not_asked, fits, over (none fits), unmeasured (the walk needs a
+    quality that was never measured; final_bytes is null).
     """
-    measured = encodings.groupBy("image_id", "format", "quality").agg(F.max("bytes").alias("bytes"))
-    sizes = measured.groupBy("image_id", "format").agg(
-        F.map_from_entries(F.collect_list(F.struct("quality", "bytes"))).alias("sizes")
-    )
+    cells = F.array_sort(F.collect_set(F.struct("quality", "bytes")))
+    largest = F.filter(cells, lambda c, i: F.coalesce(F.get(cells, i + 1)["quality"] != c["quality"], F.lit(True)))
+    sizes = encodings.groupBy("image_id", "format").agg(F.map_from_entries(largest).alias("sizes"))
     df = renditions.join(sizes, ["image_id", "format"], "left")
     gated = dims.has_capability(F.col("format"), "quality") & (F.col("max_bytes") > 0)
     size_at = lambda q: F.try_element_at("sizes", q)
@@ -176,6 +177,10 @@ def fit_max_bytes(renditions: DataFrame, encodings: DataFrame, attempts: int = 1
             "final_quality": F.col("_fit.q"),
             "attempts": F.col("_fit.n"),
             "final_bytes": size_at(F.col("_fit.q")),
+            "fit_status": F.when(~gated, "not_asked")
+            .when(size_at(F.col("_fit.q")).isNull(), "unmeasured")
+            .when(size_at(F.col("_fit.q")) <= F.col("max_bytes"), "fits")
+            .otherwise("over"),
         }
     ).drop("_fit", "sizes")
 

@@ -7,6 +7,7 @@ plan as literals or as one scalar map, so requests are never shuffled.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from gravure.functions.text import (
     any_wildcard, b64url_decode, b64url_encode, parse_float, parse_int, path_unescape, wildcard_regex,
 )
 from gravure.plans import dims
-from gravure.plans.options import argument_errors, typed_plan
+from gravure.plans.options import PLAN_FIELDS, argument_errors, typed_plan
 
 OPTION_TYPE = "array<struct<name: string, given_name: string, args: array<string>, in_url: boolean>>"
 
@@ -510,6 +511,8 @@ def request_verdict(df: DataFrame, stages: list[tuple[str, str]]) -> DataFrame:
 # --- renditions -------------------------------------------------------------------------
 
 DELIVERY_FIELDS = ("cachebuster", "filename", "return_attachment", "expires")
+#: Everything of a plan that can change the result.
+RENDITION_FIELDS = tuple(f for f in PLAN_FIELDS if f not in (*DELIVERY_FIELDS, "used_presets"))
 
 
 def plan_json(df: DataFrame, groups: dict[str, dict[str, str]], name: str = "plan_json") -> DataFrame:
@@ -525,9 +528,10 @@ def plan_json(df: DataFrame, groups: dict[str, dict[str, str]], name: str = "pla
     return df.withColumn(name, F.to_json(F.struct(*parts)))
 
 
-def dedupe_renditions(df: DataFrame, fields: list[str]) -> DataFrame:
+def dedupe_renditions(df: DataFrame, fields: Sequence[str] = RENDITION_FIELDS) -> DataFrame:
     """Requests that ask for the same pixels: one row per rendition with its request count.
 
+    Two requests are one rendition if their whole plans agree, but for what only concerns delivery.
     The key is a digest, so the shuffle moves 32 bytes per partial group.
     """
     kept = [f for f in fields if f not in DELIVERY_FIELDS]

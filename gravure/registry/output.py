@@ -38,7 +38,7 @@ def _c01(spark, sf):
 
 def _c11(spark, sf):
     fitted = output.fit_max_bytes(table(spark, sf, "fit_renditions"), table(spark, sf, "encodings"))
-    return fitted.select("req_id", "final_quality", "attempts", "final_bytes")
+    return fitted.select("req_id", "final_quality", "attempts", "final_bytes", "fit_status")
 
 
 QUERIES = {
@@ -146,7 +146,8 @@ SELECT req_id, CASE WHEN src_format = 'svg' THEN coalesce(format = 'svg', true)
     ),
     "c11_fit_max_bytes": with_tables(
         "fit_renditions encodings",
-        """walk(req_id, image_id, format, max_bytes, q, n, bytes) AS (
+        f"""{_TYPES},
+walk(req_id, image_id, format, max_bytes, q, n, bytes) AS (
   SELECT r.req_id, r.image_id, r.format, r.max_bytes, CAST(start_quality AS BIGINT), CAST(1 AS BIGINT), e.bytes FROM fit_renditions r
     LEFT JOIN encodings e ON e.image_id = r.image_id AND e.format = r.format AND e.quality = r.start_quality
   UNION ALL
@@ -154,8 +155,10 @@ SELECT req_id, CASE WHEN src_format = 'svg' THEN coalesce(format = 'svg', true)
       CAST(round(CAST(q AS DOUBLE) * CASE WHEN CAST(bytes AS DOUBLE) / max_bytes > 3 THEN 0.25e0
         WHEN CAST(bytes AS DOUBLE) / max_bytes > 1.5e0 THEN 0.5e0 ELSE 0.75e0 END) AS BIGINT))) AS nq
     FROM walk WHERE max_bytes > 0 AND bytes > max_bytes AND q > 10) w
-  JOIN encodings e ON e.image_id = w.image_id AND e.format = w.format AND e.quality = w.nq)
-SELECT req_id, arg_max(q, n) AS final_quality, max(n) AS attempts, arg_max(bytes, n) AS final_bytes FROM walk GROUP BY req_id""",
+  JOIN encodings e ON e.image_id = w.image_id AND e.format = w.format AND e.quality = w.nq),
+en AS (SELECT req_id, arg_max(q, n) AS final_quality, max(n) AS attempts, max(n) FILTER (WHERE bytes IS NOT NULL) AS got, arg_max(bytes, n) AS b, any_value(max_bytes) AS mb, any_value(format) AS f FROM walk GROUP BY req_id)
+SELECT req_id, final_quality, attempts, CASE WHEN got = attempts THEN b END AS final_bytes,
+  CASE WHEN coalesce(mb, 0) <= 0 OR f NOT IN (SELECT format FROM types WHERE quality) THEN 'not_asked' WHEN got IS NULL OR got < attempts THEN 'unmeasured' WHEN b <= mb THEN 'fits' ELSE 'over' END AS fit_status FROM en""",
     ),
     "c12_palette_depth": with_tables(
         "decisions",

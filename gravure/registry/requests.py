@@ -224,11 +224,8 @@ def _b23(spark, sf):
     return requests.plan_json(options.typed_plan(df), PLAN_GROUPS).select("req_id", "plan_json")
 
 
-_RENDITION = ["width", "height", "resizing_type", "format", "quality", "cachebuster", "filename"]
-
-
 def _b24(spark, sf):
-    df = requests.dedupe_renditions(_parsed(spark, sf), _RENDITION)
+    df = requests.dedupe_renditions(_parsed(spark, sf))
     return df.select("requests", "first_req")
 
 
@@ -832,8 +829,8 @@ FROM option_paths a LEFT JOIN rawf USING (req_id)"""
     ),
     "b23_plan_json": _with_options(_json_sql(), errors_sql("ro", security=True), _GOOD, plan_sql("ro", "good")),
     "b24_dedupe_renditions": _req_sql(
-        """SELECT count(*) AS requests, min(req_id) AS first_req FROM parsed
-GROUP BY source_url, width, height, resizing_type, format, quality"""
+        f"""SELECT count(*) AS requests, min(req_id) AS first_req FROM parsed
+GROUP BY source_url, {", ".join(requests.RENDITION_FIELDS)}"""
     ),
     "b25_expires_check": """SELECT event_id AS req_id,
   CASE WHEN event_id % 4 = 1 THEN 'option_argument' WHEN event_id % 4 > 1 AND 1704067200 + (event_id * 977) % 2592000 < epoch_us(ts) // 1000000

@@ -118,7 +118,7 @@ QUERIES = {
             )
         ).alias("is_svg"),
     ),
-    "a09_limit_file_size": lambda spark, sf: scan.limit_file_size(_blobs(spark, sf), 400).select("image_id", "length"),
+    "a09_limit_file_size": lambda spark, sf: scan.limit_file_size(_blobs(spark, sf), 400).select("image_id", "length", "size_status"),
     "a10_file_etag": lambda spark, sf: scan.file_etag(_blobs(spark, sf)).select("image_id", "etag"),
     "a11_content_type": lambda spark, sf: scan.content_type(scan.detect_type(_blobs(spark, sf))).select("image_id", "mime"),
     "a12_slice_range": lambda spark, sf: scan.slice_range(_blobs(spark, sf)).select(
@@ -181,7 +181,7 @@ SELECT image_id, bucket FROM sq WHERE bucket IN (SELECT 'bucket' || n_nationkey
     "a07_exclude_raw": with_tables("blobs", f"SELECT image_id, ext, content_type FROM blobs WHERE NOT {_RAW}"),
     "a08_detect_svg": """SELECT page_id, page_id % 4 IN (1, 3) OR regexp_matches(regexp_replace(html, '(?s)<!--.*?(-->|$)', '', 'g'),
   '<([A-Za-z_][A-Za-z0-9_.-]*:)?svg[\\s/>]') AS is_svg FROM pages""",
-    "a09_limit_file_size": "SELECT p_partkey AS image_id, 100 + p_partkey * 3 AS length FROM part WHERE 100 + p_partkey * 3 <= 400",
+    "a09_limit_file_size": "SELECT p_partkey AS image_id, 100 + p_partkey * 3 AS length, CAST(CASE WHEN 100 + p_partkey * 3 > 400 THEN 422 END AS BIGINT) AS size_status FROM part",
     "a10_file_etag": with_tables(
         "blobs",
         """SELECT image_id, '"' || rtrim(translate(to_base64(unhex(sha256(path || '__' || length || '__' || mtime_ns))), '+/', '-_'), '=') || '"' AS etag FROM blobs""",

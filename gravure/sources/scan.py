@@ -135,8 +135,10 @@ def exclude_raw(df: DataFrame) -> DataFrame:
 
 
 def limit_file_size(df: DataFrame, max_bytes: int) -> DataFrame:
-    """Files within the limit (0: no limit); a filter on length reaches the file listing."""
-    return df.filter(F.col("length") <= max_bytes) if max_bytes else df
+    """size_status is 422 for files beyond the limit (0: no limit), whose content is left out; no row goes."""
+    over = (F.col("length") > max_bytes) if max_bytes else F.lit(False)
+    df = df.withColumn("size_status", F.when(over, 422).cast("bigint"))
+    return df.withColumn("content", F.when(~over, F.col("content"))) if max_bytes and "content" in df.columns else df
 
 
 def file_etag(df: DataFrame) -> DataFrame:
