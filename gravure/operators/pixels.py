@@ -9,9 +9,6 @@ skew splitting) to the adaptive planner. At rest pixels are packed as scanlines.
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,7 +238,9 @@ def resize(
     pixels: DataFrame, params: DataFrame, bands: tuple[str, ...] = BANDS, whole: bool = True, carry: tuple[str, ...] = (),
     digits: int = 6,
 ) -> DataFrame:
-    """Scale w x h to round(w * w_scale) x round(h * h_scale); rows, then columns.
+    """Scale w x h to round(w * w_scale) x round(h * h_scale); rows, then columns. For measures of small images, by pixels.
+
+    One row of params per image: renditions of any number, and whole images, are renditions.scale_lines.
 
     A scale of 1 leaves every value as it is. `carry` names columns of pixels that are
     constant for an image.
@@ -261,84 +260,6 @@ def resize(
     return df.select(*KEY, *carry, *[_clamp(F.col(c)).alias(c) for c in bands])
 
 
-def linear_resize(pixels: DataFrame, params: DataFrame) -> DataFrame:
-    """Resize in linear light: sRGB transfer undone before, applied after."""
-    unit = lambda c: dbl(c) / 255.0
-    linear = lambda c: F.when(unit(c) <= 0.04045, unit(c) / 12.92).otherwise(F.pow((unit(c) + 0.055) / 1.055, 2.4))
-    light = pixels.withColumns({c: F.round(linear(c), 9) for c in COLOUR})
-    sized = resize(light, params, whole=False)
-    encoded = lambda c: F.when(F.col(c) <= 0.0031308, F.col(c) * 12.92).otherwise(
-        1.055 * F.pow(F.greatest(F.col(c), F.lit(0.0)), 1 / 2.4) - 0.055
-    )
-    back = {c: _clamp(F.round(encoded(c) * 255.0, 4)) for c in COLOUR}
-    return _fixed(sized.withColumns({**back, "a": _clamp(F.col("a"))}))
-
-
-def gauss_kernel(sigma: float) -> list[float]:
-    radius = math.ceil(3 * sigma)
-    raw = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    return [v / sum(raw) for v in raw]
-
-
-def _blur_pass(
-    df: DataFrame, at: str, other: str, kernel: list[float], bands: tuple[str, ...], carry: tuple[str, ...]
-) -> DataFrame:
-    """Weighted sum over neighbours in one line; beyond an end the end pixel counts again."""
-    line = Window.partitionBy("image_id", "frame", other).orderBy(at)
-    ends = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    radius = len(kernel) // 2
-
-    def tap(c: str, k: int) -> Column:
-        if k < 0:
-            return F.coalesce(F.lag(c, -k).over(line), F.first(c).over(ends))
-        return F.coalesce(F.lead(c, k).over(line), F.last(c).over(ends)) if k else F.col(c)
-
-    total = lambda c: reduce(lambda a, b: a + b, [tap(c, k) * w for k, w in zip(range(-radius, radius + 1), kernel)])
-    return df.select(*KEY, *carry, *[F.round(total(c), 6).alias(c) for c in bands])
-
-
-def blur_values(pixels: DataFrame, sigma: float, bands: tuple[str, ...] = BANDS, keep: bool = False) -> DataFrame:
-    """Blurred bands as doubles; with `keep`, the original ones beside them as _r, _g, _b, _a."""
-    kernel = gauss_kernel(sigma)
-    carry = tuple(f"_{c}" for c in BANDS) if keep else ()
-    wide = pixels.select(
-        *KEY, *[F.col(c).alias(f"_{c}") for c in BANDS if keep], *[dbl(c).alias(c) for c in bands]
-    )
-    return _blur_pass(_blur_pass(wide, "x", "y", kernel, bands, carry), "y", "x", kernel, bands, carry)
-
-
-def blur(pixels: DataFrame, sigma: float) -> DataFrame:
-    """Gaussian of radius ceil(3 sigma), edges repeated."""
-    return _fixed(blur_values(pixels, sigma).withColumns({c: _clamp(F.col(c)) for c in BANDS}))
-
-
-def sharpen(pixels: DataFrame, sigma: float) -> DataFrame:
-    """Unsharp mask: v + (v - blur(v)) on the colour bands."""
-    df = blur_values(pixels, sigma, COLOUR, keep=True)
-    return _fixed(df.withColumns({**{c: _clamp(2.0 * F.col(f"_{c}") - F.col(c)) for c in COLOUR}, "a": F.col("_a")}))
-
-
-def pixelate(pixels: DataFrame, params: DataFrame, n: int) -> DataFrame:
-    """Block means of n x n, the last blocks filled up by mirroring the image."""
-    df = with_params(pixels, params, "w", "h").withColumn("_n", F.least(F.lit(n), F.greatest("w", "h")).cast("int"))
-
-    def seen_at(at: str, size: str) -> Column:
-        at_, size_ = F.col(at).cast("int"), F.col(size).cast("int")
-        end = (F.ceil(dbl(size) / F.col("_n")) * F.col("_n")).cast("int") - 1
-        twin = 2 * size_ - 1 - at_
-        plain = F.sequence(at_, end, 2 * size_)
-        return F.when(twin <= end, F.concat(plain, F.sequence(F.least(twin, end), end, 2 * size_))).otherwise(plain)
-
-    virtual = df.withColumn("_vy", F.explode(seen_at("y", "h"))).withColumn("_vx", F.explode(seen_at("x", "w")))
-    block = Window.partitionBy(
-        "image_id", "frame", F.floor(F.col("_vy") / F.col("_n")), F.floor(F.col("_vx") / F.col("_n"))
-    )
-    count = F.count(F.lit(1)).over(block)
-    means = {c: F.round(F.sum(c).over(block) / count) for c in BANDS}
-    real = (F.col("_vx") == F.col("x")) & (F.col("_vy") == F.col("y"))
-    return _fixed(virtual.withColumns(means).filter(real))
-
-
 def box_shrink(pixels: DataFrame, n: int) -> DataFrame:
     """Block means of n x n as a smaller image: a pyramid level."""
     return _fixed(
@@ -391,35 +312,6 @@ def trim(pixels: DataFrame, params: DataFrame) -> DataFrame:
     return crop(pixels, trim_boxes(pixels, params))
 
 
-def smart_boxes(pixels: DataFrame, w: int, h: int) -> DataFrame:
-    """Window w x h with the largest sum of detail (luma steps) and saturation; ties go top-left."""
-    luma = F.floor((299 * F.col("r") + 587 * F.col("g") + 114 * F.col("b")) / 1000)
-    row = Window.partitionBy("image_id", "frame", "y").orderBy("x")
-    column = Window.partitionBy("image_id", "frame", "x").orderBy("y")
-    df = pixels.withColumn("_l", luma).withColumn(
-        "_s", F.greatest(*COLOUR) - F.least(*COLOUR) + F.abs(F.col("_l") - F.coalesce(F.lag("_l").over(row), "_l"))
-    )
-    ahead = row.rowsBetween(0, w - 1)
-    df = df.withColumn("_s", F.col("_s") + F.abs(F.col("_l") - F.coalesce(F.lag("_l").over(column), "_l")))
-    df = df.withColumns({"_row": F.sum("_s").over(ahead), "_nx": F.count(F.lit(1)).over(ahead)})
-    below = column.rowsBetween(0, h - 1)
-    df = df.withColumns({"_sum": F.sum("_row").over(below), "_ny": F.count(F.lit(1)).over(below)})
-    full = df.filter((F.col("_nx") == w) & (F.col("_ny") == h))
-    best = F.max(F.struct("_sum", (-F.col("y")).alias("_y"), (-F.col("x")).alias("_x"))).alias("best")
-    return full.groupBy("image_id").agg(best).select(
-        "image_id",
-        _int(-F.col("best._x")).alias("left"),
-        _int(-F.col("best._y")).alias("top"),
-        F.lit(w).cast("bigint").alias("box_w"),
-        F.lit(h).cast("bigint").alias("box_h"),
-        _int(F.col("best._sum")).alias("score"),
-    )
-
-
-def smart_crop(pixels: DataFrame, w: int, h: int) -> DataFrame:
-    return crop(pixels, smart_boxes(pixels, w, h))
-
-
 def watermark(pixels: DataFrame, mark: DataFrame, layout: DataFrame) -> DataFrame:
     """Blend mark(mx, my, mr, mg, mb, ma) over the image at (wm_left, wm_top) with wm_opacity.
 
@@ -451,41 +343,3 @@ def watermark(pixels: DataFrame, mark: DataFrame, layout: DataFrame) -> DataFram
     )
     blended = {**{c: blend(c) for c in COLOUR}, "a": _clamp(F.round(F.col("_o") * 255.0, 6))}
     return _fixed(df.withColumns({c: F.when(inside, v).otherwise(F.col(c)) for c, v in blended.items()}))
-
-
-# --- whole pipeline ---------------------------------------------------------------------
-
-
-def render(pixels: DataFrame, plan: DataFrame, mark: DataFrame | None = None) -> DataFrame:
-    """Crop, scale, turn, mirror, cut to result, pad, flatten, watermark: one row of plan per image.
-
-    plan: w, h; left, top, box_w, box_h; w_scale, h_scale; angle, flip_h, flip_v; res_left,
-    res_top, res_w, res_h; canvas_w, canvas_h, off_x, off_y; opaque, bg_r, bg_g, bg_b;
-    optionally frames; and, with a mark, wm_left, wm_top, wm_opacity, mark_w, mark_h. A step
-    that changes nothing for an image passes its pixels on as they are, so one straight plan
-    serves mixed requests. Pixels are shuffled once, by image_id; every later join and
-    aggregation finds them in place.
-    """
-    df = crop(pixels, plan)
-    boxed = plan.withColumns({"w": F.col("box_w"), "h": F.col("box_h")})
-    scaled = (F.col("w_scale") != 1) | (F.col("h_scale") != 1)
-    df = df.join(plan.select("image_id", scaled.alias("_scaled")), "image_id")
-    df = resize(premultiply(df, F.col("_scaled")), boxed, carry=("_scaled",))
-    df = _fixed(unpremultiply(df, F.col("_scaled")))
-    grown = lambda c, s: F.greatest(F.lit(1), _int(F.round(F.col(c) * F.col(s))))
-    sized = plan.withColumns({"w": grown("box_w", "w_scale"), "h": grown("box_h", "h_scale")})
-    df = rotate(df, sized)
-    quarter = F.col("angle").isin(90, 270)
-    turned = sized.withColumns(
-        {"w": F.when(quarter, F.col("h")).otherwise(F.col("w")), "h": F.when(quarter, F.col("w")).otherwise(F.col("h"))}
-    )
-    df = flip(df, turned)
-    cut = plan.select(
-        "image_id", *[F.col(f"res_{c}").alias(n) for c, n in (("left", "left"), ("top", "top"), ("w", "box_w"), ("h", "box_h"))]
-    )
-    df = crop(df, cut)
-    df = embed(df, plan.withColumns({"w": F.col("res_w"), "h": F.col("res_h")}))
-    df = with_params(df, plan, "opaque", "bg_r", "bg_g", "bg_b")
-    flat = flatten(df.withColumns({f"_{c}": F.col(c) for c in BANDS}))
-    df = _fixed(flat.withColumns({c: F.when(F.col("opaque"), F.col(c)).otherwise(F.col(f"_{c}")) for c in BANDS}))
-    return watermark(df, mark, plan) if mark is not None else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gravure.operators import pixels as px
+from gravure.operators import renditions as rn
 from gravure.operators import similarity as sim
 from gravure.registry.pixels import digest
 
@@ -54,13 +55,16 @@ def test_constant_image_stays_constant(spark):
     p = _image(spark).withColumns({c: F.lit(77).cast("long") for c in px.BANDS})
     sized = px.resize(p, _params(spark, w=9, h=7, w_scale=1.7, h_scale=0.4))
     assert sized.agg(F.min("r"), F.max("a"), F.count("*")).collect()[0] == (77, 77, 2 * 15 * 3)
-    assert px.blur(p, 1.0).agg(F.min("g"), F.max("b")).collect()[0] == (77, 77)
+    plan = spark.createDataFrame([(i, 9, 7, 1.0, 0.5, 0, False) for i in range(2)], "rendition long, width int, height int, blur double, sharpen double, pixelate int, premultiplied boolean")
+    soft = rn.to_pixels(rn.filter_lines(rn.to_lines(p).withColumnRenamed("image_id", "rendition"), plan), "rendition")
+    assert soft.agg(F.min("g"), F.max("b"), F.count("*")).collect()[0] == (77, 77, 126)
 
 
 def test_pixelate_blocks_larger_than_the_image(spark):
     p = _image(spark, w=5, h=3)
-    once = px.pixelate(p, _params(spark, w=5, h=3), 40)
-    assert once.select("image_id", "r").distinct().count() == 2
+    plan = spark.createDataFrame([(i, 5, 3, 0.0, 0.0, 40, False) for i in range(2)], "rendition long, width int, height int, blur double, sharpen double, pixelate int, premultiplied boolean")
+    once = rn.to_pixels(rn.filter_lines(rn.to_lines(p).withColumnRenamed("image_id", "rendition"), plan), "rendition")
+    assert once.select("rendition", "r").distinct().count() == 2
 
 
 def test_hash_of_a_large_image_is_resampled(spark):
