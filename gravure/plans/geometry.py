@@ -515,6 +515,17 @@ def vector_guard(df: DataFrame, max_resolution: int) -> DataFrame:
     )
 
 
+def guarded_size(df: DataFrame, max_resolution: int) -> DataFrame:
+    """Image facts as the guard leaves them: a vector source beyond the limit is loaded, and planned, at its shrunk size.
+
+    Goes before the planner; base_shrink is kept for the level to read.
+    """
+    df = vector_guard(df, max_resolution)
+    over = F.col("base_shrink") > 1
+    shrunk = lambda c: F.when(over, F.ceil(dbl(c) / F.col("base_shrink")).cast("bigint")).otherwise(F.col(c))
+    return settle(df.withColumns({"img_w": shrunk("img_w"), "img_h": shrunk("img_h")}), "img_w", "img_h")
+
+
 def preshrink(df: DataFrame) -> DataFrame:
     """Pyramid level to read (JPEG 1/2/4/8, WebP any) and what is left for the scaler.
 

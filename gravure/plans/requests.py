@@ -6,10 +6,11 @@ plan as literals or as one scalar map, so requests are never shuffled.
 
 from __future__ import annotations
 
+import ipaddress
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gravure.functions.crypto import path_digest
@@ -289,10 +290,32 @@ def check_source_allowed(df: DataFrame, patterns: list[str], url: str = "source_
 
 # --- source addresses -------------------------------------------------------------------
 
-# Networks as patterns over hex digits of an IPv4 or IPv6 address.
-LOOPBACK_V4, LOOPBACK_V6 = "^(7f|00000000$)", "^0{31}[01]$"
-LINK_LOCAL_V4, LINK_LOCAL_V6 = "^(a9fe|e00000)", "^(fe[89ab]|ff.2)"
-PRIVATE_V4, PRIVATE_V6 = "^(0a|ac1[0-9a-f]|c0a8|64[4-7])", "^f[cd]"
+# Networks that source addresses may be kept from, and their class.
+NETWORKS = (
+    ("127.0.0.0/8", "loopback"), ("0.0.0.0/32", "loopback"), ("::1/128", "loopback"), ("::/128", "loopback"),
+    ("169.254.0.0/16", "link_local"), ("224.0.0.0/24", "link_local"), ("fe80::/10", "link_local"),
+    *((f"ff{flags:x}2::/16", "link_local") for flags in range(16)),
+    ("10.0.0.0/8", "private"), ("172.16.0.0/12", "private"), ("192.168.0.0/16", "private"), ("100.64.0.0/10", "private"),
+    ("fc00::/7", "private"),
+)
+
+
+def network_table(spark: SparkSession, networks: Iterable[tuple[str, str]] = NETWORKS) -> DataFrame:
+    """(family, low, high, class): networks as intervals of hex digits, 8 for IPv4 and 32 for IPv6."""
+    rows = []
+    for text, kind in networks:
+        net = ipaddress.ip_network(text)
+        digits = net.max_prefixlen // 4
+        rows.append((net.version, f"{int(net.network_address):0{digits}x}", f"{int(net.broadcast_address):0{digits}x}", kind))
+    return spark.createDataFrame(rows, "family int, low string, high string, class string")
+
+
+def network_classes(addresses: DataFrame, networks: DataFrame) -> DataFrame:
+    """(ip, classes) of addresses (ip, family, digits): a range join, by the first two digits of interval and address."""
+    byte = lambda c: F.conv(F.substring(c, 1, 2), 16, 10).cast("int")
+    spread = networks.withColumn("first", F.explode(F.sequence(byte("low"), byte("high"))))
+    met = addresses.withColumn("first", byte("digits")).join(spread, ["family", "first"])
+    return met.where(F.col("digits").between(F.col("low"), F.col("high"))).groupBy("ip").agg(F.collect_set("class").alias("classes"))
 
 
 # Groups of one to four hex digits, one "::" at most, no single colon at either end.
@@ -341,39 +364,29 @@ def embedded_v4(hexed: Column) -> Column:
 
 
 def classify_source_ip(
-    df: DataFrame, ip: str = "ip", allow_loopback: bool = False, allow_link_local: bool = False, allow_private: bool = True
+    df: DataFrame, ip: str = "ip", allow_loopback: bool = False, allow_link_local: bool = False, allow_private: bool = True,
+    networks: DataFrame | None = None,
 ) -> DataFrame:
-    """ip_class (first that applies) and whether the source address is allowed."""
-    df = df.withColumn("_hex", ip_hex(F.col(ip)))
+    """ip_class (first that applies) and whether the source address is allowed, by a table of networks (see network_table).
+
+    Each different address is looked up once, with the IPv4 address it may carry inside.
+    """
+    own = df.select(F.col(ip).alias("ip")).where("ip IS NOT NULL").distinct().withColumn("_hex", ip_hex(F.col("ip")))
     mapped = F.col("_hex").rlike("^0{20}ffff")
-    df = df.withColumns(
-        {
-            "_v4": F.when(mapped, F.right("_hex", F.lit(8))).otherwise(embedded_v4(F.col("_hex"))),
-            "_v6": F.when(~mapped, F.col("_hex")),
-        }
-    )
-    within = lambda v4, v6: F.coalesce(F.col("_v4").rlike(v4), F.lit(False)) | F.coalesce(
-        F.col("_v6").rlike(v6), F.lit(False)
-    )
-    df = df.withColumns(
-        {
-            "_lo": within(LOOPBACK_V4, LOOPBACK_V6),
-            "_ll": within(LINK_LOCAL_V4, LINK_LOCAL_V6),
-            "_pr": within(PRIVATE_V4, PRIVATE_V6),
-        }
-    )
-    refused = F.col("_hex").isNull()
-    for switch, flag in ((allow_loopback, "_lo"), (allow_link_local, "_ll"), (allow_private, "_pr")):
-        if not switch:
-            refused = refused | F.col(flag)
-    kind = (
-        F.when(F.col("_hex").isNull(), "invalid")
-        .when(F.col("_lo"), "loopback")
-        .when(F.col("_ll"), "link_local")
-        .when(F.col("_pr"), "private")
-        .otherwise("public")
-    )
-    return df.withColumns({"ip_class": kind, "ip_allowed": ~refused}).drop("_hex", "_v4", "_v6", "_lo", "_ll", "_pr")
+    four = F.when(mapped, F.right("_hex", F.lit(8))).otherwise(embedded_v4(F.col("_hex")))
+    both = F.array(F.struct(F.lit(4).alias("family"), four.alias("digits")), F.struct(F.lit(6).alias("family"), F.when(~mapped, F.col("_hex")).alias("digits")))
+    addresses = own.select("ip", F.inline(both)).where("digits IS NOT NULL")
+    found = network_classes(addresses, networks if networks is not None else network_table(df.sparkSession))
+    known = own.join(found, "ip", "left").select(F.col("ip").alias("_ip"), F.col("_hex").isNotNull().alias("_valid"), F.coalesce("classes", F.array().cast("array<string>")).alias("_in"))
+    df = df.join(known, F.col(ip) == F.col("_ip"), "left")
+    valid = F.coalesce(F.col("_valid"), F.lit(False))
+    has = lambda kind: F.coalesce(F.array_contains("_in", kind), F.lit(False))
+    refused = ~valid
+    kind = F.when(~valid, "invalid")
+    for name, allowed in (("loopback", allow_loopback), ("link_local", allow_link_local), ("private", allow_private)):
+        refused = refused if allowed else refused | has(name)
+        kind = kind.when(has(name), name)
+    return df.withColumns({"ip_class": kind.otherwise("public"), "ip_allowed": ~refused}).drop("_ip", "_valid", "_in")
 
 
 # --- signatures -------------------------------------------------------------------------

@@ -96,6 +96,9 @@ QUERIES = {
     "d20_vector_guard": lambda spark, sf: g.vector_guard(table(spark, sf, "geo"), 100_000).select(
         "req_id", "base_shrink"
     ),
+    "d20_guarded_result": lambda spark, sf: g.result_size(
+        g.plan_geometry(g.guarded_size(table(spark, sf, "geo"), 100_000))
+    ).select("req_id", "img_w", "img_h", "result_w", "result_h"),
     "d21_preshrink": lambda spark, sf: g.preshrink(_with_crop(_guarded(spark, sf))).select(
         "req_id", "preshrink", "level_w", "level_h", "rest_w_scale", "rest_h_scale", "level_crop_w", "level_crop_h",
         "level_crop_x", "level_crop_y",
@@ -400,6 +403,13 @@ FROM (SELECT image_id, format, CAST(width * 50 AS DOUBLE) AS w, CAST(height * 70
         f"""SELECT req_id, CASE WHEN src_format = 'svg' AND img_w * img_h > 100000 THEN sqrt({_AREA} / 100000.0e0)
   ELSE 1.0e0 END AS base_shrink FROM geo""",
     ),
+    "d20_guarded_result": _geo(
+        RESULT_SQL.replace("SELECT req_id,", "SELECT req_id, img_w, img_h,", 1),
+        f"""geo_g AS (SELECT * REPLACE (
+    CASE WHEN src_format = 'svg' AND img_w * img_h > 100000 THEN CAST(ceil(img_w / sqrt({_AREA} / 100000.0e0)) AS BIGINT) ELSE img_w END AS img_w,
+    CASE WHEN src_format = 'svg' AND img_w * img_h > 100000 THEN CAST(ceil(img_h / sqrt({_AREA} / 100000.0e0)) AS BIGINT) ELSE img_h END AS img_h) FROM geo)""",
+        RESULT_CTES.replace("FROM geo)", "FROM geo_g)"),
+    ),
     "d21_preshrink": _geo(
         f"""SELECT req_id, pre AS preshrink, level_w, level_h,
   CASE WHEN pre = 1 THEN w_scale WHEN level_w = {_scale("level_w", "w_scale * gw")} THEN 1.0e0 ELSE w_scale * gw END AS rest_w_scale,
