@@ -115,12 +115,12 @@ def sanitize_markup(docs: DataFrame, body: str = "body") -> DataFrame:
 
     def clean(piece: Column) -> Column:
         tag = F.regexp_extract(piece, TAG_NAME, 1)
-        name = lambda part: local_name(part)
-        safe = lambda part: ~name(part).isin(*EVENT_ATTRIBUTES) & ((name(part) != "href") | href_safe(tag, part))
-        parts = parts_of(piece)
-        rest = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), safe)
-        apart = F.transform(rest, lambda part: F.when((name(part) != "") & ~part.rlike(r"^\s"), F.concat(F.lit(" "), part)).otherwise(part))
-        return F.when(piece.rlike(r"^<[A-Za-z_]"), F.concat(F.get(parts, F.lit(0)), F.array_join(apart, ""))).otherwise(piece)
+        named = F.transform(
+            parts_of(piece), lambda part, i: F.struct(part.alias("part"), F.when(i > 0, local_name(part)).otherwise("").alias("name"))
+        )
+        safe = lambda n: ~n["name"].isin(*EVENT_ATTRIBUTES) & ((n["name"] != "href") | href_safe(tag, n["part"]))
+        apart = lambda n: F.when((n["name"] != "") & ~n["part"].rlike(r"^\s"), F.concat(F.lit(" "), n["part"])).otherwise(n["part"])
+        return F.when(piece.rlike(r"^<[A-Za-z_]"), F.array_join(F.transform(F.filter(named, safe), apart), "")).otherwise(piece)
 
     return (
         docs.withColumn("_pieces", F.regexp_extract_all(F.col(body), F.lit(PIECES), F.lit(0)))

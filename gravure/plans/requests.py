@@ -371,7 +371,8 @@ def classify_source_ip(
 
     Each different address is looked up once, with the IPv4 address it may carry inside.
     """
-    own = df.select(F.col(ip).alias("ip")).where("ip IS NOT NULL").distinct().withColumn("_hex", ip_hex(F.col("ip")))
+    own = df.select(F.col(ip).alias("ip")).where("ip IS NOT NULL").distinct()
+    own = settle(own.withColumn("_hex", ip_hex(F.col("ip"))), "_hex")
     mapped = F.col("_hex").rlike("^0{20}ffff")
     four = F.when(mapped, F.right("_hex", F.lit(8))).otherwise(embedded_v4(F.col("_hex")))
     both = F.array(F.struct(F.lit(4).alias("family"), four.alias("digits")), F.struct(F.lit(6).alias("family"), F.when(~mapped, F.col("_hex")).alias("digits")))
