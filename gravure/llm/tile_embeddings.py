@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 from gravure.llm.common import stored
 from gravure.llm.components import components
 
-#: Vectors per pivot of the index, pivots at most (a 4096 x d matrix is what tasks get), cells that each vector visits at least.
-PER_PIVOT, MOST_PIVOTS, VISITS = 1024, 4096, 5
-#: Deviations of a linked vector's cosine to a pivot that visits allow for, see `visit_from`.
-SPREAD = 2
+#: Vectors per pivot of the index, pivots at most (a 4096 x d matrix is what tasks get).
+PER_PIVOT, MOST_PIVOTS = 1024, 4096
 #: Rows of a cell that one task compares; larger cells are cut into tiles of two blocks.
 BLOCK = 2048
 
@@ -86,21 +84,24 @@ def apart(unit: np.ndarray, cosine: float) -> np.ndarray:
     return taken[:n].copy()
 
 
-def visit_from(home: np.ndarray, threshold: float, d: int) -> np.ndarray:
-    """Least cosine to a pivot whose cell a vector visits that has the cosine `home` to its own pivot.
+def visited(cosine: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home (nearest pivot) of vectors with these cosines to the pivots, and whether each visits each pivot's cell.
 
-    Of two linked vectors let y be the one farther from its pivot. The other's pivot p, at angle h from it, is at
-    cosine threshold * cos h + sin(acos threshold) * sin h * g or more from y, with g from -1 to 1 and of deviation
-    1 / sqrt(d - 1) in directions that have nothing to do with p. g is followed down to SPREAD deviations, at most
-    to -1: then nothing can be missed.
+    Of two linked vectors let y, of home q, be the one farther from its pivot. The other's home p is within that
+    angle and the angle of `threshold` of y, and the other lies on p's side of the plane between p and q, so y is
+    no farther from this plane than the angle of `threshold`. y visits all pivots that meet both: no link is missed.
     """
-    low = min(1.0, SPREAD / np.sqrt(max(1, d - 1)))
-    home = np.clip(home, -1, 1)
-    least = threshold * home - low * np.sqrt(max(0.0, 1 - threshold**2)) * np.sqrt(1 - home**2)
-    return np.where(home <= -threshold, -1.0, least) - 1e-9
+    home = cosine.argmax(axis=1)
+    best = np.take_along_axis(cosine, home[:, None], 1)
+    near, sine = np.clip(best, -1, 1), np.sqrt(max(0.0, 1 - threshold**2))
+    least = np.where(near <= -threshold, -1.0, threshold * near - sine * np.sqrt(1 - near**2))
+    goes = cosine >= least - 1e-9
+    if threshold > 0:
+        goes &= best - cosine <= sine * np.sqrt(np.maximum(0, 2 - 2 * pivots[home] @ pivots.T)) + 1e-9
+    return home, goes
 
 
-def near_embeddings(rows: DataFrame, threshold: float = 0.95, per_pivot: int = PER_PIVOT, visits: int = VISITS, block: int = BLOCK) -> DataFrame:
+def near_embeddings(rows: DataFrame, threshold: float = 0.95, per_pivot: int = PER_PIVOT, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept per row of `rows` (vec_id, embedding).
 
     n_links is the number of other rows linked directly (cosine of at least `threshold` in double
@@ -109,9 +110,9 @@ def near_embeddings(rows: DataFrame, threshold: float = 0.95, per_pivot: int = P
     Equal vectors are folded first. The index is a bounded sample of vectors as pivots (one per
     `per_pivot` distinct vectors, at most MOST_PIVOTS, chosen by hash), thinned so that no two are within twice the
     angle of `threshold`: a crowd of near-copies has one pivot, not many that its members rank at random. Each vector
-    lives in the cell of its nearest pivot and visits those of its `visits` nearest and all others that a
-    linked vector may have as home (`visit_from`). Two vectors are compared if one visits
-    the other's cell; every link found is real (recall is measured in the tests). Cells with more than `block`
+    lives in the cell of its nearest pivot and visits all others that a linked vector nearer to its own may have as
+    home (`visited`). Two vectors are compared if one visits the other's cell, so every link is found. Where vectors
+    lie at random, in no groups, few cells can be ruled out and the work grows with the square. Cells with more than `block`
     residents or visitors are cut into tiles of two blocks, residents with residents and residents with visitors;
     a tile gives a count per vector and a spanning forest, never its pairs.
 
@@ -141,13 +142,8 @@ def near_embeddings(rows: DataFrame, threshold: float = 0.95, per_pivot: int = P
             for d in np.unique(of):
                 at = np.flatnonzero(of == d)
                 unit = unit_rows(values.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d))
-                m = min(visits, len(held.value[d]))
                 for start in range(0, len(at), 1024):
-                    cosine = unit[start : start + 1024] @ held.value[d].T
-                    home = cosine.argmax(axis=1)
-                    best = np.take_along_axis(cosine, home[:, None], 1)
-                    least = np.partition(cosine, -m, axis=1)[:, -m, None]
-                    near = cosine >= np.minimum(least, visit_from(best, threshold, int(d)))
+                    home, near = visited(unit[start : start + 1024] @ held.value[d].T, held.value[d], threshold)
                     for k, first, row in zip(at[start : start + 1024], home.tolist(), near):
                         cells[k] = [first, *(c for c in np.flatnonzero(row).tolist() if c != first)]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in ("node", "v", "d", "weight")] + [pa.array(cells, pa.list_(pa.int32()))], names=["node", "v", "d", "weight", "cells"])

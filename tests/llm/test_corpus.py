@@ -329,6 +329,18 @@ def test_crowd_of_noisy_near_copies(spark):
     assert sum(got.values()) >= 0.9 * near.sum() > 1000
 
 
+def test_links_between_far_cells(spark):
+    """Vectors of 64 numbers that lie in six directions only: what is off a vector's way to its pivot is not spread over all."""
+    rng = np.random.default_rng(7)
+    unit = rng.normal(size=(1500, 6))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, [*v.tolist(), *[0.0] * 58]) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in tile_embeddings.near_embeddings(df, per_pivot=2, block=400).collect()}
+    assert near.sum() > 1000 and [got[i] for i in range(len(unit))] == near.sum(axis=1).tolist()
+
+
 def test_pipeline_stages(spark, sf_dir, odd):
     import corpus_pipeline
 
