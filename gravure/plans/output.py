@@ -152,10 +152,10 @@ def fit_max_bytes(renditions: DataFrame, encodings: DataFrame, attempts: int = 1
     fit_status says how the walk ended: not_asked, fits, over (none fits), unmeasured (the walk needs a
     quality that was never measured; final_bytes is null).
     """
-    cells = F.array_sort(F.collect_set(F.struct("quality", "bytes")))
-    largest = F.filter(cells, lambda c, i: F.coalesce(F.get(cells, i + 1)["quality"] != c["quality"], F.lit(True)))
-    sizes = encodings.groupBy("image_id", "format").agg(F.map_from_entries(largest).alias("sizes"))
-    df = renditions.join(sizes, ["image_id", "format"], "left")
+    # Dealt by image and format once; both groupings are then made where the rows lie.
+    dealt = encodings.repartition("image_id", "format").groupBy("image_id", "format", "quality").agg(F.max("bytes").alias("bytes"))
+    sizes = dealt.groupBy("image_id", "format").agg(F.map_from_entries(F.collect_list(F.struct("quality", "bytes"))).alias("sizes"))
+    df = renditions.join(sizes.hint("merge"), ["image_id", "format"], "left")
     gated = dims.has_capability(F.col("format"), "quality") & (F.col("max_bytes") > 0)
     size_at = lambda q: F.try_element_at("sizes", q)
     start = F.struct(
