@@ -45,7 +45,7 @@ def trim_boxes(lines: DataFrame, plan: DataFrame) -> DataFrame:
     """
     asked = plan.where("trim_threshold IS NOT NULL AND coalesce(frames, 1) <= 1")
     corner = lines.where("frame = 0 AND y = 0").select("image_id", F.substring("px", 1, 4).alias("corner"))
-    params = asked.join(corner, "image_id", "left").select("rendition", "image_id", "corner", F.col("trim_threshold").cast("double").alias("threshold"), "trim_r", "trim_g", "trim_b")
+    params = asked.join(corner.hint("merge"), "image_id", "left").select("rendition", "image_id", "corner", F.col("trim_threshold").cast("double").alias("threshold"), "trim_r", "trim_g", "trim_b")
     schema = keyed(plan, ("y", IntegerType()), ("x0", IntegerType()), ("x1", IntegerType()))
 
     def seen(batches):
@@ -63,9 +63,9 @@ def trim_boxes(lines: DataFrame, plan: DataFrame) -> DataFrame:
             kinds = [batch.schema.field("rendition").type, *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=schema.names)
 
-    rows = lines.join(params, "image_id").select("rendition", F.col("frame").cast("int").alias("frame"), F.col("y").cast("int").alias("y"), "px", "corner", "threshold", "trim_r", "trim_g", "trim_b").mapInArrow(seen, schema)
+    rows = lines.join(params.hint("merge"), "image_id").select("rendition", F.col("frame").cast("int").alias("frame"), F.col("y").cast("int").alias("y"), "px", "corner", "threshold", "trim_r", "trim_g", "trim_b").mapInArrow(seen, schema)
     box = rows.groupBy("rendition").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    df = asked.join(box, "rendition", "left")
+    df = asked.join(box.hint("merge"), "rendition", "left")
     sides = {"left": F.col("x0"), "right": F.col("img_w") - 1 - F.col("x1"), "top": F.col("y0"), "bottom": F.col("img_h") - 1 - F.col("y1")}
 
     def side(name: str, other: str, equal: str) -> Column:
@@ -80,7 +80,7 @@ def trim_boxes(lines: DataFrame, plan: DataFrame) -> DataFrame:
 def trimmed_facts(requests: DataFrame, lines: DataFrame) -> DataFrame:
     """Requests with img_w and img_h of what is left after trimming, for the planner, and trim_left, trim_top for `render`."""
     boxes = trim_boxes(lines, requests)
-    df = requests.join(boxes, "rendition", "left")
+    df = requests.join(boxes.hint("merge"), "rendition", "left")
     df = df.withColumns({"img_w": F.coalesce("trim_w", "img_w"), "img_h": F.coalesce("trim_h", "img_h")}).drop("trim_w", "trim_h")
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("trim_left", "trim_top")})
 
@@ -147,7 +147,7 @@ def composed(segments: DataFrame, plan: DataFrame) -> DataFrame:
     )
     params = F.struct(*[c for c in placed.columns if c != "rendition"])
     halo = F.ceil(3 * F.greatest(F.lit(0.0), "blur")) + F.ceil(3 * F.greatest(F.lit(0.0), "sharpen")) + F.when(F.col("pixelate") > 1, 2 * F.least(F.col("pixelate"), F.greatest("width", "height"))).otherwise(0)
-    met = segments.join(placed.select("rendition", params.alias("p"), halo.cast("int").alias("halo")), "rendition")
+    met = segments.join(placed.select("rendition", params.alias("p"), halo.cast("int").alias("halo")).hint("merge"), "rendition")
     bands = F.expr(f"sequence(greatest(0, y - halo) div {BAND}, least(CAST(p.height AS INT) - 1, y + halo) div {BAND})")
     schema = keyed(segments, ("y", IntegerType()), ("px", BinaryType()))
 
@@ -164,7 +164,7 @@ def composed(segments: DataFrame, plan: DataFrame) -> DataFrame:
 
     image = by_band(met.withColumn("band", F.explode(bands)).drop("halo"), ["rendition", "frame", "band"], ["y", "x"], work, schema)
     frames = F.coalesce(F.col("frames"), F.lit(1)) if "frames" in plan.columns else F.lit(1)
-    own = placed.join(plan.select("rendition", frames.cast("int").alias("frames")), "rendition")
+    own = placed.join(plan.select("rendition", frames.cast("int").alias("frames")).hint("merge"), "rendition")
     rows = own.where((F.col("canvas_h") > F.col("height"))).withColumn("frame", F.explode(F.expr("sequence(0, frames - 1)")))
     rows = rows.withColumn("y", F.explode(F.expr("sequence(0, CAST(canvas_h AS INT) - 1)"))).where("y < place_y OR y >= place_y + height")
     border = rows.select("rendition", "frame", "y", F.expr("unhex(repeat('00000000', CAST(canvas_w AS INT)))").alias("px"))
@@ -175,7 +175,7 @@ def _canvas(lines: DataFrame, plan: DataFrame, own: str, name: str) -> DataFrame
     """Lines of own_w x own_h placed at name_left, name_top of a transparent black canvas name_w x name_h, per frame."""
     sizes = plan.select("rendition", *[_long(f"{own}_{c}").alias(f"own_{c}") for c in "wh"], *[_long(f"{name}_{c}").alias(c) for c in ("w", "h", "left", "top")])
     blank = lambda n: F.expr(f"unhex(repeat('00000000', CAST({n} AS INT)))")
-    met = lines.join(sizes, "rendition")
+    met = lines.join(sizes.hint("merge"), "rendition")
     moved = met.select("rendition", F.col("frame").cast("int"), (F.col("y") + F.col("top")).cast("int").alias("y"), F.concat(blank("left"), "px", blank("w - left - own_w")).alias("px"))
     rows = met.where("y = 0 AND h > own_h").select("rendition", F.col("frame").cast("int"), F.explode(F.expr("sequence(0, CAST(h AS INT) - 1)")).alias("y"), "top", "own_h", "w")
     return moved.unionByName(rows.where("y < top OR y >= top + own_h").select("rendition", "frame", "y", blank("w").alias("px")))
@@ -212,8 +212,8 @@ def limited(lines: DataFrame, plan: DataFrame) -> DataFrame:
         "rendition", F.col("rendition").alias("image_id"), zero.alias("left"), zero.alias("top"), _long("padded_w").alias("box_w"), _long("padded_h").alias("box_h"),
         _long("result_w").alias("out_w"), _long("result_h").alias("out_h"), F.lit(True).alias("premultiplied"),
     )
-    large = lines.join(sizes.select("rendition"), "rendition", "left_semi").withColumnRenamed("rendition", "image_id")
-    return lines.join(sizes.select("rendition"), "rendition", "left_anti").unionByName(scale_lines(large, sizes))
+    large = lines.join(sizes.select("rendition").hint("merge"), "rendition", "left_semi").withColumnRenamed("rendition", "image_id")
+    return lines.join(sizes.select("rendition").hint("merge"), "rendition", "left_anti").unionByName(scale_lines(large, sizes))
 
 
 def mark_lines(mark: DataFrame, layout: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def finished(lines: DataFrame, plan: DataFrame, mark: DataFrame | None) -> DataF
         plan = plan.withColumns({"tiled": cover, "skip_y": F.when(cover, half(count * F.col("tile_h") - F.col("result_h"))).otherwise(0).cast("long")})
         params += ["tiled", "wm_visible", "wm_left", "wm_top", "wm_opacity", "mark_w", "mark_h", "tile_w", "tile_h", "tile_left", "tile_top", "skip_y"]
     plan = plan.withColumns({c: F.coalesce(F.col(c), F.lit(0 if c.startswith("bg") else False)) for c in ("opaque", "bg_r", "bg_g", "bg_b")})
-    df = lines.join(plan.select("rendition", *params), "rendition")
+    df = lines.join(plan.select("rendition", *params).hint("merge"), "rendition")
     if mark is None:
         df = df.withColumn("mark_px", F.lit(None).cast("binary"))
     else:
@@ -274,27 +274,27 @@ def render(lines: DataFrame, plan: DataFrame, mark: DataFrame | None = None) ->
     plan = cut_lineage(with_defaults(plan))
     sizes = scale_plan(plan)
     smart = F.col("crop_kind") == "smart"
-    fanned = fan_out(lines, sizes.join(plan.where(~smart).select("rendition"), "rendition", "left_semi"))
+    fanned = fan_out(lines, sizes.join(plan.where(~smart).select("rendition").hint("merge"), "rendition", "left_semi"))
     if not plan.where(smart).isEmpty():
         origin = [F.col(f"trim_{c}").alias(c) if f"trim_{c}" in plan.columns else F.lit(0).alias(c) for c in ("left", "top")]
         windows = plan.where(smart).select("rendition", "image_id", *origin, F.col("img_w").alias("w"), F.col("img_h").alias("h"), F.col("crop_box_w").alias("want_w"), F.col("crop_box_h").alias("want_h"))
         own = smart_crop(lines, windows).withColumnRenamed("rendition", "image_id")
         zero = F.lit(0).cast("long")
-        cut = sizes.join(plan.where(smart).select("rendition"), "rendition", "left_semi").withColumns({"image_id": F.col("rendition"), "left": zero, "top": zero})
+        cut = sizes.join(plan.where(smart).select("rendition").hint("merge"), "rendition", "left_semi").withColumns({"image_id": F.col("rendition"), "left": zero, "top": zero})
         fanned = fanned.unionByName(fan_out(own, cut))
     segments = turned_segments(fanned, plan)
     smart = F.col("box_kind") == "smart"
     if not plan.where(smart).isEmpty():
         chosen = plan.where(smart)
-        scaled = joined_segments(segments.join(chosen.select("rendition"), "rendition", "left_semi"))
+        scaled = joined_segments(segments.join(chosen.select("rendition").hint("merge"), "rendition", "left_semi"))
         windows = chosen.select("rendition", F.col("rendition").alias("image_id"), F.col("scaled_w").alias("w"), F.col("scaled_h").alias("h"), F.col("box_w").alias("want_w"), F.col("box_h").alias("want_h"))
-        boxes = smart_boxes(scaled.withColumnRenamed("rendition", "image_id"), windows).join(windows.select("rendition", "want_w", "want_h"), "rendition")
-        segments = segments.join(chosen.select("rendition"), "rendition", "left_anti").unionByName(crop_frames(scaled, boxes).withColumn("x", F.lit(0)))
+        boxes = smart_boxes(scaled.withColumnRenamed("rendition", "image_id"), windows).join(windows.select("rendition", "want_w", "want_h").hint("merge"), "rendition")
+        segments = segments.join(chosen.select("rendition").hint("merge"), "rendition", "left_anti").unionByName(crop_frames(scaled, boxes).withColumn("x", F.lit(0)))
     return finished(limited(composed(segments, plan), plan), plan, mark)
 
 
 def frame_table(plan: DataFrame, frames: DataFrame) -> DataFrame:
     """(rendition, frame, top, frame_h, delay, loop, pages) of results, stacked; `frames` is geometry.frame_boxes of the sources."""
     own = frames.select("image_id", "frame", "delay", "loop", "pages")
-    met = plan.select("rendition", "image_id", _long("result_h").alias("frame_h")).join(own, "image_id")
+    met = plan.select("rendition", "image_id", _long("result_h").alias("frame_h")).join(own.hint("merge"), "image_id")
     return met.select("rendition", "frame", (F.col("frame") * F.col("frame_h")).alias("top"), "frame_h", "delay", "loop", "pages")

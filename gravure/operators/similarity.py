@@ -43,7 +43,7 @@ def lab_values(pixels: DataFrame, params: DataFrame) -> DataFrame:
     lightness, a, b = _lab(F.col("r"), F.col("g"), F.col("b"))
     side = lambda c: F.least(F.lit(TARGET_SIDE), F.col(c)).cast("bigint").alias(c)
     facts = params.select("image_id", side("w"), side("h"), "grey")
-    return flat.select("image_id", "y", "x", lightness.alias("c0"), a.alias("c1"), b.alias("c2")).join(facts, "image_id")
+    return flat.select("image_id", "y", "x", lightness.alias("c0"), a.alias("c1"), b.alias("c2")).join(facts.hint("shuffle_hash"), "image_id")
 
 
 def dct_hash(pixels: DataFrame, params: DataFrame) -> DataFrame:
@@ -90,14 +90,10 @@ def pixel_hash(pixels: DataFrame) -> DataFrame:
 
     The bytes of one image stand together in a row, which the source size limit bounds.
     """
-    code = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in px.BANDS])
-    ordered = lambda key, value: F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct(*key, value.alias("p")))), lambda c: c["p"]), ""
-    )
-    lines = pixels.groupBy("image_id", "frame", "y").agg(ordered(["x"], code).alias("line"))
-    return lines.groupBy("image_id").agg(
-        F.sha2(F.unhex(ordered(["frame", "y"], F.col("line"))), 256).alias("hash")
-    )
+    lines = px.line_text(pixels).select("image_id", "frame", "y", F.unhex("line").alias("line"))
+    ordered = F.array_sort(F.collect_list(F.struct("frame", "y", "line")))
+    whole = F.aggregate(F.transform(ordered, lambda c: c["line"]), F.lit(bytearray()), lambda line, more: F.concat(line, more))
+    return lines.groupBy("image_id").agg(F.sha2(whole, 256).alias("hash"))
 
 
 def mse(a: Column, b: Column) -> Column:

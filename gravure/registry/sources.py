@@ -64,9 +64,7 @@ def _write_files(folder):
 def _a16(spark, sf):
     """Every image written as a BMP file in the shared folder, scanned back and compared by digest."""
     folder = tempfile.mkdtemp(prefix="scan-", dir=shared_dir(spark))
-    code = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in ("b", "g", "r")])
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", code.alias("p")))), lambda c: c["p"]), "")
-    lines = table(spark, sf, "pixels").groupBy("image_id", "y").agg(F.unhex(line).alias("line"))
+    lines = px.line_text(table(spark, sf, "pixels"), bands=("b", "g", "r"), keys=("image_id", "y")).select("image_id", "y", F.unhex("line").alias("line"))
     lines.groupBy("image_id").agg(F.collect_list(F.struct("y", "line")).alias("lines")).foreachPartition(_write_files(folder))
     rasters = scan.decode_scan(spark, folder).withColumn(
         "image_id", F.regexp_extract("origin", r"([0-9]+)\.bmp$", 1).cast("bigint")

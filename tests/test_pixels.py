@@ -94,3 +94,23 @@ def test_near_duplicates_match_brute_force(spark):
     }
     assert {(r.a, r.b) for r in got.collect()} == want
     assert len(want) > 5
+
+
+def test_lines_of_odd_pixels(spark):
+    """Nulls, values beyond a byte and repeated pixels keep their place and text."""
+    rows = [(0, 0, 0, 2, 1, 2, 3, 4), (0, 0, 0, 0, 300, 0, 0, 65535), (0, 0, 0, 1, None, 7, 8, 9), (0, 0, 0, 1, 0, 0, 0, 255), (0, 0, 0, 1, 0, 0, 0, 255)]
+    p = spark.createDataFrame(rows, "image_id long, frame long, y long, x long, r long, g long, b long, a long")
+    got = px.line_text(p, ";").collect()[0]
+    assert (got.line, got.n) == ("300,0,0,65535;0,0,0,255;0,0,0,255;7,8,9;1,2,3,4", 5)
+    assert px.line_text(p.where("x = 2"), bands=("b", "g", "r")).collect()[0].line == "030201"
+    assert [tuple(c) for c in px.pack(p).collect()[0].px] == [(300, 0, 0, 65535), (None, 7, 8, 9), (0, 0, 0, 255), (0, 0, 0, 255), (1, 2, 3, 4)]
+
+
+def test_no_pixels_or_plans_are_broadcast(spark, sf_dir):
+    """Both sides of a join grow with the input; an exploded table passes for a small one."""
+    from gravure.registry.pixels import QUERIES
+
+    for name in ("e03_trim", "e04_crop", "e05_smart_crop", "e13_embed", "e14_extend", "e16_pad", "e18_replicate"):
+        tree = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in tree or "ShuffledHashJoin" in tree, name
+        assert name in ("e14_extend", "e16_pad") or "BroadcastHashJoin" not in tree, name
