@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gravure.functions.numeric import dbl
 from gravure.operators import pixels as px
+from gravure.operators import renditions as rn
 from gravure.plans import dims
 
 # Longest side hashed and frequencies kept per axis.
@@ -46,12 +50,113 @@ def lab_values(pixels: DataFrame, params: DataFrame) -> DataFrame:
     return flat.select("image_id", "y", "x", lightness.alias("c0"), a.alias("c1"), b.alias("c2")).join(facts.hint("shuffle_hash"), "image_id")
 
 
-def dct_hash(pixels: DataFrame, params: DataFrame) -> DataFrame:
+#: sRGB bytes as linear light, with the digits that lab_values keeps.
+LINEAR = np.round(np.array([v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4 for v in np.arange(256) / 255.0]), 12)
+#: Scanlines that are transformed at a time.
+LINES_AT_ONCE = 4096
+
+
+def lab_of(light: np.ndarray) -> np.ndarray:
+    """lab_values of pixels [..., (r, g, b in linear light, alpha 0..255)]: [..., (L, a, b)]."""
+    cover = light[..., 3:] / 255.0
+    r, g, b = np.moveaxis(light[..., :3] * cover + (1.0 - cover) * np.array([1.0, 0.0, 1.0]), -1, 0)
+    t = np.stack([(r * 0.4124 + g * 0.3576 + b * 0.1805) / 0.95047, r * 0.2126 + g * 0.7152 + b * 0.0722, (r * 0.0193 + g * 0.1192 + b * 0.9505) / 1.08883])
+    x, y, z = np.where(t > 0.008856, np.cbrt(t), t * 7.787 + 16.0 / 116.0)
+    return np.stack([y * 116.0 - 16.0, (x - y) * 500.0, (y - z) * 200.0], axis=-1)
+
+
+def _placed(image: np.ndarray, frame: np.ndarray, y: np.ndarray, px_: pa.Array, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """image, y and Lab [line, column, 3] of lines that come image by image, by frame and y.
+
+    Pixels beyond the width don't count, missing ones are zero, and a line that comes repeatedly counts as its mean.
+    """
+    size = pc.binary_length(px_).to_numpy(zero_copy_only=False) // 4
+    if (size == w).all():
+        starts = np.frombuffer(px_.buffers()[1], np.int32)[px_.offset : px_.offset + 2]
+        values = np.frombuffer(px_.buffers()[2], np.uint8, len(size) * w * 4, starts[0]).reshape(-1, w, 4)
+    else:
+        values = np.frombuffer(b"".join(v[: 4 * w].ljust(4 * w, b"\0") for v in px_.to_pylist()), np.uint8).reshape(-1, w, 4)
+    there = np.arange(w) < size[:, None]
+    light = np.concatenate([LINEAR[values[..., :3]], values[..., 3:]], axis=-1)
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(image) != 0) | (np.diff(frame) != 0) | (np.diff(y) != 0)]))
+    if len(first) < len(light):
+        count = np.add.reduceat(there.astype(int), first, axis=0)
+        light = np.add.reduceat(light * there[..., None], first, axis=0) / np.maximum(count, 1)[..., None]
+        image, y, there = image[first], y[first], count > 0
+    return image, y, lab_of(light) * there[..., None]
+
+
+def _transformed(batches):
+    """Coefficients of whole images of at most TARGET_SIDE x TARGET_SIDE, from their lines."""
+    k = np.arange(FREQUENCIES)
+    waves = lambda at, size: np.cos((2.0 * at[:, None] + 1.0) * k * math.pi / (2.0 * size))
+    norm = lambda size: np.sqrt(np.where(k == 0, 1.0, 2.0) / size)
+    for batch in batches:
+        sizes = np.stack([batch.column(c).to_numpy() for c in ("w", "h")], axis=1)
+        found = np.empty((batch.num_rows, CHANNELS, FREQUENCIES, FREQUENCIES))
+        for w, h in np.unique(sizes, axis=0).tolist():
+            at = np.flatnonzero((sizes == (w, h)).all(axis=1))
+            lists = batch.column("lines").take(pa.array(at))
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(counts)
+            start = 0
+            while start < len(at):
+                before = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + LINES_AT_ONCE, side="right")))
+                frame, y, px_ = lists.slice(start, stop - start).flatten().flatten()
+                px_ = px_.fill_null(b"") if px_.null_count else px_
+                image = np.repeat(np.arange(stop - start), counts[start:stop])
+                y = y.to_numpy()
+                inside = (y >= 0) & (y < h)
+                sums = np.zeros((stop - start, CHANNELS, FREQUENCIES, FREQUENCIES))
+                if inside.any():
+                    px_ = px_ if inside.all() else px_.filter(pa.array(inside))
+                    image, y, lab = _placed(image[inside], frame.to_numpy()[inside], y[inside], px_, w)
+                    rows = np.swapaxes(lab, 1, 2) @ waves(np.arange(w), w)
+                    cells = waves(y, h)[:, None, :, None] * rows[:, :, None, :]
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(image) != 0]))
+                    sums[image[first]] = np.add.reduceat(cells, first, axis=0)
+                found[at[start:stop]] = sums * norm(h)[:, None] * norm(w)
+                start = stop
+        found *= batch.column("n").to_numpy()[:, None, None, None]
+        flat = pa.array(found.ravel())
+        coefs = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * (CHANNELS * FREQUENCIES**2)), flat)
+        yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("grey"), coefs], names=["image_id", "grey", "coefs"])
+
+
+def _blocks(lines: DataFrame, params: DataFrame) -> DataFrame:
+    """image_id, coefs: the numbers of dct_hash in (channel, v, u) order, for lines(image_id, frame, y, px).
+
+    An image of at most 64 x 64 pixels is not scaled: its lines meet in one row, with what scanlines take of memory, and
+    numpy transforms the images of a batch at once. Larger images go through the pixel relation, where they spread.
+    """
+    side = lambda c: F.col(c).cast("long").alias(c)
+    sizes = params.groupBy("image_id", side("w"), side("h"), "grey").agg(F.count(F.lit(1)).alias("n"))
+    small = (F.col("w") <= TARGET_SIDE) & (F.col("h") <= TARGET_SIDE)
+    whole = lines.where("image_id IS NOT NULL").groupBy("image_id").agg(F.collect_list(F.struct(F.col("frame").cast("int").alias("frame"), F.col("y").cast("int").alias("y"), "px")).alias("lines"))
+    met = whole.join(sizes.where(small).hint("shuffle_hash"), "image_id").select("image_id", "w", "h", "grey", "n", F.sort_array("lines").alias("lines"))
+    done = met.mapInArrow(_transformed, f"image_id {params.schema['image_id'].dataType.simpleString()}, grey boolean, coefs array<double>")
+    done = done.select("image_id", F.when(~F.col("grey"), F.col("coefs")).otherwise(F.slice("coefs", 1, FREQUENCIES**2)).alias("coefs"))
+    large = params.where(~small)
+    scaled = dct_hash(rn.to_pixels(lines.join(large.select("image_id").distinct().hint("merge"), "image_id", "left_semi")), large)
+    cell = F.struct("ch", "v", "u", "coef")
+    gathered = scaled.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["coef"]).alias("coefs"))
+    return done.unionByName(gathered)
+
+
+def dct_hash(pixels: DataFrame, params: DataFrame, long: bool = True) -> DataFrame:
     """8 x 8 low DCT-II frequencies per channel: image_id, ch, v, u, coef (grey images: lightness only).
 
-    Separable: 24 sums per scanline, then 24 sums per (image, v); both passes aggregate
+    Of pixel rows or of scanlines; for scanlines, with `long` false, image_id and coefs, its numbers in (ch, v, u) order. For pixel rows it is separable: 24 sums per scanline, then 24 sums per (image, v); both passes aggregate
     before they shuffle and no pixel is copied per frequency.
     """
+    if "px" in pixels.columns:
+        blocks = _blocks(pixels, params)
+        if not long:
+            return blocks
+        at = blocks.select("image_id", F.posexplode("coefs").alias("at", "coef"))
+        place = lambda step, n: F.expr(f"CAST(at div {step} % {n} AS BIGINT)")
+        return at.select("image_id", place(FREQUENCIES**2, CHANNELS).alias("ch"), place(FREQUENCIES, FREQUENCIES).alias("v"), place(1, FREQUENCIES).alias("u"), "coef")
     wave = lambda at, size, k: F.cos((2.0 * F.col(at) + 1.0) * float(k) * math.pi / (2.0 * F.col(size)))
     rows = lab_values(pixels, params).groupBy("image_id", "y", "w", "h", "grey").agg(
         *[F.sum(F.col(f"c{c}") * wave("x", "w", u)).alias(f"s{c}_{u}") for c in range(CHANNELS) for u in range(FREQUENCIES)]
@@ -78,7 +183,12 @@ def dct_hash(pixels: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def pack_hash(coefs: DataFrame) -> DataFrame:
-    """image_id, hash: 64 or 192 numbers in (channel, v, u) order, rounded so that equal images have equal hashes."""
+    """image_id, hash: 64 or 192 numbers in (channel, v, u) order, rounded so that equal images have equal hashes.
+
+    coefs: rows of dct_hash, long or not.
+    """
+    if "coefs" in coefs.columns:
+        return coefs.select("image_id", F.transform("coefs", lambda c: F.round(c, 6) + 0.0).alias("hash"))
     cell = F.struct("ch", "v", "u", (F.round("coef", 6) + 0.0).alias("coef"))
     return coefs.groupBy("image_id").agg(
         F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["coef"]).alias("hash")

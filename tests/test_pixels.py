@@ -114,3 +114,31 @@ def test_no_pixels_or_plans_are_broadcast(spark, sf_dir):
         tree = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in tree or "ShuffledHashJoin" in tree, name
         assert name in ("e14_extend", "e16_pad") or "BroadcastHashJoin" not in tree, name
+
+
+def test_hash_of_lines_is_that_of_pixels(spark):
+    """Scanlines of small, grey, large and repeated images, some lines short or outside, hash like their pixels."""
+    some = _image(spark, w=9, h=7, images=3).where("NOT (image_id = 1 AND y = 3 AND x > 5)")
+    some = some.withColumn("a", F.col("x") * 20).unionByName(_image(spark, w=70, h=10, images=1).withColumn("image_id", F.lit(7).cast("long")))
+    again = some.where("image_id = 0").withColumn("r", 255 - F.col("r"))
+    p, lines = some.unionByName(again), rn.to_lines(some).unionByName(rn.to_lines(again))
+    q = spark.createDataFrame([(0, 9, 7, False), (1, 9, 7, False), (2, 8, 6, True), (2, 8, 6, True), (7, 70, 10, False), (9, 9, 7, False)], "image_id long, w int, h int, grey boolean")
+    want = {tuple(r)[:4]: r.coef for r in sim.dct_hash(p, q).collect()}
+    got = {tuple(r)[:4]: r.coef for r in sim.dct_hash(lines, q).collect()}
+    assert got.keys() == want.keys() and len(got) == 192 * 3 + 64
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-6
+    packed = {r.image_id: r.hash for r in sim.pack_hash(sim.dct_hash(lines, q, long=False)).collect()}
+    assert {i: len(h) for i, h in packed.items()} == {0: 192, 1: 192, 2: 64, 7: 192}
+    assert all(abs(packed[i][64 * c + 8 * v + u] - x) < 2e-6 for (i, c, v, u), x in want.items())
+
+
+def test_scanlines_are_the_pixels(spark, tmp_path):
+    """The lines that queries start from hold the pixels of the relation; a part without a key has lines without pixels."""
+    from gravure.registry.fixtures import table
+    from gravure.registry.pixels import scanlines
+
+    spark.createDataFrame([(1,), (5,), (30003,), (None,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    lines, sf = scanlines(spark, str(tmp_path)), str(tmp_path)
+    want = rn.to_lines(table(spark, sf, "pixels").where("image_id IS NOT NULL"))
+    assert sorted(map(tuple, lines.where("image_id IS NOT NULL").collect())) == sorted(map(tuple, want.collect()))
+    assert [(r.y, bytes(r.px)) for r in lines.where("image_id IS NULL").orderBy("y").collect()] == [(y, b"") for y in range(16)]
