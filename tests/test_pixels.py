@@ -142,3 +142,14 @@ def test_scanlines_are_the_pixels(spark, tmp_path):
     want = rn.to_lines(table(spark, sf, "pixels").where("image_id IS NOT NULL"))
     assert sorted(map(tuple, lines.where("image_id IS NOT NULL").collect())) == sorted(map(tuple, want.collect()))
     assert [(r.y, bytes(r.px)) for r in lines.where("image_id IS NULL").orderBy("y").collect()] == [(y, b"") for y in range(16)]
+
+
+def test_tiles_of_lines_are_those_of_pixels(spark):
+    """Scanlines are tiled like pixel rows, images and parameters that come repeatedly too; nothing is unpacked."""
+    p, q = _image(spark, w=9, h=7, images=3), spark.createDataFrame([(0, 9, 7, 31, 20), (1, 9, 7, 5, 4), (2, 9, 7, 9, 30), (2, 9, 7, 9, 30)], "image_id long, w int, h int, cover_w int, cover_h int")
+    for centred in (True, False):
+        lines = rn.to_lines(p).unionByName(rn.to_lines(p.where("image_id = 1").withColumn("g", 255 - F.col("g"))))
+        pixels = p.unionByName(p.where("image_id = 1").withColumn("g", 255 - F.col("g")))
+        tiled = px.replicate(lines, q, centred)
+        assert "px" in tiled.columns
+        assert _same(tiled, px.replicate(pixels, q, centred))
