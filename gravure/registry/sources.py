@@ -6,12 +6,14 @@ import os
 import struct
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gravure.operators import pixels as px
 from gravure.plans import dims
 from gravure.registry.fixtures import table, with_tables
-from gravure.registry.pixels import digest
+from gravure.registry.pixels import digest, scanlines
 from gravure.session import shared_dir
 from gravure.sources import scan
 
@@ -52,11 +54,22 @@ def _bmp(rows):
     return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + head + body
 
 
+def _bgr(lines):
+    """Scanlines of one image as (y, bytes in B, G, R order); lines that come repeatedly are merged by place."""
+    of = {}
+    for line in lines:
+        of.setdefault(line["y"], []).append(np.frombuffer(line["px"], np.uint8).reshape(-1, 4)[:, 2::-1].tobytes())
+    merge = lambda same: b"".join(p for _, p in sorted((at, line[at : at + 3]) for line in same for at in range(0, len(line), 3)))
+    return [(y, same[0] if len(same) == 1 else merge(same)) for y, same in of.items()]
+
+
 def _write_files(folder):
-    def write(rows):
-        for row in rows:
-            with open(os.path.join(folder, f"{row.image_id}.bmp"), "wb") as out:
-                out.write(_bmp([(r.y, bytes(r.line)) for r in row.lines]))
+    def write(batches):
+        for batch in batches:
+            for image_id, lines in zip(batch.column("image_id").to_pylist(), batch.column("lines").to_pylist()):
+                with open(os.path.join(folder, f"{image_id}.bmp"), "wb") as out:
+                    out.write(_bmp(_bgr(lines)))
+            yield pa.RecordBatch.from_arrays([batch.column("image_id")], names=["image_id"])
 
     return write
 
@@ -64,12 +77,12 @@ def _write_files(folder):
 def _a16(spark, sf):
     """Every image written as a BMP file in the shared folder, scanned back and compared by digest."""
     folder = tempfile.mkdtemp(prefix="scan-", dir=shared_dir(spark))
-    lines = px.line_text(table(spark, sf, "pixels"), bands=("b", "g", "r"), keys=("image_id", "y")).select("image_id", "y", F.unhex("line").alias("line"))
-    lines.groupBy("image_id").agg(F.collect_list(F.struct("y", "line")).alias("lines")).foreachPartition(_write_files(folder))
+    images = scanlines(spark, sf).groupBy("image_id").agg(F.collect_list(F.struct("y", "px")).alias("lines"))
+    images.mapInArrow(_write_files(folder), "image_id long").write.format("noop").mode("overwrite").save()
     rasters = scan.decode_scan(spark, folder).withColumn(
         "image_id", F.regexp_extract("origin", r"([0-9]+)\.bmp$", 1).cast("bigint")
     )
-    return digest(px.unpack_raster(rasters))
+    return digest(px.unpack_raster(rasters, lines=True))
 
 
 def _a17(spark, sf):
