@@ -9,15 +9,20 @@ checkpoints to the shared folder, so it survives the loss of executors or of the
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gravure.plans.requests import parse_requests
 from gravure.session import shared_dir
-from gravure.sources.scan import detect_type, limit_file_size
+from gravure.sources.scan import DETECTION_WINDOW, detect_type, limit_file_size
 
 WATERMARK = "10 minutes"
+# Names of files that Spark's text reader would decompress.
+COMPRESSED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst|zstd|xz)$"
+_HEAD = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary())])
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -46,14 +51,49 @@ def stream_plan(requests: DataFrame, presets: DataFrame | None = None, **setting
     return parse_requests(requests, presets=presets, **settings)
 
 
+def _heads(batches):
+    """The first bytes of each file from its lines, which come in order; a file's first block holds them all."""
+    path, facts, lines, size = None, None, [], 0
+
+    def row():
+        # A newline was put behind the last line, too, which may have none; a byte order mark (3 bytes) was left out.
+        head = b"".join(lines)
+        head = head[:-1] if size < DETECTION_WINDOW and size - facts[1] in (1, -2) else head[:DETECTION_WINDOW]
+        out = {"path": unquote(path), "modificationTime": facts[0], "length": facts[1], "content": head}
+        return pa.RecordBatch.from_pylist([out], schema=_HEAD)
+
+    for batch in batches:
+        stamps, lengths = batch.column("modificationTime"), batch.column("length")
+        for i, (name, line) in enumerate(zip(batch.column("path").to_pylist(), batch.column("line").to_pylist())):
+            if name != path:
+                if path is not None:
+                    yield row()
+                path, facts, lines, size = name, (stamps[i].as_py(), lengths[i].as_py()), [], 0
+            if size < DETECTION_WINDOW:
+                lines.append(line + b"\n")
+                size += len(line) + 1
+    if path is not None:
+        yield row()
+
+
 def stream_ingest(spark: SparkSession, folder: str, pattern: str = "*", max_bytes: int = 0) -> DataFrame:
-    """Files landing in a folder, with their type and the size gate."""
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length long, content binary")
-        .option("pathGlobFilter", pattern)
-        .load(folder)
+    """Files landing in a folder, with their type and the size gate.
+
+    A type shows in the first bytes, and Spark's reader of whole files would read a file of any size in one task. The
+    text reader deals a file out by blocks; only lines of its first block are kept. Empty files have no lines, and files
+    named as compressed would be opened by that reader: those come from the reader of whole files.
+    """
+    read = lambda kind: spark.readStream.format(kind).option("pathGlobFilter", pattern)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    name, size = F.col("_metadata.file_name"), F.col("_metadata.file_size")
+    apart = name.rlike(COMPRESSED) | (size == 0)
+    whole = read("binaryFile").schema(schema).load(folder).where(apart)
+    lines = read("text").option("lineSep", "\n").schema("value string").load(folder).where(~apart & (F.col("_metadata.file_block_start") == 0))
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modificationTime"), size.alias("length"),
+        F.substring(F.col("value").cast("binary"), 1, DETECTION_WINDOW).alias("line"),
     )
+    files = whole.select("path", "modificationTime", "length", "content").unionByName(lines.mapInArrow(_heads, schema))
     named = limit_file_size(files, max_bytes).withColumns(
         {"ext": F.regexp_extract("path", r"\.[^./]*$", 0), "content_type": F.lit("")}
     )
