@@ -153,3 +153,16 @@ def test_tiles_of_lines_are_those_of_pixels(spark):
         tiled = px.replicate(lines, q, centred)
         assert "px" in tiled.columns
         assert _same(tiled, px.replicate(pixels, q, centred))
+
+
+def test_watermark_of_lines_equals_pixels(spark):
+    """Lines under a mark that lies across the left edge, has a gap and leaves some lines alone."""
+    image = _image(spark)
+    mark = spark.createDataFrame(
+        [(x, y, x * 40, y * 60, 200, (x * 31 + y * 17) % 256) for x in range(4) for y in range(3) if (x, y) != (2, 1)],
+        "mx long, my long, mr long, mg long, mb long, ma long",
+    )
+    layout = _params(spark, wm_left=-1, wm_top=2, wm_opacity=0.7, mark_w=4, mark_h=3)
+    lines = px.watermark(rn.to_lines(image), mark, layout)
+    assert lines.columns == ["image_id", "frame", "y", "px"]
+    assert _same(lines, px.watermark(image, mark, layout))
