@@ -158,6 +158,11 @@ GEOMETRY_DEFAULTS = {
 }
 
 
+def _among(options: Column, *names: str) -> Column:
+    """Whether an option of one of these names is given. Compiled, so that a field nobody writes costs no pass over the options."""
+    return _or(*[F.array_contains(options["name"], name) for name in names])
+
+
 def _last(options: Column, writes: Writes) -> Column:
     """The text the last writing option gives to a field."""
 
@@ -169,7 +174,7 @@ def _last(options: Column, writes: Writes) -> Column:
         return chain
 
     written = F.filter(F.transform(options, value), lambda v: v.isNotNull())
-    return F.nullif(F.try_element_at(written, F.lit(-1)), F.lit(CLEARED))
+    return F.when(_among(options, *writes), F.nullif(F.try_element_at(written, F.lit(-1)), F.lit(CLEARED)))
 
 
 def _padding(options: Column) -> Column:
@@ -243,8 +248,8 @@ def typed_plan(df: DataFrame, options: str = "options") -> DataFrame:
     raw = df.withColumns(
         {f"_{field}": _last(o, writes) for field, writes in TEXT_FIELDS.items()}
         | {
-            "_pad": _padding(o),
-            "_fq": F.when(F.size(named("format_quality")) > 0, _format_quality(o)),
+            "_pad": F.when(_among(o, "padding"), _padding(o)),
+            "_fq": F.when(_among(o, "format_quality"), _format_quality(o)),
             "_skip": F.flatten(F.transform(named("skip_processing"), lambda x: x["args"])),
             "_presets": F.transform(named("#preset"), lambda x: arg(x["args"], 0)),
         }
