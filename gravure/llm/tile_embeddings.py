@@ -16,6 +16,8 @@ from gravure.llm.components import components
 PER_PIVOT, MOST_PIVOTS = 1024, 4096
 #: Rows of a cell that one task compares; larger cells are cut into tiles of two blocks.
 BLOCK = 2048
+#: Rows of the second block that are multiplied at once.
+STRIP = 512
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,16 +31,25 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the cosine of each row of `a` with each of `b` (unit rows, double) reaches `threshold`.
 
     With x = x' + e, y = y' + f (x', y' quantised) the product is at most
-    x'.y' + |e||y'| + |f||x'| + |e||f|. Pairs whose bound stays below the threshold are done; the others
-    are computed in double precision. The int8 product is exact in float32 up to 1040 dimensions.
+    x'.y' + |e||y'| + |f||x'| + |e||f|. Pairs whose bound, with the largest e and f of the block and what float32 rounds
+    off, stays below the threshold are done; the others are computed in double precision, those nearest to it one by one.
     """
-    kind = np.float32 if a.shape[1] <= 1040 else np.float64
     qa, sa, ea = quantise(a)
     qb, sb, eb = quantise(b)
-    na, nb = 1 + ea, 1 + eb
-    bound = (qa.astype(kind) @ qb.astype(kind).T).astype(np.float64) * sa[:, None] * sb + ea[:, None] * nb + na[:, None] * eb + ea[:, None] * eb
-    near = bound >= threshold
-    i, j = np.nonzero(near)
+    ea, eb = float(ea.max()), float(eb.max())
+    slack = ea * (1 + eb) + (1 + ea) * eb + ea * eb + (a.shape[1] + 8) * 2.0**-22 * (1 + ea) * (1 + eb)
+    near = (qa * sa[:, None]).astype(np.float32) @ (qb * sb[:, None]).astype(np.float32).T >= np.float32(threshold - slack)
+    rows = np.flatnonzero(near.any(axis=1))
+    if not len(rows):
+        return near
+    if np.count_nonzero(near[rows]) * 16 > len(rows) * len(b):
+        cosine = a[rows] @ b.T
+        near[rows] = cosine >= threshold
+        i, j = np.nonzero(np.abs(cosine - threshold) < 1e-12)
+        i = rows[i]
+    else:
+        i, j = np.nonzero(near[rows])
+        i = rows[i]
     for start in range(0, len(i), 100_000):
         x, y = i[start : start + 100_000], j[start : start + 100_000]
         near[x, y] = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
@@ -61,6 +72,22 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
+def packed(vectors: np.ndarray) -> bytes:
+    """Components in single precision where that loses nothing, else in double."""
+    with np.errstate(over="ignore", under="ignore"):
+        single = vectors.astype("<f4")
+    return (single if (single == vectors).all() else vectors.astype("<f8")).tobytes()
+
+
+def unpacked(values: list[bytes], d: int) -> np.ndarray:
+    """Rows of `packed` vectors of `d` components each."""
+    out = np.empty((len(values), d))
+    for kind, size in (("<f4", 4 * d), ("<f8", 8 * d)):
+        at = [k for k, v in enumerate(values) if len(v) == size]
+        out[at] = np.frombuffer(b"".join(values[k] for k in at), kind).reshape(-1, d)
+    return out
+
+
 def usable(column: str = "embedding"):
     """Whether a vector has a direction: no null or non-finite component and a non-zero one."""
     bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -111,8 +138,8 @@ def near_embeddings(rows: DataFrame, threshold: float = 0.95, per_pivot: int = P
     `per_pivot` distinct vectors, at most MOST_PIVOTS, chosen by hash), thinned so that no two are within twice the
     angle of `threshold`: a crowd of near-copies has one pivot, not many that its members rank at random. Each vector
     lives in the cell of its nearest pivot and visits all others that a linked vector nearer to its own may have as
-    home (`visited`). Two vectors are compared if one visits the other's cell, so every link is found. Where vectors
-    lie at random, in no groups, few cells can be ruled out and the work grows with the square. Cells with more than `block`
+    home (`visited`). Two vectors of different homes are compared once, where the one nearer to its pivot lives, so every
+    link is found. Where vectors lie at random, in no groups, few cells can be ruled out and the products grow with the square. Cells with more than `block`
     residents or visitors are cut into tiles of two blocks, residents with residents and residents with visitors;
     a tile gives a count per vector and a spanning forest, never its pairs.
 
@@ -138,18 +165,24 @@ def near_embeddings(rows: DataFrame, threshold: float = 0.95, per_pivot: int = P
         for part in batches:
             of = part.column("d").to_numpy()
             cells: list[list[int]] = [[]] * part.num_rows
+            data, best = [b""] * part.num_rows, np.zeros(part.num_rows)
             values = part.column("v")
             for d in np.unique(of):
                 at = np.flatnonzero(of == d)
-                unit = unit_rows(values.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d))
+                own = values.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
+                unit = unit_rows(own)
                 for start in range(0, len(at), 1024):
-                    home, near = visited(unit[start : start + 1024] @ held.value[d].T, held.value[d], threshold)
-                    for k, first, row in zip(at[start : start + 1024], home.tolist(), near):
+                    cosine = unit[start : start + 1024] @ held.value[d].T
+                    home, near = visited(cosine, held.value[d], threshold)
+                    best[at[start : start + 1024]] = cosine.max(axis=1)
+                    for k, first, row, vector in zip(at[start : start + 1024], home.tolist(), near, own[start : start + 1024]):
                         cells[k] = [first, *(c for c in np.flatnonzero(row).tolist() if c != first)]
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("node", "v", "d", "weight")] + [pa.array(cells, pa.list_(pa.int32()))], names=["node", "v", "d", "weight", "cells"])
+                        data[k] = packed(vector)
+            kept = {c: part.column(c) for c in ("node", "d", "weight")}
+            yield pa.RecordBatch.from_pydict(kept | {"v": pa.array(data, pa.binary()), "best": pa.array(best), "cells": pa.array(cells, pa.list_(pa.int32()))})
 
-    placed = stored(folded.select("node", "v", "d", "weight").mapInArrow(visit, "node long, v array<double>, d int, weight long, cells array<int>"))
-    exploded = placed.select("node", "v", "d", "weight", "cells", F.explode("cells").alias("cell")).withColumn("lives", F.col("cell") == F.col("cells")[0])
+    placed = stored(folded.select("node", "v", "d", "weight").mapInArrow(visit, "node long, d int, weight long, v binary, best double, cells array<int>"))
+    exploded = placed.select("node", "v", "d", "weight", "best", F.col("cells")[0].alias("home"), F.explode("cells").alias("cell")).withColumn("lives", F.col("cell") == F.col("home"))
     # two rows for each pivot at most
     crowds = {f"{r['d']} {r['cell']} {r['lives']}": math.ceil(r["count"] / block) for r in exploded.groupBy("d", "cell", "lives").count().where(F.col("count") > block).collect()}
     many = F.create_map(*[F.lit(x) for pair in (crowds or {"": 1}).items() for x in pair])
@@ -163,39 +196,41 @@ def near_embeddings(rows: DataFrame, threshold: float = 0.95, per_pivot: int = P
     exploded = exploded.withColumn("own", F.when(F.col("lives"), own).otherwise(own + F.col("here")))
     meets = F.expr("transform(sequence(0, IF(lives, here + guests, here) - 1), o -> struct(least(own, o) AS i, greatest(own, o) AS j))")
     tiles = exploded.select("*", F.explode(meets).alias("tile"))
-    tiles = tiles.select("node", "v", "weight", "cells", "cell", "own", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), F.xxhash64("d", "cell", "tile.i", "tile.j").alias("tile"))
+    tiles = tiles.select("node", "v", "d", "weight", "best", "lives", "own", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), F.xxhash64("d", "cell", "tile.i", "tile.j").alias("tile"))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
-        cell, own = table.column("cell")[0].as_py(), table.column("own").to_numpy()
+        node, weight, best = (table.column(c).to_numpy() for c in ("node", "weight", "best"))
+        own, lives = table.column("own").to_numpy(), table.column("lives").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        near = np.zeros((len(node), len(node)), bool)
-        counted = near
+        order = np.lexsort((node, -best))
+        left, right = order[own[order] == i], order[own[order] == j]
+        n, links = np.zeros(len(node), np.int64), []
         if len(left) and len(right):
-            values = table.column("v").combine_chunks()
-            unit = unit_rows(values.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1))
-            near[np.ix_(left, right)] = linked(unit[left], unit[right], threshold)
-            near |= near.T
-            np.fill_diagonal(near, False)
-            visited = table.column("cells").combine_chunks()
-            sizes = visited.value_lengths().to_numpy(zero_copy_only=False)
-            flat = visited.flatten().to_numpy(zero_copy_only=False)
-            home = flat[np.cumsum(sizes) - sizes]
-            # A pair of different homes met in both is counted in the lesser one only.
-            others = np.unique(home[home < cell])
-            if len(others):
-                known = np.minimum(np.searchsorted(others, flat), len(others) - 1)
-                goes = np.zeros((len(node), len(others)), bool)
-                some = others[known] == flat
-                goes[np.repeat(np.arange(len(node)), sizes)[some], known[some]] = True
-                lesser = np.flatnonzero(home < cell)
-                twice = np.zeros_like(near)
-                twice[:, lesser] = goes[:, np.searchsorted(others, home[lesser])] & (home == cell)[:, None]
-                counted = near & ~(twice | twice.T)
-        links = forest(near)
-        n = counted @ weight
+            unit = unit_rows(unpacked(table.column("v").to_pylist(), table.column("d")[0].as_py()))
+            guests = not lives[right[0]]
+            near = np.zeros((len(left), len(right)), bool)
+            for start in range(0, len(right), STRIP):
+                strip = right[start : start + STRIP]
+                # A pair of different homes is met where the one nearer to its pivot lives.
+                most = np.searchsorted(-best[left], -best[strip[-1]], side="right") if guests else len(left)
+                if most:
+                    near[:most, start : start + STRIP] = linked(unit[left[:most]], unit[strip], threshold)
+            if i == j:
+                np.fill_diagonal(near, False)
+            rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            near, left, right = near[np.ix_(rows, columns)], left[rows], right[columns]
+            if guests and len(left):
+                x, y = best[left][:, None], best[right]
+                near &= (x > y) | (x == y) & (node[left][:, None] < node[right])
+            n[left] += near @ weight[right]
+            if i != j:
+                n[right] += weight[left] @ near
+                both = np.zeros((len(left) + len(right),) * 2, bool)
+                both[: len(left), len(left) :] = near
+                near = both | both.T
+                left = np.concatenate([left, right])
+            links = [(left[x], left[y]) for x, y in forest(near)]
         some = np.flatnonzero(n)
         a = np.concatenate([node[some], node[[x for x, _ in links]]]) if links else node[some]
         b = pa.array([None] * len(some) + node[[y for _, y in links]].tolist() if links else [None] * len(some), pa.int64())

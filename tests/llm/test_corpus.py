@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -341,6 +342,30 @@ def test_links_between_far_cells(spark):
     assert near.sum() > 1000 and [got[i] for i in range(len(unit))] == near.sum(axis=1).tolist()
 
 
+def test_tile_products_are_exact_in_one_narrow_pass():
+    """Few and many near pairs, some on the threshold; a tile without links holds five bytes a pair, not matrices of doubles."""
+    rng = np.random.default_rng(11)
+    for crowd in (5, 400):
+        base = rng.normal(size=(1, 24)) * np.exp(rng.normal(size=24))
+        some = np.concatenate([rng.normal(size=(600, 24)), base + 0.12 * np.linalg.norm(base) / 24**0.5 * rng.normal(size=(crowd, 24)) * rng.uniform(0.5, 3, (crowd, 1))])
+        unit = tile_embeddings.unit_rows(some)
+        for threshold in (0.95, float(unit[600] @ unit[601])):
+            want = np.array([np.einsum("ij,ij->i", np.broadcast_to(x, unit.shape), unit) for x in unit]) >= threshold
+            assert (tile_embeddings.linked(unit, unit, threshold) == want).all() and want.sum() > len(unit)
+    unit = tile_embeddings.unit_rows(rng.normal(size=(2000, 64)))
+    tracemalloc.start()
+    assert not tile_embeddings.linked(unit[:1000], unit[1000:], 0.95).any()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 1000 * 1000
+
+
+def test_packed_vectors_lose_nothing():
+    rows = np.array([[1.0, -0.5, 0.0], [0.1, 2.0, 3.0], [1e300, 1.0, 1e-310], [1e-46, 1.0, 2.0]])
+    packed = [tile_embeddings.packed(v) for v in rows]
+    assert [len(v) for v in packed] == [12, 24, 24, 24] and (tile_embeddings.unpacked(packed, 3) == rows).all()
+
+
 def test_pipeline_stages(spark, sf_dir, odd):
     import corpus_pipeline
 
