@@ -344,28 +344,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Sketcher:
-    """A wide SimHash of a text's distinct shingles, keys of which similar texts share some, and the shingles' hashes in order."""
+    """The hashes of a text's distinct shingles in order, keys of which similar texts share some, and a wide SimHash."""
 
     def __init__(self, width: int):
         self.width = width
         self.seeds = _mixed(np.arange(1, WORDS + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15))
         self.factors = _mixed(np.arange(100, 100 + BANDS * ROWS, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-    def __call__(self, text: str) -> tuple[bytes, list[int], bytes]:
+    def hashes(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()
         if not words:
-            return bytes(8 * WORDS), [0], b""
+            return np.zeros(0, "<u8")
         shingles = set(map(b" ".join, zip(*(words[i:] for i in range(self.width))))) or {b" ".join(words)}
-        base = np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], "<u8"))
+        return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], "<u8"))
+
+    def keys(self, hashes: np.ndarray) -> list[int]:
+        if not len(hashes):
+            return [0]
         least = np.full(BANDS * ROWS, FULL, "<u8")
-        count = np.zeros(64 * WORDS, np.int64)
-        for start in range(0, len(base), 4096):
-            part = base[start : start + 4096, None]
-            least = np.minimum(least, (part * self.factors).min(axis=0))
-            count += bit_counts(_mixed(part ^ self.seeds))
+        for start in range(0, len(hashes), 4096):
+            least = np.minimum(least, (hashes[start : start + 4096, None] * self.factors).min(axis=0))
         keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
-        value = np.packbits(count * 2 > len(base), bitorder="little").tobytes()
-        return value, np.array(keys, "<u8").view("<i8").tolist(), base.tobytes()
+        return np.array(keys, "<u8").view("<i8").tolist()
+
+    def value(self, hashes: np.ndarray) -> bytes:
+        count = np.zeros(64 * WORDS, np.int64)
+        for start in range(0, len(hashes), 4096):
+            count += bit_counts(_mixed(hashes[start : start + 4096, None] ^ self.seeds))
+        return np.packbits(count * 2 > len(hashes), bitorder="little").tobytes()
 
 
 def reach(similarity: float) -> int:
@@ -387,26 +393,46 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     (1 - (1 - s^ROWS)^BANDS: over 0.9999 at 0.8); every candidate pair's distance is then bit-sliced, and
     those left are linked if the sets' Jaccard similarity is high enough.
     Nulls, repeats, empty and very long texts as in near_duplicates: texts without words are alike.
+
+    Shingle hashes take over twice the room of the texts and don't compress. They are kept only of texts that share a key
+    with another, one text of each set; `docs` is read again for these and must give the same rows.
     """
 
-    def run(batches):
+    def sketched(batches):
+        sketch = Sketcher(width)
+        for part in slices(batches, "text"):
+            found = [(len(h), xxhash.xxh64_intdigest(h.tobytes(), 42), sketch.keys(h)) for h in map(sketch.hashes, texts(part).to_pylist())]
+            sizes, nodes, keys = zip(*found)
+            arrays = [part.column("doc_id"), part.column("digest"), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(np.array(sizes, np.int64) * 8), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "digest", "node", "bytes", "keys"])
+
+    def spelt(batches):
         sketch = Sketcher(width)
         for part in slices(batches, "text"):
-            value, keys, shingles = zip(*(sketch(t) for t in texts(part).to_pylist()))
-            arrays = [part.column("doc_id"), pa.array(value, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(shingles, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "value", "keys", "shingles"])
+            sets = [sketch.hashes(t) for t in texts(part).to_pylist()]
+            arrays = [part.column("of"), pa.array([sketch.value(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["of", "value", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = rows.mapInArrow(freed(run), "doc_id long, value binary, keys array<long>, shingles binary")
-    marked = stored(marked.withColumn("node", F.xxhash64("shingles")))
-    distinct = marked.select("node", "keys", F.octet_length("shingles").alias("bytes")).groupBy("node").agg(F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
-    distinct = stored(distinct)
+    rows = rows.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    marked = stored(rows.mapInArrow(freed(sketched), "doc_id long, digest long, node long, bytes long, keys array<long>"))
+    distinct = stored(marked.groupBy("node").agg(F.first("keys").alias("keys"), F.first("bytes").alias("bytes"), F.min(F.struct("digest", "doc_id")).alias("row")))
+
+    keyed = distinct.select("node", "bytes", F.posexplode("keys").alias("band", "key"))
+    shared = stored(keyed.groupBy(F.col("key").alias("at")).count().where("count > 1").select("at"))
+    together = stored(keyed.join(shared, F.col("key") == F.col("at"), "left_semi"))
+    # Two texts mostly share several keys, often with no other text: of keys with the same texts the first one does.
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]
+    sets = together.groupBy("key").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("count"), *marks)
+    once = stored(sets.groupBy("count", "mark1", "mark2").agg(F.min(F.struct("band", "key")).alias("kept")).select(F.col("kept.key").alias("at")))
+    keyed = stored(together.join(once, F.col("key") == F.col("at"), "left_semi"))
+    meeting = keyed.select(F.col("node").alias("of")).distinct()
+    picked = stored(distinct.join(meeting, F.col("node") == F.col("of")).select("of", F.col("row.digest").alias("its"), F.col("row.doc_id").alias("by")))
+    chosen = rows.join(picked, (F.col("digest") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("by")))
+    met = stored(chosen.groupBy("of").agg(F.first("text").alias("text")).mapInArrow(freed(spelt), "of long, value binary, shingles binary"))
 
     def compared(keyed: DataFrame) -> DataFrame:
         tiles = stored(in_tiles(keyed))
-        # only what meets others in a tile brings its shingles along
-        met = marked.select("node", "value", "shingles").join(tiles.select("node").distinct(), "node", "left_semi")
-        met = stored(met.groupBy(F.col("node").alias("of")).agg(F.first("value").alias("value"), F.first("shingles").alias("shingles")))
         valued = tiles.join(met, F.col("node") == F.col("of")).select("tile", "node", "value", "shingles")
         if "label" in keyed.columns:
             labels = keyed.select(F.col("node").alias("named"), "label").distinct()
@@ -414,9 +440,9 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
         return stored(tile_links(valued, reach(similarity), similarity))
 
     # Crowds of near copies share nearly all keys: what the first key has joined is not compared again under the others.
-    first = compared(distinct.select("node", "bytes", F.col("keys")[0].alias("key")))
+    first = compared(keyed.where("band = 0").select("node", "bytes", "key"))
     joined = components(first).withColumnRenamed("node", "at")
-    others = distinct.join(joined, F.col("node") == F.col("at"), "left").select("node", "bytes", F.coalesce("root", "node").alias("label"), F.explode(F.slice("keys", 2, BANDS)).alias("key"))
+    others = keyed.where("band > 0").join(joined, F.col("node") == F.col("at"), "left").select("node", "bytes", F.coalesce("root", "node").alias("label"), "key")
     links = first.union(compared(stored(others)))
     named = smallest_ids(marked.select("doc_id", "node"), links)
     return marked.select("doc_id", "node").join(named.withColumnRenamed("value", "at"), F.col("node") == F.col("at")).select("doc_id", "component_id")

@@ -292,6 +292,22 @@ def test_similar_documents_just_above_and_below(spark, crowd):
     assert [got[i] for i in range(len(rows))] == pairs_roots(list(range(len(rows))), near)
 
 
+def test_shingles_are_stored_only_of_texts_that_meet(spark, monkeypatch):
+    """Two pairs of near copies among 40 other texts, rows without an id and repeated rows among them; a pair meets once."""
+    near = {i: " ".join(["changed", *prose(i, 300).split()[1:]]) for i in (500, 501)}
+    rows = [(i, prose(500 + i, 300)) for i in range(42)]
+    rows += [(None, near[500]), (None, near[500]), (99, near[501]), (99, near[501]), (3, rows[3][1]), (77, rows[3][1])]
+    made = []
+    stored = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df: made.append(stored(df)) or made[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in simhash.similar_documents(df).collect())
+    plain = [(False, i, i) for i in range(42)] + [(False, 3, 3), (False, 77, 3), (False, 99, 1), (False, 99, 1), (True, 0, 0), (True, 0, 0)]
+    assert got == sorted(plain)
+    assert sum(t.count() for t in made if "shingles" in t.columns) == 4
+    assert sum(t.count() for t in made if t.columns == ["tile", "node"]) == 4
+
+
 def test_near_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 16))
