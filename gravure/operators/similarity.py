@@ -214,8 +214,8 @@ def mse(a: Column, b: Column) -> Column:
 
 
 def hash_distance(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """distance of image pairs (a, b)."""
-    side = lambda name: hashes.select(F.col("image_id").alias(name), F.col("hash").alias(f"_{name}"))
+    """distance of image pairs (a, b). Pairs and hashes are merged: a hash takes far more room than the planner takes it for."""
+    side = lambda name: hashes.select(F.col("image_id").alias(name), F.col("hash").alias(f"_{name}")).hint("merge")
     return (
         pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", mse(F.col("_a"), F.col("_b")).alias("distance"))
     )

@@ -116,6 +116,14 @@ def test_no_pixels_or_plans_are_broadcast(spark, sf_dir):
         assert name in ("e14_extend", "e16_pad") or "BroadcastHashJoin" not in tree, name
 
 
+def test_hashes_are_not_broadcast(spark, sf_dir):
+    """Hashes are many times as large as the keys that they are computed from, which is what the planner goes by."""
+    from gravure.registry.similarity import QUERIES
+
+    tree = QUERIES["k03_hash_distance"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in tree and "BroadcastHashJoin" not in tree
+
+
 def test_hash_of_lines_is_that_of_pixels(spark):
     """Scanlines of small, grey, large and repeated images, some lines short or outside, hash like their pixels."""
     some = _image(spark, w=9, h=7, images=3).where("NOT (image_id = 1 AND y = 3 AND x > 5)")
