@@ -252,3 +252,60 @@ def test_frames_of_results(spark, planned):
 def test_awkward_tables(spark, lines, planned):
     assert rd.render(lines.limit(0), planned).where("frame >= 0 AND px IS NULL").count() == 0
     assert rd.render(lines, planned.limit(0)).count() == 0
+
+
+def _small_plans(spark):
+    """Canvases for renditions of image 3 (three frames, one block) and of image 1 (three blocks), turned and cut; s4 is planned twice."""
+    none = {"trim_threshold": None, "trim_r": None, "trim_g": None, "trim_b": None}
+    changes = [
+        (3, {"width": 12, "height": 20, "extend": True, "rotate": 90}), (3, {"width": 10, "height": 10, "resizing_type": "fill", "pad_top": 2, "pad_left": 3}),
+        (3, {"width": 30, "height": 9, "extend_ar": True, "enlarge": True, "flip_h": True}), (1, {"width": 30, "extend": True, "height": 50, "pad_right": 2}),
+        (3, {"crop_w": 9.0, "crop_h": 7.0, "pad_bottom": 1}), (3, {"crop_w": 9.0, "crop_h": 7.0, "pad_bottom": 1}), (2, {"height": 11, "extend_ar": True, "width": 11, "opaque": True}), (5, {"width": 4, "pad_top": 3}),
+    ]
+    facts = {**FACTS, 5: (10, 10, 1, 1, False)}
+    rows = []
+    for n, (image, more) in enumerate(changes):
+        w, h, seen, frames, alpha = facts[image]
+        rows.append({"rendition": f"s{min(n, 4) if n < 6 else n}", "image_id": image, **REQUEST, **more, "img_w": w, "img_h": h, "orientation": seen, "frames": frames, "has_alpha": alpha, "src_format": "png"})
+    kinds = {"trim_threshold": "double", "trim_r": "int", "trim_g": "int", "trim_b": "int"}
+    df = spark.createDataFrame(rows).withColumns({c: F.lit(v).cast(kinds[c]) for c, v in none.items()})
+    return cut_lineage(g.plan_rendition(df, 18, 12))
+
+
+def _all(lines):
+    return sorted((r["rendition"], r["frame"], r["y"], bytes(r["px"])) for r in lines.select("rendition", "frame", "y", "px").collect())
+
+
+@pytest.mark.parametrize("crowd", (20_000, 2))
+def test_strips_hold_the_lines(spark, lines, monkeypatch, crowd):
+    """Renditions of one block go through canvases as strips; lines in any order, repeated renditions and crowds change nothing."""
+    monkeypatch.setattr(rn, "CROWD", crowd)
+    plan, mixed = _small_plans(spark), lines.repartition(7).sortWithinPartitions(F.hash("y", "image_id"))
+    strips, plain_lines = rd.result_boxes(mixed, plan, strips=True), rd.result_boxes(lines, plan)
+    single = {r["rendition"] for r in strips.where("rows > 1").collect()}
+    assert single == {"s0", "s1", "s2", "s6"}
+    for place in (rd.extend, rd.extend_ar, rd.pad):
+        strips, plain_lines = place(strips, plan), place(plain_lines, plan)
+        assert _all(rn.of_strips(strips)) == _all(plain_lines)
+    assert {r["rendition"] for r in strips.where("whole").collect()} == {"s6"}
+
+
+def test_strips_and_lines_have_one_digest(spark, lines):
+    from gravure.registry.pixels import digest_lines
+
+    number = lambda df: df.withColumn("rendition", F.substring("rendition", 2, 9).cast("long"))
+    plan = _small_plans(spark)
+    strips = rd.render(lines, plan, strips=True)
+    assert strips.where("whole").count() == 2
+    got = digest_lines(number(strips), "req_id").collect()
+    assert sorted(got) == sorted(digest_lines(number(rd.render(lines, plan)), "req_id").collect()) and len(got) == 7
+
+
+def test_renditions_of_one_block_are_not_dealt_again(spark, sf_dir):
+    """Lines meet plans in one join, of rows that hold the lines of a block; canvases, background and mark need no other."""
+    from gravure.registry.pixels import QUERIES
+
+    for name in ("e14_extend", "e15_extend_ar", "e16_pad", "e23_animate_map", "e24_render"):
+        tree = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert tree.count("SortMergeJoin") == (3 if name == "e23_animate_map" else 1), name
+        assert tree.count("Exchange") <= (10 if name == "e23_animate_map" else 4), name
