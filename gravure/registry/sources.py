@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import tempfile
 
@@ -76,7 +77,7 @@ def _write_files(folder):
 
 def _a16(spark, sf):
     """Every image written as a BMP file in the shared folder, scanned back and compared by digest."""
-    folder = tempfile.mkdtemp(prefix="scan-", dir=shared_dir(spark))
+    folder = tempfile.mkdtemp(prefix="scan-", dir=re.sub("^file:/*", "/", shared_dir(spark)))
     images = scanlines(spark, sf).groupBy("image_id").agg(F.collect_list(F.struct("y", "px")).alias("lines"))
     images.mapInArrow(_write_files(folder), "image_id long").write.format("noop").mode("overwrite").save()
     rasters = scan.decode_scan(spark, folder).withColumn(

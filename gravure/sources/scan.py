@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 
@@ -256,41 +257,153 @@ def _plain_bmp(content: Column) -> Column:
     return F.coalesce(head.startswith("424D") & (F.length(head) == 108) & fields & size, F.lit(False))
 
 
+def _raster(content: bytes) -> tuple[int, int, bytes]:
+    """Width, height and pixels of a plain BMP: padding goes, lines that come bottom-up are turned."""
+    width, height = struct.unpack_from("<ii", content, 18)
+    stride = -(-3 * width // 4) * 4
+    lines = np.frombuffer(content, np.uint8, stride * abs(height), 54).reshape(abs(height), stride)[:, : 3 * width]
+    return width, abs(height), (lines if height < 0 else lines[::-1]).tobytes()
+
+
+def _rasters(origins: pa.Array, found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    width, height = np.array([r[:2] for r in found], np.int32).reshape(-1, 2).T
+    columns = [origins, pa.array(width), pa.array(height), pa.array(np.full(len(found), 3, np.int32)), pa.array([r[2] for r in found], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["origin", "width", "height", "channels", "data"])
+
+
 def _bmp_rasters(batches):
-    """Plain BMP files as rasters: padding goes, lines that come bottom-up are turned."""
+    """Plain BMP files as rasters."""
     for batch in batches:
-        sizes, data = [], []
-        for content in batch.column("content").to_pylist():
-            width, height = struct.unpack_from("<ii", content, 18)
-            stride = -(-3 * width // 4) * 4
-            lines = np.frombuffer(content, np.uint8, stride * abs(height), 54).reshape(abs(height), stride)[:, : 3 * width]
-            sizes.append((width, abs(height)))
-            data.append((lines if height < 0 else lines[::-1]).tobytes())
-        width, height = np.array(sizes, np.int32).reshape(-1, 2).T
-        columns = [batch.column("origin"), pa.array(width), pa.array(height), pa.array(np.full(len(data), 3, np.int32)), pa.array(data, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["origin", "width", "height", "channels", "data"])
+        yield _rasters(batch.column("origin"), [_raster(content) for content in batch.column("content").to_pylist()])
+
+
+# What Java's URIs leave as it is in a path.
+_LEFT_ALONE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789/_-!.~'()*,;:$&+=@")
+_RASTERS = "origin string, width int, height int, channels int, data binary"
+# Fixed value: files of a task that reads them one by one.
+FILES_AT_ONCE = 10_000
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """A local or mounted folder by its plain name; None for other stores, single files and patterns."""
+    if not path.startswith("file:") and (re.match(r"[A-Za-z][\w+.-]*:", path) or not spark.conf.get("spark.hadoop.fs.defaultFS", "file:///").startswith("file:")):
+        return None
+    root = os.path.abspath(re.sub("^file:/*", "/", path))
+    return None if re.search(r"[{}\[\]*?\\]", root) or not os.path.isdir(root) else root
+
+
+def _listed(root: str):
+    """Files below a folder as Spark lists them: names that begin with a dot or an underscore are left out."""
+
+    def hidden(name: str) -> bool:
+        out = (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+        return out and not name.startswith(("_common_metadata", "_metadata"))
+
+    def run(batches):
+        for _ in batches:
+            folders, files = [root], []
+            while folders:
+                with os.scandir(folders.pop()) as entries:
+                    for entry in entries:
+                        if hidden(entry.name):
+                            continue
+                        if entry.is_dir():
+                            folders.append(entry.path)
+                            continue
+                        files.append(entry.path)
+                        if len(files) == FILES_AT_ONCE:
+                            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], names=["file"])
+                            files = []
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], names=["file"])
+
+    return run
+
+
+def _plain_head(head: bytes, size: int) -> bool:
+    """_plain_bmp by the first 54 bytes of a file and its size."""
+    if len(head) < 54 or head[:2] != b"BM" or struct.unpack_from("<IIiiHHI", head, 10)[:2] != (54, 40):
+        return False
+    width, height, planes, bits, packing = struct.unpack_from("<iiHHI", head, 18)
+    sides = 1 <= width <= 1 << 15 and 1 <= abs(height) <= 1 << 15
+    return (planes, bits, packing) == (1, 24, 0) and head[46:50] == b"\0" * 4 and sides and size >= 54 + -(-3 * width // 4) * 4 * abs(height)
+
+
+def _is_plain(file: str) -> bool:
+    if not file.lower().endswith(".bmp"):
+        return False
+    with open(file, "rb") as at:
+        return _plain_head(at.read(54), os.fstat(at.fileno()).st_size)
+
+
+def _read_plain(batches):
+    """Rasters of the plain BMP files of a list, read one by one."""
+    for batch in batches:
+        origins, found, size = [], [], 0
+        for file in batch.column("file").to_pylist():
+            if not _is_plain(file):
+                continue
+            with open(file, "rb") as at:
+                found.append(_raster(at.read()))
+            origins.append("file://" + "".join(c if c in _LEFT_ALONE or (ord(c) > 127 and c.isprintable()) else "".join(f"%{b:02X}" for b in c.encode()) for c in file))
+            size += len(found[-1][2])
+            if size > 16 << 20:
+                yield _rasters(pa.array(origins), found)
+                origins, found, size = [], [], 0
+        yield _rasters(pa.array(origins, pa.string()), found)
+
+
+def _not_plain(batches):
+    for batch in batches:
+        yield batch.filter(pa.array([not _is_plain(file) for file in batch.column("file").to_pylist()], pa.bool_()))
+
+
+def _images(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(list(paths))
+
+
+def _as_rasters(images: DataFrame) -> DataFrame:
+    return images.select("image.origin", "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
+
+
+def _decode_mounted(spark: SparkSession, root: str) -> DataFrame | None:
+    """decode_scan of a folder that all tasks see: a task lists it, others read the files, and none is planned by the driver.
+
+    Files for Spark's image source are named to it one by one; None where they are too many for that.
+    """
+    files = spark.range(0, 1, 1, 1).mapInArrow(_listed(root), "file string")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-files.count() // FILES_AT_ONCE))
+    dealt = files.repartition(tasks)
+    others = [row["file"] for row in dealt.mapInArrow(_not_plain, "file string").limit(FILES_AT_ONCE + 1).collect()]
+    if len(others) > FILES_AT_ONCE:
+        return None
+    rasters = dealt.mapInArrow(_read_plain, _RASTERS)
+    named = ["file://" + re.sub(r"([{}\[\]*?\\])", r"\\\1", file) for file in others]
+    return rasters.unionByName(_as_rasters(_images(spark, *named))) if named else rasters
 
 
 def decode_scan(spark: SparkSession, path: str) -> DataFrame:
     """Rasters of loadable files: origin, width, height, channels, data (top-down, B, G, R[, A]).
 
     Spark's image source plans a serializer anew for every file, which takes far longer than decoding a small one. Plain
-    BMP files are decoded from their bytes; it reads all others, and files named .bmp only where some are not plain.
+    BMP files are decoded from their bytes; it reads all others, and files named .bmp only where some are not plain. Spark's file
+    sources keep every file in the driver's memory; in a local or mounted folder tasks list and read the files themselves.
     """
+    root = _mounted(spark, path)
+    mounted = _decode_mounted(spark, root) if root else None
+    if mounted is not None:
+        return mounted
     named = F.lower(F.col("_metadata.file_name")).endswith(".bmp")
-    read = lambda kind: spark.read.format(kind).option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
-    images = lambda df: df.select("image.origin", "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
     file = F.col("_metadata.file_path")
     # The image source spells an origin without a host with three slashes.
     origin = F.regexp_replace(file, "^([^:/]+):/(?!/)", "$1:///")
-    files = read("binaryFile").where(named).select(file.alias("file"), origin.alias("origin"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(named).select(file.alias("file"), origin.alias("origin"), "content")
     plain = _plain_bmp(F.col("content"))
     # Fixed value: Spark counts 4 MB for opening a file, so a task would have 32 small ones.
     files = files.coalesce(max(spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // 16))
-    rasters = files.where(plain).mapInArrow(_bmp_rasters, "origin string, width int, height int, channels int, data binary")
-    rasters = rasters.unionByName(images(read("image").where(~named)))
+    rasters = files.where(plain).mapInArrow(_bmp_rasters, _RASTERS)
+    rasters = rasters.unionByName(_as_rasters(_images(spark, path).where(~named)))
     odd = files.where(~plain).select("file")
-    return rasters if odd.isEmpty() else rasters.unionByName(images(read("image").where(named).withColumn("file", file).join(odd, "file", "left_semi")))
+    return rasters if odd.isEmpty() else rasters.unionByName(_as_rasters(_images(spark, path).where(named).withColumn("file", file).join(odd, "file", "left_semi")))
 
 
 def write_renditions(df: DataFrame, path: str) -> None:

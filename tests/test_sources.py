@@ -54,3 +54,31 @@ def test_other_files_are_decoded_too(spark, tmp_path):
     _, seen = _decoded(spark, tmp_path / "mixed", files)
     assert {n: seen[n] for n in ("1.bmp", "2.bmp", "3.png", "4.bmp", "8")} == dict.fromkeys(("1.bmp", "2.bmp", "3.png", "4.bmp", "8"), True)
     assert not {"6.bmp", "7.png"} & set(seen)
+
+
+def _read(rows):
+    return sorted((r.origin, r.width, r.height, r.channels, bytes(r.data)) for r in rows.collect())
+
+
+def test_a_mounted_folder_is_not_listed_by_the_driver(spark, tmp_path):
+    """Plain files are listed and read by tasks: no scan of files is planned. Names and folders are those that Spark lists."""
+    names = ("1.bmp", "a [b]{c}*?#&é.bmp", "_x.bmp", ".y.bmp", "_a=1.bmp", "deep/er/2.bmp", "_no/3.bmp", "4._COPYING_")
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(_bmp(True))
+    rows = scan.decode_scan(spark, f"file://{tmp_path}")
+    tree = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in tree and "Scan image" not in tree and "BatchScan" not in tree
+    whole = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(str(tmp_path))
+    got = _read(rows)
+    assert got == _read(whole.select("image.*").withColumnRenamed("nChannels", "channels")) and len(got) == 4
+    (tmp_path / "o [d]d.bmp").write_bytes(_png())
+    (tmp_path / "z{1}.png").write_bytes(_png())
+    assert _read(scan.decode_scan(spark, str(tmp_path))) == _read(whole.sparkSession.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(str(tmp_path)).select("image.*").withColumnRenamed("nChannels", "channels"))
+
+
+def test_many_other_files_go_to_the_image_source(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan, "FILES_AT_ONCE", 2)
+    files = {f"{k}.png": _png() for k in range(3)} | {"9.bmp": _bmp(True), "8.bmp": _bmp(False)}
+    _, seen = _decoded(spark, tmp_path / "many", files)
+    assert seen == dict.fromkeys(files, True)
