@@ -174,3 +174,29 @@ def test_watermark_of_lines_equals_pixels(spark):
     lines = px.watermark(rn.to_lines(image), mark, layout)
     assert lines.columns == ["image_id", "frame", "y", "px"]
     assert _same(lines, px.watermark(image, mark, layout))
+
+
+def test_pieces_hold_the_pixels(spark):
+    """Scanlines put on a canvas and trimmed give the pixels that pixel rows give: repeated lines and parameters, gaps, canvases that cut, tall images."""
+    p = _image(spark, w=9, h=7, images=4).where("NOT (image_id = 1 AND y = 3) AND NOT (image_id = 2 AND y = 2 AND x > 5)")
+    p = p.withColumn("a", F.col("x") * 20).unionByName(_image(spark, w=5, h=150, images=1).withColumn("image_id", F.lit(8).cast("long")))
+    again = p.where("image_id = 3").withColumn("r", 255 - F.col("r"))
+    pixels, lines = p.unionByName(again), rn.to_lines(p).unionByName(rn.to_lines(again)).repartition(3)
+    rows = [(0, 9, 7, 15, 12, 3, 2), (1, 9, 7, 12, 9, 0, 2), (2, 9, 7, 10, 10, 0, 0), (3, 9, 7, 12, 9, 2, 1), (8, 5, 150, 9, 160, 2, 4), (9, 4, 3, 6, 5, 1, 1)]
+    for more in ([], [(0, 9, 7, 11, 9, 1, 1), (2, 9, 7, 6, 5, -2, -1)]):
+        q = spark.createDataFrame(rows + more, "image_id long, w int, h int, canvas_w int, canvas_h int, off_x int, off_y int")
+        pieces = px.embed(lines, q)
+        assert pieces.where("whole").count() == (0 if more else 1)
+        assert _same(pieces, px.embed(pixels, q))
+        t = q.select("image_id", F.col("canvas_w").alias("w"), F.col("canvas_h").alias("h"), F.lit(5).alias("threshold"), *[F.when(F.col("image_id") == 1, F.lit(0)).alias(f"colour_{c}") for c in px.COLOUR], (F.col("image_id") == 2).alias("equal_h"), (F.col("image_id") == 0).alias("equal_v"))
+        assert _same(px.trim(pieces, t), px.trim(px.embed(pixels, q), t))
+    same = _params(spark, 9, w=9, h=7, threshold=30, equal_h=False, equal_v=True).withColumns({f"colour_{c}": F.lit(None).cast("int") for c in px.COLOUR})
+    assert _same(px.trim(lines, same), px.trim(pixels, same))
+
+
+def test_borders_and_trims_are_not_exchanged_by_pixels(spark, sf_dir):
+    from gravure.registry.pixels import QUERIES
+
+    for name in ("e03_trim", "e13_embed"):
+        tree = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in tree and "explode([0,1,2,3,4,5" not in tree, name

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gravure.operators import blocks
 from gravure.operators import render as rd
 from gravure.operators import renditions as rn
 from gravure.plans import geometry as g
@@ -279,7 +280,7 @@ def _all(lines):
 @pytest.mark.parametrize("crowd", (20_000, 2))
 def test_strips_hold_the_lines(spark, lines, monkeypatch, crowd):
     """Renditions of one block go through canvases as strips; lines in any order, repeated renditions and crowds change nothing."""
-    monkeypatch.setattr(rn, "CROWD", crowd)
+    monkeypatch.setattr(blocks, "CROWD", crowd)
     plan, mixed = _small_plans(spark), lines.repartition(7).sortWithinPartitions(F.hash("y", "image_id"))
     strips, plain_lines = rd.result_boxes(mixed, plan, strips=True), rd.result_boxes(lines, plan)
     single = {r["rendition"] for r in strips.where("rows > 1").collect()}
