@@ -310,3 +310,21 @@ def test_renditions_of_one_block_are_not_dealt_again(spark, sf_dir):
         tree = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert tree.count("SortMergeJoin") == (3 if name == "e23_animate_map" else 1), name
         assert tree.count("Exchange") <= (10 if name == "e23_animate_map" else 4), name
+
+
+def test_smart_windows_of_one_block_are_those_of_bands(spark, lines):
+    """Parts of one block are scored where their lines are, others by bands; windows asked for twice too."""
+    rows = [("a", 2, 0, 0, 33, 20, 9, 7), ("b", 3, 0, 0, 24, 16, 50, 50), ("c", 1, 8, 70, 60, 50, 11, 13), ("d", 1, 0, 0, 70, 150, 20, 30), ("e", 3, 2, 1, 20, 15, 3, 4)]
+    for more in ([], [("f", 2, 0, 0, 33, 20, 5, 5)] * 2):
+        plan = spark.createDataFrame(rows + more, "rendition string, image_id long, left long, top long, w long, h long, want_w long, want_h long")
+        once = plan.where("rendition <> 'f'")
+        boxes = {(r["rendition"], r["frame"]): (r["left"], r["top"], r["score"]) for r in rn.smart_boxes(lines, plan).collect() if r["rendition"] != "f"}
+        assert boxes == {(r["rendition"], r["frame"]): (r["left"], r["top"], r["score"]) for r in rn._banded_boxes(lines, rn._window_plan(once)).collect()}
+        assert len(boxes) == 9
+        for name, image, left, top, w, h, want_w, want_h in rows:
+            x, y = best_window(picture(image, 0)[top : top + h, left : left + w], min(want_w, w), min(want_h, h))
+            assert boxes[name, 0][:2] == (x, y)
+        strips = rn.smart_crop(lines, plan, strips=True)
+        assert {r["rendition"] for r in strips.where("rows > 1").collect()} == {"a", "b", "c", "e"}
+        assert [r for r in _all(rn.of_strips(strips)) if r[0] != "f"] == _all(rn._banded_smart_crop(lines, once))
+        assert _all(rn.smart_crop(lines, plan)) == _all(rn.of_strips(strips))
