@@ -166,6 +166,23 @@ def joined_segments(segments: DataFrame) -> DataFrame:
     return segments.groupBy("rendition", "frame", "y").agg(whole.alias("px"))
 
 
+def _within(rows: np.ndarray, left: int, top: int, w: int, h: int) -> tuple[int, np.ndarray]:
+    """y and lines of a transparent black canvas w x h under the rows of an image at (left, top); what hangs over is cut."""
+    low, high = max(0, top), max(0, top, min(h, top + len(rows)))
+    line = np.zeros((high - low, w, 4), np.uint8)
+    first, end = max(0, left), max(0, left, min(w, left + rows.shape[1]))
+    line[:, first:end] = rows[low - top : high - top, first - left : end - left]
+    return low, line
+
+
+def _pasted(rows: np.ndarray, left: int, top: int, w: int, h: int) -> np.ndarray:
+    """The whole canvas of _within."""
+    canvas = np.zeros((h, w, 4), np.uint8)
+    y, line = _within(rows, left, top, w, h)
+    canvas[y : y + len(line)] = line
+    return canvas
+
+
 def composed(segments: DataFrame, plan: DataFrame) -> DataFrame:
     """lines(rendition, frame, y, px) after filters, on the canvas: transparent black left and right of the image, and lines above and below."""
     place = _placing()
@@ -185,15 +202,14 @@ def composed(segments: DataFrame, plan: DataFrame) -> DataFrame:
         start, stop = key[2] * BAND, min(height, (key[2] + 1) * BAND)
         px = np.frombuffer(b"".join(group["px"]), np.uint8).reshape(-1, width, 4)  # pieces of a line follow each other
         rows = filtered(px, group["y"][0], p, start, stop)
-        line = np.zeros((len(rows), int(p["canvas_w"]), 4), np.uint8)
-        line[:, int(p["place_x"]) : int(p["place_x"]) + width] = rows
-        place = int(p["place_y"])
-        yield line_rows(key, range(start + place, stop + place), coded(line))
+        y, line = _within(rows, int(p["place_x"]), start + int(p["place_y"]), int(p["canvas_w"]), int(p["canvas_h"]))
+        if len(line):
+            yield line_rows(key, range(y, y + len(line)), coded(line))
 
     image = by_band(met.withColumn("band", F.explode(bands)).drop("halo"), ["rendition", "frame", "band"], ["y", "x"], work, schema)
     frames = F.coalesce(F.col("frames"), F.lit(1)) if "frames" in plan.columns else F.lit(1)
     own = placed.join(plan.select("rendition", frames.cast("int").alias("frames")).hint("merge"), "rendition")
-    rows = own.where((F.col("canvas_h") > F.col("height"))).withColumn("frame", F.explode(F.expr("sequence(0, frames - 1)")))
+    rows = own.where((F.col("canvas_h") > F.col("height")) | (F.col("place_y") != 0)).withColumn("frame", F.explode(F.expr("sequence(0, frames - 1)")))
     rows = rows.withColumn("y", F.explode(F.expr("sequence(0, CAST(canvas_h AS INT) - 1)"))).where("y < place_y OR y >= place_y + height")
     border = rows.select("rendition", "frame", "y", F.expr("unhex(repeat('00000000', CAST(canvas_w AS INT)))").alias("px"))
     return image.unionByName(border)
@@ -213,22 +229,16 @@ def _canvas_of_strips(strips: DataFrame, own: str, name: str) -> DataFrame:
             for which, (own_w, own_h, w, h, left, top) in zip(np.repeat(np.arange(len(count)), count).tolist(), canvas):
                 at, frame, y, rows, px, whole = strip[which]
                 if None in (px, y, own_w, own_h, w, h, left, top):
-                    out.out.append((at, frame, None if y is None or top is None else y + top, rows, None, False))
                     continue
-                values = np.frombuffer(px, np.uint8).reshape(rows, -1)
-                before, after = 4 * max(0, left), 4 * max(0, w - left - own_w)
-                width, bordered = before + values.shape[1] + after, y <= 0 < y + rows and h > own_h
-                if bordered and y == 0 and rows == own_h and top >= 0 and top + own_h <= h and width == 4 * w:
-                    line = np.zeros((h, width), np.uint8)
-                    line[top : top + rows, before : before + values.shape[1]] = values
-                    strips_ = [(frame, 0, line)]
+                values = np.frombuffer(px, np.uint8).reshape(rows, -1, 4)
+                if y == 0 and rows == own_h and top >= 0:
+                    strips_ = [(frame, 0, _pasted(values, left, top, w, h).reshape(h, 4 * w))]
                 else:
-                    line = np.zeros((rows, width), np.uint8)
-                    line[:, before : before + values.shape[1]] = values
-                    strips_ = [(frame, y + top, line)]
-                    if bordered:
+                    first, line = _within(values, left, y + top, w, h)
+                    strips_ = [(frame, first, line.reshape(len(line), 4 * w))] if len(line) else []
+                    if y <= 0 < y + rows and (h > own_h or top):
                         ends = ((0, min(h, max(0, top))), (max(0, top + own_h), h))
-                        strips_ += [(frame, a, np.zeros((b - a, 4 * max(0, w)), np.uint8)) for a, b in ends if b > a]
+                        strips_ += [(frame, a, np.zeros((b - a, 4 * w), np.uint8)) for a, b in ends if b > a]
                 out.add(at, strips_, whole)
                 if out.full():
                     yield out.take()
@@ -238,7 +248,7 @@ def _canvas_of_strips(strips: DataFrame, own: str, name: str) -> DataFrame:
 
 
 def _canvas(lines: DataFrame, plan: DataFrame, own: str, name: str) -> DataFrame:
-    """Lines of own_w x own_h placed at name_left, name_top of a transparent black canvas name_w x name_h, per frame.
+    """Lines of own_w x own_h placed at name_left, name_top of a transparent black canvas name_w x name_h, per frame; what hangs over is cut.
 
     Strips (see renditions.py) that carry their `places` give strips, without a join.
     """
@@ -246,9 +256,11 @@ def _canvas(lines: DataFrame, plan: DataFrame, own: str, name: str) -> DataFrame
         return _canvas_of_strips(lines, own, name)
     sizes = plan.select("rendition", *[_long(f"{own}_{c}").alias(f"own_{c}") for c in "wh"], *[_long(f"{name}_{c}").alias(c) for c in ("w", "h", "left", "top")])
     blank = lambda n: F.expr(f"unhex(repeat('00000000', CAST({n} AS INT)))")
-    met = lines.join(sizes.hint("merge"), "rendition")
-    moved = met.select("rendition", F.col("frame").cast("int"), (F.col("y") + F.col("top")).cast("int").alias("y"), F.concat(blank("left"), "px", blank("w - left - own_w")).alias("px"))
-    rows = met.where("y = 0 AND h > own_h").select("rendition", F.col("frame").cast("int"), F.explode(F.expr("sequence(0, CAST(h AS INT) - 1)")).alias("y"), "top", "own_h", "w")
+    met = lines.join(sizes.hint("merge"), "rendition").withColumns({"first": F.greatest(F.lit(0), F.least("left", "w")), "end": F.greatest(F.lit(0), F.least(F.col("w"), F.expr("left + octet_length(px) div 4")))})
+    cut = F.expr("substring(px, CAST(4 * (first - left) + 1 AS INT), CAST(4 * greatest(0, end - first) AS INT))")
+    placed = met.select("rendition", F.col("frame").cast("int"), (F.col("y") + F.col("top")).cast("int").alias("y"), "h", F.concat(blank("first"), cut, blank("w - greatest(first, end)")).alias("px"))
+    moved = placed.where("y >= 0 AND y < h").drop("h")
+    rows = met.where("y = 0 AND (h > own_h OR top <> 0)").select("rendition", F.col("frame").cast("int"), F.explode(F.expr("sequence(0, CAST(h AS INT) - 1)")).alias("y"), "top", "own_h", "w")
     return moved.unionByName(rows.where("y < top OR y >= top + own_h").select("rendition", "frame", "y", blank("w").alias("px")))
 
 
@@ -391,8 +403,7 @@ def _stages(plan: DataFrame, mark: bool) -> tuple[DataFrame, list[str], Column]:
     sizes = scale_plan(plan, F.struct(*filters, "crop_kind", "box_kind", "limit_scale", *[_long(c).alias(n) for n, c in canvases.items()], *finish).alias("stages"))
     of = lambda c: F.col(f"stages.{c}")
     fits = _known_turn() & (of("crop_kind") != "smart") & (of("box_kind") != "smart") & (of("canvas_w").cast("double") * of("canvas_h") <= SMALL) & ~F.coalesce(of("limit_scale") < 1, F.lit(False))
-    fits = fits & (of("place_x") >= 0) & (of("place_y") >= 0) & (of("place_x") + of("width") <= of("canvas_w")) & (of("place_y") + of("height") <= of("canvas_h"))
-    for c in (*filters, "p_frames"):
+    for c in (*filters, "p_frames", "place_x", "place_y"):
         fits = fits & of(c).isNotNull()
     if mark:
         known = of("wm_visible").isNotNull()
@@ -412,19 +423,17 @@ def _whole_renditions(lines: DataFrame, sizes: DataFrame, finish: list[str], mar
         q = p["stages"]
         q["premultiplied"] = q["has_alpha"]
         width, height, left, top = q["width"], q["height"], q["place_x"], q["place_y"]
-        found, bare = [], set(range(q["p_frames"])) if q["canvas_h"] > height else set()
+        found, bare = [], set(range(q["p_frames"])) if q["canvas_h"] > height or top else set()
         for frame, first, values in frames:
             _, y, box = _turned(p, scaled_rows(p, values, first, 0, int(p["out_h"])).astype(np.uint8), 0)
             if not box.size:
                 continue
             rows = filtered(box.reshape(-1, width, 4), y, q, 0, height)
-            line = np.zeros((q["canvas_h"] if frame in bare else len(rows), q["canvas_w"], 4), np.uint8)
-            at = top if frame in bare else 0
-            line[at : at + len(rows), left : left + width] = rows
-            found.append((frame, 0 if frame in bare else top, line.reshape(len(line), -1)))
+            y, line = (0, _pasted(rows, left, top, q["canvas_w"], q["canvas_h"])) if frame in bare else _within(rows, left, top, q["canvas_w"], q["canvas_h"])
+            found.append((frame, y, line.reshape(len(line), 4 * q["canvas_w"])))
             bare.discard(frame)
         for frame in sorted(bare):
-            ends = ((0, min(top, q["canvas_h"])), (top + height, q["canvas_h"]))
+            ends = ((0, min(top, q["canvas_h"])), (max(0, top + height), q["canvas_h"]))
             found += [(frame, a, np.zeros((b - a, 4 * q["canvas_w"]), np.uint8)) for a, b in ends if b > a]
         return found
 

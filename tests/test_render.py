@@ -328,3 +328,31 @@ def test_smart_windows_of_one_block_are_those_of_bands(spark, lines):
         assert {r["rendition"] for r in strips.where("rows > 1").collect()} == {"a", "b", "c", "e"}
         assert [r for r in _all(rn.of_strips(strips)) if r[0] != "f"] == _all(rn._banded_smart_crop(lines, once))
         assert _all(rn.smart_crop(lines, plan)) == _all(rn.of_strips(strips))
+
+
+@pytest.mark.parametrize("banded", (False, True))
+def test_boxes_that_hang_over_their_canvas_are_cut(spark, lines, monkeypatch, banded):
+    """A result box may be wider or higher than the canvas; the pixels within stay in their place."""
+    if banded:
+        monkeypatch.setattr(rd, "split", lambda plan, fits: (None, plan))
+    sizes = {"s0": (24, 16, 10, 30, 4, 8), "s1": (24, 16, 40, 5, 9, 0), "s2": (24, 16, 6, 7, 0, 0), "s3": (24, 16, 30, 16, 20, 3)}
+    plan = _small_plans(spark).where("rendition IN ('s0', 's1', 's2')").withColumn("rendition", F.explode(F.array(*map(F.lit, sizes)))).dropDuplicates(["rendition"])
+    of = lambda k: F.coalesce(*[F.when(F.col("rendition") == n, F.lit(v[k])) for n, v in sizes.items()]).cast("long")
+    zero, none = F.lit(0).cast("long"), {c: F.lit(False) for c in ("flip", "flip_h", "flip_v", "opaque")}
+    plan = plan.withColumns({**none, **{c: zero for c in ("angle", "rotate", "crop_left", "crop_top", "box_left", "box_top", "aspect_left", "aspect_top", "padded_left", "padded_top")}})
+    plan = plan.withColumns({"image_id": F.lit(3).cast("long"), "frames": F.lit(3).cast("long"), "crop_kind": F.lit("none"), "box_kind": F.lit("none"), "limit_scale": F.lit(1.0)})
+    plan = plan.withColumns({f"{n}_w": of(0) for n in ("crop_box", "scaled", "box")} | {f"{n}_h": of(1) for n in ("crop_box", "scaled", "box")})
+    plan = plan.withColumns({f"{n}_{c}": of(k) for n in ("canvas", "aspect", "padded", "result") for k, c in ((2, "w"), (3, "h"))} | {"canvas_left": of(4), "canvas_top": of(5)})
+    plan = cut_lineage(plan)
+    want = []
+    for n, (_, _, w, h, left, top) in sizes.items():
+        for frame in range(3):
+            canvas = np.zeros((top + 16 + h, left + 24 + w, 4), np.uint8)
+            canvas[top : top + 16, left : left + 24] = picture(3, frame)
+            want += [(n, frame, y, canvas[y, :w].tobytes()) for y in range(h)]
+    assert _all(rd.render(lines, plan)) == sorted(want)
+    placed = rd.result_boxes(lines, plan, strips=True)
+    for place in (rd.extend, rd.extend_ar, rd.pad):
+        placed = place(placed, plan)
+        assert _all(rn.of_strips(placed)) == sorted(want)
+    assert _all(rd.extend(rd.result_boxes(lines, plan), plan)) == sorted(want)
